@@ -26,8 +26,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import gram_counts, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, gram_counts(docs))
+
+
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import encoding_digests
+
+    return encoding_digests(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts}
+    return {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op7_language_id, op8_bpe_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,41 +25,15 @@ STORE = 600_000
 BATCH = 200_000
 
 
-class PieceMerger:
-    """The merge rules of a sentencepiece BPE model as arrays."""
-
-    def __init__(self, path: str) -> None:
-        import sentencepiece
+class RankMerger:
+    """Ranked merge rules as arrays: (left, right) makes a symbol, the lowest rank first, the leftmost of equals."""
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        normal = [i for i in range(size) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
-        score = {model.id_to_piece(i): model.get_score(i) for i in normal}
-        if any(MARK in piece.lstrip(MARK) for piece in score):
-            raise ValueError("a piece holds a space mark after another character")
-        rank_of = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-        self.symbol = {c: i for i, c in enumerate(sorted(score))}
-        pairs = []
-        for piece, value in score.items():
-            for cut in range(1, len(piece)):
-                if piece[:cut] in score and piece[cut:] in score:
-                    pairs.append((self.symbol[piece[:cut]], self.symbol[piece[cut:]], rank_of[value], self.symbol[piece]))
-                elif len(piece) == 2:  # a character outside the pieces may still start a longer piece
-                    pairs.append((self._char(piece[:1]), self._char(piece[1:]), rank_of[value], self.symbol[piece]))
-        self.base = np.int64(len(self.symbol) + 1)
-        table = np.array(pairs, np.int64).reshape(-1, 4)
+    def __init__(self, rules: list[tuple[int, int, int, int]], symbols: int) -> None:
+        self.base = np.int64(symbols + 1)
+        table = np.array(rules, np.int64).reshape(-1, 4)
         key = table[:, 0] * self.base + table[:, 1]
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], table[order, 2].astype(np.int32), table[order, 3].astype(np.int32)
-        self.bytes = np.array([0 if p in score else len(p.encode()) for p in sorted(self.symbol, key=self.symbol.get)], np.int64)
-        joined = {c for p in score if len(p) > 1 for c in p}
-        inner = "".join(re.escape(c) for c in sorted(joined - {MARK}))
-        #: A run of marks and what can merge behind it; anything else stands alone.
-        self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{inner}{MARK}]+", re.S)
-        self.single = score
-
-    def _char(self, c: str) -> int:
-        return self.symbol.setdefault(c, len(self.symbol))
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of each pair among the rules, or -1."""
@@ -68,24 +42,6 @@ class PieceMerger:
         at[at == len(self.key)] = 0
         return np.where((self.key[at] == key) & (left >= 0) & (right >= 0), at, -1)
 
-    def counts(self, tokens: list[str]) -> np.ndarray:
-        """Tokens of each pre-token."""
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        out = np.zeros(len(tokens), np.int64)
-        if not lengths.sum():
-            return out
-        codes = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars, inverse = np.unique(codes, return_inverse=True)
-        ids = np.array([self.symbol.get(chr(c), -1) for c in chars], np.int64)[inverse]
-        # characters outside all pieces: -1, one token for each UTF-8 byte
-        wide = np.array([1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) for c in chars], np.int64)[inverse]
-        seq = np.repeat(np.arange(len(tokens)), lengths)
-        np.add.at(out, seq[ids < 0], wide[ids < 0])
-        ids, seq = self.merged(ids, seq)
-        known = ids >= 0
-        np.add.at(out, seq[known], np.maximum(1, self.bytes[ids[known]]))
-        return out
-
     def merged(self, ids: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols and their sequences after all merges."""
         done_ids, done_seq = [], []
@@ -147,6 +103,56 @@ class PieceMerger:
         return hit[seen - np.maximum.accumulate(np.where(first, seen, 0)) == 0]
 
 
+class PieceMerger(RankMerger):
+    """The merge rules of a sentencepiece BPE model as arrays."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = model.get_piece_size()
+        normal = [i for i in range(size) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
+        score = {model.id_to_piece(i): model.get_score(i) for i in normal}
+        if any(MARK in piece.lstrip(MARK) for piece in score):
+            raise ValueError("a piece holds a space mark after another character")
+        rank_of = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.symbol = {c: i for i, c in enumerate(sorted(score))}
+        pairs = []
+        for piece, value in score.items():
+            for cut in range(1, len(piece)):
+                if piece[:cut] in score and piece[cut:] in score:
+                    pairs.append((self.symbol[piece[:cut]], self.symbol[piece[cut:]], rank_of[value], self.symbol[piece]))
+                elif len(piece) == 2:  # a character outside the pieces may still start a longer piece
+                    pairs.append((self._char(piece[:1]), self._char(piece[1:]), rank_of[value], self.symbol[piece]))
+        super().__init__(pairs, len(self.symbol))
+        self.bytes = np.array([0 if p in score else len(p.encode()) for p in sorted(self.symbol, key=self.symbol.get)], np.int64)
+        joined = {c for p in score if len(p) > 1 for c in p}
+        inner = "".join(re.escape(c) for c in sorted(joined - {MARK}))
+        #: A run of marks and what can merge behind it; anything else stands alone.
+        self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{inner}{MARK}]+", re.S)
+
+    def _char(self, c: str) -> int:
+        return self.symbol.setdefault(c, len(self.symbol))
+
+    def counts(self, tokens: list[str]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        out = np.zeros(len(tokens), np.int64)
+        if not lengths.sum():
+            return out
+        codes = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars, inverse = np.unique(codes, return_inverse=True)
+        ids = np.array([self.symbol.get(chr(c), -1) for c in chars], np.int64)[inverse]
+        # characters outside all pieces: -1, one token for each UTF-8 byte
+        wide = np.array([1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) for c in chars], np.int64)[inverse]
+        seq = np.repeat(np.arange(len(tokens)), lengths)
+        np.add.at(out, seq[ids < 0], wide[ids < 0])
+        ids, seq = self.merged(ids, seq)
+        known = ids >= 0
+        np.add.at(out, seq[known], np.maximum(1, self.bytes[ids[known]]))
+        return out
+
+
 _MERGERS: dict[str, tuple[PieceMerger, dict[str, int]]] = {}
 
 
