@@ -26,6 +26,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return assess(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -45,8 +52,15 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, secret_digests, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return secret_digests(find_secrets(docs, train(docs)))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op7_language_id, op8_bpe_encoding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_best_fit_packing, op7_language_id, op8_bpe_encoding, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
