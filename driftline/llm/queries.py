@@ -39,6 +39,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeat_digests
+
+    return repeat_digests(_read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import gram_counts, identify
 
@@ -59,8 +65,18 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(find_secrets(docs, train(docs)))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .relative_parse import factor_digests
+
+    return factor_digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_best_fit_packing, op7_language_id, op8_bpe_encoding, op9_secret_scans)}
+    found = (
+        op1_token_counts, op2_quality_rules, op3_best_fit_packing, op4_suffix_array_dedup, op7_language_id, op8_bpe_encoding,
+        op9_secret_scans, op10_substring_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
