@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similarity_components
+
+    return similarity_components(_read(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import exact_top_k
+
+    return exact_top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import gram_counts, identify
 
@@ -73,11 +86,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_token_counts, op2_quality_rules, op3_best_fit_packing, op4_suffix_array_dedup, op7_language_id, op8_bpe_encoding,
-        op9_secret_scans, op10_substring_dedup,
+        op1_token_counts, op2_quality_rules, op3_best_fit_packing, op4_suffix_array_dedup, op5_ngram_jaccard_join,
+        op6_exact_top_k, op7_language_id, op8_bpe_encoding, op9_secret_scans, op10_substring_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {"op5_ngram_jaccard_join": oracles.JACCARD, "op6_exact_top_k": oracles.TOP_K, "op10_substring_dedup": oracles.SUBSTRING}
