@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders by application, where the cluster names none.
+_OWN: dict[str, str] = {}
+
+
 def local_session(app: str = "driftline", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the bench."""
     return (
@@ -28,12 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and recorded in the session.
+    temporary folder is made, one for each application.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        name = spark.sparkContext.applicationId
+        if name not in _OWN:
+            _OWN[name] = tempfile.mkdtemp(prefix="driftline-")
+        path = _OWN[name]
     return path.rstrip("/")
 
 
