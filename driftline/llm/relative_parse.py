@@ -137,10 +137,14 @@ def remove_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw = words.data.tobytes()
                 edges = np.concatenate([[0], words.starts[1:], [len(raw)]]) if len(keep) else np.zeros(1, np.int64)
                 out.append(b"".join(raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(keep).tolist()).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_key", "_kept"])
-
-    found = relative_factors(docs, id_col, text_col, width).select(F.col("key").alias("_key"), "text", "spans")
-    found = found.mapInArrow(run, "_key long, _kept string").groupBy("_key").agg(F.max("_kept").alias("_kept"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "cut"])
+
+    key_col = "_key"
+    while key_col in docs.columns:
+        key_col += "_"
+    cut_col = f"{key_col}cut"
+    found = relative_factors(docs, id_col, text_col, width).select("key", "text", "spans").mapInArrow(run, "key long, cut string")
+    found = materialise(found.groupBy(F.col("key").alias(key_col)).agg(F.max("cut").alias(cut_col)), "cut")
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    out = docs.withColumn("_key", key).join(materialise(found, "cut"), "_key", "left")
-    return out.withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+    own = [F.coalesce(cut_col, text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return docs.withColumn(key_col, key).join(found, key_col, "left").select(*own)

@@ -1,0 +1,193 @@
+"""Trained operators, secret scans, top-k search and the pipeline: brute force where there is one, else held-out accuracy."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from driftline.llm import language_id, quality, secrets
+from driftline.llm.cover_tree import CoverTree, DualSearch, exact_top_k
+from pyspark.sql import functions as F
+
+from .conftest import pairs
+from .test_repeats import brute_components, words_of
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_counts(text):
+    text = text or ""
+    words = words_of(text)
+    windows = Counter(tuple(words[a : a + 5]) for a in range(len(words) - 4))
+    twice = {k for a in range(len(words) - 4) if windows[tuple(words[a : a + 5])] > 1 for k in range(a, a + 5)}
+    lines = [x for x in text.split("\n") if words_of(x)]
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(twice), n < 10 or 100 * len(twice) > 20 * n
+
+
+def test_quality_counts(odd, sample):
+    for docs in (odd, sample):
+        want = sorted(((i, *brute_counts(t)) for i, t in docs.select("doc_id", "text").collect()), key=repr)
+        names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+        out = quality.assess(docs, None)
+        assert pairs(out, *names) == want
+        assert out.where("kept = base_failed").count() == 0
+
+
+def test_quality_of_texts_not_trained_on(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    for_fit = labels.where("doc_id % 3 <> 0")
+    held = labels.where("doc_id % 3 = 0").select("doc_id", F.col("quality").alias("good"))
+    out = quality.assess(docs, quality.train(docs, for_fit)).join(held, "doc_id").where("not base_failed").toPandas()
+    assert out[out["good"] == 1]["kept"].mean() > 0.95
+    assert out[out["good"] == 1]["quality"].mean() > out[out["good"] == 0]["quality"].mean() + 0.2
+
+
+def test_quality_without_both_classes(spark, odd):
+    labels = spark.createDataFrame([(10, 1, 0), (25, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.train(odd, labels) is None
+
+
+def test_language_of_held_out_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = language_id.identify(docs, language_id.gram_counts(docs)).join(docs.select("doc_id", "lang", "text"), "doc_id").toPandas()
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in out["doc_id"]]
+    assert out["held_out"].tolist() == held
+    judged = out[out["held_out"] & out["lang"].notna() & (out["lang_pred"] != "und")]
+    assert (judged["lang"] == judged["lang_pred"]).mean() > 0.95
+    assert out["score"].between(0, 1).all()
+
+
+def test_language_of_oddities(odd, empty):
+    out = language_id.identify(odd, language_id.gram_counts(odd))
+    und = {i for i, t in odd.select("doc_id", "text").collect() if i is not None and not any(map(str.isalpha, t or ""))}
+    assert {r.doc_id for r in out.where("lang_pred = 'und' and doc_id is not null").collect()} == und
+    assert out.count() == odd.count()
+    assert {r.lang_pred for r in language_id.identify(odd, []).collect()} == {"und"}
+    assert language_id.identify(empty, language_id.gram_counts(empty)).count() == 0
+
+
+def test_code_lengths_are_those_of_the_context_trees():
+    counts = defaultdict(Counter)
+    texts = {"x": b"abracadabra abrac", "y": b"hocus pocus hocus"}
+    for lang, t in texts.items():
+        padded = b"\0\0\0" + t
+        for k in range(3, len(padded)):
+            counts[lang][int.from_bytes(padded[k - 3 : k + 1], "big")] += 1
+    tables = language_id.PpmTables([(lang, g, n) for lang in texts for g, n in counts[lang].items()])
+
+    def cost(lang, past, byte):
+        out = 0.0
+        for order in (3, 2, 1, 0):
+            seen = Counter()
+            for g, n in counts[lang].items():
+                raw = g.to_bytes(4, "big")
+                if raw[3 - order : 3] == past[3 - order :]:
+                    seen[raw[3]] += n
+            total, kinds = sum(seen.values()), len(seen)
+            if seen[byte]:
+                return out - math.log2(seen[byte] / (total + kinds))
+            if kinds:
+                out -= math.log2(kinds / (total + kinds))
+        return out + 8
+
+    probe = b"abra hocus zz"
+    padded = b"\0\0\0" + probe
+    want = [sum(cost(lang, padded[k - 3 : k], padded[k]) for k in range(3, len(padded))) for lang in tables.languages]
+    assert tables.bits(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0] == pytest.approx(want, rel=1e-5)
+
+
+def test_base_secrets(odd, sample):
+    patterns = (("assign", r"(?ia)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
+    for docs in (odd, sample):
+        ratio = secrets.train(docs)
+        found = {}
+        for r in secrets.find_secrets(docs, ratio).collect():
+            found.setdefault(r.doc_id, []).append([(s.kind, s.start, s.end) for s in r.spans])
+        for i, t in docs.select("doc_id", "text").collect():
+            want = [(k, m.start(), m.end()) for k, p, g, n in patterns for m in re.finditer(p, t or "") if len(m[g]) >= n]
+            want.sort(key=lambda s: (s[1], [p[0] for p in patterns].index(s[0])))
+            assert any([s for s in spans if s[0] != "random"] == want for spans in found[i])
+
+
+def test_random_strings_are_found_and_identifiers_are_not(sample):
+    ratio = secrets.train(sample)
+    text = "see Zx9Kq2Lm8Rt5Wv3Bn7Pj4Hd6Gs and get_user_profile_name_2024 or https/www/example/com/page12"
+    assert [text[a:b] for a, b, k in secrets.spans_of(text, ratio) if k == "random"] == ["Zx9Kq2Lm8Rt5Wv3Bn7Pj4Hd6Gs"]
+
+
+def test_redaction_leaves_the_rest(odd):
+    out = secrets.redact(odd, secrets.train(odd))
+    assert out.columns == odd.columns and out.count() == odd.count()
+    text = out.where("doc_id = 28").first().text
+    assert "AKIA" not in text and "deadbeef" not in text and "[access]" in text and "token: short" in text
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(2)
+    points = np.floor(rng.normal(size=(600, 8)) * 20)
+    points[50:90] = points[0]
+    tree = CoverTree(points, np.arange(600), 600)
+    for node, below in enumerate(tree.children):
+        centre, rows = points[tree.centre[node]], tree.rows[node]
+        assert np.sqrt(((points[rows] - centre) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
+        assert not below or sorted(np.concatenate([tree.rows[c] for c in below]).tolist()) == sorted(rows.tolist())
+
+
+def test_dual_search_is_exact_with_ties():
+    rng = np.random.default_rng(3)
+    points = np.floor(rng.normal(size=(900, 6)) * 3)
+    ids = rng.permutation(900)
+    rows = np.flatnonzero(ids % 7 == 0)
+    search = DualSearch(CoverTree(points[rows], ids[rows], 900), CoverTree(points, ids, 6), 5, np.full(len(rows), -np.inf))
+    for k, row in enumerate(rows):
+        score = points @ points[row]
+        best = [j for j in np.lexsort((ids, -score)) if j != row][:5]
+        assert search.id[k].tolist() == ids[best].tolist() and search.score[k].tolist() == score[best].tolist()
+
+
+def test_top_k_of_oddities(spark):
+    form = "vec_id long, embedding array<float>, label int, id string, cell int"
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=4)], 0, "c", 1) for k in range(120)]
+    rows += [(120, None, 0, "c", 1), (150, [1.0, None, 2.0, 3.0], 0, "c", 1), (151, [float("nan")] * 4, 0, "c", 1), (152, [float("inf")] * 4, 0, "c", 1), (None, [1.0] * 4, 0, "c", 1)]
+    rows += [(200 + k, [0.5, 0.5, 0.5, 0.5], 0, "c", 1) for k in range(60)] + [rows[3]]
+    out = exact_top_k(spark.createDataFrame(rows, form), F.col("id") % 50 == 0).collect()
+    whole = {r[0]: np.floor(256 * np.array(r[1], np.float32).astype(float)) for r in rows if r[0] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all()}
+    want = []
+    for q in whole:
+        if q % 50 == 0:
+            best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in out) == sorted(want)
+    few = spark.createDataFrame(rows[:3], form)
+    assert sorted((r[0], r[1]) for r in exact_top_k(few, F.col("id") % 50 == 0).collect()) == [(0, 1), (0, 2)]
+    assert exact_top_k(spark.createDataFrame([], form), F.col("id") % 50 == 0).count() == 0
+
+
+def test_stages(spark, odd):
+    docs, stages = odd, dict(corpus_pipeline.STAGES)
+    assert len(stages) == 5
+    named = stages["language ID"](spark, docs, SF)
+    assert named.columns == docs.columns
+    assert pairs(named, "doc_id") == sorted(((i,) for i, t in docs.select("doc_id", "text").collect() if any(map(str.isalpha, t or ""))), key=repr)
+    alone = stages["n-gram Jaccard join"](spark, named, SF)
+    groups = brute_components([tuple(r) for r in named.select("doc_id", "text").collect()])
+    assert pairs(alone, "doc_id") == sorted([(i,) for i in {c for _, _, c in groups if c is not None}] + [(i,) for i, _, _ in groups if i is None], key=repr)
+    cut = stages["substring dedup"](spark, alone, SF)
+    assert cut.columns == docs.columns and cut.count() == alone.count() and cut.where("n_chars <> length(text)").count() == 0
+    masked = stages["secret scans"](spark, cut, SF)
+    assert masked.columns == docs.columns and masked.where("text like '%AKIAABC%'").count() == 0
+    assert stages["best-fit packing"](spark, masked, SF).select("doc_id").distinct().count() == masked.select("doc_id").distinct().count()
+
+
+def test_whole_pipeline(spark, tmp_path, empty):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
