@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalars, series, summaries
+from . import motion, scalars, series, summaries
 
-MODULES = (scalars, series, summaries)
+MODULES = (scalars, series, summaries, motion)
 
 
 def queries() -> dict:

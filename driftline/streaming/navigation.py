@@ -1,0 +1,57 @@
+"""The navigation filter and the completed bins on streams."""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.navigation import EDGE, OUTPUT, Navigator, Profile, event_columns, fold, frame
+from ..sources.logs import parse_events
+
+
+def navigate(events: DataFrame, source: str = "source_id", profile: Profile = EDGE) -> DataFrame:
+    """A stream of filter outputs and errors: the same steps as the batch replay, with the state kept by source.
+
+    Events of a batch are put in order; an event that comes after its time is rejected with an error row, as the filter
+    never goes back. State is a few hundred bytes a source.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = events.schema[source].dataType.simpleString()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        navigator = pickle.loads(state.get[0]) if state.exists else Navigator(profile)
+        rows = pd.concat(list(batches))
+        rows = rows.assign(_rank=(rows["type"] != "imu").astype(int)).sort_values(["timestamp_ns", "_rank"], kind="stable")
+        out = frame(list(fold(navigator, rows)), source, key[0])
+        state.update((pickle.dumps(navigator),))
+        yield out
+
+    return event_columns(events, source).groupBy(source).applyInPandasWithState(run, f"{source} {kind}, {OUTPUT}", "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def filter_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events in the filter's columns, errors) of JSON lines."""
+    events, errors = parse_events(lines)
+    columns = {
+        "timestamp_ns": F.coalesce("timestamp_ns", (F.col("timestamp") * 1e9).cast("long")), "accel": F.col("acceleration")[0], "yaw_rate": F.col("angular_rate")[2], "quality": F.coalesce("quality", F.lit(1.0)),
+        "driving": F.coalesce("normal_driving", F.lit(False)), "stationary": F.coalesce("stationary", F.lit(False)), "latitude": F.col("latitude_deg"), "longitude": F.col("longitude_deg"),
+        "sigma": F.col("horizontal_sigma_m"), "speed": F.col("speed_mps"), "course": F.col("heading_deg_north_clockwise"),
+    }
+    return events.select("source_id", "type", *[c.alias(n) for n, c in columns.items()]), errors
+
+
+def bins(samples: DataFrame, keys: list[str], values: list[str], time: str = "ts", width: str = "100 milliseconds", late: str = "2 seconds") -> DataFrame:
+    """Means over completed tumbling bins; a row later than ``late`` is left out."""
+    grouped = samples.withWatermark(time, late).groupBy(*keys, F.window(time, width).alias("w")) if samples.isStreaming else samples.groupBy(*keys, F.window(time, width).alias("w"))
+    return grouped.agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values]).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", *values)
+
+
+def sessions(samples: DataFrame, keys: list[str], gap: str, time: str = "ts", late: str = "2 seconds") -> DataFrame:
+    """Stretches without a gap: start, end and number of rows."""
+    rows = samples.withWatermark(time, late) if samples.isStreaming else samples
+    return rows.groupBy(*keys, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
