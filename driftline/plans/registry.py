@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import motion, scalars, series, summaries
+from . import motion, scalars, series, signals, summaries
 
-MODULES = (scalars, series, summaries, motion)
+MODULES = (scalars, series, summaries, motion, signals)
 
 
 def queries() -> dict:
