@@ -61,13 +61,18 @@ def clock_audit(pairs: DataFrame, left: str, right: str, keys: list[str], gate:
     ).withColumn("passed", F.col("residual_p95") <= gate)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation of two columns; null where one of them doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def fit_metrics(df: DataFrame, truth: str, guess: str, keys: list[str]) -> DataFrame:
     """mae, rmse, median absolute error, mean error, r2 (null without spread) and correlation of a prediction."""
     error = F.col(guess) - F.col(truth)
     spread = F.var_pop(truth) * F.count(truth)
     return df.groupBy(*keys).agg(
         F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.percentile(F.abs(error), F.lit(0.5)).alias("median_error"), F.avg(error).alias("bias"),
-        F.when(spread > 0, 1 - F.sum(error * error) / spread).alias("r2"), F.corr(truth, guess).alias("correlation"),
+        F.when(spread > 0, 1 - F.sum(error * error) / spread).alias("r2"), correlation(truth, guess).alias("correlation"),
     )
 
 

@@ -162,4 +162,4 @@ def lag_sweep(left: DataFrame, right: DataFrame, value: str, keys: list[str], or
     two = right.withColumn("_i", F.row_number().over(_ordered(keys, order))).select(*keys, "_i", F.col(value).alias("_b"))
     swept = one.withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_i", F.col("_i") + F.col("lag"))
     pairs = swept.join(two, [*keys, "_i"])
-    return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("correlation"))
+    return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), (F.covar_pop("_a", "_b") / F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))).alias("correlation"))

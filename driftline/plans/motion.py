@@ -73,6 +73,20 @@ def grf4_bounded_distances(spark, sf):
     return roads.distances(arcs(spark, sf), start, 600.0).select("source", "node", _r("distance", 5).alias("distance"))
 
 
+@query()
+def grf5_route_plan(spark, sf):
+    """Routes between nodes with a turn at each bend."""
+    known = arcs(spark, sf)
+    asks = nodes(spark, sf).where("node < 20").select(F.col("node").alias("ask"), F.col("node").alias("source"))
+    near = roads.distances(known, asks.select(F.col("source").alias("node")), 900.0).where("distance > 0").groupBy("source").agg(F.max_by("node", "distance").alias("target"))
+    route = roads.routes(known, asks.join(near, "source").select("ask", "source", "target"), 900.0)
+    ways_ = known.groupBy("start_node", "end_node").agg(F.min("bearing").alias("bearing"))
+    w = Window.partitionBy("ask").orderBy("step")
+    turned = route.join(ways_, ["start_node", "end_node"]).withColumn("before", F.lag("bearing").over(w))
+    change = F.pmod(F.col("bearing") - F.col("before") + 180, F.lit(360.0)) - 180
+    return turned.select("ask", "step", "start_node", "end_node", "length", "so_far", F.coalesce(S.turn_instruction(change), F.lit("Start")).alias("say"))
+
+
 @query(f"WITH {NODES} SELECT round(avg(e), 6) AS e0, round(avg(n), 6) AS n0 FROM nodes")
 def grf6_projection_origin(spark, sf):
     return nodes(spark, sf).agg(_r(F.avg("e")).alias("e0"), _r(F.avg("n")).alias("n0"))
@@ -170,6 +184,39 @@ def mdl2_ridge(spark, sf):
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate([*w, mean])], "position int, weight double")
 
 
+@query()
+def mdl8_comparison(spark, sf):
+    """A fit on one part of the drives, a fit on all of them, and no fit, each scored on the drives kept back."""
+    from ..operators.aggregates import fit_metrics
+
+    rows = norms(spark, sf)
+    names, train, test = ["n0", "n1", "n2"], rows.where("drive % 5 <> 4"), rows.where("drive % 5 = 4")
+    scored = test.select("n3", F.lit(0.0).alias("guess"), F.lit("zero").alias("method"))
+    for method, part in (("some", train.where("drive % 2 = 0")), ("all", train)):
+        scales = M.standards(part, names)
+        w, mean = M.ridge(M.standardise(part, scales), names, "n3")
+        score = M.linear_score([F.col(c) for c in names], *zip(*(scales[c] for c in names)), w.tolist(), mean, 1e9)
+        scored = scored.unionByName(test.select("n3", score.alias("guess"), F.lit(method).alias("method")))
+    return fit_metrics(scored, "n3", "guess", ["method"])
+
+
+@query()
+def win16_random_walk(spark, sf):
+    """A seeded walk along each drive; its numbers follow the partitions of the input."""
+    w = Window.partitionBy("drive").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = track(spark, sf).withColumn("kick", F.randn(7))
+    return rows.select("event_id", F.sum("kick").over(w).alias("walk"))
+
+
+@query()
+def sim3_external_replay(spark, sf):
+    """Drift over an outage by displacement, from the state before a fix of the same time."""
+    from ..operators.aggregates import relative_drift
+
+    truth, lost = (d.where("error is null").select("source_id", "timestamp_ns", F.col("east").alias(f"{c}_e"), F.col("north").alias(f"{c}_n")) for d, c in zip(outage_replay(spark, sf), "ab"))
+    return relative_drift(truth.join(lost, ["source_id", "timestamp_ns"]), ("b_e", "b_n"), ("a_e", "a_n"), ["source_id"], "timestamp_ns")
+
+
 _LINEAR = ((0.2, 0.1, 1.5), (0.3, 0.2, -2.0), (0.1, 0.05, 0.7))
 
 

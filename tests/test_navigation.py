@@ -94,6 +94,13 @@ def test_distances_are_the_shortest(spark):
     assert got == want
 
 
+def test_routes_are_shortest_paths(spark):
+    arcs = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 2.0), (4, 1, 1.0)], "start_node long, end_node long, length double")
+    asks = spark.createDataFrame([(7, 1, 4), (8, 3, 2), (9, 2, 2), (10, 1, 99)], "ask long, source long, target long")
+    got = sorted((r.ask, r.step, r.start_node, r.end_node, r.so_far) for r in roads.routes(arcs, asks, 100.0).collect())
+    assert got == [(7, 1, 1, 2, 1.0), (7, 2, 2, 3, 2.0), (7, 3, 3, 4, 4.0), (8, 1, 3, 4, 2.0), (8, 2, 4, 1, 3.0), (8, 3, 1, 2, 4.0)]
+
+
 def test_two_way_roads_abstain_and_one_way_roads_match(spark):
     def match(directions):
         arcs = [(f"r:{d}", "a" if d == 1 else "b", "b" if d == 1 else "a", *((0.0, 0.0, 0.0, 200.0) if d == 1 else (0.0, 200.0, 0.0, 0.0)), 200.0, 0.0 if d == 1 else 180.0) for d in directions]
