@@ -203,7 +203,9 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.store.__getitem__, found)), "<u4") for found in parts]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder | LibraryEncoder] = {}
+#: White space that long makes the pattern's look-ahead slow in one of the libraries.
+LONG_RUN = re.compile(r"\s{200}")
 
 
 def tree_encoder(path: str) -> Encoder:
@@ -214,18 +216,41 @@ def tree_encoder(path: str) -> Encoder:
     return _ENCODERS[path, "tree"]
 
 
-def library_encoder(path: str) -> Encoder:
-    """An encoder that leaves unknown chunks to the ``tokenizers`` library, one a worker."""
-    if (path, "library") not in _ENCODERS:
-        import os
+class LibraryEncoder:
+    """Ids of whole texts by the libraries: texts without special strings by ``tiktoken``, over the vocabulary of the
+    file, which is the faster one; all others, and any if ids don't follow the merge order, by ``tokenizers``."""
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        _ENCODERS[path, "library"] = Encoder(ByteBpe(path), lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)])
+        self.bpe = ByteBpe(path)
+        made = [new for _, new in sorted(self.bpe.rules.values())]
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        special = set(self.bpe.special.values())
+        ranks = {data: i for i, data in enumerate(self.bpe.bytes) if i not in special}
+        follows = made == sorted(made) and len(ranks) == len(self.bpe.bytes) - len(special)
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if follows else None
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            if not text:
+                ids = []
+            elif self.fast is None or LONG_RUN.search(text) or any(s in text for s in self.bpe.special):
+                ids = self.model.encode(text, add_special_tokens=False).ids
+            else:
+                ids = self.fast(text)
+            out.append(np.array(ids, "<u4"))
+        return out
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """An encoder by the libraries, one a worker."""
+    if (path, "library") not in _ENCODERS:
+        _ENCODERS[path, "library"] = LibraryEncoder(path)
     return _ENCODERS[path, "library"]
 
 
