@@ -32,6 +32,8 @@ TOP, BOTTOM = 4, 5
 CELLS, SLICES = 1 << 20, 64
 #: The largest number of shared prefix shingles that a document may ask for.
 MOST = 6
+#: Bits of a set's parity map, and of that of a set of more than MANY shingles.
+BITS, MANY, MORE_BITS = 1 << 10, 1 << 11, 1 << 14
 #: Documents of one shared shingle that are paired directly; beyond it they are compared in blocks of about BLOCK.
 FEW, BLOCK = 24, 128
 
@@ -98,6 +100,14 @@ def prefix_of(shingles: np.ndarray, sketch: np.ndarray, floor: float) -> tuple[i
     return match, shingles[ordered[: n - needed + match]]
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each cell of a small hash table: whether an odd number of shingles fall into it. Two maps differ in no
+    more bits than the sets differ in shingles."""
+    size = BITS if len(shingles) <= MANY else MORE_BITS
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -114,7 +124,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            n, sign, match, prefix = [], [], [], []
+            n, sign, match, prefix, bits = [], [], [], [], []
             for i, j in chunks(offsets):
                 for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     m, p = prefix_of(own, shared.value, floor) if len(own) else (0, own)
@@ -122,9 +132,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     sign.append(int(mix(np.array([own.sum() + np.uint64(len(own))], np.uint64)).view(np.int64)[0]))
                     match.append(m)
                     prefix.append(p.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), pa.array(match, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "sign", "match", "prefix"])
+                    bits.append(parity_map(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), pa.array(match, pa.int32()), *[pa.array(c, pa.list_(pa.int64())) for c in (prefix, bits)]], ["id", "n", "sign", "match", "prefix", "bits"])
 
-    table = materialise(plain.mapInArrow(prefixes, f"id {kind}, n long, sign long, match int, prefix array<long>"), "prefixes")
+    table = materialise(plain.mapInArrow(prefixes, f"id {kind}, n long, sign long, match int, prefix array<long>, bits array<long>"), "prefixes")
     links = _links(plain, table, kind)
     component = connected_components(links).select(F.col("node").alias("first_id"), "component")
     classes = table.where("n > 0 and id is not null").groupBy("sign", "n").agg(F.min("id").alias("first_id")).join(component, "first_id", "left")
@@ -139,7 +150,8 @@ def _links(plain: DataFrame, table: DataFrame, kind: str) -> DataFrame:
     common = postings.groupBy("token").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("token")
     own = postings.join(common, "token").groupBy("token", "sign", "n", "match").agg(F.min("id").alias("id"))
     own = materialise(own, "postings")  # a row for each class and prefix shingle that another class shares
-    tokens = materialise(own.groupBy("id").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("match").alias("match")), "tokens")
+    tokens = own.groupBy("id").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("match").alias("match"))
+    tokens = materialise(tokens.join(table.select("id", "bits").dropDuplicates(["id"]), "id"), "tokens")
     pivot = own.groupBy("token").agg(F.min("id").alias("a"))
     star = own.join(pivot, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = materialise(_verified(plain, tokens, star, kind), "links")
@@ -184,23 +196,40 @@ def linked(a: np.ndarray, b: np.ndarray, both: int) -> bool:
 
 
 def _verified(plain: DataFrame, tokens: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
-    """Of the pairs (a, b), those whose sizes and prefixes allow it and whose sets are similar enough."""
-    one = lambda s: tokens.select(F.col("id").alias(s), F.col("tokens").alias(f"t{s}"), F.col("n").alias(f"n{s}"), F.col("match").alias(f"m{s}"))
-    allowed = pairs.join(one("a"), "a").join(one("b"), "b")
-    allowed = allowed.where((F.least("na", "nb") * BOTTOM >= F.greatest("na", "nb") * TOP) & (F.size(F.array_intersect("ta", "tb")) >= F.least("ma", "mb")))
-    allowed = materialise(allowed.select("a", "b"), "pairs")
-    sets = materialise(_sets(plain, allowed.select(F.explode(F.array("a", "b")).alias("id")), kind), "sets")
+    """Of the pairs (a, b), those whose sets are similar enough.
+
+    Sizes, shared prefix shingles and parity maps come first, none of which can leave out a similar pair: sets of
+    similarity 0.8 differ in a ninth of their sizes' sum at most. The texts of the rest meet, and their sets are counted.
+    """
+    one = lambda s, *columns: tokens.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    met = pairs.join(one("a", "n", "bits", "match"), "a").join(one("b", "n", "bits", "match"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = (F.size("bits_a") != F.size("bits_b")) | (differ * (TOP + BOTTOM) <= (F.col("n_a") + F.col("n_b")) * (BOTTOM - TOP))
+    met = met.where((F.least("n_a", "n_b") * BOTTOM >= F.greatest("n_a", "n_b") * TOP) & alike)
+    met = materialise(met.select("a", "b", F.least("match_a", "match_b").alias("match")), "met")
+    met = met.join(one("a", "tokens"), "a").join(one("b", "tokens"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("match"))
+    allowed = materialise(met.select("a", "b"), "pairs")
+    wanted = materialise(allowed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")  # the planner knows its size, and broadcasts it or not
+    texts = materialise(plain.where("text is not null").join(wanted, "id", "left_semi"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(linked(x, y, len(np.intersect1d(x, y, assume_unique=True))))
+            for k in range(batch.num_rows):
+                sets = []
+                for side in (2, 3):
+                    text = batch.column(side)[k].as_py()
+                    if text not in kept:
+                        if len(kept) >= 64:
+                            kept.clear()
+                        kept[text] = next(shingle_sets(*flat(batch.column(side).slice(k, 1))))
+                    sets.append(kept[text])
+                keep.append(linked(*sets, len(np.intersect1d(*sets, assume_unique=True))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    full = allowed.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    full = allowed.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _block_links(group: pd.DataFrame) -> pd.DataFrame:
