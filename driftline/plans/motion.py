@@ -36,25 +36,25 @@ arcs AS (SELECT *, sqrt((end_e - start_e) * (end_e - start_e) + (end_n - start_n
   degrees(atan2(end_e - start_e, end_n - start_n)) - 360 * floor(degrees(atan2(end_e - start_e, end_n - start_n)) / 360) AS bearing FROM raw)"""
 
 
-def arcs(spark, sf, least=0.2):
-    points = roads.way_points(ways(spark, sf), nodes(spark, sf))
+def arcs(spark, sf, least=0.2, whole=False):
+    points = roads.way_points(ways(spark, sf, whole), nodes(spark, sf))
     way = F.col("way") % 3
     says = F.when(way == 0, "yes").when(way == 1, "-1")
-    directed = ways(spark, sf).select("way").distinct().withColumn("directions", roads.directions(says, F.lit(False)))
+    directed = ways(spark, sf, whole).select("way").distinct().withColumn("directions", roads.directions(says, F.lit(False)))
     return roads.arcs(points, directed, least)
 
 
 @query(f"WITH {_ARCS} SELECT way, pos, direction, start_node, end_node, round(length, 5) AS length, round(bearing, 5) AS bearing FROM arcs WHERE length >= 0.2")
-def grf1_directed_arcs(spark, sf):
-    return arcs(spark, sf).select("way", "pos", "direction", "start_node", "end_node", _r("length", 5).alias("length"), _r("bearing", 5).alias("bearing"))
+def grf1_directed_arcs(spark, sf, whole=False):
+    return arcs(spark, sf, whole=whole).select("way", "pos", "direction", "start_node", "end_node", _r("length", 5).alias("length"), _r("bearing", 5).alias("bearing"))
 
 
 @query(f"""WITH {WAYS}, k AS (SELECT DISTINCT way, CASE way % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN '-1' ELSE '' END AS says, way % 5 = 0 AS ring FROM ways)
 SELECT way, CASE WHEN says = 'yes' THEN '1' WHEN says = '-1' THEN '-1' WHEN ring AND says <> 'no' THEN '1' ELSE '1,-1' END AS ahead FROM k""")
-def grf2_explicit_no_variant(spark, sf):
+def grf2_explicit_no_variant(spark, sf, whole=False):
     way = F.col("way")
     says = F.when(way % 4 == 0, "no").when(way % 4 == 1, "yes").when(way % 4 == 2, "-1").otherwise("")
-    return ways(spark, sf).select("way").distinct().select("way", F.concat_ws(",", roads.directions(says, way % 5 == 0, explicit_no=True).cast("array<string>")).alias("ahead"))
+    return ways(spark, sf, whole).select("way").distinct().select("way", F.concat_ws(",", roads.directions(says, way % 5 == 0, explicit_no=True).cast("array<string>")).alias("ahead"))
 
 
 @query(f"""WITH {_ARCS} SELECT way, pos, direction, unnest(range(CAST(floor(least(start_e, end_e) / 60) AS BIGINT), CAST(floor(greatest(start_e, end_e) / 60) AS BIGINT) + 1)) AS cx,
@@ -76,7 +76,7 @@ def grf4_bounded_distances(spark, sf):
 @query()
 def grf5_route_plan(spark, sf):
     """Routes between nodes with a turn at each bend."""
-    known = arcs(spark, sf)
+    known = arcs(spark, sf, whole=True)
     asks = nodes(spark, sf).where("node < 20").select(F.col("node").alias("ask"), F.col("node").alias("source"))
     near = roads.distances(known, asks.select(F.col("source").alias("node")), 900.0).where("distance > 0").groupBy("source").agg(F.max_by("node", "distance").alias("target"))
     route = roads.routes(known, asks.join(near, "source").select("ask", "source", "target"), 900.0)
@@ -121,9 +121,11 @@ def grf8_route_progress(spark, sf):
 _POINTS = f"""{TRACK}, obs AS (SELECT event_id AS obs, drive, t, value * 10 AS e, CAST(event_id % 1000 AS DOUBLE) AS n, 12e0 AS sigma, 5e0 AS speed, CAST(event_id * 37 % 360 AS DOUBLE) AS course FROM track WHERE event_id % 10 = 0)"""
 
 
-def observations(spark, sf):
+def observations(spark, sf, whole=False):
+    """Points of the events that the given SQL names (every tenth), or of all."""
     k = F.col("event_id")
-    return track(spark, sf).where("event_id % 10 = 0").select(k.alias("obs"), "drive", "t", (F.col("value") * 10).alias("e"), (k % 1000).cast("double").alias("n"), F.lit(12.0).alias("sigma"), F.lit(5.0).alias("speed"), (k * 37 % 360).cast("double").alias("course"))
+    rows = track(spark, sf) if whole else track(spark, sf).where("event_id % 10 = 0")
+    return rows.select(k.alias("obs"), "drive", "t", (F.col("value") * 10).alias("e"), (k % 1000).cast("double").alias("n"), F.lit(12.0).alias("sigma"), F.lit(5.0).alias("speed"), (k * 37 % 360).cast("double").alias("course"))
 
 
 _NEAR = """met AS (SELECT obs, way, pos, direction, e, n, sigma, course, bearing, start_e, start_n, end_e, end_n, least(greatest(((e - start_e) * (end_e - start_e) + (n - start_n) * (end_n - start_n)) / (length * length), 0), 1) AS f FROM obs JOIN arcs ON length >= 0.2
@@ -133,17 +135,17 @@ near AS (SELECT *, sqrt(pow(e - start_e - f * (end_e - start_e), 2) + pow(n - st
 
 @query(f"""WITH {_POINTS}, {_ARCS}, {_NEAR}, s AS (SELECT obs, way, pos, direction, distance, -0.5 * pow(distance / sigma, 2) - ln(sigma) - 0.5 * pow(gap / 35, 2) AS emission FROM near WHERE distance <= 36),
 r AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY round(emission, 9) DESC, way, pos, direction) AS rank FROM s) SELECT obs, way, pos, direction, rank, round(distance, 5) AS distance, round(emission, 5) AS emission FROM r WHERE rank <= 12""")
-def jon6_spatial_candidates(spark, sf):
-    out = roads.candidates(observations(spark, sf), arcs(spark, sf), ["way", "pos", "direction"])
+def jon6_spatial_candidates(spark, sf, whole=False):
+    out = roads.candidates(observations(spark, sf, whole), arcs(spark, sf, whole=whole), ["way", "pos", "direction"])
     return out.select("obs", "way", "pos", "direction", "rank", _r("distance", 5).alias("distance"), _r("emission", 5).alias("emission"))
 
 
 @query(f"""WITH {_POINTS}, {NODES}, d AS (SELECT obs, node, sqrt((obs.e - nodes.e) * (obs.e - nodes.e) + (obs.n - nodes.n) * (obs.n - nodes.n)) AS d FROM obs, nodes WHERE abs(obs.e - nodes.e) <= 100 AND abs(obs.n - nodes.n) <= 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY d, node) AS rank FROM d WHERE d <= 100) SELECT obs, node, rank, round(d, 5) AS distance FROM r WHERE rank <= 8""")
-def jon7_nearest_neighbours(spark, sf):
+def jon7_nearest_neighbours(spark, sf, whole=False):
     cell = 100.0
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))
-    asks = observations(spark, sf).select("obs", "e", "n").withColumn("cx", around("e")).withColumn("cy", around("n"))
+    asks = observations(spark, sf, whole).select("obs", "e", "n").withColumn("cx", around("e")).withColumn("cy", around("n"))
     have = nodes(spark, sf).select("node", F.col("e").alias("ne"), F.col("n").alias("nn"), F.floor(F.col("e") / cell).alias("cx"), F.floor(F.col("n") / cell).alias("cy"))
     d = F.sqrt((F.col("e") - F.col("ne")) ** 2 + (F.col("n") - F.col("nn")) ** 2)
     met = asks.join(have, ["cx", "cy"]).withColumn("d", d).where("d <= 100")
@@ -152,20 +154,20 @@ def jon7_nearest_neighbours(spark, sf):
 
 
 @query(f"WITH {NODES}, {WAYS}, w AS (SELECT way, pos, node, e, n, count(*) OVER (PARTITION BY way) = count(e) OVER (PARTITION BY way) AS whole FROM ways LEFT JOIN (SELECT * FROM nodes WHERE node % 50 <> 0) USING (node)) SELECT way, pos, node, e, n FROM w WHERE whole")
-def jon8_way_nodes(spark, sf):
-    return roads.way_points(ways(spark, sf), nodes(spark, sf).where("node % 50 <> 0")).select("way", "pos", "node", "e", "n")
+def jon8_way_nodes(spark, sf, whole=False):
+    return roads.way_points(ways(spark, sf, whole), nodes(spark, sf).where("node % 50 <> 0")).select("way", "pos", "node", "e", "n")
 
 
 @query(f"WITH {NODES}, {WAYS}, p AS (SELECT way, pos, e, n, lead(e) OVER (PARTITION BY way ORDER BY pos) AS e2, lead(n) OVER (PARTITION BY way ORDER BY pos) AS n2 FROM ways JOIN nodes USING (node)) SELECT way, pos, unnest([1, -1]) AS direction, round(sqrt((e2 - e) * (e2 - e) + (n2 - n) * (n2 - n)), 5) AS length FROM p WHERE e2 IS NOT NULL")
-def win15_pair_expansion(spark, sf):
-    both = ways(spark, sf).select("way").distinct().withColumn("directions", F.array(F.lit(1), F.lit(-1)))
-    return roads.arcs(roads.way_points(ways(spark, sf), nodes(spark, sf)), both, 0.0).select("way", "pos", "direction", _r("length", 5).alias("length"))
+def win15_pair_expansion(spark, sf, whole=False):
+    both = ways(spark, sf, whole).select("way").distinct().withColumn("directions", F.array(F.lit(1), F.lit(-1)))
+    return roads.arcs(roads.way_points(ways(spark, sf, whole), nodes(spark, sf)), both, 0.0).select("way", "pos", "direction", _r("length", 5).alias("length"))
 
 
 @query()
 def sta15_map_matching(spark, sf):
-    known = arcs(spark, sf).withColumn("arc", F.concat_ws(":", "way", "pos", "direction"))
-    found = roads.candidates(observations(spark, sf), known, ["arc"])
+    known = arcs(spark, sf, whole=True).withColumn("arc", F.concat_ws(":", "way", "pos", "direction"))
+    found = roads.candidates(observations(spark, sf, whole=True), known, ["arc"])
     links = roads.distances(known, found.select(F.col("end_node").alias("node")).distinct(), 150.0)
     return roads.match_tracks(found, links.select(F.col("source").alias("a"), F.col("node").alias("b"), "distance"))
 

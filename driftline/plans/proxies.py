@@ -47,9 +47,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(key.alias("node"), ((key * 7919) % 1000).cast("double").alias("e"), ((key * 104729) % 1000).cast("double").alias("n"))
 
 
-def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ways(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Ways of the orders that the given SQL names (every twentieth), or of all."""
     from pyspark.sql import Window
 
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 20 == 0)
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines if whole else lines.where(F.col("l_orderkey") % 20 == 0)
     return lines.select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("node"), at.alias("pos"))

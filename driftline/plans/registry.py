@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import motion, scalars, series, signals, summaries
+from . import motion, scalars, series, signals, summaries, whole
 
-MODULES = (scalars, series, summaries, motion, signals)
+MODULES = (scalars, series, summaries, motion, signals, whole)
 
 
 def queries() -> dict:

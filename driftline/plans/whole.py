@@ -1,0 +1,27 @@
+"""Queries over whole tables, beside those whose given SQL takes only a part of them.
+
+Each is named after the query whose SQL has the filter. Its SQL, if any, is that SQL without the filter.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from . import motion
+
+QUERIES, SQL = {}, {}
+
+#: What the given SQL takes a part by.
+FILTERS = (" WHERE l_orderkey % 20 = 0", " WHERE event_id % 10 = 0")
+
+
+def unfiltered(sql: str) -> str:
+    for part in FILTERS:
+        sql = sql.replace(part, "")
+    return sql
+
+
+for _name in ("grf1_directed_arcs", "grf2_explicit_no_variant", "jon6_spatial_candidates", "jon7_nearest_neighbours", "jon8_way_nodes", "win15_pair_expansion"):
+    QUERIES[f"{_name}_whole"] = partial(motion.QUERIES[_name], whole=True)
+    if _name not in ("jon6_spatial_candidates", "jon7_nearest_neighbours"):  # all pairs: too slow in SQL, tested by brute force
+        SQL[f"{_name}_whole"] = unfiltered(motion.SQL[_name])
