@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 PI = 3.141592653589793
 
 
@@ -163,3 +165,15 @@ def lag_sweep(left: DataFrame, right: DataFrame, value: str, keys: list[str], or
     swept = one.withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_i", F.col("_i") + F.col("lag"))
     pairs = swept.join(two, [*keys, "_i"])
     return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), (F.covar_pop("_a", "_b") / F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))).alias("correlation"))
+
+
+def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """Each row's number in the order of all rows, from 1; ``order`` must tell all rows apart.
+
+    Rows are dealt into ranges of the order; each range is numbered by itself, after the counts of the ranges before it.
+    """
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each range
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(starts, "_range").withColumn(name, F.col("_start") + at).drop("_range", "_start")

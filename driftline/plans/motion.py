@@ -68,16 +68,17 @@ def grf3_grid_index(spark, sf):
 @query(f"""WITH RECURSIVE {_ARCS}, edge AS (SELECT start_node AS a, end_node AS b, min(length) AS w FROM arcs WHERE length >= 0.2 GROUP BY ALL),
 r(source, node, d, hops) AS (SELECT p_partkey, p_partkey, 0e0, 0 FROM part WHERE p_partkey < 20 UNION ALL SELECT source, b, d + w, hops + 1 FROM r JOIN edge ON a = node WHERE d + w <= 600 AND hops < 12)
 SELECT source, node, round(min(d), 5) AS distance FROM r GROUP BY ALL""")
-def grf4_bounded_distances(spark, sf):
-    start = nodes(spark, sf).where("node < 20").select("node")
-    return roads.distances(arcs(spark, sf), start, 600.0).select("source", "node", _r("distance", 5).alias("distance"))
+def grf4_bounded_distances(spark, sf, whole=False):
+    """From the sources that the given SQL names, or from all nodes."""
+    start = nodes(spark, sf) if whole else nodes(spark, sf).where("node < 20")
+    return roads.distances(arcs(spark, sf, whole=whole), start.select("node"), 600.0).select("source", "node", _r("distance", 5).alias("distance"))
 
 
 @query()
 def grf5_route_plan(spark, sf):
     """Routes between nodes with a turn at each bend."""
     known = arcs(spark, sf, whole=True)
-    asks = nodes(spark, sf).where("node < 20").select(F.col("node").alias("ask"), F.col("node").alias("source"))
+    asks = nodes(spark, sf).select(F.col("node").alias("ask"), F.col("node").alias("source"))
     near = roads.distances(known, asks.select(F.col("source").alias("node")), 900.0).where("distance > 0").groupBy("source").agg(F.max_by("node", "distance").alias("target"))
     route = roads.routes(known, asks.join(near, "source").select("ask", "source", "target"), 900.0)
     ways_ = known.groupBy("start_node", "end_node").agg(F.min("bearing").alias("bearing"))

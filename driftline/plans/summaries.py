@@ -181,9 +181,10 @@ def agg21_split_summary(spark, sf):
 
 
 @query(f"WITH {TRACK} SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS pos FROM track WHERE drive < 10")
-def srt1_stable_sort(spark, sf):
-    pos = F.row_number().over(Window.orderBy("t", "event_id"))  # ten drives
-    return track(spark, sf).where("drive < 10").select("event_id", pos.alias("pos"))
+def srt1_stable_sort(spark, sf, whole=False):
+    """The ten drives that the given SQL names, or all."""
+    rows = track(spark, sf) if whole else track(spark, sf).where("drive < 10")
+    return T.positions(rows.select("event_id", "t"), ["t", "event_id"]).select("event_id", "pos")
 
 
 @query(f"WITH {TRACK} SELECT event_id, value FROM track ORDER BY value DESC, event_id LIMIT 10")

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import motion
+from . import motion, summaries
 
 QUERIES, SQL = {}, {}
 
 #: What the given SQL takes a part by.
-FILTERS = (" WHERE l_orderkey % 20 = 0", " WHERE event_id % 10 = 0")
+FILTERS = (" WHERE l_orderkey % 20 = 0", " WHERE event_id % 10 = 0", " WHERE drive < 10")
 
 
 def unfiltered(sql: str) -> str:
@@ -25,3 +25,8 @@ for _name in ("grf1_directed_arcs", "grf2_explicit_no_variant", "jon6_spatial_ca
     QUERIES[f"{_name}_whole"] = partial(motion.QUERIES[_name], whole=True)
     if _name not in ("jon6_spatial_candidates", "jon7_nearest_neighbours"):  # all pairs: too slow in SQL, tested by brute force
         SQL[f"{_name}_whole"] = unfiltered(motion.SQL[_name])
+
+QUERIES["srt1_stable_sort_whole"] = partial(summaries.srt1_stable_sort, whole=True)
+SQL["srt1_stable_sort_whole"] = unfiltered(summaries.SQL["srt1_stable_sort"])
+#: Recursion in SQL lists all paths, too many on the whole graph; tested by brute force.
+QUERIES["grf4_bounded_distances_whole"] = partial(motion.grf4_bounded_distances, whole=True)

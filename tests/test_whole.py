@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -58,3 +60,43 @@ def test_candidates_of_all_events_on_all_roads(spark):
 def test_matching_and_routes_take_all_rows(spark):
     matched = {r.obs for r in motion.sta15_map_matching(spark, SF).select("obs").collect()}
     assert any(k % 10 for k in matched)
+
+
+def shortest(arcs, limit):
+    """Distances within ``limit`` from every node of the graph, by Dijkstra's algorithm."""
+    ahead = {}
+    for a, b, w in arcs[["start_node", "end_node", "length"]].itertuples(index=False):
+        ahead.setdefault(a, {})[b] = min(w, ahead.get(a, {}).get(b, w))
+    found = {}
+    for source in pq.read_table(f"{SF}/part.parquet", columns=["p_partkey"])["p_partkey"].to_pylist():
+        best, heap = {}, [(0.0, source)]
+        while heap:
+            d, node = heapq.heappop(heap)
+            if node not in best:
+                best[node] = d
+                for b, w in ahead.get(node, {}).items():
+                    if d + w <= limit:
+                        heapq.heappush(heap, (d + w, b))
+        found |= {(source, node): d for node, d in best.items()}
+    return found
+
+
+def test_distances_and_routes_from_all_nodes(spark):
+    arcs = motion.arcs(spark, SF, whole=True).toPandas()
+    got = {(r.source, r.node): r.distance for r in registry.queries()["grf4_bounded_distances_whole"](spark, SF).collect()}
+    assert got == {k: pytest.approx(d, abs=2e-5) for k, d in shortest(arcs, 600.0).items()}
+    far = {}
+    for (source, _), d in shortest(arcs, 900.0).items():
+        far[source] = max(d, far.get(source, 0.0))
+    ends = {}
+    for r in motion.grf5_route_plan(spark, SF).collect():
+        ends[r.ask] = max(r.so_far, ends.get(r.ask, 0.0))
+    assert ends == {k: pytest.approx(d) for k, d in far.items() if d > 0}
+
+
+def test_positions_do_not_depend_on_the_ranges(spark):
+    from driftline.operators.timeseries import positions
+
+    rows = spark.range(1000).selectExpr("id", "(id * 7919) % 50 as t").repartition(7)
+    got = {(r.t, r.id): r.pos for r in positions(rows, ["t", "id"]).collect()}
+    assert got == {k: n for n, k in enumerate(sorted(got), 1)}
