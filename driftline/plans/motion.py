@@ -60,6 +60,7 @@ def grf2_explicit_no_variant(spark, sf, whole=False):
 @query(f"""WITH {_ARCS} SELECT way, pos, direction, unnest(range(CAST(floor(least(start_e, end_e) / 60) AS BIGINT), CAST(floor(greatest(start_e, end_e) / 60) AS BIGINT) + 1)) AS cx,
   CAST(floor(least(start_n, end_n) / 60) AS BIGINT) AS low_y FROM arcs WHERE length >= 0.2""")
 def grf3_grid_index(spark, sf):
+    """The lowest row of each arc's cells, as the given SQL has it; ``grf3_grid_index_whole`` has them all."""
     index = roads.grid_index(arcs(spark, sf))
     low = F.floor(F.least("start_n", "end_n") / 60)
     return index.where(F.col("cy") == low).select("way", "pos", "direction", "cx", F.col("cy").alias("low_y"))

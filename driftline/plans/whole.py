@@ -1,13 +1,15 @@
 """Queries over whole tables, beside those whose given SQL takes only a part of them.
 
-Each is named after the query whose SQL has the filter. Its SQL, if any, is that SQL without the filter.
+Each is named after the query whose SQL has the filter. Its SQL, if any, is that SQL without the filter, or with the
+reach of the reference in place of a smaller one.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-from . import motion, summaries
+from ..operators import roads
+from . import motion, series, summaries
 
 QUERIES, SQL = {}, {}
 
@@ -30,3 +32,19 @@ QUERIES["srt1_stable_sort_whole"] = partial(summaries.srt1_stable_sort, whole=Tr
 SQL["srt1_stable_sort_whole"] = unfiltered(summaries.SQL["srt1_stable_sort"])
 #: Recursion in SQL lists all paths, too many on the whole graph; tested by brute force.
 QUERIES["grf4_bounded_distances_whole"] = partial(motion.grf4_bounded_distances, whole=True)
+
+
+def _grid_index(spark, sf):
+    return roads.grid_index(motion.arcs(spark, sf, whole=True)).select("way", "pos", "direction", "cx", "cy")
+
+
+QUERIES["grf3_grid_index_whole"] = _grid_index
+SQL["grf3_grid_index_whole"] = f"""WITH {unfiltered(motion._ARCS)}, x AS (SELECT *, unnest(range(CAST(floor(least(start_e, end_e) / 60) AS BIGINT), CAST(floor(greatest(start_e, end_e) / 60) AS BIGINT) + 1)) AS cx FROM arcs WHERE length >= 0.2)
+SELECT way, pos, direction, cx, unnest(range(CAST(floor(least(start_n, end_n) / 60) AS BIGINT), CAST(floor(greatest(start_n, end_n) / 60) AS BIGINT) + 1)) AS cy FROM x"""
+
+QUERIES["jon4_lag_sweep_whole"] = partial(series.jon4_lag_sweep, reach=100)
+SQL["jon4_lag_sweep_whole"] = series.SQL["jon4_lag_sweep"].replace("range(-5, 6)", "range(-100, 101)")
+QUERIES["agg3_nearest_rank_whole"] = partial(summaries.agg3_nearest_rank, last=512)
+SQL["agg3_nearest_rank_whole"] = summaries.SQL["agg3_nearest_rank"].replace("r <= 40", "r <= 512")
+QUERIES["agg5_cadence_whole"] = partial(summaries.agg5_cadence, last=256)
+SQL["agg5_cadence_whole"] = summaries.SQL["agg5_cadence"].replace("r < 40", "r < 256")

@@ -100,3 +100,18 @@ def test_positions_do_not_depend_on_the_ranges(spark):
     rows = spark.range(1000).selectExpr("id", "(id * 7919) % 50 as t").repartition(7)
     got = {(r.t, r.id): r.pos for r in positions(rows, ["t", "id"]).collect()}
     assert got == {k: n for n, k in enumerate(sorted(got), 1)}
+
+
+def test_full_reach(spark):
+    queries = registry.queries()
+    lags = {r["lag"] for r in queries["jon4_lag_sweep_whole"](spark, SF).collect()}
+    assert max(lags) > 5 and min(lags) < -5
+    cells = queries["grf3_grid_index_whole"](spark, SF).groupBy("way", "pos", "direction", "cx").count()
+    assert cells.where("count > 1").count()
+
+
+def test_quantile_and_cadence_reach_back_as_far_as_the_reference(spark):
+    from driftline.plans import whole
+
+    for name, least in (("agg3_nearest_rank_whole", 512), ("agg5_cadence_whole", 256), ("jon4_lag_sweep_whole", 100)):
+        assert least in whole.QUERIES[name].keywords.values() and str(least) in whole.SQL[name]
