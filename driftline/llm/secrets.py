@@ -27,7 +27,10 @@ PATTERNS = (
 HEX_RUN = re.compile(r"[0-9a-f]{16,}")  # a maximal run that is long enough: the same matches, found faster
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: What the models judge: unbroken strings of key characters.
+LEAST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A part of such a string between separators, long enough to be judged by itself.
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Texts whose words train the models at most (those with the smallest hash of the id), and words of each text.
 SAMPLE_TEXTS, SAMPLE_WORDS = 2_000, 400
@@ -133,17 +136,47 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
     return (_bits(total[True]) - _bits(total[False])).astype(np.float32)
 
 
-def random_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Strings that the models call random, outside the base spans: with a digit and a letter, 20 characters or more."""
+def _scores(s: str, ratio: np.ndarray) -> np.ndarray:
     n = len(SYMBOLS)
+    own = [n, n, *map(SYMBOLS.find, s)]
+    return ratio[own[:-2], own[1:-1], own[2:]].astype(np.float64)
+
+
+def random_parts(s: str, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """What the models call random in a string of key characters: all of it, or else its parts between separators and
+    its windows of LEAST characters that pass the threshold by themselves, overlapping ones as one."""
+    score = _scores(s, ratio)
+    if score.mean() > THRESHOLD and _mixed(s):
+        return [(0, len(s))]
+    hits = [(m.start(), m.end()) for m in PART.finditer(s) if _mixed(m[0]) and _scores(m[0], ratio).mean() > THRESHOLD]
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    hits += [(int(a), int(a) + LEAST) for a in np.flatnonzero(total[LEAST:] - total[:-LEAST] > THRESHOLD * LEAST)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(hits):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if _mixed(s[a:b])]
+
+
+def _mixed(s: str) -> bool:
+    return bool(re.search(r"\d", s) and re.search(r"[A-Za-z]", s))
+
+
+def random_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Strings that the models call random, with a digit and a letter, LEAST characters or more; of a string that a base
+    span covers in part, what is left outside the base spans is judged."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not (re.search(r"\d", s) and re.search(r"[A-Za-z]", s)) or any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        own = [n, n, *map(SYMBOLS.find, s)]
-        if float(ratio[own[:-2], own[1:-1], own[2:]].mean()) > THRESHOLD:
-            out.append((m.start(), m.end(), "random"))
+        at, left = m.start(), []
+        for a, b, _ in base:
+            if a < m.end() and m.start() < b:
+                left.append((at, a))
+                at = max(at, b)
+        for a, b in [*left, (at, m.end())]:
+            if b - a >= LEAST:
+                out += [(a + x, a + y, "random") for x, y in random_parts(text[a:b], ratio)]
     return out
 
 
