@@ -87,6 +87,11 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
+def signature(shingles: np.ndarray) -> int:
+    """64 bits of a set and its size: equal sets are one class."""
+    return int(mix(np.array([shingles.sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+
+
 def prefix_of(shingles: np.ndarray, sketch: np.ndarray, floor: float) -> tuple[int, np.ndarray]:
     """The number of matches asked for and the prefix of that length, rarest shingles first."""
     n = len(shingles)
@@ -113,7 +118,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts and texts without words have no shingles and are linked with nothing. Repeated rows are equal
     sets, so one component. A null id keeps its row, with a null component. An id with several texts links by each of
-    them. An empty table gives no rows. Other columns aren't read.
+    them, and all its rows are in one component. An empty table gives no rows. Other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -129,40 +134,49 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     m, p = prefix_of(own, shared.value, floor) if len(own) else (0, own)
                     n.append(len(own))
-                    sign.append(int(mix(np.array([own.sum() + np.uint64(len(own))], np.uint64)).view(np.int64)[0]))
+                    sign.append(signature(own))
                     match.append(m)
                     prefix.append(p.view(np.int64))
                     bits.append(parity_map(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), pa.array(match, pa.int32()), *[pa.array(c, pa.list_(pa.int64())) for c in (prefix, bits)]], ["id", "n", "sign", "match", "prefix", "bits"])
 
     table = materialise(plain.mapInArrow(prefixes, f"id {kind}, n long, sign long, match int, prefix array<long>, bits array<long>"), "prefixes")
-    links = _links(plain, table, kind)
-    component = connected_components(links).select(F.col("node").alias("first_id"), "component")
-    classes = table.where("n > 0 and id is not null").groupBy("sign", "n").agg(F.min("id").alias("first_id")).join(component, "first_id", "left")
-    out = table.select("id", "n", "sign").join(classes, ["sign", "n"], "left")
-    found = F.when(F.col("id").isNotNull(), F.coalesce("component", "first_id", "id"))
+    first = table.where("n > 0 and id is not null").groupBy("sign", "n").agg(F.min("id").alias("first_id"))
+    # an id with several texts joins the classes of all of them
+    several = table.where("id is not null").select("id", "sign", "n").groupBy("id").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("id")
+    several = materialise(table.select("id", "sign", "n").join(several, "id", "left_semi").distinct(), "several")
+    own_links = several.join(first, ["sign", "n"]).where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+    component = materialise(connected_components(_links(plain, table, kind).unionAll(own_links)), "components")
+    classes = first.join(component.select(F.col("node").alias("first_id"), "component"), "first_id", "left")
+    empty = several.where("n = 0").join(component, F.col("id") == F.col("node")).select("id", "n", F.col("component").alias("of_id"))
+    out = table.select("id", "n", "sign").join(classes, ["sign", "n"], "left").join(empty, ["id", "n"], "left")
+    found = F.when(F.col("id").isNotNull(), F.coalesce("component", "first_id", "of_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
 
 
 def _links(plain: DataFrame, table: DataFrame, kind: str) -> DataFrame:
-    """Verified links (a, b) between documents of different sets, enough of them to join every component."""
+    """Verified links (a, b) between documents of different sets, enough of them to join every component.
+
+    A text is known by its id and the signature of its set, as an id may have several texts.
+    """
     postings = table.where("n > 0 and id is not null").select(F.explode("prefix").alias("token"), "id", "sign", "n", "match")
     common = postings.groupBy("token").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("token")
     own = postings.join(common, "token").groupBy("token", "sign", "n", "match").agg(F.min("id").alias("id"))
     own = materialise(own, "postings")  # a row for each class and prefix shingle that another class shares
-    tokens = own.groupBy("id").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("match").alias("match"))
-    tokens = materialise(tokens.join(table.select("id", "bits").dropDuplicates(["id"]), "id"), "tokens")
-    pivot = own.groupBy("token").agg(F.min("id").alias("a"))
-    star = own.join(pivot, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    tokens = own.groupBy("id", "sign").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("match").alias("match"))
+    tokens = materialise(tokens.join(table.select("id", "sign", "bits").dropDuplicates(["id", "sign"]), ["id", "sign"]), "tokens")
+    pivot = own.groupBy("token").agg(F.min(F.struct("id", "sign")).alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.sign").alias("sign_a"))
+    star = own.join(pivot, "token").where("id <> a").select("a", "sign_a", F.col("id").alias("b"), F.col("sign").alias("sign_b")).distinct()
     links = materialise(_verified(plain, tokens, star, kind), "links")
 
     component = connected_components(links)
-    placed = own.join(component, own["id"] == component["node"], "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = own.join(component, own["id"] == component["node"], "left").select("token", "id", "sign", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("pivot")).where("low <> high").drop("low", "high")
     rest = materialise(placed.join(mixed, "token"), "rest")
     few = rest.where(F.col("size") <= FEW)
-    left, right = few.select("token", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("token", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "token").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    left, right = (few.select("token", F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    pair = ["a", "sign_a", "b", "sign_b"]
+    pairs = left.join(right, "token").where("a < b and ca <> cb").select(*pair).distinct().join(star, pair, "left_anti")
     more = _verified(plain, tokens, pairs, kind)
 
     many = rest.where(F.col("size") > FEW)
@@ -191,26 +205,35 @@ def _sets(plain: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
     return plain.join(wanted, "id", "left_semi").mapInArrow(run, f"id {kind}, shingles binary")
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sign, text) of rows (id, text)."""
+    for batch in batches:
+        data, offsets = flat(batch.column(1))
+        sign = [signature(own) for i, j in chunks(offsets) for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sign, pa.int64()), batch.column(1)], ["id", "sign", "text"])
+
+
 def linked(a: np.ndarray, b: np.ndarray, both: int) -> bool:
     return BOTTOM * both >= TOP * (len(a) + len(b) - both)
 
 
 def _verified(plain: DataFrame, tokens: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are similar enough.
+    """Of the pairs (a, sign_a, b, sign_b) of texts, those whose sets are similar enough, as links (a, b) of their ids.
 
     Sizes, shared prefix shingles and parity maps come first, none of which can leave out a similar pair: sets of
     similarity 0.8 differ in a ninth of their sizes' sum at most. The texts of the rest meet, and their sets are counted.
     """
-    one = lambda s, *columns: tokens.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
-    met = pairs.join(one("a", "n", "bits", "match"), "a").join(one("b", "n", "bits", "match"), "b")
+    one = lambda s, *columns: tokens.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    met = pairs.join(one("a", "n", "bits", "match"), ["a", "sign_a"]).join(one("b", "n", "bits", "match"), ["b", "sign_b"])
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     alike = (F.size("bits_a") != F.size("bits_b")) | (differ * (TOP + BOTTOM) <= (F.col("n_a") + F.col("n_b")) * (BOTTOM - TOP))
     met = met.where((F.least("n_a", "n_b") * BOTTOM >= F.greatest("n_a", "n_b") * TOP) & alike)
-    met = materialise(met.select("a", "b", F.least("match_a", "match_b").alias("match")), "met")
-    met = met.join(one("a", "tokens"), "a").join(one("b", "tokens"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("match"))
-    allowed = materialise(met.select("a", "b"), "pairs")
+    met = materialise(met.select("a", "sign_a", "b", "sign_b", F.least("match_a", "match_b").alias("match")), "met")
+    met = met.join(one("a", "tokens"), ["a", "sign_a"]).join(one("b", "tokens"), ["b", "sign_b"]).where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("match"))
+    allowed = materialise(met.select("a", "sign_a", "b", "sign_b"), "pairs")
     wanted = materialise(allowed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")  # the planner knows its size, and broadcasts it or not
-    texts = materialise(plain.where("text is not null").join(wanted, "id", "left_semi"), "texts")
+    texts = plain.where("text is not null").join(wanted, "id", "left_semi")
+    texts = materialise(texts.mapInArrow(_signed, f"id {kind}, sign long, text string"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}
@@ -228,7 +251,8 @@ def _verified(plain: DataFrame, tokens: DataFrame, pairs: DataFrame, kind: str)
                 keep.append(linked(*sets, len(np.intersect1d(*sets, assume_unique=True))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    full = allowed.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    text = lambda s: texts.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("text").alias(f"text_{s}"))
+    full = allowed.join(text("b"), ["b", "sign_b"]).join(text("a"), ["a", "sign_a"])
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 

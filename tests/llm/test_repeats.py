@@ -161,6 +161,20 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert pairs(similarity_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_an_id_with_several_texts_links_by_each_of_them(spark):
+    rng = np.random.default_rng(11)
+    prose = lambda n: [f"p{rng.integers(0, 10**6)}" for _ in range(n)]
+    rows = [(90, None), (91, " ")]
+    for k in range(12):  # each odd id has a short and a long text, with a near copy of both under other ids
+        short, long = prose(30 + k), prose(300 + 9 * k)
+        rows += [(10 * k + 1001, " ".join(short)), (10 * k + 1001, " ".join(long)), (10 * k + 1001, "")]
+        for own, i in ((short, 10 * k + 1000), (long, 10 * k + 1002)):
+            own[0] = "changed"
+            rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert pairs(similarity_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_many_near_copies_that_share_a_rare_passage(spark):
     rng = np.random.default_rng(9)
     shared = [f"s{k}" for k in range(60)]
