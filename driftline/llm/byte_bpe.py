@@ -15,20 +15,22 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import held
 from .token_count import RankMerger
 
 #: The pattern of the vocabulary's pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longest unsplit text, in bytes, that is merged without halving.
 LEAF = 24
-#: Chunks that a worker keeps with their ids; the store is emptied when full.
-STORE = 350_000
+#: Chunks that a worker keeps, and the characters of the longest one that it keeps; the store is emptied when full.
+STORE, STORE_CHARS = 250_000, 100
 #: A space that isn't alone between two words.
 ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
 
@@ -170,50 +172,70 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def whole_characters(raw: bytes) -> bytes:
+    """Decoded bytes as the text that they stand for, in UTF-8: what isn't UTF-8 becomes U+FFFD."""
+    try:
+        raw.decode("utf-8")
+        return raw
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+
+
 class Encoder:
     """Ids of whole texts. Chunks that no merge can cross are encoded once and kept.
 
     The pattern never joins what a single space between two other characters parts, so a text with no other spaces is
-    looked up in chunks of that kind; any other text in the pattern's own pieces.
+    looked up in chunks of that kind; any other text in the pattern's own pieces. What is kept of a chunk is what
+    ``form`` makes of its ids; texts are put together from the forms of their chunks.
     """
 
-    def __init__(self, bpe: ByteBpe, missing: Callable[[list[str]], list[list[int]]]) -> None:
-        self.bpe, self.missing, self.store = bpe, missing, {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts: list[list[str]] = []
-        lack: set[str] = set()
-        for text in texts:
-            if not text:
-                found = []
-            elif ODD_SPACE.search(text):
-                found = self.bpe.pretokens(text)
-            else:
-                first, *rest = text.split(" ")
-                found = [first, *[" " + w for w in rest]]
-            parts.append(found)
-            lack.update(found)
+    def __init__(self, bpe: ByteBpe, missing: Callable[[list[str]], list[list[int]]], form: Callable[[list[int]], Any]) -> None:
+        self.bpe, self.missing, self.form, self.store = bpe, missing, form, {}
+
+    def chunks(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if ODD_SPACE.search(text):
+            return self.bpe.pretokens(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def encode(self, texts: list[str | None]) -> Iterator[list]:
+        """For each text the forms of its chunks."""
+        parts = [self.chunks(text) for text in texts]
+        lack = set().union(*parts)
         missing = [w for w in lack if w not in self.store]
         if len(self.store) + len(missing) > STORE:
             self.store.clear()
             missing = list(lack)
         for start in range(0, len(missing), 20_000):
             part = missing[start : start + 20_000]
-            self.store.update(zip(part, [np.array(ids, "<u4").tobytes() for ids in self.missing(part)]))
-        return [np.frombuffer(b"".join(map(self.store.__getitem__, found)), "<u4") for found in parts]
+            self.store.update(zip(part, map(self.form, self.missing(part))))
+        for found in parts:
+            yield list(map(self.store.__getitem__, found))
+        for w in missing:
+            if len(w) > STORE_CHARS:
+                del self.store[w]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder | LibraryEncoder] = {}
 #: White space that long makes the pattern's look-ahead slow in one of the libraries.
 LONG_RUN = re.compile(r"\s{200}")
 
 
-def tree_encoder(path: str) -> Encoder:
-    """An encoder by tree concatenation, one a worker."""
-    if (path, "tree") not in _ENCODERS:
+def tree_encoder(path: str, digests: bool = False) -> Encoder:
+    """An encoder by tree concatenation, one a worker. The form of a chunk is its ids as packed 32-bit numbers, or, for
+    ``digests``, their number, their decimals joined by commas, and the bytes that they decode to."""
+
+    def make() -> Encoder:
         bpe = ByteBpe(path)
-        _ENCODERS[path, "tree"] = Encoder(bpe, bpe.encode_missing)
-    return _ENCODERS[path, "tree"]
+        decimal = [str(i).encode() for i in range(len(bpe.bytes))]
+
+        def three(ids: list[int]) -> tuple[int, bytes, bytes]:
+            return len(ids), b",".join(map(decimal.__getitem__, ids)), b"".join(map(bpe.bytes.__getitem__, ids))
+
+        return Encoder(bpe, bpe.encode_missing, three if digests else lambda ids: np.array(ids, "<u4").tobytes())
+
+    return held(("tree", path, digests), make)
 
 
 class LibraryEncoder:
@@ -249,9 +271,7 @@ class LibraryEncoder:
 
 def library_encoder(path: str) -> LibraryEncoder:
     """An encoder by the libraries, one a worker."""
-    if (path, "library") not in _ENCODERS:
-        _ENCODERS[path, "library"] = LibraryEncoder(path)
-    return _ENCODERS[path, "library"]
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -270,7 +290,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tree_encoder(path)
         for part in text_batches(batches):
-            found = [ids.tolist() for ids in encoder.encode(part.column(1).to_pylist())]
+            found = [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in encoder.encode(part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), pa.array([encoder.bpe.decode(ids) for ids in found])], ["id", "ids", "decoded"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -283,15 +303,14 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tree_encoder(path)
-        decimal = [str(i).encode() for i in range(len(encoder.bpe.bytes))]
+        encoder = tree_encoder(path, digests=True)
         for part in text_batches(batches):
             n, a, b = [], [], []
-            for ids in encoder.encode(part.column(1).to_pylist()):
-                own = ids.tolist()
-                n.append(len(own))
-                a.append(hashlib.sha256(b",".join(map(decimal.__getitem__, own))).hexdigest())
-                b.append(hashlib.sha256(encoder.bpe.decode(own).encode()).hexdigest())
+            for parts in encoder.encode(part.column(1).to_pylist()):
+                counts, decimals, raw = zip(*parts) if parts else ((), (), ())
+                n.append(sum(counts))
+                a.append(hashlib.sha256(b",".join(decimals)).hexdigest())
+                b.append(hashlib.sha256(whole_characters(b"".join(raw))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import held
+
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens whose counts a worker keeps; the store is emptied when full.
-STORE = 600_000
+#: Words whose counts a worker keeps, and the characters of the longest one that it keeps; the store is emptied when full.
+STORE, STORE_CHARS = 600_000, 100
 #: Symbols merged at once.
 BATCH = 200_000
 
@@ -153,13 +155,8 @@ class PieceMerger(RankMerger):
         return out
 
 
-_MERGERS: dict[str, tuple[PieceMerger, dict[str, int]]] = {}
-
-
 def _merger(path: str) -> tuple[PieceMerger, dict[str, int]]:
-    if path not in _MERGERS:
-        _MERGERS[path] = PieceMerger(path), {}
-    return _MERGERS[path]
+    return held(("pieces", path), lambda: (PieceMerger(path), {}))
 
 
 def piece_counts(texts: list[str | None], path: str) -> list[int]:
@@ -191,6 +188,9 @@ def piece_counts(texts: list[str | None], path: str) -> list[int]:
         store.update(zip(part, np.diff(total[np.concatenate([[0], np.cumsum([len(f) for f in found])])]).tolist()))
     for i, words in plain:
         out[i] = sum(map(store.__getitem__, words))
+    for w in missing:
+        if len(w) > STORE_CHARS:
+            del store[w]
     at = 0
     for part in _batches(odd):
         for i, n in zip(owner[at : at + len(part)], merger.counts(part).tolist()):
