@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .byte_bpe import text_batches
 
 #: The fixed patterns, with the group and the least length that count (fixed values of the contract).
@@ -32,8 +33,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A part of such a string between separators, long enough to be judged by itself.
 PART = re.compile(r"[A-Za-z0-9+]{20,}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-#: Texts whose words train the models at most (those with the smallest hash of the id), and words of each text.
-SAMPLE_TEXTS, SAMPLE_WORDS = 2_000, 400
+#: Texts whose words train the models at most (those with the smallest hash of id and text); all words of these texts count.
+SAMPLE_TEXTS = 2_000
 #: Bits per character by which the random model must win.
 THRESHOLD = 1.0
 KINDS = ("assign", "access", "hex", "random")
@@ -58,11 +59,10 @@ def _counts(strings: list[str]) -> np.ndarray:
     n = len(SYMBOLS)
     code = np.full(256, n, np.int64)
     code[[ord(c) for c in SYMBOLS]] = np.arange(n)
-    out = np.zeros((n + 1, n + 1, n + 1))
-    for s in strings:
-        own = np.concatenate([[n, n], code[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]])
-        np.add.at(out, (own[:-2], own[1:-1], own[2:]), 1)
-    return out
+    raw = np.frombuffer("\0\0".join(["", *strings, ""]).encode("ascii", "replace"), np.uint8)  # no string holds "\0"
+    own, inside = code[raw], np.flatnonzero(raw)
+    cell = (own[inside - 2] * (n + 1) + own[inside - 1]) * (n + 1) + own[inside]
+    return np.bincount(cell, minlength=(n + 1) ** 3).reshape(n + 1, n + 1, n + 1).astype(np.float64)
 
 
 def _bits(count: np.ndarray) -> np.ndarray:
@@ -108,8 +108,12 @@ def ordinary(seed: int = 18, each: int = 2_000) -> list[str]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio in bits of each symbol after the two before it; a table of fixed size."""
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(9))
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), order.alias("o")).orderBy("o", "text").limit(SAMPLE_TEXTS).select("text")
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(9))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), h.alias("h"))
+    # a cut by hash leaves a few times as many hashes as asked for, whatever the table's size; of these the smallest stay
+    share = min(1.0, 4.0 * SAMPLE_TEXTS / max(1, texts.count()))
+    few = texts.select("h").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).distinct().orderBy("h").limit(SAMPLE_TEXTS)
+    sample = texts.join(materialise(few, "sampled"), "h").dropDuplicates(["h"]).select("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_batches(batches):
@@ -121,8 +125,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
                 for a, b, _ in spans:
                     rest.append(text[at:a])
                     at = max(at, b)
-                words = re.findall(r"[A-Za-z][A-Za-z0-9_]{3,}", " ".join([*rest, text[at:]]))[:SAMPLE_WORDS]
-                strings += [m[0][:128] for m in hits] + words
+                words = re.findall(r"[A-Za-z][A-Za-z0-9_]{3,}", " ".join([*rest, text[at:]]))
+                strings += [m[0] for m in hits] + words
                 secret += [True] * len(hits) + [False] * len(words)
             counts = [_counts([s for s, own in zip(strings, secret) if own is k]) for k in (True, False)]
             for k, c in zip((True, False), counts):
