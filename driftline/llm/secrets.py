@@ -131,7 +131,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
             counts = [_counts([s for s, own in zip(strings, secret) if own is k]) for k in (True, False)]
             for k, c in zip((True, False), counts):
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at), pa.array(c.ravel()[at])], ["secret", "cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.bool_()), pa.array(at, pa.int64()), pa.array(c.ravel()[at])], ["secret", "cell", "n"])
 
     total = {True: _counts(drawn()), False: _counts(ordinary())}
     counted = sample.mapInArrow(label, "secret boolean, cell long, n double").groupBy("secret", "cell").agg(F.sum("n").alias("n"))
