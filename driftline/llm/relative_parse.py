@@ -1,10 +1,12 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference is all text of documents with smaller ids, held as blocks: the distinct stretches around anchors, each
-with the smallest document that has it. Every document is factored greedily against all indexed blocks. A stretch that
-equals a block is one factor. Where a block under the same anchor only agrees in part, the index of the blocks' phrases
-(runs of the least length that counts) tells where factors begin and end; as each phrase that starts before a factor's
-end is looked up too, what crosses the boundary of two factors is found. Factors are at least that long by making.
+The reference is all text of documents with smaller ids, held as indexed blocks: the distinct stretches around anchors,
+each with the smallest document that has it. Blocks that share an anchor are in one group of bounded size, and in a
+group every block is parsed greedily against all blocks of smaller documents: from its first word on, the longest match
+in any of them is a factor, and the next factor starts behind it (a word that matches nowhere is passed over). Longest
+matches come from the suffix order of the group's words. Factors of the least length become duplicate spans. What starts
+in a factor and ends behind it is checked at the factor's end: there each place with a match of the least length is a
+span too. A document's windows each lie in one of its blocks, so its spans are those of its blocks.
 """
 
 from __future__ import annotations
@@ -18,133 +20,202 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .anchors import Rolling
-from .repeats import crowded, keyed, merged, shared_only, stretches
+from .repeats import NAME, compared, keyed, merged, named, spans
 from .text import Words, flat
 
 #: The least length of a factor, in words, and of the anchors by which blocks are indexed.
 WIDTH, ANCHOR = 50, 25
+#: Blocks under one anchor; the blocks of anchors with more are cut around longer anchors.
+HOT = 1_000
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct keys."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+class BlockIndex:
+    """Suffix order of the words of blocks, and lengths that any two suffixes share.
+
+    Behind each block stands an end mark that equals nothing else, so that no match leaves its block. Ranks by the first
+    1, 2, 4, ... words are kept, each from the one before.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        n = int((sizes + 1).sum())
+        marks = self.start + sizes
+        inside = np.ones(n, bool)
+        inside[marks] = False
+        rank = np.zeros(n, np.int64)
+        rank[inside] = _dense(words) + len(sizes)
+        rank[marks] = np.arange(len(sizes))
+        self.levels = [rank]
+        while 1 << (len(self.levels) - 1) <= sizes.max(initial=0):
+            reach = 1 << (len(self.levels) - 1)
+            behind = np.zeros(n, np.int64)
+            behind[: n - reach] = rank[reach:] + 1
+            rank = _dense(rank * (n + 2) + behind)
+            self.levels.append(rank)
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at ``a`` and ``b`` share."""
+        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            same = np.flatnonzero(self.levels[level][a] == self.levels[level][b])
+            a[same], b[same], out[same] = a[same] + (1 << level), b[same] + (1 << level), out[same] + (1 << level)
+        return out
+
+
+def nearest_smaller(rank: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it with a smaller rank, or -1. What lies between has no smaller rank than
+    the entry, so a pointer may follow the pointer of the entry it points to."""
+    ahead = np.arange(len(rank)) - 1
+    live = np.flatnonzero(ahead >= 0)
+    while len(live := live[rank[ahead[live]] >= rank[live]]):
+        ahead[live] = ahead[ahead[live]]
+        live = live[ahead[live] >= 0]
+    return ahead
+
+
+def longest_matches(words: np.ndarray, sizes: np.ndarray, source: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """For each place of each block the length of its longest match in a block of smaller ``source``.
+
+    ``again`` marks blocks that stand once more behind all others; the result goes on with their places.
+    """
+    index = BlockIndex(words, sizes)
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    place = index.start[block] + np.arange(len(block)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    second = np.flatnonzero(again[block])
+    where, owner = np.concatenate([place, place[second]]), np.concatenate([source[block], np.full(len(second), np.iinfo(np.int64).max)])
+    order = np.argsort(index.levels[-1][where], kind="stable")
+    best, ends = np.zeros(len(where), np.int64), index.start + sizes
+    for way in (order, order[::-1]):
+        near = nearest_smaller(owner[way])
+        has = np.flatnonzero(near >= 0)
+        at = way[has]
+        one, two = where[at], where[way[near[has]]]
+        long = ends[np.searchsorted(index.start, one, side="right") - 1] - one  # two copies of one place share all to the end
+        other = np.flatnonzero(one != two)
+        long[other] = index.shared(one[other], two[other])
+        best[at] = np.maximum(best[at], long)
+    return best
+
+
+def greedy_parse(match: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first, end) of the duplicate spans of blocks whose places have the longest matches ``match``.
+
+    All blocks are parsed side by side, a factor of each at a time. Factors of ``width`` or more are spans; so is, at
+    each factor's end, what starts before it, ends behind it and matches as long.
+    """
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    at, end = begin[:-1].copy(), begin[1:]
+    starts = []
+    live = np.flatnonzero(at < end)
+    while len(live):
+        starts.append(at[live])
+        at[live] += np.maximum(match[at[live]], 1)
+        live = live[at[live] < end[live]]
+    factor = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+    until = factor + np.maximum(match[factor], 1)
+    long = np.flatnonzero(match >= width)
+    own = np.searchsorted(factor, long, side="right") - 1
+    keep = (factor[own] == long) | (long + width > until[own])  # a factor itself, or what crosses its end
+    first = long[keep]
+    block = np.searchsorted(begin, first, side="right") - 1
+    return block, first - begin[block], first + match[first] - begin[block]
+
+
+def _factors(group: pa.Table, width: int) -> pa.Table:
+    """The duplicate spans of the blocks of a group, and of the second ones of their kinds."""
+    group = group.sort_by([("id", "ascending"), ("anchor", "ascending"), ("kind", "ascending")]).combine_chunks()
+    raw = group["bytes"].to_pylist()
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    sizes, more = np.diff(words.row), group["more"].to_numpy(zero_copy_only=False)
+    ids = group["id"].to_pylist()
+    source = np.cumsum([k > 0 and ids[k] != ids[k - 1] for k in range(len(ids))])
+    match = longest_matches(words.hashes, sizes, source, more)
+    second = np.flatnonzero(more)
+    block, first, end = greedy_parse(match, np.concatenate([sizes, sizes[second]]), width)
+    gap = block * (int(sizes.max(initial=0)) + 2)
+    first, end = merged(first + gap, end + gap)
+    block = first // (int(sizes.max(initial=0)) + 2)
+    gap = block * (int(sizes.max(initial=0)) + 2)
+    later = block >= len(sizes)
+    row = np.concatenate([np.arange(len(sizes)), second])[block]
+    own = group.select(["anchor", "kind"]).take(pa.array(row))
+    return pa.table([*own.columns, pa.array(later), pa.array((first - gap).astype(np.int32)), pa.array((end - first).astype(np.int32))], ["anchor", "kind", "later", "start", "units"])
 
 
 def relative_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, id, text, spans) of the documents with factors; spans are (first word, words, smallest source id).
+    """(key, twin, spans) of the documents with duplicate spans; spans are (first word, words), disjoint, in order. What
+    ``key`` and ``twin`` are says ``repeats.named``.
 
     Every window of ``width`` words that also starts in a document with a smaller id lies in a span, and nothing else
     does. Ids must be ordered; rows with a null id take no part. Texts of fewer words have no window. Rows of one id are
     one document: what only they share stays. Other columns aren't read; an empty table gives no rows.
     """
     texts = keyed(docs, id_col, text_col).where("id is not null")
-    size = min(ANCHOR, (width + 1) // 2)
-    table = materialise(stretches(texts, True, width, size), "stretches")
-    shared = table.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    table = shared_only(table, shared.select("anchor", "low"))
-    blocks = crowded(table.groupBy("anchor", "kind").agg(F.min("id").alias("source")))
-    placed = table.join(blocks, ["anchor", "kind"])
-    known = F.col("source") < F.col("id")
-    # a whole block of an earlier document is a factor; else the phrases of this stretch are looked up, or are looked up by others
-    placed = placed.where(known | (F.col("n_kinds") > 1)).where(known | (F.col("source") == F.col("id")))
-    part = F.struct("first", "windows", "source", F.when(~known, F.col("anchor")).alias("anchor"))
-    held = placed.select("key", part.alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
-    held = materialise(texts.join(held, "key"), "held")
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                parts = batch.column(3)[row].values
-                open_ = parts.field("anchor").is_valid().to_numpy(zero_copy_only=False)
-                if not open_.any():
-                    continue
-                parts = parts.filter(pa.array(open_))
-                data, offsets = flat(batch.column(2).slice(row, 1))
-                hashes = Rolling(Words(data, offsets).hashes).fixed(width).view(np.int64)
-                first, n = parts.field("first").to_numpy(), parts.field("windows").to_numpy()
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                own = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(len(at), np.int32))) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), pa.array(np.repeat(parts.field("anchor").to_numpy(), n)), pa.array(hashes[at])], ["key", "id", "first", "anchor", "phrase"])
-
-    looked = materialise(held.mapInArrow(phrases, f"key long, id {kind}, first int, anchor long, phrase long"), "phrases")
-    index = materialise(looked.groupBy("anchor", "phrase").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").drop("last"), "index")
-    found = looked.join(index, ["anchor", "phrase"]).where("source < id").select("key", F.struct("first", F.lit(1).alias("windows"), "source").alias("part"))
-    found = found.groupBy("key").agg(F.collect_set("part").alias("more"))
-    whole = F.transform(F.filter("parts", lambda p: p["anchor"].isNull()), lambda p: F.struct(p["first"].alias("first"), (p["windows"] + (width - 1)).alias("words"), p["source"].alias("source")))
-    single = F.transform(F.coalesce("more", F.array().cast(f"array<struct<first:int,windows:int,source:{kind}>>")), lambda p: F.struct(p["first"].alias("first"), (p["windows"] + (width - 1)).alias("words"), p["source"].alias("source")))
-    spans = held.join(found, "key", "left").select("key", "id", "text", F.concat(whole, single).alias("spans"))
-    return spans.where(F.size("spans") > 0)
-
-
-def greedy_parse(first: np.ndarray, words: np.ndarray, source: np.ndarray) -> list[tuple[int, int, int]]:
-    """Factors (first word, end, source) that cover the spans: from each place on the span that reaches furthest."""
-    order = np.lexsort((-words, first))
-    first, end, source = first[order], (first + words)[order], source[order]
-    out: list[tuple[int, int, int]] = []
-    k, at, n = 0, 0, len(first)
-    while k < n:
-        at = max(at, int(first[k]))
-        best = k
-        while k < n and first[k] <= at:
-            best = k if end[k] > end[best] else best
-            k += 1
-        if end[best] > at:
-            out.append((at, int(end[best]), source[best]))
-            at = int(end[best])
-    return out
-
-
-def _kept(text: pa.Array, spans: pa.Array) -> tuple[Words, np.ndarray]:
+    more = F.min("id") < F.max("id")
+    return spans(compared(texts, True, width, min(ANCHOR, (width + 1) // 2), HOT, more, ["id"], more, lambda t: _factors(t, width)))
+
+
+def _kept(text: pa.Array, spans: pa.Scalar) -> tuple[Words, np.ndarray]:
     """The words of one text and which of them no span covers."""
-    data, offsets = flat(text)
-    words = Words(data, offsets)
-    first = spans.field("first").to_numpy().astype(np.int64)
+    words = Words(*flat(text))
     keep = np.ones(len(words.starts), bool)
-    for a, b in zip(*merged(first, first + spans.field("words").to_numpy())):
-        keep[a:b] = False
+    if spans.is_valid:
+        first, units = (spans.values.field(c).to_numpy().tolist() for c in ("first", "units"))
+        for a, n in zip(first, units):
+            keep[a : a + n] = False
     return words, keep
 
 
 def factor_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row for each row of ``docs``: its id, ``n_words``, ``n_removed`` and ``kept_sha256`` (of the kept words joined
     by single spaces). A null or empty text has no words; a row with a null id keeps all its words."""
-    space = "[\\x20\\x09-\\x0D]+"
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, digest = [], []
+            n, removed, digest = [], [], []
             for row in range(batch.num_rows):
-                words, keep = _kept(batch.column(1).slice(row, 1), batch.column(2)[row].values)
+                words, keep = _kept(batch.column(1).slice(row, 1), batch.column(2)[row])
                 raw = words.data.tobytes()
                 kept = b" ".join(raw[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist()))
+                n.append(len(keep))
                 removed.append(int((~keep).sum()))
                 digest.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["key", "removed", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    found = relative_factors(docs, id_col, text_col, width).select("key", "text", "spans")
-    found = found.mapInArrow(run, "key long, removed long, digest string").groupBy("key").agg(F.max("removed").alias("removed"), F.max("digest").alias("digest"))
-    plain = F.regexp_replace(F.regexp_replace("text", space, " "), "\\A | \\z", "")
-    texts = keyed(docs, id_col, text_col).select("key", "id", F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"), F.sha2(plain.cast("binary"), 256).alias("whole"))
-    out = texts.join(materialise(found, "factored"), "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("digest", "whole").alias("kept_sha256"))
+    found = relative_factors(docs, id_col, text_col, width)
+    out = keyed(docs, id_col, text_col).join(found, NAME, "left").select("id", "text", "spans")
+    return out.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def remove_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with every factor's words cut from its texts, with the space behind them; all else stays as it is."""
+    """``docs`` with every span's words cut from its texts, with the space behind them; all else stays as it is."""
+    free = [c for c in (f"_{k}" for k in range(len(docs.columns) + 3)) if c not in docs.columns]
+    names, span_col = free[:2], free[2]
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                words, keep = _kept(batch.column(1).slice(row, 1), batch.column(2)[row].values)
+            text, spans = batch.column(place), batch.column(batch.num_columns - 1)
+            out = text.to_pylist()
+            for row in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                words, keep = _kept(text.slice(row, 1), spans[row])
                 raw = words.data.tobytes()
                 edges = np.concatenate([[0], words.starts[1:], [len(raw)]]) if len(keep) else np.zeros(1, np.int64)
-                out.append(b"".join(raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(keep).tolist()).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "cut"])
-
-    key_col = "_key"
-    while key_col in docs.columns:
-        key_col += "_"
-    cut_col = f"{key_col}cut"
-    found = relative_factors(docs, id_col, text_col, width).select("key", "text", "spans").mapInArrow(run, "key long, cut string")
-    found = materialise(found.groupBy(F.col("key").alias(key_col)).agg(F.max("cut").alias(cut_col)), "cut")
-    key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    own = [F.coalesce(cut_col, text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.withColumn(key_col, key).join(found, key_col, "left").select(*own)
+                out[row] = b"".join(raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(keep).tolist()).decode("utf-8")
+            columns = batch.columns[: len(docs_columns)]
+            columns[place] = pa.array(out, text.type)
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = list(docs.columns)
+    found = materialise(relative_factors(docs, id_col, text_col, width), "factors")
+    found = found.select(F.col("key").alias(names[0]), F.col("twin").alias(names[1]), F.col("spans").alias(span_col))
+    key, twin = named(id_col, text_col)
+    both = docs.withColumns({names[0]: key, names[1]: twin}).join(found, names, "left")
+    return both.select(*docs_columns, span_col).mapInArrow(run, docs.schema)

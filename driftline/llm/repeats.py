@@ -1,51 +1,88 @@
-"""Stretches of text that may stand elsewhere too: the common first part of the two substring operators.
-
-Each text is cut into the stretches of its anchored windows. Only anchors met twice can hold repeated windows, and equal
-stretches under one anchor repeat as a whole, so that what has to be compared window by window is one stretch of each
-kind under anchors with several kinds: a small part of the text, however large a group of copies is. All steps are
-aggregations and equi-joins of small rows by hash; joins stand on materialised tables, so that Spark can split hot keys.
+"""Stretches of text that may stand elsewhere too: the common first and last part of the two substring operators.
+
+Each text is cut into the stretches of its anchored windows. Only anchors met twice can hold repeated windows. Stretches
+that are equal under one anchor are of one kind, and one of each kind goes on to be compared, with a mark that tells
+whether there are more; so a large group of copies is compared once. Anchors with very many kinds are lengthened: their
+stretches are cut into shorter ones around longer anchors, again and again, until few kinds share one; the longest
+anchors are whole windows, which have one kind each. All steps are aggregations and equi-joins of small rows by hash;
+joins stand on materialised tables, so that Spark can split hot keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from .anchors import Rolling, anchored_windows
 from .text import BYTE_NOISE, Words, chunks, flat, mix
 
+#: What names a text: two independent hashes of its id and of itself.
+NAME = ["key", "twin"]
+#: Kinds in one group that is compared in a task.
+GROUP = 2_500
+#: Into how many parts the places of an anchor in its windows are cut when it is lengthened.
+PARTS = 4
+
+
+def named(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The two hashes of a row's id and text; a null text is empty."""
+    own = [F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))]
+    return F.xxhash64(*own), F.xxhash64(F.lit(1), *own)
+
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text): rows of one id and text have one key; a null text is empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    """(key, twin, id, text): rows of one id and text have one name; a null text is empty."""
+    key, twin = named(id_col, text_col)
+    return docs.select(key.alias("key"), twin.alias("twin"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 class Units:
     """The bytes or words of a run of texts: hashes, the text of each, and the place where each text starts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, words: bool) -> None:
+        self.data = data
+        self.words = Words(data, offsets) if words else None
         if words:
-            self.words = Words(data, offsets)
             self.hashes, self.doc, self.origin = self.words.hashes, self.words.doc, self.words.row
         else:
             self.hashes, self.doc, self.origin = BYTE_NOISE[data], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), offsets
 
+    def bytes(self, first: np.ndarray, units: np.ndarray) -> list[bytes]:
+        """The bytes of runs of units, from the first unit's to the last one's."""
+        a, b = (self.words.starts[first], self.words.ends[first + units - 1]) if self.words else (first, first + units)
+        raw = self.data.tobytes()
+        return [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+
+
+def _kind(rolling: Rolling, first: np.ndarray, windows: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    return mix(rolling.runs(first, first + windows + width - 1) + at.astype(np.uint64))
+
+
+STRETCH = "key long, twin long, {id}first int, windows int, at int, size int, anchor long, kind long"
+
+
+def _form(texts: DataFrame) -> str:
+    return STRETCH.format(id=f"id {texts.schema['id'].dataType.simpleString()}, " if "id" in texts.columns else "")
+
 
 def stretches(texts: DataFrame, words: bool, width: int, size: int) -> DataFrame:
-    """(key, id, first, windows, anchor, kind) of each stretch: its first window, how many, and two hashes.
+    """(key, twin, id, first, windows, at, size, anchor, kind) of each stretch of ``texts`` (key, twin, id, text; the id
+    may lack): its first window, how many, place and size of its anchor, and two hashes.
 
     ``anchor`` is the hash of the anchor; ``kind`` of the whole stretch and the anchor's place in it.
     """
+    form = _form(texts)
+    names = [x.split(" ")[0] for x in form.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(2))
+            data, offsets = flat(batch.column(batch.num_columns - 1))
             for i, j in chunks(offsets):
                 units = Units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 rolling = Rolling(units.hashes)
@@ -53,23 +90,118 @@ def stretches(texts: DataFrame, words: bool, width: int, size: int) -> DataFrame
                 anchor, first, last = anchored_windows(grams, units.doc, width, size)
                 if len(first):
                     doc = units.doc[first]
-                    own = batch.slice(i, j - i).select([0, 1]).take(pa.array(doc))
-                    kind = mix(rolling.runs(first, last + width) + (anchor - first).astype(np.uint64))
-                    found = [(first - units.origin[doc]).astype(np.int32), (last - first + 1).astype(np.int32), grams[anchor].view(np.int64), kind.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, found)], ["key", "id", "first", "windows", "anchor", "kind"])
+                    own = batch.slice(i, j - i).select(list(range(batch.num_columns - 1))).take(pa.array(doc))
+                    kind = _kind(rolling, first, last - first + 1, anchor - first, width)
+                    found = [(first - units.origin[doc]), last - first + 1, anchor - first, np.full(len(first), size)]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x.astype(np.int32)) for x in found], pa.array(grams[anchor].view(np.int64)), pa.array(kind.view(np.int64))], names)
 
-    return texts.mapInArrow(run, f"key long, id {texts.schema['id'].dataType.simpleString()}, first int, windows int, anchor long, kind long")
+    return texts.mapInArrow(run, form)
 
 
-def shared_only(table: DataFrame, shared: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose anchors ``shared`` names."""
-    return materialise(table.join(materialise(shared, "shared"), "anchor"), "candidates")
+def lengthened(texts: DataFrame, rows: DataFrame, words: bool, width: int) -> DataFrame:
+    """The stretches ``rows`` cut into shorter ones around longer anchors, as ``stretches`` gives them.
 
+    A window holds its anchor behind x of its other units, and all windows with x in one range share the units between
+    the furthest left and the nearest right ends: that run is their longer anchor. Like the anchor itself it depends on
+    the window alone.
+    """
+    form = _form(texts)
+    names = [x.split(" ")[0] for x in form.split(", ")]
+    held = rows.groupBy(*NAME).agg(F.collect_list(F.struct("first", "windows", "at", "size", "anchor")).alias("parts"))
 
-def crowded(kinds: DataFrame) -> DataFrame:
-    """``kinds`` (one row a kind) with ``n_kinds``, the number of kinds under its anchor."""
-    several = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"), "several")
-    return materialise(kinds.join(several, "anchor", "left").withColumn("n_kinds", F.coalesce("n_kinds", F.lit(1))), "kinds")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                units = Units(*flat(batch.column("text").slice(row, 1)), words)
+                rolling = Rolling(units.hashes)
+                parts = batch.column("parts")[row].values
+                first, windows, at, size = (parts.field(c).to_numpy().astype(np.int64) for c in ("first", "windows", "at", "size"))
+                old = parts.field("anchor").to_numpy().view(np.uint64)
+                place, slack = first + at, width - size
+                step = -(-(slack + 1) // PARTS)
+                for part in range(PARTS):
+                    low = np.maximum(part * step, place - first - windows + 1)
+                    high = np.minimum(np.minimum(part * step + step - 1, slack), place - first)
+                    own = np.flatnonzero(low <= high)
+                    if not len(own):
+                        continue
+                    left, begin, count = part * step[own], place[own] - high[own], high[own] - low[own] + 1
+                    long = size[own] + left + np.maximum(0, slack[own] - left - step[own] + 1)
+                    start = place[own] - left
+                    anchor = mix(rolling.runs(start, start + long) + old[own] + np.uint64(part))
+                    kind = _kind(rolling, begin, count, start - begin, width)
+                    who = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(len(own), np.int32))) for c in names[: len(names) - 6]]
+                    found = [pa.array(x.astype(np.int32)) for x in (begin, count, start - begin, long)]
+                    yield pa.RecordBatch.from_arrays([*who, *found, pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64))], names)
+
+    return texts.join(held, NAME).mapInArrow(run, form)
+
+
+def compared(
+    texts: DataFrame, words: bool, width: int, size: int, hot: int, shared: Column, order: list[str], more: Column,
+    compare: Callable[[pa.Table], pa.Table],
+) -> DataFrame:
+    """(key, twin, first, units) of the runs of units that ``compare`` finds in each stretch.
+
+    Of each kind the first stretch by ``order`` is compared, in a group with all kinds of its anchor. ``compare`` gets
+    (anchor, kind, more, the columns of ``order``, bytes) and gives (anchor, kind, later, first, units): the runs in the
+    first stretch of a kind, and in its later ones. ``shared`` (an aggregate over an anchor) tells whether an anchor
+    counts, ``more`` (an aggregate over a kind) whether a kind has later stretches.
+    """
+    table = materialise(stretches(texts, words, width, size), "stretches")
+    place = [*order, *[c for c in (*NAME, "first", "windows") if c not in order]]
+    rows, firsts, level = None, None, 0
+    while True:
+        met = materialise(table.groupBy("anchor").agg(shared.alias("shared")).where("shared").select("anchor"), "shared")
+        own = materialise(table.join(met, "anchor"), "candidates")
+        release(table, met)
+        kinds = own.groupBy("anchor", "kind").agg(F.min(F.struct(*place)).alias("one"), more.alias("more"))
+        kinds = materialise(kinds.select("anchor", "kind", "more", "one.*"), "kinds")
+        crowded = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "crowded")
+        if crowded.isEmpty():
+            rows, firsts = (own, kinds) if rows is None else (rows.unionByName(own), firsts.unionByName(kinds))
+            break
+        table = materialise(lengthened(texts, own.join(crowded, "anchor", "left_semi"), words, width), "stretches")
+        own, kinds = own.join(crowded, "anchor", "left_anti"), kinds.join(crowded, "anchor", "left_anti")
+        rows, firsts = (own, kinds) if rows is None else (rows.unionByName(own), firsts.unionByName(kinds))
+
+    names = ["anchor", "kind", "more", *place]
+    held = firsts.groupBy(*NAME).agg(F.collect_list(F.struct(*[c for c in names if c not in NAME])).alias("parts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                parts = batch.column("parts")[row].values
+                units = Units(*flat(batch.column("text").slice(row, 1)), words)
+                first, windows = (parts.field(c).to_numpy().astype(np.int64) for c in ("first", "windows"))
+                who = {c: batch.column(c).slice(row, 1).take(pa.array(np.zeros(len(first), np.int32))) for c in NAME}
+                own = [who[c] if c in who else parts.field(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(units.bytes(first, windows + width - 1), pa.binary())], [*names, "bytes"])
+
+    form = ", ".join(f"{c} {firsts.schema[c].dataType.simpleString()}" for c in names)
+    groups = max(1, math.ceil(firsts.count() / GROUP))
+    texts_of = texts.select(*NAME, "text").join(held, NAME).mapInArrow(cut, f"{form}, bytes binary")
+    dealt = texts_of.withColumn("bucket", F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(groups)))
+    found = dealt.groupBy("bucket").applyInArrow(lambda t: compare(t.drop_columns(["bucket"])), "anchor long, kind long, later boolean, start int, units int")
+    found = found.join(firsts.select("anchor", "kind", *[F.col(c).alias(f"one_{c}") for c in order]), ["anchor", "kind"])
+    found = materialise(found, "found")
+    is_first = F.lit(True)
+    for c in order:
+        is_first = is_first & (F.col(c) == F.col(f"one_{c}"))
+    hit = rows.join(found, ["anchor", "kind"]).where(F.col("later") != is_first)
+    return hit.select(*NAME, (F.col("first") + F.col("start")).alias("first"), "units")
+
+
+def spans(runs: DataFrame) -> DataFrame:
+    """(key, twin, spans) of ``runs`` (key, twin, first, units): for each text the union of its runs as (first, units),
+    disjoint, not touching, in order."""
+    w = Window.partitionBy(*NAME).orderBy("first")
+    reach = F.max(F.col("first") + F.col("units")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.withColumn("fresh", F.when(reach >= F.col("first"), 0).otherwise(1))
+    run = fresh.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    union = run.groupBy(*NAME, "run").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("units")).alias("end"))
+    span = F.struct("first", (F.col("end") - F.col("first")).cast("int").alias("units"))
+    return union.groupBy(*NAME).agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

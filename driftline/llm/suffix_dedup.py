@@ -1,17 +1,16 @@
 """Substring dedup by longest-previous-factor arrays over suffix order.
 
-A byte string of the least length counts as repeated where it also starts elsewhere, in any text. Equal stretches repeat
-as a whole. Different stretches under one anchor are gathered in groups of bounded size; there the suffixes that start a
-window are put in suffix order, and from the previous and next smaller positions in that order comes the length of the
-longest factor that stands earlier too (and, with positions turned round, later). Copies behind the first are so found;
-for results without any copy, the first is removed as well. An anchor with very many kinds of stretches goes by
-aggregation of its windows' hashes instead, with the same result.
+A byte string of the least length counts as repeated where it also starts elsewhere, in any text. Stretches of text that
+share an anchor are gathered in groups of bounded size, one stretch of each kind and a second where there are more.
+There the suffixes that start a window are put in suffix order, and from the previous and next smaller positions in that
+order comes the length of the longest factor that stands earlier too (and, with positions turned round, later). Copies
+behind the first are so found; for results without any copy, the first is removed as well. Hashes only bring together
+what is compared, and carry what is found in the stretches of a group to their equals.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .anchors import Rolling
-from .repeats import crowded, keyed, merged, shared_only, stretches
-from .text import BYTE_NOISE, flat
+from .repeats import NAME, compared, keyed, spans
+from .text import flat
 
 #: The least length of a repeated string, in bytes, and of the anchors.
 WIDTH, ANCHOR = 200, 50
-#: Stretches in one group of suffixes; anchors with more kinds than HOT are aggregated by window.
-GROUP, HOT = 2_500, 1_000
+#: Kinds of stretches under one anchor; the stretches of anchors with more are cut around longer anchors.
+HOT = 1_000
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -78,10 +75,14 @@ def has_previous_factor(order: np.ndarray, place: np.ndarray, agree: np.ndarray)
     return found
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, width: int, keep_first: bool) -> np.ndarray:
-    """For each window start: whether its string also starts at an earlier (or, unless the first is kept, later) one."""
+def repeated_windows(data: np.ndarray, starts: np.ndarray, width: int, keep_first: bool, again: np.ndarray | None = None) -> np.ndarray:
+    """For each window start: whether its string also starts at an earlier (or, unless the first is kept, later) one.
+
+    ``again`` lists starts whose windows stand once more behind all others; the result goes on with these.
+    """
     rank = suffix_ranks(data, starts, width)
-    place = np.arange(len(starts))
+    rank = rank if again is None else np.concatenate([rank, rank[again]])
+    place = np.arange(len(rank))
     order = np.argsort(rank, kind="stable")
     ranked = rank[order]
     agree = np.concatenate([[False], ranked[1:] == ranked[:-1]])
@@ -89,103 +90,62 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, width: int, keep_firs
     return found if keep_first else found | has_previous_factor(order, -place, agree)
 
 
+def _repeats(group: pa.Table, width: int, keep_first: bool) -> pa.Table:
+    """The repeated runs in the stretches of a group, and in the second ones of their kinds."""
+    group = group.sort_by([(c, "ascending") for c in (*NAME, "first")]).combine_chunks()
+    n = group["windows"].to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(group["bytes"].to_pylist()), np.uint8)
+    base = np.concatenate([[0], np.cumsum(n + width - 1)[:-1]])
+    row = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    more = group["more"].to_numpy(zero_copy_only=False)
+    again = np.flatnonzero(more[row])
+    hit = np.flatnonzero(repeated_windows(data, base[row] + inner, width, keep_first, again))
+    later = np.concatenate([np.zeros(len(row), bool), np.ones(len(again), bool)])
+    row, inner = np.concatenate([row, row[again]]), np.concatenate([inner, inner[again]])
+    fresh = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(row[hit], prepend=-1) != 0) | np.diff(later[hit], prepend=False))
+    lead, length = hit[fresh], np.diff(np.concatenate([fresh, [len(hit)]]))
+    own = group.select(["anchor", "kind"]).take(pa.array(row[lead]))
+    return pa.table([*own.columns, pa.array(later[lead]), pa.array(inner[lead].astype(np.int32)), pa.array((length + width - 1).astype(np.int32))], ["anchor", "kind", "later", "start", "units"])
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    texts = keyed(docs, id_col, text_col)
+    more = F.count("*") > 1
+    runs = compared(texts.drop("id"), False, width, min(ANCHOR, (width + 1) // 2), HOT, more, [*NAME, "first"], more, lambda t: _repeats(t, width, keep_first))
+    return texts, spans(runs)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_first: bool = False) -> DataFrame:
-    """(key, text, spans) of the texts with repeated strings; spans are (first byte, bytes), possibly overlapping.
+    """(key, text, spans) of the texts with repeated strings; spans are (first byte, bytes), disjoint, in order.
 
     Every string of ``width`` UTF-8 bytes that also starts anywhere else in the table, the same text included, lies in a
     span, and nothing else does; with ``keep_first`` the first copy, in the order of the rows' keys, is left out. Rows
     of one id and one text count as copies of each other. Null texts are empty; an empty table gives no rows.
     """
-    texts = keyed(docs, id_col, text_col)
-    size = min(ANCHOR, (width + 1) // 2)
-    table = materialise(stretches(texts.withColumn("id", F.lit(None).cast("int")), False, width, size).drop("id"), "stretches")
-    table = shared_only(table, table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    kinds = crowded(table.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")))
-    placed = table.join(kinds, ["anchor", "kind"])
-    is_one = (F.col("one.key") == F.col("key")) & (F.col("one.first") == F.col("first"))
-    whole = (F.col("n") > 1) & ~is_one if keep_first else F.col("n") > 1
-    judged = (F.col("n_kinds") > 1) & is_one
-    part = F.struct("first", "windows", whole.alias("whole"), F.when(judged, F.col("anchor")).alias("anchor"), (F.col("n_kinds") > HOT).alias("hot"))
-    held = placed.where(whole | judged).select("key", part.alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
-    held = materialise(texts.drop("id").join(held, "key"), "held")
-
-    def judged_parts(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
-        for row in range(batch.num_rows):
-            parts = batch.column(2)[row].values
-            open_ = parts.field("anchor").is_valid().to_numpy(zero_copy_only=False) & (parts.field("hot").to_numpy(zero_copy_only=False) == hot)
-            if open_.any():
-                yield row, flat(batch.column(1).slice(row, 1))[0], parts.filter(pa.array(open_))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, parts in judged_parts(batch, False):
-                first, n = parts.field("first").to_numpy(), parts.field("windows").to_numpy()
-                raw = data.tobytes()
-                own = batch.column(0).slice(row, 1).take(pa.array(np.zeros(len(first), np.int32)))
-                yield pa.RecordBatch.from_arrays([own, parts.field("first"), parts.field("windows"), parts.field("anchor"), pa.array([raw[a : a + k + width - 1] for a, k in zip(first.tolist(), n.tolist())], pa.binary())], ["key", "first", "windows", "anchor", "bytes"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("key", "ascending"), ("first", "ascending")]).combine_chunks()
-        n = group["windows"].to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(group["bytes"].to_pylist()), np.uint8)
-        base = np.concatenate([[0], np.cumsum(n + width - 1)[:-1]])
-        row = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        hit = np.flatnonzero(repeated_windows(data, base[row] + inner, width, keep_first))
-        fresh = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])])) if len(hit) else hit
-        lead = hit[fresh]
-        length = np.diff(np.concatenate([fresh, [len(hit)]]))
-        first = group["first"].to_numpy()[row[lead]] + inner[lead]
-        return pa.table({"key": group["key"].take(pa.array(row[lead])), "first": pa.array(first.astype(np.int32)), "windows": pa.array(length.astype(np.int32))})
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, parts in judged_parts(batch, True):
-                rolling = Rolling(BYTE_NOISE[data])
-                first, n = parts.field("first").to_numpy().astype(np.int64), parts.field("windows").to_numpy()
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                own = batch.column(0).slice(row, 1).take(pa.array(np.zeros(len(at), np.int32)))
-                yield pa.RecordBatch.from_arrays([own, pa.array(at.astype(np.int32)), pa.array(np.repeat(parts.field("anchor").to_numpy(), n)), pa.array(rolling.runs(at, at + width).view(np.int64))], ["key", "first", "anchor", "phrase"])
-
-    groups = max(1, math.ceil(kinds.where("n_kinds > 1").count() / GROUP))
-    bucket = F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(groups)).alias("bucket")
-    cold = held.mapInArrow(cut, "key long, first int, windows int, anchor long, bytes binary").select("key", "first", "windows", "bytes", bucket)
-    more = cold.groupBy("bucket").applyInArrow(lambda t: compare(t.select(["key", "first", "windows", "bytes"])), "key long, first int, windows int")
-    if not kinds.where(F.col("n_kinds") > HOT).isEmpty():
-        looked = materialise(held.mapInArrow(hashed, "key long, first int, anchor long, phrase long"), "windows")
-        index = looked.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")).where("n > 1")
-        found = looked.join(materialise(index, "index"), ["anchor", "phrase"])
-        if keep_first:
-            found = found.where(~is_one)
-        more = more.unionAll(found.select("key", "first", F.lit(1).alias("windows")))
-    more = more.groupBy("key").agg(F.collect_set(F.struct("first", "windows")).alias("more"))
-    span = lambda p: F.struct(p["first"].alias("first"), (p["windows"] + (width - 1)).alias("bytes"))
-    single = F.transform(F.coalesce("more", F.array().cast("array<struct<first:int,windows:int>>")), span)
-    spans = held.join(materialise(more, "more"), "key", "left").select("key", "text", F.concat(F.transform(F.filter("parts", lambda p: p["whole"]), span), single).alias("spans"))
-    return spans.where(F.size("spans") > 0)
+    texts, found = _spans(docs, id_col, text_col, width, keep_first)
+    span = lambda p: F.struct(p["first"].alias("first"), p["units"].alias("bytes"))
+    return texts.join(found, NAME).select("key", "text", F.transform("spans", span).alias("spans"))
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_first: bool = False) -> DataFrame:
     """One row for each row of ``docs``: its id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
     ``kept_sha256`` (of the bytes that are left, joined). A null or empty text has no bytes; null ids stay null."""
+    texts, found = _spans(docs, id_col, text_col, width, keep_first)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, runs, digest = [], [], []
+            n, removed, runs, digest = [], [], [], []
             for row in range(batch.num_rows):
-                raw = flat(batch.column(1).slice(row, 1))[0].tobytes()
-                spans = batch.column(2)[row].values
-                first = spans.field("first").to_numpy().astype(np.int64)
-                starts, ends = merged(first, first + spans.field("bytes").to_numpy())
-                edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(raw)]
-                removed.append(int((ends - starts).sum()))
-                runs.append(len(starts))
+                raw, own = flat(batch.column(1).slice(row, 1))[0].tobytes(), batch.column(2)[row]
+                first, units = ((own.values.field(c).to_numpy().astype(np.int64) for c in ("first", "units")) if own.is_valid else (np.zeros(0, np.int64),) * 2)
+                edges = [0, *np.stack([first, first + units], 1).ravel().tolist(), len(raw)]
+                n.append(len(raw))
+                removed.append(int(units.sum()))
+                runs.append(len(first))
                 digest.append(hashlib.sha256(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["key", "removed", "runs", "digest"])
-
-    found = repeated_spans(docs, id_col, text_col, width, keep_first).mapInArrow(run, "key long, removed long, runs long, digest string")
-    found = materialise(found.groupBy("key").agg(F.max("removed").alias("removed"), F.max("runs").alias("runs"), F.max("digest").alias("digest")), "removed")
-    texts = keyed(docs, id_col, text_col).select("key", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    out = texts.join(found, "key", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", zero("removed").alias("n_removed"), zero("runs").alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, runs)], pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = texts.join(found, NAME, "left").select("id", "text", "spans")
+    return out.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

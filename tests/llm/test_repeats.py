@@ -12,7 +12,7 @@ from driftline.llm import suffix_dedup
 from driftline.llm.anchors import Rolling, anchored_windows
 from driftline.llm.components import connected_components
 from driftline.llm.jaccard import similarity_components
-from driftline.llm.relative_parse import factor_digests, greedy_parse, remove_factors
+from driftline.llm.relative_parse import factor_digests, greedy_parse, longest_matches, remove_factors
 from driftline.llm.repeats import merged
 from driftline.llm.suffix_dedup import repeat_digests, repeated_windows, suffix_ranks
 
@@ -105,7 +105,9 @@ def brute_factors(rows, width=50):
     return out
 
 
-def test_words_of_smaller_documents_go(odd):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_words_of_smaller_documents_go(odd, monkeypatch, hot):
+    monkeypatch.setattr("driftline.llm.relative_parse.HOT", hot)
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     want = [(i, len(w), len(w) - sum(keep), hashlib.sha256(" ".join(x for x, k in zip(w, keep) if k).encode()).hexdigest()) for i, w, keep in brute_factors(rows)]
     assert pairs(factor_digests(odd), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
@@ -118,12 +120,55 @@ def test_cut_texts_keep_what_is_left(odd):
     assert sorted(((i, words_of(t)) for i, t in out.select("doc_id", "text").collect()), key=repr) == want
 
 
-def test_greedy_parse_covers_the_spans():
-    factors = greedy_parse(np.array([0, 10, 10, 200]), np.array([50, 50, 80, 60]), np.array([1, 2, 3, 4]))
-    assert factors == [(0, 50, 1), (50, 90, 3), (200, 260, 4)]
+def brute_match(blocks, source, k, p):
+    best = 0
+    for j, other in enumerate(blocks):
+        if source[j] < source[k]:
+            for q in range(len(other)):
+                n = 0
+                while p + n < len(blocks[k]) and q + n < len(other) and blocks[k][p + n] == other[q + n]:
+                    n += 1
+                best = max(best, n)
+    return best
+
+
+def test_longest_matches_in_blocks_of_smaller_documents():
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, 3, rng.integers(1, 30)).tolist() for _ in range(25)]
+    blocks[7] = blocks[3][:]
+    source = np.sort(rng.integers(0, 9, 25))
+    again = rng.random(25) < 0.3
+    sizes = np.array([len(b) for b in blocks])
+    found = longest_matches(np.concatenate(blocks).astype(np.uint64), sizes, source, again)
+    want = [brute_match(blocks, source, k, p) for k in range(25) for p in range(sizes[k])]
+    # the second copy of a block stands behind all others and so matches the first one in full
+    assert found.tolist() == want + [int(sizes[k]) - p for k in range(25) if again[k] for p in range(sizes[k])]
+
+
+def test_greedy_parse_finds_all_duplicate_windows():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 60, 40)
+    match = np.concatenate([np.minimum(rng.integers(0, 25, n), np.arange(n, 0, -1)) for n in sizes])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    for k in range(1, len(match)):  # a match goes on one word further
+        if k not in begin:
+            match[k] = max(match[k], match[k - 1] - 1)
+    gone = {(b, a) for b, first, end in zip(*greedy_parse(match, sizes, 10)) for a in range(first, end)}
+    assert gone == {(k, a) for k in range(40) for p in range(sizes[k]) if match[begin[k] + p] >= 10 for a in range(p, p + match[begin[k] + p])}
+    block, first, end = greedy_parse(np.array([12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1]), np.array([12]), 10)
+    assert list(zip(block, first, end)) == [(0, 0, 12)]  # one factor, nothing crosses its end
     assert [x.tolist() for x in merged(np.array([5, 0, 20]), np.array([9, 6, 25]))] == [[0, 20], [9, 25]]
 
 
+def test_the_parse_is_what_finds_duplicates(odd, monkeypatch):
+    import pyarrow as pa
+    from driftline.llm import relative_parse
+
+    form = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()), ("later", pa.bool_()), ("start", pa.int32()), ("units", pa.int32())])
+    monkeypatch.setattr(relative_parse, "_factors", lambda group, width: form.empty_table())
+    assert factor_digests(odd).where("n_removed > 0").count() == 0
+
+
 def brute_components(rows):
     def shingles(t):
         w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
