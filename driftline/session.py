@@ -31,11 +31,13 @@ def local_session(app: str = "driftline", cores: str = "*", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made, one for each application.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests on
+    one machine) a temporary folder is made, one for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = spark.sparkContext.applicationId
         if name not in _OWN:
             _OWN[name] = tempfile.mkdtemp(prefix="driftline-")
@@ -61,4 +63,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that no later plan reads: whatever was made from them is written too."""
+    for table in tables:
+        _remove(table.sparkSession, table._folder)
