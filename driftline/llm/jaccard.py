@@ -7,8 +7,11 @@ smaller of its two l before it is verified.
 
 Equal sets are one class from the start, and only links between classes are sought. Every shared prefix shingle first
 pairs its documents with its smallest document only (as many pairs as rows). What remains are shingles whose documents
-are in different components: there all pairs across components are compared, directly where few documents share the
-shingle, else in blocks that are verified where they meet, so that no pairs are listed.
+are in different components. Where few documents share one, they are paired directly. Documents of shingles that many
+share are never paired with each other: of these, the shingles that many of them hold make a document's common part, and
+two documents either share one of their other shingles, which few hold, or all that they share is in their common parts.
+Then sizes and common parts decide, so each different common part stands for all of its documents, by its smallest one,
+and only different common parts are compared, by the same prefixes.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -34,10 +37,14 @@ CELLS, SLICES = 1 << 20, 64
 MOST = 6
 #: Bits of a set's parity map, and of that of a set of more than MANY shingles.
 BITS, MANY, MORE_BITS = 1 << 10, 1 << 11, 1 << 14
-#: Documents of one shared shingle that are paired directly; beyond it they are compared in blocks of about BLOCK.
+#: Documents of one shared shingle that are paired directly; beyond it their common parts are, in blocks of about BLOCK.
 FEW, BLOCK = 24, 128
 
 
+#: Seed of the second signature.
+TWIN = 0x5DEECE66D
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than WORDS words are one shingle."""
     words = Words(lower_ascii(data), offsets)
@@ -87,9 +94,10 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def signature(shingles: np.ndarray) -> int:
-    """64 bits of a set and its size: equal sets are one class."""
-    return int(mix(np.array([shingles.sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def signature(shingles: np.ndarray, seed: int = 0) -> int:
+    """64 bits of a set and its size; two of them, by different seeds, and the size tell classes of equal sets apart."""
+    own = mix(shingles ^ np.uint64(seed)) if seed else shingles
+    return int(mix(np.array([own.sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
 def prefix_of(shingles: np.ndarray, sketch: np.ndarray, floor: float) -> tuple[int, np.ndarray]:
@@ -129,27 +137,28 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            n, sign, match, prefix, bits = [], [], [], [], []
+            n, sign, twin, match, prefix, bits = [], [], [], [], [], []
             for i, j in chunks(offsets):
                 for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     m, p = prefix_of(own, shared.value, floor) if len(own) else (0, own)
                     n.append(len(own))
                     sign.append(signature(own))
+                    twin.append(signature(own, TWIN))
                     match.append(m)
                     prefix.append(p.view(np.int64))
                     bits.append(parity_map(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), pa.array(match, pa.int32()), *[pa.array(c, pa.list_(pa.int64())) for c in (prefix, bits)]], ["id", "n", "sign", "match", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), pa.array(twin, pa.int64()), pa.array(match, pa.int32()), *[pa.array(c, pa.list_(pa.int64())) for c in (prefix, bits)]], ["id", "n", "sign", "twin", "match", "prefix", "bits"])
 
-    table = materialise(plain.mapInArrow(prefixes, f"id {kind}, n long, sign long, match int, prefix array<long>, bits array<long>"), "prefixes")
-    first = table.where("n > 0 and id is not null").groupBy("sign", "n").agg(F.min("id").alias("first_id"))
+    table = materialise(plain.mapInArrow(prefixes, f"id {kind}, n long, sign long, twin long, match int, prefix array<long>, bits array<long>"), "prefixes")
+    first = table.where("n > 0 and id is not null").groupBy("sign", "twin", "n").agg(F.min("id").alias("first_id"))
     # an id with several texts joins the classes of all of them
     several = table.where("id is not null").select("id", "sign", "n").groupBy("id").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("id")
-    several = materialise(table.select("id", "sign", "n").join(several, "id", "left_semi").distinct(), "several")
-    own_links = several.join(first, ["sign", "n"]).where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+    several = materialise(table.select("id", "sign", "twin", "n").join(several, "id", "left_semi").distinct(), "several")
+    own_links = several.join(first, ["sign", "twin", "n"]).where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
     component = materialise(connected_components(_links(plain, table, kind).unionAll(own_links)), "components")
     classes = first.join(component.select(F.col("node").alias("first_id"), "component"), "first_id", "left")
     empty = several.where("n = 0").join(component, F.col("id") == F.col("node")).select("id", "n", F.col("component").alias("of_id"))
-    out = table.select("id", "n", "sign").join(classes, ["sign", "n"], "left").join(empty, ["id", "n"], "left")
+    out = table.select("id", "n", "sign", "twin").join(classes, ["sign", "twin", "n"], "left").join(empty, ["id", "n"], "left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("component", "first_id", "of_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
 
@@ -179,30 +188,133 @@ def _links(plain: DataFrame, table: DataFrame, kind: str) -> DataFrame:
     pairs = left.join(right, "token").where("a < b and ca <> cb").select(*pair).distinct().join(star, pair, "left_anti")
     more = _verified(plain, tokens, pairs, kind)
 
-    many = rest.where(F.col("size") > FEW)
-    group = connected_components(many.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    member = many.select("id", "component").distinct().join(group.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
-    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = materialise(member, "members")
-    blocks = member.join(_sets(plain, member.select("id"), kind), "id")
-    blocks = blocks.select("group", "id", "component", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "shingles")
-    inner = blocks.groupBy("group", "x", "y").applyInPandas(_block_links, f"a {kind}, b {kind}")
-    return links.unionAll(more).unionAll(inner)
+    many = materialise(rest.where(F.col("size") > FEW).select("id", "sign", "n", "component").distinct(), "members")
+    if many.isEmpty():
+        return links.unionAll(more)
+    shared = _shared_shingles(plain, many, kind)
+    rare = shared.where(F.col("size") <= FEW)
+    common = shared.where(F.col("size") > FEW).groupBy("id", "sign", "n", "component")
+    common = common.agg(F.count("*").alias("h"), F.bit_xor(F.xxhash64("token")).alias("x"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("y"))
+    common = materialise(many.join(common, ["id", "sign", "n", "component"], "left").na.fill(0, ["h", "x", "y"]), "common")
+
+    left, right = (rare.select("token", F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    close = (F.least("n_a", "n_b") * BOTTOM >= F.greatest("n_a", "n_b") * TOP) & (F.col("ca") != F.col("cb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & close).groupBy(*pair, "n_a", "n_b").agg(F.count("*").alias("rare"))
+    for s in "ab":
+        pairs = pairs.join(common.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("h").alias(f"h_{s}")), [s, f"sign_{s}"])
+    pairs = pairs.where(enough(F.col("rare") + F.least("h_a", "h_b"), F.col("n_a") + F.col("n_b"))).select(*pair)
+    more = more.unionAll(_verified(plain, tokens, pairs, kind))
+    return links.unionAll(more).unionAll(_common_links(shared, common))
+
+
+def enough(both: Column, sizes: Column) -> Column:
+    """Whether sets that share ``both`` shingles, of ``sizes`` together, are similar enough."""
+    return both * (TOP + BOTTOM) >= sizes * TOP
+
 
+def _shared_shingles(plain: DataFrame, member: DataFrame, kind: str) -> DataFrame:
+    """(token, id, sign, n, component, size) of all shingles of the members' whole sets that two or more hold."""
+    sets = materialise(_sets(plain, member.select("id", "sign"), kind).join(member, ["id", "sign"]), "sets")
+    own = sets.select("id", "sign", "n", "component", F.explode("shingles").alias("token"))
+    size = own.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    return materialise(own.join(materialise(size, "sizes"), "token"), "shared")
 
-def _sets(plain: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
-    """(id, shingles) of the named documents, hashed again from their texts."""
+
+def _common_links(shared: DataFrame, common: DataFrame) -> DataFrame:
+    """Links (a, b) of documents that are similar by their common parts alone, enough of them to join every component.
+
+    Two documents with one common part of h shingles are then similar if their sizes sum up to 9 h / 4 at most, so every
+    such pair is also similar to the smallest document of the part, its pivot. Likewise, if documents of two parts are
+    similar, both are similar to the pivot of the other part, or to one that the pivots join.
+    """
+    part = ["h", "x", "y"]
+    common = common.where("h > 0")
+    pivot = common.groupBy(*part).agg(F.min(F.struct("n", "id", "sign")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
+    pivot = materialise(pivot.select(*part, "low", "high", F.col("p.n").alias("n"), F.col("p.id").alias("id"), F.col("p.sign").alias("sign")), "pivots")
+    named = pivot.select(*part, F.col("n").alias("pn"), F.col("id").alias("a"), F.col("sign").alias("sign_a"))
+    inner = common.join(named, part).where(enough(F.col("h"), F.col("n") + F.col("pn")) & ~((F.col("id") == F.col("a")) & (F.col("sign") == F.col("sign_a"))))
+    inner = inner.select("a", F.col("id").alias("b"))
+
+    # different parts: prefixes of the common parts, those shingles first that few parts hold
+    able = pivot.where(F.col("h") * BOTTOM >= F.col("n") * TOP)
+    held = materialise(shared.where(F.col("size") > FEW).select("token", "id", "sign").join(able, ["id", "sign"]), "held")
+    rate = held.groupBy("token").agg(F.count("*").alias("rate"))
+    needed = F.ceil(F.col("n") * TOP / BOTTOM).cast("int")
+    every = held.join(rate, "token").groupBy("id", "sign", "n", *part, "low", "high").agg(F.sort_array(F.collect_list(F.struct("rate", "token"))).alias("own"))
+    every = materialise(every.select("id", "sign", "n", *part, "low", "high", F.col("own.token").alias("own")), "parts")
+    prefix = every.select("id", "sign", "n", "low", "high", F.explode(F.slice("own", F.lit(1), F.col("h").cast("int") - needed + 1)).alias("token"))
+    mixed = prefix.groupBy("token").agg(F.count("*").alias("rate"), F.min("low").alias("l"), F.max("high").alias("u"), F.min(F.struct("id", "sign")).alias("lead")).where("l <> u and rate > 1")
+    met = materialise(prefix.join(mixed.select("token", "rate", "lead"), "token"), "met")
+    sides = [met.where(F.col("rate") <= FEW).select("token", F.struct("id", "sign").alias(s), F.col("n").alias(f"n_{s}"), F.col("low").alias(f"l_{s}"), F.col("high").alias(f"u_{s}")) for s in "ab"]
+    pairs = sides[0].join(sides[1], "token").where("a < b and not (l_a = u_a and l_b = u_b and l_a = l_b)").select("a", "b", "n_a", "n_b").distinct()
+    for s in "ab":
+        pairs = pairs.join(every.select(F.struct("id", "sign").alias(s), F.col("own").alias(f"own_{s}")), s)
+    pairs = pairs.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("both"))
+
+    # what still meets in many parts: blocks of parts are compared where they meet
+    many = met.where(F.col("rate") > FEW)
+    flat_of = lambda c: F.concat_ws(":", c["id"].cast("string"), c["sign"].cast("string"))
+    group = connected_components(many.select(flat_of(F.struct("id", "sign")).alias("a"), flat_of(F.col("lead")).alias("b")).distinct())
+    whole = every.withColumn("node", flat_of(F.struct("id", "sign"))).join(group, "node").withColumnRenamed("component", "group")
+    sizes = whole.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    whole = whole.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    whole = materialise(whole.select("group", "id", "sign", "n", "own", "block", "blocks"), "blocks")
+    dealt = whole.select("group", "id", "sign", "n", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+    kind = common.schema["id"].dataType.simpleString()
+    form = f"a struct<id:{kind},sign:long>, b struct<id:{kind},sign:long>, n_a long, n_b long, both long"
+    compared = dealt.groupBy("group", "x", "y").applyInArrow(_block_pairs, form)
+    pairs = materialise(pairs.unionAll(compared).where(enough(F.col("both"), F.col("n_a") + F.col("n_b"))), "part_pairs")
+
+    across = pairs.select("a.id", "b.id").toDF("a", "b")
+    both_ways = pairs.select("a", "b", "n_b", "both").unionAll(pairs.select("b", "a", "n_a", "both").toDF("a", "b", "n_b", "both"))
+    room = F.floor(F.col("both") * (TOP + BOTTOM) / TOP) - F.col("n_b")
+    best = both_ways.groupBy("a").agg(F.max(F.struct(room.alias("room"), F.col("b.id").alias("id"))).alias("best"))
+    best = best.select(F.col("a.id").alias("id"), F.col("a.sign").alias("sign"), F.col("best.room").alias("room"), F.col("best.id").alias("b"))
+    outer = common.select("id", "n", *part).join(pivot.join(best, ["id", "sign"]).select(*part, "room", "b"), part).where("n <= room")
+    return inner.unionAll(across).unionAll(outer.select(F.col("id").alias("a"), "b"))
+
+
+def _block_pairs(group: pa.Table) -> pa.Table:
+    """How many shingles the parts of one block share with those of another: counted against all of the second block at
+    once; only pairs that are similar enough are given."""
+    x, y = group["x"][0].as_py(), group["y"][0].as_py()
+    block = group["block"].to_numpy()
+    first, second = (np.flatnonzero(block == k) for k in (x, y))
+    n, own = group["n"].to_numpy(), group["own"].combine_chunks()
+    offsets, values = own.offsets.to_numpy(), own.values.to_numpy()
+    sets = [values[offsets[k] : offsets[k + 1]] for k in range(group.num_rows)]
+    keys = np.concatenate([sets[k] for k in second]) if len(second) else np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], np.repeat(np.arange(len(second)), [len(sets[k]) for k in second])[order]
+    left, right, shared = [], [], []
+    for k in first.tolist():
+        low, high = np.searchsorted(keys, sets[k], "left"), np.searchsorted(keys, sets[k], "right")
+        length = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        both = np.bincount(owner[at], minlength=len(second))
+        hit = np.flatnonzero((both * (TOP + BOTTOM) >= (n[k] + n[second]) * TOP) & ((second > k) if x == y else True))
+        left += [k] * len(hit)
+        right += second[hit].tolist()
+        shared += both[hit].tolist()
+    key = lambda rows: pa.StructArray.from_arrays([group[c].combine_chunks().take(pa.array(rows, pa.int64())) for c in ("id", "sign")], ["id", "sign"])
+    return pa.table([key(left), key(right), pa.array(n[left].astype(np.int64)), pa.array(n[right].astype(np.int64)), pa.array(shared, pa.int64())], ["a", "b", "n_a", "n_b", "both"])
+
+
+def _sets(plain: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """(id, sign, shingles) of the texts that ``wanted`` (id, sign) names, hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            found = [own.tobytes() for i, j in chunks(offsets) for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            for i, j in chunks(offsets):
+                found = list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                edges = np.cumsum([0, *map(len, found)])
+                shingles = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([signature(own) for own in found], pa.int64()), shingles], ["id", "sign", "shingles"])
 
-    wanted = materialise(ids.distinct(), "ids")  # its size is then known to the planner, which broadcasts it or not
-    return plain.join(wanted, "id", "left_semi").mapInArrow(run, f"id {kind}, shingles binary")
+    texts = plain.join(materialise(wanted.select("id").distinct(), "ids"), "id", "left_semi").mapInArrow(run, f"id {kind}, sign long, shingles array<long>")
+    return texts.join(wanted, ["id", "sign"], "left_semi").dropDuplicates(["id", "sign"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,26 +366,3 @@ def _verified(plain: DataFrame, tokens: DataFrame, pairs: DataFrame, kind: str)
     text = lambda s: texts.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("text").alias(f"text_{s}"))
     full = allowed.join(text("b"), ["b", "sign_b"]).join(text("a"), ["a", "sign_a"])
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between components within a pair of blocks: shared shingles are counted against all of the second block at once."""
-    x, y = group["x"].iloc[0], group["y"].iloc[0]
-    first, second = (group[group["block"] == k].sort_values("id").reset_index(drop=True) for k in (x, y))
-    sets = [np.frombuffer(s, np.uint64) for s in second["shingles"]]
-    found: list[tuple] = []
-    if sets:
-        keys = np.concatenate(sets)
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-        size = np.array([len(s) for s in sets])
-        ids, parts = second["id"].to_numpy(), second["component"].to_numpy()
-        for a, part, raw in zip(first["id"], first["component"], first["shingles"]):
-            own = np.frombuffer(raw, np.uint64)
-            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            length = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-            both = np.bincount(owner[at], minlength=len(sets))
-            hit = (BOTTOM * both >= TOP * (len(own) + size - both)) & (parts != part)
-            found += [(min(a, b), max(a, b)) for b in ids[hit] if a != b]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"])

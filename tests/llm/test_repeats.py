@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from driftline.llm import suffix_dedup
+from driftline.llm import jaccard, suffix_dedup
 from driftline.llm.anchors import Rolling, anchored_windows
 from driftline.llm.components import connected_components
 from driftline.llm.jaccard import similarity_components
@@ -231,6 +231,42 @@ def test_many_near_copies_that_share_a_rare_passage(spark):
     assert pairs(similarity_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+@pytest.mark.parametrize("few, block", [(2, 4), (24, 128)])
+def test_common_parts_of_all_kinds(spark, monkeypatch, few, block):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(13)
+    passages = [[f"{name}{k}" for k in range(60)] for name in "abc"]
+    pool = [[f"f{k}_{j}" for j in range(6)] for k in range(5)]
+    rows = []
+    for k in range(260):
+        words = list(passages[k % 3 if k % 4 else 0])
+        for _ in range(int(rng.integers(0, 3))):  # a few words of the passage differ, in places that several documents share
+            words[int(rng.integers(0, 6)) * 10] = f"y{int(rng.integers(0, 3))}"
+        words += pool[int(rng.integers(0, 5))][: int(rng.integers(0, 7))] + [f"o{k}_{j}" for j in range(int(rng.integers(0, 9)))]
+        rows.append((k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pairs(similarity_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_thousands_that_share_a_passage_are_linked_in_proportion(spark, monkeypatch):
+    counted, real = [], jaccard._common_links
+
+    def spy(shared, common):
+        found = real(shared, common)
+        counted.append((common.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "_common_links", spy)
+    passage = " ".join(f"p{k}" for k in range(60))  # 56 shingles, and one more for each word behind it
+    own = {k + 1: 4 + k % 11 for k in range(5000)}
+    docs = spark.createDataFrame([(i, " ".join([passage, *(f"o{i}_{j}" for j in range(w))])) for i, w in own.items()], "doc_id long, text string")
+    # 56 / (56 + v + w) is 0.8 or more if v + w is 14 or less, and the least is 4
+    want = sorted(((i, 56 + w, 1 if w <= 10 else i) for i, w in own.items()), key=repr)
+    assert pairs(similarity_components(docs), "doc_id", "n_shingles", "component_id") == want
+    assert counted and all(n_links <= 3 * n for n, n_links in counted)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (None, 1), (3, 3)], "a long, b long")
     assert pairs(connected_components(links), "node", "component") == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]
