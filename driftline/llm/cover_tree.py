@@ -1,30 +1,33 @@
 """Exact top-k search by inner product with two cover trees.
 
-Vectors are dealt to cells around a few pivots and within a cell to blocks of bounded size; queries likewise to groups.
-Each query first meets one block of its own cell, which gives its k-th best score so far. A query group and a block then
-meet only if the balls around them allow a better score than the group's worst k-th. Where they meet, both are held as
-cover trees and walked together: a pair of nodes is left out when the centres and covering radii show that no vector
-below one can reach the worst k-th score of the queries below the other.
+Vectors lie in cells around a few pivots, and within a cell in blocks of bounded size. A bounded sample of vectors gives
+each query a first k-th best score. A query goes only to the cells whose ball (around the pivot, and around zero) allows
+a score as good; queries travel, vectors are sent to their block once. In each block its vectors and all queries that
+have come are held as cover trees and walked together: a pair of nodes is left out when the centres and covering radii
+show that no vector below one can reach the worst k-th score of the queries below the other.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Pivots at most (those vectors with the smallest hash of the id; every vector is indexed), and sizes of blocks, query
-#: groups and tiles of the table of balls.
-PIVOTS, BLOCK, QUERIES, TILE = 64, 4096, 1024, 512
-#: Vectors in a leaf, and the factor by which radii shrink from level to level.
-LEAF, SHRINK = 48, 1.3
+#: Pivots at most, and vectors in the sample that gives first scores (those with the smallest hash of the id; every
+#: vector is indexed and compared or left out by a bound).
+PIVOTS, SAMPLE = 256, 2_048
+#: Vectors of a block.
+BLOCK = 2_048
+#: Points in a leaf, and the factor by which radii shrink from level to level.
+LEAF, SHRINK = 192, 1.3
 SLACK = 1e-9
 
 
@@ -120,10 +123,19 @@ class DualSearch:
         a, b = self.q.points[rows], self.v.points[other]
         score = a @ b.T if self.whole else (a.astype(np.int64) @ b.astype(np.int64).T).astype(np.float64)
         score[self.q.ids[rows][:, None] == self.v.ids[other][None, :]] = -np.inf  # its own row
-        score = np.concatenate([self.score[rows], score], 1)
-        ids = np.concatenate([self.id[rows], np.broadcast_to(self.v.ids[other], (len(rows), len(other)))], 1)
-        best = np.lexsort((ids, -score), axis=-1)[:, : self.k]
-        self.score[rows], self.id[rows] = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+        worst = np.maximum(self.score[rows, -1], self.known[rows])
+        r, c = np.nonzero((score >= worst[:, None]) & (score > -np.inf))
+        if not len(r):
+            return
+        met, first = np.unique(r, return_index=True)
+        # what is new and what each of these queries has had, in order; the first k of each query stay
+        row = np.concatenate([r, np.repeat(met, self.k)])
+        value = np.concatenate([score[r, c], self.score[rows[met]].ravel()])
+        ids = np.concatenate([self.v.ids[other][c], self.id[rows[met]].ravel()])
+        order = np.lexsort((ids, -value, row))
+        size = np.diff(np.concatenate([first, [len(r)]])) + self.k
+        best = order[(np.cumsum(size) - size)[:, None] + np.arange(self.k)]
+        self.score[rows[met]], self.id[rows[met]] = value[best], ids[best]
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vector id, score) of all that may be among the best."""
@@ -160,95 +172,73 @@ def whole_vectors(table: DataFrame, id_col: str, vector_col: str, scale: float)
     return plain.mapInArrow(run, "id long, vector binary").distinct()
 
 
-def _dealt(cells: list[tuple[int, int]], size: int, salt: int) -> Column:
-    """The block of each row: its cell's blocks are numbered on end, and a row goes to one of them by its hash."""
-    first, count, at = {}, {}, 0
-    for cell, n in sorted(cells):
-        first[cell], count[cell] = at, math.ceil(n / size)
-        at += count[cell]
-    pick = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("cell"))
-    return (pick(first) + F.pmod(F.xxhash64("id", F.lit(salt)), pick(count))).cast("int")
-
-
-def _balls(rows: DataFrame, name: str, bounded: bool) -> DataFrame:
-    """(name, centre, radius, worst): a ball around each block, and the worst k-th score of its rows."""
-
-    def ball(group: pa.Table) -> pa.Table:
-        points = _matrix(group["vector"])
-        centre = points.mean(0)
-        radius = float(np.sqrt(((points - centre) ** 2).sum(1)).max())
-        worst = float(group["worst"].to_numpy().min()) if bounded else 0.0
-        return pa.table({name: group[name].slice(0, 1), "centre": pa.array([centre.astype("<f8").tobytes()], pa.binary()), "radius": [radius], "worst": [worst]})
-
-    return rows.groupBy(name).applyInArrow(ball, f"{name} int, centre binary, radius double, worst double")
+def _best(own: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each vector among ``others`` with another id; -inf if there are fewer."""
+    score = own @ others.T
+    score[ids[:, None] == other_ids[None, :]] = -np.inf
+    return np.partition(score, len(other_ids) - k, axis=1)[:, len(other_ids) - k] if len(other_ids) >= k else np.full(len(own), -np.inf)
 
 
 def exact_top_k(table: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` highest inner products, ties to the smaller id.
 
     Queries are the rows of ``table`` where ``is_query`` (a condition on the column ``id``) holds; candidates are all
-    rows with another id. Fewer candidates give fewer ranks. Shorter vectors count as if they ended in zeros. An id with several different vectors
-    may come up once for each. An empty table, or one without queries, gives no rows.
+    rows with another id. Fewer candidates give fewer ranks. Shorter vectors, empty ones too, count as if they ended in
+    zeros. An id with several different vectors may come up once for each. An empty table, or one without queries, gives
+    no rows. How many cells the bounds leave out depends on the data: vectors without clusters in many dimensions are
+    compared with all queries, block by block.
     """
     spark = table.sparkSession
     vectors = materialise(whole_vectors(table, id_col, vector_col, scale), "vectors")
-    few = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # at most PIVOTS rows
-    shape = max([len(r["vector"]) // 8 for r in few], default=0)
-    pivots = spark.sparkContext.broadcast(_matrix(pa.chunked_array([pa.array([bytes(r["vector"]) for r in few], pa.binary())]), shape))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pivots.value
-        half = (own**2).sum(1) / 2
+    n = vectors.count()
+    h = F.xxhash64("id")
+    few = vectors.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, 4.0 * SAMPLE / max(n, 1)) * (1 << 30)).orderBy(h, "id", "vector").limit(SAMPLE).collect()  # at most SAMPLE rows
+    width = vectors.agg(F.max(F.octet_length("vector"))).first()[0] or 0
+    sample = _matrix(pa.chunked_array([pa.array([bytes(r["vector"]) for r in few], pa.binary())]), width // 8)
+    pivots = sample[: min(PIVOTS, max(1, math.ceil(n / BLOCK)))]
+    shared = spark.sparkContext.broadcast((sample, np.array([r["id"] for r in few], np.int64), pivots))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value[2]
+        for batch in batches:
+            points = _matrix(batch.column(1), width // 8)
+            cell = (points @ own.T - (own**2).sum(1) / 2).argmax(1) if len(points) else np.zeros(0, np.int64)
+            far = np.sqrt(((points - own[cell]) ** 2).sum(1)) if len(points) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((points**2).sum(1)))], ["id", "vector", "cell", "far", "norm"])
+
+    vectors = vectors.mapInArrow(placed, "id long, vector binary, cell int, far double, norm double")
+    cells = [tuple(r) for r in vectors.groupBy("cell").agg(F.count("*"), F.max("far"), F.max("norm")).collect()]  # a row a pivot
+    blocks = {cell: math.ceil(size / BLOCK) for cell, size, _, _ in cells}
+    balls = {cell: (far, norm) for cell, _, far, norm in cells}
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, ids, own = shared.value
         for batch in batches:
-            cell = (_matrix(batch.column(1), shape) @ own.T - half).argmax(1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["id", "vector", "cell"])
-
-    vectors = materialise(vectors.mapInArrow(nearest, "id long, vector binary, cell int"), "cells")
-    queries = vectors.where(is_query)
-    cells = [tuple(r) for r in vectors.groupBy("cell").count().collect()]  # a row a pivot
-    asked = [tuple(r) for r in queries.groupBy("cell").count().collect()]
-    if not asked:
+            for start in range(0, batch.num_rows, 1_000):
+                part = batch.slice(start, 1_000)
+                q = _matrix(part.column(1), width // 8)
+                size = np.sqrt((q**2).sum(1))
+                worst = _best(q, part.column(0).to_numpy(), points, ids, k)
+                names = sorted(balls)
+                far, norm = (np.array([balls[c][j] for c in names]) for j in (0, 1))
+                bound = np.minimum(q @ own[names].T + size[:, None] * far, size[:, None] * norm)
+                row, col = np.nonzero(bound * (1 + np.sign(bound) * SLACK) + SLACK * size[:, None] * norm >= worst[:, None])
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(row)) for c in part.columns] + [pa.array(np.array(names, np.int32)[col]), pa.array(worst[row])], ["id", "vector", "cell", "worst"])
+
+    queries = materialise(vectors.where(is_query).select("id", "vector").mapInArrow(asked, "id long, vector binary, cell int, worst double"), "queries")
+    if queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    vectors = materialise(vectors.select("id", "vector", _dealt(cells, BLOCK, 1).alias("block")), "blocks")
-    queries = queries.select("id", "vector", _dealt(cells, BLOCK, 1).alias("block"), _dealt(asked, QUERIES, 2).alias("party"))
-    hit = "id long, vector binary, party int, other long, score double"
+    parts = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell"))
+    indexed = vectors.select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("block"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
 
     def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
-        both = max([len(x) // 8 for c in (asked["vector"], block["vector"]) for x in c.to_pylist()], default=0)
-        trees = [CoverTree(_matrix(t["vector"], both), t["id"].to_numpy(), most) for t, most in ((asked, asked.num_rows), (block, k + 1))]
+        trees = [CoverTree(_matrix(t["vector"], width // 8), t["id"].to_numpy(), most) for t, most in ((asked, asked.num_rows), (block, k + 1))]
         row, other, score = DualSearch(*trees, k, asked["worst"].to_numpy().astype(np.float64)).found()
-        own = asked.select(["id", "vector", "party"]).take(pa.array(row))
-        return pa.table([*own.columns, pa.array(other, pa.int64()), pa.array(score, pa.float64())], ["id", "vector", "party", "other", "score"])
-
-    unknown = F.lit(float("-inf")).alias("worst")
-    home = queries.select("*", unknown).groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(meet, hit)
-    home = materialise(home, "home")
-    place = ["id", "vector"]
-    worst = home.groupBy(*place).agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") == k).drop("n")
-    bounded = materialise(queries.join(worst, place, "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")))), "queries")
-
-    # balls of query groups against balls of blocks, tile by tile
-    balls, parties = materialise(_balls(vectors, "block", False), "balls"), materialise(_balls(bounded, "party", True), "parties")
-    across, down = (max(1, math.ceil(t.count() / TILE)) for t in (balls, parties))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one = balls.select("*", F.pmod("block", F.lit(across)).alias("x")).select("*", every(down).alias("y"))
-    two = parties.select("*", F.pmod("party", F.lit(down)).alias("y")).select("*", every(across).alias("x"))
-
-    def possible(a: pa.Table, b: pa.Table) -> pa.Table:
-        both = max([len(x) // 8 for c in (a["centre"], b["centre"]) for x in c.to_pylist()], default=0)
-        p, v = _matrix(a["centre"], both), _matrix(b["centre"], both)
-        rp, rv = a["radius"].to_numpy()[:, None], b["radius"].to_numpy()[None, :]
-        np_, nv = np.sqrt((p**2).sum(1))[:, None], np.sqrt((v**2).sum(1))[None, :]
-        bound = p @ v.T + rv * np_ + rp * nv + rp * rv
-        x, y = np.nonzero(bound * (1 + SLACK) + SLACK * (np_ + rp) * (nv + rv) >= a["worst"].to_numpy()[:, None])
-        return pa.table([a["party"].take(pa.array(x)), b["block"].take(pa.array(y))], ["party", "block"])
-
-    pairs = materialise(two.groupBy("x", "y").cogroup(one.groupBy("x", "y")).applyInArrow(possible, "party int, block int"), "pairs")
-    asked_rows = bounded.withColumnRenamed("block", "home").join(pairs, "party").where("home <> block")
-    met = asked_rows.groupBy("party", "block").cogroup(vectors.join(pairs, "block").groupBy("party", "block")).applyInArrow(meet, hit)
-    best = home.unionAll(met).select(*place, "other", "score").distinct()
-    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "other")))
-    best = best.groupBy(*place).agg(F.slice(order, 1, k).alias("best"))
-    return best.select(F.col("id").alias("query_id"), F.posexplode("best").alias("at", "one")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.other").alias("vec_id"), (-F.col("one.low")).cast("long").alias("score")
-    )
+        name = pa.array([zlib.crc32(x) for x in asked["vector"].to_pylist()], pa.int64())
+        return pa.table([asked["id"].take(pa.array(row)), name.take(pa.array(row)), pa.array(other, pa.int64()), pa.array(score, pa.float64())], ["id", "name", "other", "score"])
+
+    met = queries.groupBy("cell", "block").cogroup(indexed.groupBy("cell", "block")).applyInArrow(meet, "id long, name long, other long, score double")
+    order = F.row_number().over(Window.partitionBy("id", "name").orderBy(F.desc("score"), "other"))
+    best = met.withColumn("rank", order).where(F.col("rank") <= k)
+    return best.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), F.col("score").cast("long").alias("score"))
