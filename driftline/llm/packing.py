@@ -2,7 +2,8 @@
 
 Every partition packs its own pieces by best fit, largest first, and its nearly full bins are final at once. Underfull
 bins become items; groups of them are packed by best fit in rounds, nearly full bins leave after each round, and the
-rest is dealt to fewer groups, up to one group of bounded size. Only (bin, fill) pairs travel between rounds.
+rest is dealt afresh to fewer groups, up to one group of bounded size. A bin that has less room than the smallest other
+bin holds can't take any, and is final too. Only (bin, fill) pairs travel between rounds.
 """
 
 from __future__ import annotations
@@ -67,6 +68,10 @@ def pieces_of(total: int, capacity: int) -> list[tuple[int, int]]:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every row of ``docs``, tokenized and closed by ``end_id``, into sequences of at most ``capacity`` tokens.
 
+    Ids are those of ``tokenizers`` for the file, by ``byte_bpe.LibraryEncoder``: byte-level merging depends on the merge
+    ranks and the splitting pattern alone, which it hands to ``tiktoken``; it does so only where ids follow the ranks,
+    and texts with special strings or long white space go to ``tokenizers`` itself.
+
     Returns a row for each piece: the id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
     A null or empty text is one piece of one token. Repeated rows are packed each by itself; null ids stay null. An
     empty table gives no rows.
@@ -139,6 +144,9 @@ def merge_bins(bins: DataFrame, capacity: int, enough: int) -> DataFrame:
         if groups <= 1:
             return moved
         rest = done.where((F.col("bin") == F.col("sequence")) & (F.col("total") < enough)).select("bin", F.col("total").alias("fill"))
-        current, level = materialise(rest, "bins"), level + 1
-        if current.count() > 0.98 * n:  # what is left hardly merges: these bins are final as they are
+        rest = materialise(rest, "bins")
+        # of the bins that stay each can take the smallest, and where that is dealt to it does: every round merges some
+        least = rest.agg(F.min("fill")).first()[0]
+        if least is None or 2 * least > capacity:  # no two of them fit together
             return moved
+        current, level = rest.where(capacity - F.col("fill") >= least), level + 1
