@@ -1,7 +1,7 @@
 """Quality rules: fixed counts of a text, and a classifier trained on labelled rows.
 
-The classifier is a logistic regression on hashed word 1- and 2-grams and character 3- and 4-grams (shares of a text,
-so that length says nothing), fitted on a bounded sample of labelled texts. Its margins are calibrated to probabilities
+The classifier is a logistic regression on hashed word 1- and 2-grams and character 3- and 4-grams (characters are the
+bytes of UTF-8; shares of a text, so that length says nothing), fitted on a bounded sample of labelled texts. Its margins are calibrated to probabilities
 on rows that the fit has not seen, and texts are scored in Arrow batches against a fixed threshold.
 """
 
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .text import Words, chunks, flat, mix, noise, per_row, segment_hash
 
 #: The bytes that count as symbols, and the base rules (fixed values of the contract).
@@ -23,7 +24,7 @@ SYMBOL[list(b"#*$%&|<>")] = True
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 #: Cells of a hashed feature space; word features take one half of it, character features the other.
 CELLS = 1 << 16
-#: Labelled texts that train and calibrate the classifier at most (those with the smallest hash of the id).
+#: Labelled texts that train and calibrate the classifier at most (those with the smallest hash of id and text).
 SAMPLE_TEXTS = 3_000
 #: Every so many-th sampled text calibrates instead of training.
 CALIBRATION = 4
@@ -98,12 +99,18 @@ def margins(data: np.ndarray, offsets: np.ndarray, words: Words, weights: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
-    """Fits the classifier on a bounded sample of labelled texts; None if the labels lack one of the two classes."""
+    """Fits the classifier on a bounded sample of labelled texts; None if the labels lack one of the two classes, or if
+    the texts to fit on have no features.
+
+    An id whose labels contradict counts as good. An id on many rows counts once for each different text.
+    """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(5))
-    few = marks.orderBy(order).limit(SAMPLE_TEXTS)
-    sample = texts.join(F.broadcast(few), "id").select("id", "text", "y")  # at most SAMPLE_TEXTS rows are broadcast
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(5))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), h.alias("h"))
+    marked = materialise(texts.select("id", "h").join(marks, "id").distinct(), "labelled")  # small rows, without texts
+    share = min(1.0, 4.0 * SAMPLE_TEXTS / max(1, marked.count()))
+    few = marked.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).orderBy("h", "id").limit(SAMPLE_TEXTS)
+    sample = texts.join(materialise(few, "sampled"), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "text", "y", "h")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,36 +121,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for _, cell in _features(own, at, Words(own, at)):
                     total += np.bincount(cell, minlength=CELLS) / max(len(cell), 1)
                 cell = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), pa.array([cell.astype("<i4").tobytes()]), pa.array([total[cell].astype("<f4").tobytes()])], ["id", "y", "cells", "shares"])
-
-    rows = sample.mapInArrow(grams, f"id {docs.schema[id_col].dataType.simpleString()}, y int, cells binary, shares binary").toPandas()
-    rows = rows.sort_values(["id", "y"]).reset_index(drop=True)
-    if rows["y"].nunique() < 2:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), pa.array([cell.astype("<u2").tobytes()], pa.binary()), pa.array([total[cell].astype("<f4").tobytes()], pa.binary()), batch.column(3).slice(k, 1)], ["id", "y", "cells", "shares", "h"])
+
+    found = sample.mapInArrow(grams, f"id {docs.schema[id_col].dataType.simpleString()}, y int, cells binary, shares binary, h long").drop("id").toArrow()
+    found = found.sort_by([("h", "ascending"), ("y", "ascending")])  # at most SAMPLE_TEXTS rows
+    y = found["y"].to_numpy().astype(np.float64)
+    cells = [np.frombuffer(c.as_buffer(), "<u2") for c in found["cells"]]
+    shares = [np.frombuffer(s.as_buffer(), "<f4") for s in found["shares"]]
+    held = np.arange(len(y)) % CALIBRATION == 0
+    fit = [k for k in range(len(y)) if not held[k] and len(cells[k])]
+    if len(np.unique(y)) < 2 or not fit:
         return None
-    held = np.arange(len(rows)) % CALIBRATION == 0
-    cells = [np.frombuffer(c, "<i4") for c in rows["cells"]]
-    shares = [np.frombuffer(s, "<f4").astype(np.float64) for s in rows["shares"]]
-    y = rows["y"].to_numpy(np.float64)
-    fit = [k for k in range(len(rows)) if not held[k] and len(cells[k])]
-    doc = np.repeat(np.arange(len(fit)), [len(cells[k]) for k in fit])
+    doc = np.repeat(np.arange(len(fit), dtype=np.int32), [len(cells[k]) for k in fit])
     cell, share, target = np.concatenate([cells[k] for k in fit]), np.concatenate([shares[k] for k in fit]), y[fit]
     # both classes weigh the same
     weight = np.where(target == 1, 0.5 / max(target.mean(), 1e-9), 0.5 / max(1 - target.mean(), 1e-9)) / len(fit)
-    scale = np.sqrt(np.bincount(cell, weights=share**2, minlength=CELLS) / len(fit)) + 1e-3
+    blocks = [slice(*np.searchsorted(doc, [k, k + 250])) for k in range(0, len(fit), 250)]  # sums go part by part, to hold few copies
+    total = lambda key, weights, size: sum(np.bincount(key[b], weights=weights(b), minlength=size) for b in blocks)
+    scale = np.sqrt(total(cell, lambda b: share[b].astype(np.float64) ** 2, CELLS) / len(fit)) + 1e-3
     w, bias = np.zeros(CELLS), 0.0
     m, v, mb, vb = np.zeros(CELLS), np.zeros(CELLS), 0.0, 0.0
-    value = share / scale[cell]
+    value = (share / scale[cell]).astype(np.float32)
     for step in range(1, STEPS + 1):  # Adam over the whole sample
-        z = np.bincount(doc, weights=w[cell] * value, minlength=len(fit)) + bias
+        z = total(doc, lambda b: w[cell[b]] * value[b], len(fit)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        g, gb = np.bincount(cell, weights=error[doc] * value, minlength=CELLS) + RIDGE * w, error.sum()
+        g, gb = total(cell, lambda b: error[doc[b]] * value[b], CELLS) + RIDGE * w, error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) / np.sqrt(step)
         w -= rate * 0.1 * m / (np.sqrt(v) + 1e-8)
         bias -= rate * 0.1 * mb / (np.sqrt(vb) + 1e-8)
     w = w / scale
     # Platt: probability = 1 / (1 + exp(-(slope * margin + shift))) on held rows, with smoothed targets
-    margin = np.array([float(w[cells[k]] @ shares[k]) + bias for k in range(len(rows)) if held[k]])
+    margin = np.array([float(w[cells[k]] @ shares[k]) + bias for k in range(len(y)) if held[k]])
     t = y[held]
     good, bad = t.sum(), (1 - t).sum()
     soft = np.where(t == 1, (good + 1) / (good + 2), 1 / (bad + 2))
