@@ -134,7 +134,7 @@ def lengthened(texts: DataFrame, rows: DataFrame, words: bool, width: int) -> Da
                     found = [pa.array(x.astype(np.int32)) for x in (begin, count, start - begin, long)]
                     yield pa.RecordBatch.from_arrays([*who, *found, pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64))], names)
 
-    return texts.join(held, NAME).mapInArrow(run, form)
+    return texts.join(held.hint("merge"), NAME).mapInArrow(run, form)
 
 
 def compared(
@@ -180,7 +180,8 @@ def compared(
 
     form = ", ".join(f"{c} {firsts.schema[c].dataType.simpleString()}" for c in names)
     groups = max(1, math.ceil(firsts.count() / GROUP))
-    texts_of = texts.select(*NAME, "text").join(held, NAME).mapInArrow(cut, f"{form}, bytes binary")
+    # texts are shuffled and merged at any size: what they meet grows with them
+    texts_of = texts.select(*NAME, "text").join(held.hint("merge"), NAME).mapInArrow(cut, f"{form}, bytes binary")
     dealt = texts_of.withColumn("bucket", F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(groups)))
     found = dealt.groupBy("bucket").applyInArrow(lambda t: compare(t.drop_columns(["bucket"])), "anchor long, kind long, later boolean, start int, units int")
     found = found.join(firsts.select("anchor", "kind", *[F.col(c).alias(f"one_{c}") for c in order]), ["anchor", "kind"])

@@ -147,5 +147,5 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 digest.append(hashlib.sha256(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, runs)], pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = texts.join(found, NAME, "left").select("id", "text", "spans")
+    out = texts.join(found.hint("merge"), NAME, "left").select("id", "text", "spans")
     return out.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
