@@ -117,10 +117,10 @@ def interpolate(left: DataFrame, right: DataFrame, value: str, keys: list[str],
     tagged = left.withColumn("_x", F.lit(None).cast("double")).withColumn("_known", F.lit(False))
     known = right.select(*keys, F.col(time), F.col(value).cast("double").alias("_x"), F.lit(True).alias("_known"))
     both = tagged.unionByName(known, allowMissingColumns=True).withColumn("_t", F.when(F.col("_known"), F.col(time)))
-    back = Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(time).rangeBetween(0, Window.unboundedFollowing)
-    for side, w, pick in (("0", back, F.last), ("1", ahead, F.first)):
-        both = both.withColumn(f"_t{side}", pick("_t", ignorenulls=True).over(w)).withColumn(f"_x{side}", pick("_x", ignorenulls=True).over(w))
+    # both frames grow from their end, so that a row costs the same however long the series is
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc(time), F.desc(time)))
+    for side, w in (("0", back), ("1", ahead)):
+        both = both.withColumn(f"_t{side}", F.last("_t", ignorenulls=True).over(w)).withColumn(f"_x{side}", F.last("_x", ignorenulls=True).over(w))
     line = F.when(F.col("_t1") == F.col("_t0"), F.col("_x0")).otherwise(
         F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col(time) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
     )
@@ -145,8 +145,8 @@ def horizon_label(df: DataFrame, value: str, keys: list[str], time: str, horizon
     asks = df.withColumn("_at", F.col(time) + horizon).withColumn("_ask", F.lit(True))
     rows = df.select(*keys, F.col(time).alias("_at"), F.col(time).alias("_t"), F.col(value).cast("double").alias("_x"), F.lit(False).alias("_ask"))
     both = asks.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_t1", F.first("_t", ignorenulls=True).over(w)).withColumn("_x1", F.first("_x", ignorenulls=True).over(w))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_t1", F.last("_t", ignorenulls=True).over(w)).withColumn("_x1", F.last("_x", ignorenulls=True).over(w))
     return both.where("_ask").select(*columns, F.when(F.col("_t1") - F.col("_at") <= tolerance, F.col("_x1")).alias(name))
 
 
@@ -159,11 +159,16 @@ def positional_join(left: DataFrame, right: DataFrame, keys: list[str], left_ord
 
 
 def lag_sweep(left: DataFrame, right: DataFrame, value: str, keys: list[str], order: list[str], reach: int) -> DataFrame:
-    """For each key and lag from -reach to reach: ``n`` pairs (left row i, right row i + lag) and their correlation."""
-    one = left.withColumn("_i", F.row_number().over(_ordered(keys, order))).select(*keys, "_i", F.col(value).alias("_a"))
-    two = right.withColumn("_i", F.row_number().over(_ordered(keys, order))).select(*keys, "_i", F.col(value).alias("_b"))
-    swept = one.withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_i", F.col("_i") + F.col("lag"))
-    pairs = swept.join(two, [*keys, "_i"])
+    """For each key and lag from -reach to reach: ``n`` pairs (left row i, right row i + lag) and their correlation.
+
+    Both series meet once, by row number. A row's neighbours come from one window, and are summed up by lag where they
+    are: what is shuffled is a row of sums for each key, lag and task.
+    """
+    one, two = (side.withColumn("_i", F.row_number().over(_ordered(keys, order))).select(*keys, "_i", F.struct("_i", F.col(value).alias("x")).alias(name)) for side, name in ((left, "_a"), (right, "_b")))
+    w = _ordered(keys, ["_i"]).rowsBetween(-reach, reach)
+    near = one.join(two, [*keys, "_i"], "full").withColumn("_near", F.collect_list("_b").over(w)).where("_a is not null")
+    pairs = near.select(*keys, F.col("_a._i").alias("_i"), F.col("_a.x").alias("_a"), F.explode("_near").alias("_n"))
+    pairs = pairs.select(*keys, (F.col("_n._i") - F.col("_i")).alias("lag"), "_a", F.col("_n.x").alias("_b"))
     return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), (F.covar_pop("_a", "_b") / F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))).alias("correlation"))
 
 
