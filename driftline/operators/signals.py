@@ -1,7 +1,7 @@
 """Ordered folds over the signals of one recorder: smoothing, alignment of the mount, motion classes, guidance.
 
-Each is a small state machine fed by ``folded``, which hands it the rows of one recording in order. Recordings are the
-groups; the shuffle is by recording alone.
+Each is a small state machine fed by ``folded``, which hands it the rows of one recording in order, batch by batch. The
+only shuffle is by recording.
 """
 
 from __future__ import annotations
@@ -14,24 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import carried, in_order
 from .navigation import clean, wrapped
 
 
 def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[[dict], dict | None]], columns: str) -> DataFrame:
     """What a fresh state machine for each key makes of its ordered rows: a row, or none, for each. ``columns`` names
     what it returns, after the keys."""
-    form = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     names = [c.split()[0] for c in columns.split(", ")]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        step = start()
-        out = [made for row in rows.sort_values(order, kind="stable").to_dict("records") if (made := step(clean(row))) is not None]
-        found = pd.DataFrame(out, columns=names).astype(object)
-        for place, (k, value) in enumerate(zip(keys, key)):
-            found.insert(place, k, pd.Series([value] * len(found), dtype=object if isinstance(value, str) else None))
-        return found
+    def step(machine: Callable[[dict], dict | None], rows: pd.DataFrame, done: bool) -> pd.DataFrame:
+        out = [made for row in rows.to_dict("records") if (made := machine(clean(row))) is not None]
+        return pd.DataFrame(out, columns=names).astype(object)
 
-    return df.groupBy(*keys).applyInPandas(run, f"{form}, {columns}")
+    return carried(df, keys, in_order(order), start, step, columns)
 
 
 def low_pass(limit: float = 12.0, poor: float = 0.4, slow: float = 1.5, fast: float = 4.0, reset: float = 0.25) -> Callable[[dict], dict]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.navigation import EDGE, OUTPUT, Navigator, Profile, event_columns, fold, frame
+from ..operators.navigation import EDGE, OUTPUT, Profile, event_columns, fold, frame
 from ..sources.logs import parse_events
 
 
@@ -24,10 +24,11 @@ def navigate(events: DataFrame, source: str = "source_id", profile: Profile = ED
     kind = events.schema[source].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        navigator = pickle.loads(state.get[0]) if state.exists else Navigator(profile)
+        navigator = pickle.loads(state.get[0]) if state.exists else profile.navigator()
         rows = pd.concat(list(batches))
         rows = rows.assign(_rank=(rows["type"] != "imu").astype(int)).sort_values(["timestamp_ns", "_rank"], kind="stable")
-        out = frame(list(fold(navigator, rows)), source, key[0])
+        out = frame(list(fold(navigator, rows)))
+        out.insert(0, source, pd.Series([key[0]] * len(out), dtype=object if isinstance(key[0], str) else None))
         state.update((pickle.dumps(navigator),))
         yield out
 
