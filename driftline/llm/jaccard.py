@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .components import connected_components
+from .components import connected_components, joined_components
 from .text import Words, chunks, flat, lower_ascii, mix, noise
 
 WORDS = 5
@@ -155,7 +155,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     several = table.where("id is not null").select("id", "sign", "n").groupBy("id").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("id")
     several = materialise(table.select("id", "sign", "twin", "n").join(several, "id", "left_semi").distinct(), "several")
     own_links = several.join(first, ["sign", "twin", "n"]).where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
-    component = materialise(connected_components(_links(plain, table, kind).unionAll(own_links)), "components")
+    component, links = _links(plain, table, kind)
+    component = materialise(joined_components(component, links.unionAll(own_links)), "components")
     classes = first.join(component.select(F.col("node").alias("first_id"), "component"), "first_id", "left")
     empty = several.where("n = 0").join(component, F.col("id") == F.col("node")).select("id", "n", F.col("component").alias("of_id"))
     out = table.select("id", "n", "sign", "twin").join(classes, ["sign", "twin", "n"], "left").join(empty, ["id", "n"], "left")
@@ -163,8 +164,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
 
 
-def _links(plain: DataFrame, table: DataFrame, kind: str) -> DataFrame:
-    """Verified links (a, b) between documents of different sets, enough of them to join every component.
+def _links(plain: DataFrame, table: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component) of verified links between documents of different sets, and more links (a, b), enough
+    of them to join every component.
 
     A text is known by its id and the signature of its set, as an id may have several texts.
     """
@@ -190,7 +192,7 @@ def _links(plain: DataFrame, table: DataFrame, kind: str) -> DataFrame:
 
     many = materialise(rest.where(F.col("size") > FEW).select("id", "sign", "n", "component").distinct(), "members")
     if many.isEmpty():
-        return links.unionAll(more)
+        return component, more
     shared = _shared_shingles(plain, many, kind)
     rare = shared.where(F.col("size") <= FEW)
     common = shared.where(F.col("size") > FEW).groupBy("id", "sign", "n", "component")
@@ -204,7 +206,7 @@ def _links(plain: DataFrame, table: DataFrame, kind: str) -> DataFrame:
         pairs = pairs.join(common.select(F.col("id").alias(s), F.col("sign").alias(f"sign_{s}"), F.col("h").alias(f"h_{s}")), [s, f"sign_{s}"])
     pairs = pairs.where(enough(F.col("rare") + F.least("h_a", "h_b"), F.col("n_a") + F.col("n_b"))).select(*pair)
     more = more.unionAll(_verified(plain, tokens, pairs, kind))
-    return links.unionAll(more).unionAll(_common_links(shared, common))
+    return component, more.unionAll(_common_links(shared, common))
 
 
 def enough(both: Column, sizes: Column) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from driftline.llm import jaccard, suffix_dedup
 from driftline.llm.anchors import Rolling, anchored_windows
-from driftline.llm.components import connected_components
+from driftline.llm.components import connected_components, joined_components
 from driftline.llm.jaccard import similarity_components
 from driftline.llm.relative_parse import factor_digests, greedy_parse, longest_matches, remove_factors
 from driftline.llm.repeats import merged
@@ -272,6 +272,21 @@ def test_components(spark):
     assert pairs(connected_components(links), "node", "component") == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(21)
+    for n, m in ((40, 25), (300, 260), (60, 200)):
+        links = rng.integers(0, n, (m, 2))
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        df = spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long")
+        want = sorted((k, int(root[k])) for k in set(links.ravel().tolist()))
+        assert sorted(map(tuple, connected_components(df).select("node", "component").collect())) == want
+        one, two = df.where("a % 2 = 0"), df.where("a % 2 = 1")
+        assert sorted(map(tuple, joined_components(connected_components(one), two).select("node", "component").collect())) == want
+
+
 def test_empty_tables(empty):
     for out in (repeat_digests(empty), factor_digests(empty), remove_factors(empty), similarity_components(empty)):
         assert out.count() == 0
