@@ -15,17 +15,35 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, or others like them that no column has."""
+    out = []
+    for name in names:
+        while name in docs.columns or name in out:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without a letter) go; all others stay as they are."""
-    found = language_id.identify(docs, language_id.gram_counts(docs), keep=True)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    names = _free(docs, "held_out", "lang_pred", "score")
+    found = language_id.identify(docs, language_id.gram_counts(docs), keep=True, names=names)
+    return found.where(F.col(names[1]) != "und").select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows without an id all stay."""
+    """Of each group of near duplicates the document with the smallest id stays; rows without an id all stay.
+
+    A document is an id: rows of one id with different texts stay together, and of rows with the same id and text one
+    stays, whichever comes first.
+    """
     group = jaccard.similarity_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(materialise(group, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    names = _free(docs, "one", "two")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.join(materialise(group, "kept"), "doc_id", "left_semi")
+    marked = marked.withColumns({names[0]: F.xxhash64(text), names[1]: F.xxhash64(F.lit(1), text, F.col("text").isNull())})
+    return marked.dropDuplicates(["doc_id", *names]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
