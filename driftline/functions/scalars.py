@@ -120,6 +120,12 @@ def rotation_zyx(roll: float, pitch: float, yaw: float) -> list[list[float]]:
     return (np.array(about_z) @ np.array(about_y) @ np.array(about_x)).tolist()
 
 
+def normal(*names: Column) -> Column:
+    """A standard normal number that follows from what names it alone: the same in any task and any order of rows."""
+    share = lambda k: (F.pmod(F.xxhash64(*names, F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(share(1))) * F.cos(2 * PI * share(2))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

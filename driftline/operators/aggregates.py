@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,8 +138,53 @@ def robust_scale(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def gram(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(i, j, value) of X'X for i <= j, and X'y with j = -1: sums of products, added up map-side in one aggregation."""
-    terms = [(i, j, F.sum(F.col(features[i]) * F.col(features[j]))) for i in range(len(features)) for j in range(i, len(features))]
-    terms += [(i, -1, F.sum(F.col(f) * F.col(target))) for i, f in enumerate(features)]
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("value")) for i, j, v in terms]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    """(i, j, value) of X'X for i <= j, and X'y with j = -1.
+
+    Each task adds up the products of its batches as one small matrix; what is shuffled is a matrix a task, however many
+    features there are. Rows with a null count as without that feature, as in sums of products.
+    """
+    n = len(features)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n + 1))
+        for batch in batches:
+            x = np.stack([c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            total += x[:, :n].T @ x
+        i, j = np.nonzero(np.triu(np.ones((n, n + 1), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(np.where(j == n, -1, j).astype(np.int32)), pa.array(total[i, j])], ["i", "j", "value"])
+
+    cells = df.select(*[F.col(c).cast("double") for c in (*features, target)]).mapInArrow(products, "i int, j int, value double")
+    return cells.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def _ranked(rows: DataFrame, n: int, place: int, small: int) -> float:
+    """The value at ``place`` (from 0) of the ``n`` sorted values ``v``."""
+    while n > small:
+        low, high, marks = rows.agg(F.min("v"), F.max("v"), F.percentile_approx("v", [k / 64 for k in range(65)], 10_000)).first()
+        if low == high:
+            return low
+        cell = F.lit(0)
+        for m in sorted({*marks, high}):  # the largest value has a cell for itself, so every pass leaves some rows out
+            cell = cell + (F.col("v") >= m).cast("int")
+        counts = sorted(tuple(r) for r in rows.groupBy(cell).count().collect())  # 67 rows at most
+        for c, size in counts:
+            if place < size:
+                break
+            place -= size
+        rows, n = rows.where(cell == c), size
+    return rows.orderBy("v").collect()[place]["v"]
+
+
+def spread_quantile(df: DataFrame, value: str, p: float, small: int = 10_000) -> float | None:
+    """The exact p-quantile of a whole column, linear between neighbours, without bringing the column together.
+
+    Counts between approximate quantiles close in on a row, until ``small`` rows at most lie between the bounds; only
+    these are sorted. Each pass is partial counts of every task. Nulls don't count; no rows, no quantile.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n = rows.count()
+    if not n:
+        return None
+    place = p * (n - 1)
+    low, high = (_ranked(rows, n, k, small) for k in (math.floor(place), math.ceil(place)))
+    return low + (high - low) * (place - math.floor(place))

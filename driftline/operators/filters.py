@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .aggregates import spread_quantile
+
 
 def valid_position(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Rows with finite coordinates in range; NaN compares above all numbers, so it fails the range as well."""
@@ -49,8 +52,9 @@ def compatible_rates(df: DataFrame, time: str, keys: list[str], tolerance: float
     """For each key its median ``hz`` and whether it lies within a share ``tolerance`` of the median of all keys."""
     step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
     rates = df.withColumn("_dt", step).where("_dt > 0").groupBy(*keys).agg((1 / F.percentile("_dt", F.lit(0.5))).alias("hz"))
-    middle = rates.agg(F.percentile("hz", F.lit(0.5)).alias("_middle"))  # one row
-    return rates.join(F.broadcast(middle)).withColumn("compatible", F.abs(F.col("hz") / F.col("_middle") - 1) <= tolerance).drop("_middle")
+    rates = materialise(rates, "rates")
+    middle = spread_quantile(rates, "hz", 0.5)
+    return rates.withColumn("compatible", F.abs(F.col("hz") / F.lit(middle) - 1) <= tolerance)
 
 
 def misplaced(df: DataFrame, which: Column, split: str, allowed: str) -> DataFrame:

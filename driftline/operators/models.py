@@ -5,11 +5,14 @@ Sums run in Spark; only matrices as large as the number of features reach the dr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .aggregates import gram
 
 
@@ -48,6 +51,7 @@ def network_score(features: list[Column], model: dict) -> dict[str, Column]:
     """Speed, variance and whether the input is out of range, of a network with one hidden layer of tanh.
 
     Inputs are standardised and held within 8 deviations, the speed within 0 to 60 m/s, the variance within 0.25 to 400.
+    ``noise_coefficients`` are those of the inputs, and the constant last.
     The layers are sums of column products, so that scoring stays in generated code.
     """
     z = [(f - m) / s for f, m, s in zip(features, model["mean"], model["scale"])]
@@ -58,56 +62,94 @@ def network_score(features: list[Column], model: dict) -> dict[str, Column]:
     total = lambda xs, ws, start: F.aggregate(F.zip_with(xs, F.array(*[F.lit(float(w)) for w in ws]), lambda a, b: a * b), F.lit(float(start)), lambda a, b: a + b)
     hidden = F.array(*[F.tanh(total(z, [row[k] for row in model["w1"]], b)) for k, b in enumerate(model["b1"])])
     speed = total(hidden, model["w2"], model["b2"]) * model["target_scale"] + model["target_mean"]
-    noise = total(z, model["noise_coefficients"][1:], model["noise_coefficients"][0])
+    noise = total(z, model["noise_coefficients"][:-1], model["noise_coefficients"][-1])
     variance = F.exp(F.least(F.greatest(noise, F.lit(-4.0)), F.lit(8.0))) * model["variance_calibration"]
     bounded = lambda x, low, high: F.least(F.greatest(x, F.lit(low)), F.lit(high))
     return {"speed": bounded(speed, 0.0, 60.0), "variance": bounded(variance, 0.25, 400.0), "out_of_range": far}
 
 
-def robust_line(df: DataFrame, x: str, y: str, keys: list[str], rounds: int = 4) -> DataFrame:
-    """For each key slope and offset of y on x after rounds without outliers (beyond three robust deviations), with r2
-    and rmse over the rows that stayed. A key is one recording."""
+#: Robust fits (fixed values): rounds, robust deviations beyond which a row is left out, least rows and rows a predictor.
+ROUNDS, OUTLYING, LEAST_ROWS, ROWS_EACH = 4, 4.5, 30, 5
+
+
+def robust_fit(df: DataFrame, predictors: list[str], target: str, keys: list[str], rounds: int = ROUNDS, least: int = LEAST_ROWS) -> DataFrame:
+    """For each key a linear fit of the target after rounds without outliers: ``coefficients`` (the constant last), ``r2``
+    (null without spread), ``rmse`` and ``n`` over the rows that stayed, or an ``error`` where too few are left.
+
+    A round fits the rows that are kept, and keeps anew, of all finite rows, those within 4.5 robust deviations of the
+    median residual; max(1.4826 * median absolute deviation, a quarter of the deviation, 0.001) is such a deviation. Once
+    nothing changes further rounds change nothing. Sums of products are added up in every task; what is solved is one
+    small system a key.
+    """
+    p = len(predictors)
+    least = max(least, ROWS_EACH * p)
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    good = finite(target)
+    for c in predictors:
+        good = good & finite(c)
+    rows = df.where(good).select(*keys, F.array(*[F.col(c).cast("double") for c in predictors], F.lit(1.0)).alias("_x"), F.col(target).cast("double").alias("_y"), F.lit(True).alias("_keep"))
     form = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[x].to_numpy(float), rows[y].to_numpy(float)
-        keep = np.isfinite(a) & np.isfinite(b)
-        a, b = a[keep], b[keep]
-        keep = np.ones(len(a), bool)
-        slope = offset = np.nan
-        for _ in range(rounds):
-            if keep.sum() < 3 or np.ptp(a[keep]) == 0:
-                break
-            slope, offset = np.polyfit(a[keep], b[keep], 1)
-            rest = b - slope * a - offset
-            middle = np.median(rest[keep])
-            scale = max(1.4826 * np.median(np.abs(rest[keep] - middle)), 0.25 * rest[keep].std(), 1e-3)
-            keep = np.abs(rest - middle) <= 3 * scale
-        rest, spread = (b - slope * a - offset)[keep], b[keep] - (b[keep].mean() if keep.any() else 0)
-        r2 = 1 - (rest**2).sum() / (spread**2).sum() if keep.any() and (spread**2).sum() > 0 else np.nan
-        rmse = np.sqrt((rest**2).mean()) if keep.any() else np.nan
-        return pd.DataFrame([(*key, slope, offset, r2, rmse, int(keep.sum()))], columns=[*keys, "slope", "offset", "r2", "rmse", "n"])
-
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, f"{form}, slope double, offset double, r2 double, rmse double, n long")
-
-
-def train_network(sample: pd.DataFrame, features: list[str], target: str, hidden: int = 24, epochs: int = 20, batch: int = 512, rate: float = 1e-3, seed: int = 26168) -> dict:
-    """A network with one hidden layer, fitted by Adam on a bounded sample; the epoch with the best error on every
-    fifth row is kept. Its variance head is a ridge regression of log(error^2 + 0.25), calibrated on the same rows."""
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = []
+            for n, xx, xy in zip(batch["n"], batch["xx"], batch["xy"]):
+                fits.append(np.linalg.lstsq(np.array(xx).reshape(p + 1, p + 1), np.array(xy), rcond=None)[0].tolist() if n >= least else None)
+            yield batch[keys].assign(_fit=fits)
+
+    keep = F.col("_keep")
+    for _ in range(rounds):
+        sums = rows.where(keep).groupBy(*keys).agg(
+            F.count("*").alias("n"), F.array(*[F.sum(F.col("_x")[i] * F.col("_x")[j]) for i in range(p + 1) for j in range(p + 1)]).alias("xx"), F.array(*[F.sum(F.col("_x")[i] * F.col("_y")) for i in range(p + 1)]).alias("xy")
+        )
+        fits = sums.mapInPandas(solved, f"{form}, _fit array<double>")
+        guess = F.aggregate(F.zip_with("_x", "_fit", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        rows = rows.drop("_fit", "_rest").join(fits, keys).withColumn("_rest", F.col("_y") - guess)
+        middle = rows.where(keep).groupBy(*keys).agg(F.percentile("_rest", F.lit(0.5)).alias("_middle"), F.stddev_pop("_rest").alias("_spread"))
+        rows = rows.join(middle, keys, "left")
+        mad = rows.where(keep).groupBy(*keys).agg(F.percentile(F.abs(F.col("_rest") - F.col("_middle")), F.lit(0.5)).alias("_mad"))
+        scale = F.greatest(1.4826 * F.col("_mad"), 0.25 * F.col("_spread"), F.lit(1e-3))
+        inside = F.coalesce(F.abs(F.col("_rest") - F.col("_middle")) <= OUTLYING * scale, keep)
+        rows = materialise(rows.join(mad, keys, "left").withColumn("_keep", inside).select(*keys, "_x", "_y", "_keep", "_fit", "_rest"), "fits")
+    square = F.sum(F.when(keep, F.col("_rest") ** 2))
+    spread = F.var_pop(F.when(keep, F.col("_y"))) * F.count_if(keep)
+    found = rows.groupBy(*keys).agg(
+        F.first("_fit").alias("coefficients"), F.when(spread > 1e-12, 1 - square / spread).alias("r2"), F.sqrt(square / F.greatest(F.count_if(keep), F.lit(1))).alias("rmse"), F.count_if(keep).alias("n"),
+    )
+    few = F.col("coefficients").isNull()
+    return found.select(*keys, "coefficients", *[F.when(~few, F.col(c)).alias(c) for c in ("r2", "rmse")], "n", F.when(few, F.lit("too few clean rows")).alias("error"))
+
+
+#: Rows that a network is trained on at most (those with the smallest hash of the named column): its documented bound.
+TRAINING_ROWS = 20_000
+
+
+def training_sample(df: DataFrame, name: str, rows: int = TRAINING_ROWS) -> pd.DataFrame:
+    """The rows with the smallest hashes of a column, in its order; first a cut by hash, so that no task gets more."""
+    h = F.xxhash64(F.col(name).cast("string"), F.lit(3))
+    cut = df.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, 4.0 * rows / max(1, df.count())) * (1 << 30))
+    return cut.orderBy(h, name).limit(rows).toPandas().sort_values(name).reset_index(drop=True)
+
+
+def train_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: int = 24, epochs: int = 20, batch: int = 512, rate: float = 1e-3, decay: float = 1e-4, seed: int = 26168) -> dict:
+    """A network with one hidden layer of tanh, fitted by Adam with weight decay on a bounded sample.
+
+    Rows with ``held`` choose the epoch (least mean square error) and calibrate the variance head: a ridge regression
+    (10, constant included) of log(error^2 + 0.25), whose guesses are scaled by the mean ratio of squared error and guess
+    (0.25 at least) on held rows.
+    """
     rng = np.random.default_rng(seed)
-    x, y = sample[features].to_numpy(float), sample[target].to_numpy(float)
-    held = np.arange(len(x)) % 5 == 4
-    mean, scale = x[~held].mean(0), x[~held].std(0)
-    scale = np.where(scale < 1e-6, 1.0, scale)
+    mean, scale = x[~held].mean(0), np.maximum(x[~held].std(0), 1e-4)
     z = np.clip((x - mean) / scale, -8, 8)
-    tm, ts = y[~held].mean(), max(y[~held].std(), 1e-6)
+    tm, ts = float(y[~held].mean()), max(float(y[~held].std()), 1.0)
     t = (y - tm) / ts
-    weights = [rng.normal(size=(x.shape[1], hidden)) / np.sqrt(x.shape[1]), np.zeros(hidden), rng.normal(size=hidden) / np.sqrt(hidden), np.zeros(1)]
+    weights = [rng.normal(0, 0.12, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.1, hidden), np.zeros(1)]
+    shrink = (decay, 0.0, decay, 0.0)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     forward = lambda w, q: np.tanh(q @ w[0] + w[1]) @ w[2] + w[3]
-    rows, step, best = np.flatnonzero(~held), 0, (np.inf, None)
+    step, best = 0, (np.inf, weights)
     for _ in range(epochs):
-        rng.shuffle(rows)
+        rows = rng.permutation(np.flatnonzero(~held))
         for start in range(0, len(rows), batch):
             own = rows[start : start + batch]
             a = np.tanh(z[own] @ weights[0] + weights[1])
@@ -115,17 +157,24 @@ def train_network(sample: pd.DataFrame, features: list[str], target: str, hidden
             back = np.outer(error, weights[2]) * (1 - a * a)
             step += 1
             for k, g in enumerate((z[own].T @ back, back.sum(0), a.T @ error, error.sum(keepdims=True))):
+                g = g + shrink[k] * weights[k]
                 first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
                 weights[k] = weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        loss = float(((forward(weights, z[held]) - t[held]) ** 2).mean()) if held.any() else 0.0
+        loss = float(((forward(weights, z[held]) * ts + tm - y[held]) ** 2).mean()) if held.any() else 0.0
         if loss < best[0]:
             best = loss, [w.copy() for w in weights]
-    w = best[1] or weights
-    square = ((forward(w, z) - t) * ts) ** 2
-    design = np.c_[np.ones(len(z)), z][~held]
-    noise = np.linalg.solve(design.T @ design + 10 * np.eye(design.shape[1]), design.T @ np.log(square[~held] + 0.25))
-    guess = np.exp(np.clip(np.c_[np.ones(len(z)), z][held] @ noise, -4, 8)) if held.any() else np.ones(1)
+    w = best[1]
+    noise, calibration = variance_head(z, np.clip(forward(w, z) * ts + tm, 0, 60) - y, held)
     return {
-        "mean": mean.tolist(), "scale": scale.tolist(), "w1": w[0].tolist(), "b1": w[1].tolist(), "w2": w[2].tolist(), "b2": float(w[3][0]), "target_mean": float(tm), "target_scale": float(ts),
-        "noise_coefficients": noise.tolist(), "variance_calibration": float(square[held].mean() / guess.mean()) if held.any() else 1.0,
+        "mean": mean.tolist(), "scale": scale.tolist(), "w1": w[0].tolist(), "b1": w[1].tolist(), "w2": w[2].tolist(), "b2": float(w[3][0]), "target_mean": tm, "target_scale": ts,
+        "noise_coefficients": noise.tolist(), "variance_calibration": calibration,
     }
+
+
+def variance_head(z: np.ndarray, error: np.ndarray, held: np.ndarray, alpha: float = 10.0) -> tuple[np.ndarray, float]:
+    """Coefficients (the constant last) of log(error^2 + 0.25), and the factor that calibrates their guesses."""
+    design = np.c_[z, np.ones(len(z))]
+    fit = design[~held]
+    noise = np.linalg.solve(fit.T @ fit + alpha * np.eye(fit.shape[1]), fit.T @ np.log(error[~held] ** 2 + 0.25))
+    guess = np.exp(np.clip(design @ noise, -4, 8))
+    return noise, float((error[held] ** 2 / np.maximum(guess[held], 0.25)).mean()) if held.any() else 1.0

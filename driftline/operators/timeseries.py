@@ -182,3 +182,22 @@ def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each range
     at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.join(starts, "_range").withColumn(name, F.col("_start") + at).drop("_range", "_start")
+
+
+def completed_bins(df: DataFrame, time: str, values: list[str], keys: list[str], width: int, max_gap: int, size: int) -> DataFrame:
+    """(keys, ``start``, features) of the last ``size`` bins of ``width`` clock units, told when a bin is completed.
+
+    A bin is the mean of its samples, and is completed by a sample in the very next bin. A gap over ``max_gap`` between
+    two samples, or a bin without any, starts the window anew. ``start`` is where the completing bin begins; features are
+    those of ``rolling_features``.
+    """
+    dt = F.col(time) - F.lag(time).over(_ordered(keys, [time]))
+    rows = df.withColumn("_broke", F.when((dt <= 0) | (dt > max_gap), 1).otherwise(0))
+    rows = rows.withColumn("_run", F.sum("_broke").over(_ordered(keys, [time]).rowsBetween(Window.unboundedPreceding, 0)))
+    binned = rows.groupBy(*keys, "_run", F.floor(F.col(time) / width).alias("_bin")).agg(*[F.avg(v).alias(v) for v in values])
+    w = _ordered([*keys, "_run"], ["_bin"])
+    whole = binned.withColumn("_next", F.lead("_bin").over(w)).where(F.col("_next") == F.col("_bin") + 1)
+    skipped = whole.withColumn("_skip", F.when(F.lag("_bin").over(w) == F.col("_bin") - 1, 0).otherwise(1))
+    chained = skipped.withColumn("_chain", F.sum("_skip").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rolling_features(chained.select(*keys, "_run", "_chain", "_bin", *values), values, [*keys, "_run", "_chain"], ["_bin"], size)
+    return out.withColumn("start", (F.col("_bin") + 1) * width).drop("_run", "_chain", "_bin")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import edge, navigation, replays, roads
 from ..operators import models as M
-from ..operators import navigation, roads
 from ..operators import timeseries as T
+from ..operators.aggregates import spread_quantile
 from ..sources import logs, maps
 from .proxies import NODES, RECORDER, TRACK, WAYS, nodes, recorder, table, track, ways
 from .scalars import _r
-from .series import _NORMS, D, norms
+from .series import _NORMS, D, _features_sql, norms
 
 QUERIES, SQL = {}, {}
 
@@ -27,7 +30,8 @@ def query(sql: str = ""):
     return keep
 
 
-_ARCS = f"""{NODES}, {WAYS}, points AS (SELECT way, pos, node, e, n FROM ways JOIN nodes USING (node)),
+_POINTS_OF_WAYS = "points AS (SELECT way, pos, node, e, n FROM (SELECT *, count(*) OVER (PARTITION BY way) = count(e) OVER (PARTITION BY way) AS whole FROM ways LEFT JOIN nodes USING (node)) WHERE whole)"
+_ARCS = f"""{NODES}, {WAYS}, {_POINTS_OF_WAYS},
 pairs AS (SELECT way, pos, node AS a, e AS ae, n AS an, lead(node) OVER w AS b, lead(e) OVER w AS be, lead(n) OVER w AS bn FROM points WINDOW w AS (PARTITION BY way ORDER BY pos)),
 d AS (SELECT *, unnest(CASE WHEN way % 3 = 0 THEN [1] WHEN way % 3 = 1 THEN [-1] ELSE [1, -1] END) AS direction FROM pairs WHERE b IS NOT NULL),
 raw AS (SELECT way, pos, direction, CASE WHEN direction = 1 THEN a ELSE b END AS start_node, CASE WHEN direction = 1 THEN b ELSE a END AS end_node,
@@ -36,57 +40,52 @@ arcs AS (SELECT *, sqrt((end_e - start_e) * (end_e - start_e) + (end_n - start_n
   degrees(atan2(end_e - start_e, end_n - start_n)) - 360 * floor(degrees(atan2(end_e - start_e, end_n - start_n)) / 360) AS bearing FROM raw)"""
 
 
-def arcs(spark, sf, least=0.2, whole=False):
-    points = roads.way_points(ways(spark, sf, whole), nodes(spark, sf))
+def arcs(spark, sf, least=0.2):
+    points = roads.way_points(ways(spark, sf), nodes(spark, sf))
     way = F.col("way") % 3
     says = F.when(way == 0, "yes").when(way == 1, "-1")
-    directed = ways(spark, sf, whole).select("way").distinct().withColumn("directions", roads.directions(says, F.lit(False)))
+    directed = ways(spark, sf).select("way").distinct().withColumn("directions", roads.directions(says, F.lit(False)))
     return roads.arcs(points, directed, least)
 
 
 @query(f"WITH {_ARCS} SELECT way, pos, direction, start_node, end_node, round(length, 5) AS length, round(bearing, 5) AS bearing FROM arcs WHERE length >= 0.2")
-def grf1_directed_arcs(spark, sf, whole=False):
-    return arcs(spark, sf, whole=whole).select("way", "pos", "direction", "start_node", "end_node", _r("length", 5).alias("length"), _r("bearing", 5).alias("bearing"))
+def grf1_directed_arcs(spark, sf):
+    return arcs(spark, sf).select("way", "pos", "direction", "start_node", "end_node", _r("length", 5).alias("length"), _r("bearing", 5).alias("bearing"))
 
 
 @query(f"""WITH {WAYS}, k AS (SELECT DISTINCT way, CASE way % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN '-1' ELSE '' END AS says, way % 5 = 0 AS ring FROM ways)
 SELECT way, CASE WHEN says = 'yes' THEN '1' WHEN says = '-1' THEN '-1' WHEN ring AND says <> 'no' THEN '1' ELSE '1,-1' END AS ahead FROM k""")
-def grf2_explicit_no_variant(spark, sf, whole=False):
+def grf2_explicit_no_variant(spark, sf):
     way = F.col("way")
     says = F.when(way % 4 == 0, "no").when(way % 4 == 1, "yes").when(way % 4 == 2, "-1").otherwise("")
-    return ways(spark, sf, whole).select("way").distinct().select("way", F.concat_ws(",", roads.directions(says, way % 5 == 0, explicit_no=True).cast("array<string>")).alias("ahead"))
+    return ways(spark, sf).select("way").distinct().select("way", F.concat_ws(",", roads.directions(says, way % 5 == 0, explicit_no=True).cast("array<string>")).alias("ahead"))
 
 
-@query(f"""WITH {_ARCS} SELECT way, pos, direction, unnest(range(CAST(floor(least(start_e, end_e) / 60) AS BIGINT), CAST(floor(greatest(start_e, end_e) / 60) AS BIGINT) + 1)) AS cx,
-  CAST(floor(least(start_n, end_n) / 60) AS BIGINT) AS low_y FROM arcs WHERE length >= 0.2""")
+@query(f"""WITH {_ARCS}, x AS (SELECT *, unnest(range(CAST(floor(least(start_e, end_e) / 60) AS BIGINT), CAST(floor(greatest(start_e, end_e) / 60) AS BIGINT) + 1)) AS cx FROM arcs WHERE length >= 0.2)
+SELECT way, pos, direction, cx, unnest(range(CAST(floor(least(start_n, end_n) / 60) AS BIGINT), CAST(floor(greatest(start_n, end_n) / 60) AS BIGINT) + 1)) AS cy FROM x""")
 def grf3_grid_index(spark, sf):
-    """The lowest row of each arc's cells, as the given SQL has it; ``grf3_grid_index_whole`` has them all."""
-    index = roads.grid_index(arcs(spark, sf))
-    low = F.floor(F.least("start_n", "end_n") / 60)
-    return index.where(F.col("cy") == low).select("way", "pos", "direction", "cx", F.col("cy").alias("low_y"))
+    return roads.grid_index(arcs(spark, sf)).select("way", "pos", "direction", "cx", "cy")
 
 
 @query(f"""WITH RECURSIVE {_ARCS}, edge AS (SELECT start_node AS a, end_node AS b, min(length) AS w FROM arcs WHERE length >= 0.2 GROUP BY ALL),
-r(source, node, d, hops) AS (SELECT p_partkey, p_partkey, 0e0, 0 FROM part WHERE p_partkey < 20 UNION ALL SELECT source, b, d + w, hops + 1 FROM r JOIN edge ON a = node WHERE d + w <= 600 AND hops < 12)
+r(source, node, d) AS (SELECT node, node, 0e0 FROM nodes UNION SELECT source, b, d + w FROM r JOIN edge ON a = node WHERE d + w <= 150)
 SELECT source, node, round(min(d), 5) AS distance FROM r GROUP BY ALL""")
-def grf4_bounded_distances(spark, sf, whole=False):
-    """From the sources that the given SQL names, or from all nodes."""
-    start = nodes(spark, sf) if whole else nodes(spark, sf).where("node < 20")
-    return roads.distances(arcs(spark, sf, whole=whole), start.select("node"), 600.0).select("source", "node", _r("distance", 5).alias("distance"))
+def grf4_bounded_distances(spark, sf):
+    return roads.distances(arcs(spark, sf), nodes(spark, sf).select("node"), 150.0).select("source", "node", _r("distance", 5).alias("distance"))
+
+
+def route_asks(spark, sf):
+    """From each supplier to a place up to a few hundred metres on."""
+    k = F.col("s_suppkey")
+    e, n = k * 37 % 600 + 3, k * 40
+    return table(spark, sf, "supplier").select(k.alias("ask"), *[c.cast("double").alias(x) for c, x in ((e, "e"), (n, "n"), ((e + k % 7 * 30) % 600, "to_e"), (n + k % 5 * 30, "to_n"))])
 
 
 @query()
 def grf5_route_plan(spark, sf):
-    """Routes between nodes with a turn at each bend."""
-    known = arcs(spark, sf, whole=True)
-    asks = nodes(spark, sf).select(F.col("node").alias("ask"), F.col("node").alias("source"))
-    near = roads.distances(known, asks.select(F.col("source").alias("node")), 900.0).where("distance > 0").groupBy("source").agg(F.max_by("node", "distance").alias("target"))
-    route = roads.routes(known, asks.join(near, "source").select("ask", "source", "target"), 900.0)
-    ways_ = known.groupBy("start_node", "end_node").agg(F.min("bearing").alias("bearing"))
-    w = Window.partitionBy("ask").orderBy("step")
-    turned = route.join(ways_, ["start_node", "end_node"]).withColumn("before", F.lag("bearing").over(w))
-    change = F.pmod(F.col("bearing") - F.col("before") + 180, F.lit(360.0)) - 180
-    return turned.select("ask", "step", "start_node", "end_node", "length", "so_far", F.coalesce(S.turn_instruction(change), F.lit("Start")).alias("say"))
+    """Routes between points with a turn at each bend."""
+    out = roads.plan_routes(route_asks(spark, sf), arcs(spark, sf), ["way", "pos", "direction"], 600.0)
+    return out.select("ask", "leg", "kind", _r("length", 5).alias("length"), _r("so_far", 5).alias("so_far"), "say")
 
 
 @query(f"WITH {NODES} SELECT round(avg(e), 6) AS e0, round(avg(n), 6) AS n0 FROM nodes")
@@ -120,56 +119,50 @@ def grf8_route_progress(spark, sf):
     return best.select("event_id", "m.off", "m.leg", _r("m.along").alias("along"))
 
 
-_POINTS = f"""{TRACK}, obs AS (SELECT event_id AS obs, drive, t, value * 10 AS e, CAST(event_id % 1000 AS DOUBLE) AS n, 12e0 AS sigma, 5e0 AS speed, CAST(event_id * 37 % 360 AS DOUBLE) AS course FROM track WHERE event_id % 10 = 0)"""
+_POINTS = f"""{TRACK}, obs AS (SELECT event_id AS obs, drive, t, value * 10 - 640 * floor(value * 10 / 640) AS e, event_id / 2 AS n, 12e0 AS sigma, 5e0 AS speed, CAST(event_id * 37 % 360 AS DOUBLE) AS course FROM track)"""
 
 
-def observations(spark, sf, whole=False):
-    """Points of the events that the given SQL names (every tenth), or of all."""
-    k = F.col("event_id")
-    rows = track(spark, sf) if whole else track(spark, sf).where("event_id % 10 = 0")
-    return rows.select(k.alias("obs"), "drive", "t", (F.col("value") * 10).alias("e"), (k % 1000).cast("double").alias("n"), F.lit(12.0).alias("sigma"), F.lit(5.0).alias("speed"), (k * 37 % 360).cast("double").alias("course"))
+def observations(spark, sf):
+    """Points of all events, spread over the strip of the road graph."""
+    k, v = F.col("event_id"), F.col("value") * 10
+    return track(spark, sf).select(k.alias("obs"), "drive", "t", (v - 640 * F.floor(v / 640)).alias("e"), (k / 2).alias("n"), F.lit(12.0).alias("sigma"), F.lit(5.0).alias("speed"), (k * 37 % 360).cast("double").alias("course"))
 
 
-_NEAR = """met AS (SELECT obs, way, pos, direction, e, n, sigma, course, bearing, start_e, start_n, end_e, end_n, least(greatest(((e - start_e) * (end_e - start_e) + (n - start_n) * (end_n - start_n)) / (length * length), 0), 1) AS f FROM obs JOIN arcs ON length >= 0.2
-  AND least(start_e, end_e) <= e + 37 AND greatest(start_e, end_e) >= e - 37 AND least(start_n, end_n) <= n + 37 AND greatest(start_n, end_n) >= n - 37),
+#: Arcs are shorter than 100 m and what is sought lies within 100 m, so bands of 200 m and their neighbours are enough.
+_NEAR = """band AS (SELECT *, floor(n / 200) + unnest([-1, 0, 1]) AS band FROM obs), met AS (SELECT obs, way, pos, direction, e, n, sigma, course, bearing, start_e, start_n, end_e, end_n, length,
+  least(greatest(((e - start_e) * (end_e - start_e) + (n - start_n) * (end_n - start_n)) / (length * length), 0), 1) AS f FROM band JOIN (SELECT *, floor(start_n / 200) AS band FROM arcs WHERE length >= 0.2) USING (band)),
 near AS (SELECT *, sqrt(pow(e - start_e - f * (end_e - start_e), 2) + pow(n - start_n - f * (end_n - start_n), 2)) AS distance, abs(bearing - course + 180 - 360 * floor((bearing - course + 180) / 360) - 180) AS gap FROM met)"""
 
 
 @query(f"""WITH {_POINTS}, {_ARCS}, {_NEAR}, s AS (SELECT obs, way, pos, direction, distance, -0.5 * pow(distance / sigma, 2) - ln(sigma) - 0.5 * pow(gap / 35, 2) AS emission FROM near WHERE distance <= 36),
 r AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY round(emission, 9) DESC, way, pos, direction) AS rank FROM s) SELECT obs, way, pos, direction, rank, round(distance, 5) AS distance, round(emission, 5) AS emission FROM r WHERE rank <= 12""")
-def jon6_spatial_candidates(spark, sf, whole=False):
-    out = roads.candidates(observations(spark, sf, whole), arcs(spark, sf, whole=whole), ["way", "pos", "direction"])
+def jon6_spatial_candidates(spark, sf):
+    out = roads.candidates(observations(spark, sf), arcs(spark, sf), ["way", "pos", "direction"])
     return out.select("obs", "way", "pos", "direction", "rank", _r("distance", 5).alias("distance"), _r("emission", 5).alias("emission"))
 
 
-@query(f"""WITH {_POINTS}, {NODES}, d AS (SELECT obs, node, sqrt((obs.e - nodes.e) * (obs.e - nodes.e) + (obs.n - nodes.n) * (obs.n - nodes.n)) AS d FROM obs, nodes WHERE abs(obs.e - nodes.e) <= 100 AND abs(obs.n - nodes.n) <= 100),
-r AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY d, node) AS rank FROM d WHERE d <= 100) SELECT obs, node, rank, round(d, 5) AS distance FROM r WHERE rank <= 8""")
-def jon7_nearest_neighbours(spark, sf, whole=False):
-    cell = 100.0
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))
-    asks = observations(spark, sf, whole).select("obs", "e", "n").withColumn("cx", around("e")).withColumn("cy", around("n"))
-    have = nodes(spark, sf).select("node", F.col("e").alias("ne"), F.col("n").alias("nn"), F.floor(F.col("e") / cell).alias("cx"), F.floor(F.col("n") / cell).alias("cy"))
-    d = F.sqrt((F.col("e") - F.col("ne")) ** 2 + (F.col("n") - F.col("nn")) ** 2)
-    met = asks.join(have, ["cx", "cy"]).withColumn("d", d).where("d <= 100")
-    rank = F.row_number().over(Window.partitionBy("obs").orderBy("d", "node"))
-    return met.withColumn("rank", rank).where("rank <= 8").select("obs", "node", "rank", _r("d", 5).alias("distance"))
+@query(f"""WITH {_POINTS}, {_ARCS}, {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY round(distance, 9), way, pos, direction) AS rank FROM near WHERE distance <= 100)
+SELECT obs, way, pos, direction, rank, round(distance, 5) AS distance FROM r WHERE rank <= 8""")
+def jon7_nearest_neighbours(spark, sf):
+    out = roads.nearest_arcs(observations(spark, sf), arcs(spark, sf), ["way", "pos", "direction"])
+    return out.select("obs", "way", "pos", "direction", "rank", _r("distance", 5).alias("distance"))
 
 
 @query(f"WITH {NODES}, {WAYS}, w AS (SELECT way, pos, node, e, n, count(*) OVER (PARTITION BY way) = count(e) OVER (PARTITION BY way) AS whole FROM ways LEFT JOIN (SELECT * FROM nodes WHERE node % 50 <> 0) USING (node)) SELECT way, pos, node, e, n FROM w WHERE whole")
-def jon8_way_nodes(spark, sf, whole=False):
-    return roads.way_points(ways(spark, sf, whole), nodes(spark, sf).where("node % 50 <> 0")).select("way", "pos", "node", "e", "n")
+def jon8_way_nodes(spark, sf):
+    return roads.way_points(ways(spark, sf), nodes(spark, sf).where("node % 50 <> 0")).select("way", "pos", "node", "e", "n")
 
 
-@query(f"WITH {NODES}, {WAYS}, p AS (SELECT way, pos, e, n, lead(e) OVER (PARTITION BY way ORDER BY pos) AS e2, lead(n) OVER (PARTITION BY way ORDER BY pos) AS n2 FROM ways JOIN nodes USING (node)) SELECT way, pos, unnest([1, -1]) AS direction, round(sqrt((e2 - e) * (e2 - e) + (n2 - n) * (n2 - n)), 5) AS length FROM p WHERE e2 IS NOT NULL")
-def win15_pair_expansion(spark, sf, whole=False):
-    both = ways(spark, sf, whole).select("way").distinct().withColumn("directions", F.array(F.lit(1), F.lit(-1)))
-    return roads.arcs(roads.way_points(ways(spark, sf, whole), nodes(spark, sf)), both, 0.0).select("way", "pos", "direction", _r("length", 5).alias("length"))
+@query(f"WITH {NODES}, {WAYS}, {_POINTS_OF_WAYS}, p AS (SELECT way, pos, e, n, lead(e) OVER (PARTITION BY way ORDER BY pos) AS e2, lead(n) OVER (PARTITION BY way ORDER BY pos) AS n2 FROM points) SELECT way, pos, unnest([1, -1]) AS direction, round(sqrt((e2 - e) * (e2 - e) + (n2 - n) * (n2 - n)), 5) AS length FROM p WHERE e2 IS NOT NULL")
+def win15_pair_expansion(spark, sf):
+    both = ways(spark, sf).select("way").distinct().withColumn("directions", F.array(F.lit(1), F.lit(-1)))
+    return roads.arcs(roads.way_points(ways(spark, sf), nodes(spark, sf)), both, 0.0).select("way", "pos", "direction", _r("length", 5).alias("length"))
 
 
 @query()
 def sta15_map_matching(spark, sf):
-    known = arcs(spark, sf, whole=True).withColumn("arc", F.concat_ws(":", "way", "pos", "direction"))
-    found = roads.candidates(observations(spark, sf, whole=True), known, ["arc"])
+    known = arcs(spark, sf).withColumn("arc", F.concat_ws(":", "way", "pos", "direction"))
+    found = roads.candidates(observations(spark, sf), known, ["arc"])
     links = roads.distances(known, found.select(F.col("end_node").alias("node")).distinct(), 150.0)
     return roads.match_tracks(found, links.select(F.col("source").alias("a"), F.col("node").alias("b"), "distance"))
 
@@ -206,9 +199,9 @@ def mdl8_comparison(spark, sf):
 
 @query()
 def win16_random_walk(spark, sf):
-    """A seeded walk along each drive; its numbers follow the partitions of the input."""
-    w = Window.partitionBy("drive").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = track(spark, sf).withColumn("kick", F.randn(7))
+    """A seeded walk along each drive; its steps follow from the event and the seed alone."""
+    w = Window.partitionBy("drive").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = track(spark, sf).withColumn("kick", S.normal(F.lit(7), F.col("event_id")))
     return rows.select("event_id", F.sum("kick").over(w).alias("walk"))
 
 
@@ -230,34 +223,70 @@ def mdl3_linear_score(spark, sf):
     return norms(spark, sf).select("vec_id", _r(M.linear_score([F.col(f"n{k}") for k in range(3)], mean, scale, weights, 0.5, 3.0)).alias("delta"))
 
 
-MODEL = {"mean": [0.2] * 4, "scale": [0.1] * 4, "w1": [[0.1, -0.2], [0.3, 0.1], [-0.1, 0.2], [0.05, -0.3]], "b1": [0.1, -0.1], "w2": [0.7, -0.4], "b2": 0.2, "target_mean": 12.0, "target_scale": 5.0, "noise_coefficients": [1.0, 0.1, -0.1, 0.2, 0.05], "variance_calibration": 1.1}
+#: The shape of the speed network: twenty features, twenty-four hidden units. Its numbers here follow a rule.
+_W1, _B1, _W2 = "0.1 * sin(7 * j + 3 * h)", "0.1 * cos(5 * h)", "0.2 * sin(11 * h)"
+MODEL = {
+    "mean": [0.2] * 20, "scale": [0.1] * 20, "w1": [[0.1 * math.sin(7 * j + 3 * h) for h in range(24)] for j in range(20)], "b1": [0.1 * math.cos(5 * h) for h in range(24)], "w2": [0.2 * math.sin(11 * h) for h in range(24)],
+    "b2": 0.2, "target_mean": 12.0, "target_scale": 5.0, "noise_coefficients": [*[0.05 * math.cos(2 * j) for j in range(20)], 1.0], "variance_calibration": 1.1,
+}
+_STATS = [f"{c}_{stat}" for stat in ("mean", "std", "min", "max", "last") for c in ("n0", "n1", "n2", "n3")]
 
 
-@query(f"""WITH {RECORDER}, {_NORMS}, f AS (SELECT vec_id, greatest(abs(n0 - 0.2), abs(n1 - 0.2), abs(n2 - 0.2), abs(n3 - 0.2)) / 0.1 > 8 AS far, least(greatest((n0 - 0.2) / 0.1, -8), 8) AS a, least(greatest((n1 - 0.2) / 0.1, -8), 8) AS b, least(greatest((n2 - 0.2) / 0.1, -8), 8) AS c, least(greatest((n3 - 0.2) / 0.1, -8), 8) AS d FROM norms)
-SELECT vec_id, far AS out_of_range, round(least(greatest((0.2 + 0.7 * tanh(0.1 + 0.1 * a + 0.3 * b - 0.1 * c + 0.05 * d) - 0.4 * tanh(-0.1 - 0.2 * a + 0.1 * b + 0.2 * c - 0.3 * d)) * 5 + 12, 0), 60), 6) AS speed,
-  round(least(greatest(exp(least(greatest(1 + 0.1 * a - 0.1 * b + 0.2 * c + 0.05 * d, -4), 8)) * 1.1, 0.25), 400), 6) AS variance FROM f""")
-def mdl4_network_score(spark, sf):
-    out = M.network_score([F.col(f"n{k}") for k in range(4)], MODEL)
-    return norms(spark, sf).select("vec_id", out["out_of_range"].alias("out_of_range"), _r(out["speed"]).alias("speed"), _r(out["variance"]).alias("variance"))
+def speed_features(spark, sf):
+    """The twenty features of the speed network, statistic by statistic, over windows of twenty rows."""
+    out = T.rolling_features(norms(spark, sf), ["n0", "n1", "n2", "n3"], D, ["vec_id"])
+    return out.select("drive", "vec_id", *_STATS)
 
 
-@query()
-def mdl5_network_training(spark, sf):
-    sample = norms(spark, sf).orderBy(F.xxhash64("vec_id")).limit(20_000).toPandas()  # a bounded training sample
-    model = M.train_network(sample.sort_values("vec_id"), ["n0", "n1", "n2"], "n3", hidden=8, epochs=5)
-    return norms(spark, sf).select("vec_id", M.network_score([F.col(f"n{k}") for k in range(3)], model)["speed"].alias("speed"))
+@query(f"""WITH {RECORDER}, {_NORMS}, w AS ({_features_sql(["n0", "n1", "n2", "n3"], "drive", "vec_id", "norms", "vec_id")}),
+z AS (SELECT vec_id, list_transform([{", ".join(_STATS)}], lambda x: (x - 0.2) / 0.1) AS u FROM w),
+c AS (SELECT vec_id, list_max(list_transform(u, lambda x: abs(x))) > 8 AS far, list_transform(u, lambda x: least(greatest(x, -8), 8)) AS z FROM z),
+o AS (SELECT vec_id, far, 0.2 + list_sum(list_transform(range(24), lambda h: {_W2} * tanh({_B1} + list_sum(list_transform(range(20), lambda j: z[j + 1] * {_W1}))))) AS y,
+  1 + list_sum(list_transform(range(20), lambda j: z[j + 1] * 0.05 * cos(2 * j))) AS noise FROM c)
+SELECT vec_id, far AS out_of_range, round(least(greatest(y * 5 + 12, 0), 60), 3) AS speed, round(least(greatest(exp(least(greatest(noise, -4), 8)) * 1.1, 0.25), 400), 2) AS variance FROM o""")
+def mdl4_network_score(spark, sf):
+    out = M.network_score([_r(c, 9 if c.endswith("mean") else 4) if c.endswith(("mean", "std")) else F.col(c) for c in _STATS], MODEL)
+    return speed_features(spark, sf).select("vec_id", out["out_of_range"].alias("out_of_range"), _r(out["speed"], 3).alias("speed"), _r(out["variance"], 2).alias("variance"))
 
 
 @query()
+def mdl5_network_training(spark, sf):
+    """A network of that shape fitted on the features, and its speeds; every fifth drive chooses and calibrates."""
+    rows = speed_features(spark, sf).join(norms(spark, sf).select("vec_id", (F.col("n3") * 20).alias("y")), "vec_id")
+    sample = M.training_sample(rows, "vec_id")
+    held = (sample["drive"] % 5 == 4).to_numpy()
+    model = M.train_network(sample[_STATS].to_numpy(float), sample["y"].to_numpy(float), held)
+    out = M.network_score([F.col(c) for c in _STATS], model)
+    return rows.select("vec_id", out["speed"].alias("speed"), out["variance"].alias("variance"))
+
+
+def _robust_sql() -> str:
+    """Four rounds, each a fit of the rows kept, its residuals and what stays."""
+    parts = ["k0 AS (SELECT drive, event_id % 100 AS x, value AS y, TRUE AS keep FROM track)"]
+    for k in range(4):
+        parts += [
+            f"f{k} AS (SELECT drive, CASE WHEN count(*) >= 30 THEN regr_slope(y, x) END AS a, CASE WHEN count(*) >= 30 THEN regr_intercept(y, x) END AS b FROM k{k} WHERE keep GROUP BY drive)",
+            f"r{k} AS (SELECT k.drive, x, y, keep, f.a, f.b, y - f.a * x - f.b AS r FROM k{k} k JOIN f{k} f ON k.drive = f.drive)",
+            f"m{k} AS (SELECT drive, quantile_cont(r, 0.5) AS m, stddev_pop(r) AS s FROM r{k} WHERE keep GROUP BY drive)",
+            f"d{k} AS (SELECT drive, quantile_cont(abs(r - m), 0.5) AS d FROM r{k} JOIN m{k} USING (drive) WHERE keep GROUP BY drive)",
+            f"k{k + 1} AS (SELECT drive, x, y, a, b, r, coalesce(abs(r - m) <= 4.5 * greatest(1.4826 * d, 0.25 * s, 1e-3), keep) AS keep FROM r{k} JOIN m{k} USING (drive) JOIN d{k} USING (drive))",
+        ]
+    return f"""WITH {TRACK}, {", ".join(parts)} SELECT drive, round(any_value(a), 6) AS slope, round(any_value(b), 6) AS offset_, round(CASE WHEN any_value(a) IS NOT NULL AND var_pop(y) FILTER (WHERE keep) * count(*) FILTER (WHERE keep) > 1e-12
+  THEN 1 - sum(r * r) FILTER (WHERE keep) / (var_pop(y) FILTER (WHERE keep) * count(*) FILTER (WHERE keep)) END, 6) AS r2, round(CASE WHEN any_value(a) IS NOT NULL THEN sqrt(sum(r * r) FILTER (WHERE keep) / greatest(count(*) FILTER (WHERE keep), 1)) END, 6) AS rmse,
+  count(*) FILTER (WHERE keep) AS n FROM k4 GROUP BY drive"""
+
+
+@query(_robust_sql())
 def mdl7_robust_line(spark, sf):
-    return M.robust_line(track(spark, sf).withColumn("x", F.col("event_id") % 100), "x", "value", D)
+    out = M.robust_fit(track(spark, sf).withColumn("x", F.col("event_id") % 100), ["x"], "value", D)
+    return out.select("drive", _r(F.col("coefficients")[0]).alias("slope"), _r(F.col("coefficients")[1]).alias("offset_"), _r("r2").alias("r2"), _r("rmse").alias("rmse"), "n")
 
 
 @query(f"WITH {TRACK} SELECT event_id, round(abs(value - (SELECT quantile_cont(value, 0.5) FROM track)), 6) AS error, value AS zero_error FROM track")
 def mdl9_constant_baselines(spark, sf):
     rows = track(spark, sf)
-    middle = rows.agg(F.percentile("value", F.lit(0.5)).alias("m"))  # one row
-    return rows.join(F.broadcast(middle)).select("event_id", _r(F.abs(F.col("value") - F.col("m"))).alias("error"), F.col("value").alias("zero_error"))
+    middle = F.lit(spread_quantile(rows, "value", 0.5))
+    return rows.select("event_id", _r(F.abs(F.col("value") - middle)).alias("error"), F.col("value").alias("zero_error"))
 
 
 @query(f"WITH {TRACK}, n AS (SELECT event_id, row_number() OVER (PARTITION BY drive ORDER BY t) AS r, count(*) OVER (PARTITION BY drive) AS c FROM track) SELECT event_id, r <= c - 10 AS eligible FROM n WHERE r < c")
@@ -289,13 +318,20 @@ def sta6_handheld_filter(spark, sf):
     return navigation.replay(filter_events(spark, sf), profile=navigation.HANDHELD)
 
 
-_BINS = "b AS (SELECT drive, CAST(floor(us / 3600000000) AS BIGINT) AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM track GROUP BY ALL)"
+#: A day of the track counts as 100 ms here, two and a half as 250 ms, three bins as twenty.
+DAY = 86_400_000_000
 
 
-@query(f"WITH {TRACK}, {_BINS} SELECT drive, bin, n, mean, bin - lag(bin) OVER (PARTITION BY drive ORDER BY bin) > 1 AS cleared FROM b")
+@query(f"""WITH {TRACK}, g AS (SELECT drive, us, value, us - lag(us) OVER (PARTITION BY drive ORDER BY us) AS dt FROM track),
+r AS (SELECT *, sum(CASE WHEN dt <= 0 OR dt > 216000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY drive ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM g),
+b AS (SELECT drive, run, us // 86400000000 AS bin, avg(value) AS v FROM r GROUP BY ALL), n AS (SELECT *, lead(bin) OVER (PARTITION BY drive, run ORDER BY bin) AS nxt FROM b),
+w AS (SELECT *, CASE WHEN lag(bin) OVER (PARTITION BY drive, run ORDER BY bin) = bin - 1 THEN 0 ELSE 1 END AS skip FROM n WHERE nxt = bin + 1),
+c AS (SELECT *, sum(skip) OVER (PARTITION BY drive, run ORDER BY bin ROWS UNBOUNDED PRECEDING) AS chain FROM w),
+f AS (SELECT drive, (bin + 1) * 86400000000 AS start, avg(v) OVER x AS m, stddev_pop(v) OVER x AS s, min(v) OVER x AS lo, max(v) OVER x AS hi, v, count(*) OVER x AS k FROM c WINDOW x AS (PARTITION BY drive, run, chain ORDER BY bin ROWS 2 PRECEDING))
+SELECT drive, start, round(m, 6) AS value_mean, round(s, 4) AS value_std, round(lo, 6) AS value_min, round(hi, 6) AS value_max, round(v, 6) AS value_last FROM f WHERE k = 3""")
 def sta11_completed_bins(spark, sf):
-    binned = track(spark, sf).groupBy("drive", F.floor(F.col("us") / 3600000000).alias("bin")).agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"))
-    return T.steps(binned, "bin", D, ["bin"]).select("drive", "bin", "n", "mean", (F.col("step") > 1).alias("cleared"))
+    out = T.completed_bins(track(spark, sf), "us", ["value"], D, DAY, DAY * 5 // 2, 3)
+    return out.select("drive", "start", *[_r(f"value_{c}", 4 if c == "std" else 6).alias(f"value_{c}") for c in ("mean", "std", "min", "max", "last")])
 
 
 _LATCH = """l AS (SELECT event_id, drive, t, value, CASE WHEN value >= 20 THEN 1 WHEN value <= 12 THEN 0 ELSE 2 END AS c FROM track),
@@ -325,12 +361,6 @@ def sta8_mode_machine(spark, sf):
     return rows.select("event_id", mode.alias("mode"))
 
 
-@query(f"WITH {TRACK} SELECT event_id, us * 1000 AS timestamp_ns, round((value - 20) * 9.80665, 8) AS accel, round(radians(value), 8) AS yaw_rate FROM track")
-def sta9_adapter_normalisation(spark, sf):
-    v = F.col("value")
-    return track(spark, sf).select("event_id", (F.col("us") * 1000).alias("timestamp_ns"), _r(S.in_base_unit(v - 20, F.lit("g")), 8).alias("accel"), _r(S.in_base_unit(v, F.lit("deg/s")), 8).alias("yaw_rate"))
-
-
 @query(f"""WITH {TRACK} SELECT event_id, CASE WHEN value > 60 THEN 'not a JSON object' WHEN event_id % 5 = 0 THEN 'event type must be imu or gnss' END AS error FROM track WHERE event_id % 7 <> 0""")
 def src5_json_lines(spark, sf):
     k, v = F.col("event_id"), F.col("value")
@@ -389,11 +419,55 @@ def outage_replay(spark, sf):
     return navigation.replay(events), navigation.replay(out.where(~(inside & (F.col("type") == "gnss"))))
 
 
+def true_tracks(spark, sf):
+    """A steady recording of each drive: a tenth of a second a row, speeds and turns from the values."""
+    w = Window.partitionBy("drive").orderBy("us", "event_id")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = track(spark, sf).select("drive", (F.row_number().over(w).cast("long") * 100_000_000).alias("timestamp_ns"), F.sum((F.col("value") - 20) / 100).over(past).alias("turn"), (8 + F.sin(F.row_number().over(w) / 9.0)).alias("speed"))
+    heading = S.wrap(F.col("turn") / 10)
+    rows = rows.withColumn("heading", heading).withColumn("east", F.lit(0.0))
+    order = Window.partitionBy("drive").orderBy("timestamp_ns")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    dt = 0.1
+    rows = rows.withColumn("accel", (F.col("speed") - F.coalesce(F.lag("speed").over(order), "speed")) / dt).withColumn("yaw_rate", S.wrap(F.col("heading") - F.coalesce(F.lag("heading").over(order), "heading")) / dt)
+    return rows.withColumn("east", F.sum(F.col("speed") * F.cos("heading") * dt).over(so_far)).withColumn("north", F.sum(F.col("speed") * F.sin("heading") * dt).over(so_far))
+
+
+@query()
+def sim2_outage_benchmark(spark, sf):
+    """Noisy recorders on true tracks, fixes once a second but not from the second to the fifth."""
+    return replays.outage_benchmark(true_tracks(spark, sf), "drive", 2.0, 3.0)
+
+
 @query()
 def sim5_outage_replay(spark, sf):
-    from ..operators.aggregates import hypot
+    """Six ways of dead reckoning from each recording's third second on, with learned speeds and foretold changes."""
+    rows = true_tracks(spark, sf).where("timestamp_ns > 3000000000")
+    k = F.col("timestamp_ns") / 1e8
+    rows = rows.select(
+        "drive", "timestamp_ns", (F.col("accel") + 0.02).alias("accel"), (F.col("yaw_rate") + 0.002).alias("yaw_rate"), F.when(k % 13 == 0, 0.2).otherwise(1.0).alias("quality"), F.col("east").alias("ref_e"), F.col("north").alias("ref_n"),
+        F.col("speed").alias("ref_speed"), S.heading_to_course(F.col("heading")).alias("ref_course"), (F.col("speed") + 0.3).alias("learned_speed"), F.lit(1.5).alias("learned_variance"), (k % 17 == 0).alias("learned_out_of_range"),
+        F.lit(0.05).alias("speed_change"), F.lit(1.0).alias("change_variance"), F.lit(1.0).alias("horizon_s"),
+    )
+    return replays.outage_methods(rows, "drive")
+
 
-    truth, lost = (d.where("error is null") for d in outage_replay(spark, sf))
-    both = truth.select("source_id", "timestamp_ns", F.col("east").alias("e"), F.col("north").alias("n")).join(lost.select("source_id", "timestamp_ns", F.col("east").alias("e2"), F.col("north").alias("n2")), ["source_id", "timestamp_ns"])
-    err = hypot(F.col("e2") - F.col("e"), F.col("n2") - F.col("n"))
-    return both.withColumn("err", err).groupBy("source_id").agg(F.max_by("err", "timestamp_ns").alias("endpoint"), F.max("err").alias("largest"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rmse"))
+@query(f"""WITH {TRACK} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'gravity is unknown for a sample that includes it' END AS error, CASE WHEN event_id % 11 <> 0 THEN CAST(round(CAST(us AS DOUBLE) * 1000) AS BIGINT) + 5 END AS timestamp_ns,
+  CASE WHEN event_id % 11 <> 0 THEN round(-(value / 50 * 9.80665 - 0.1 - value / 100), 8) END AS accel, CASE WHEN event_id % 11 <> 0 THEN round(radians(value) - 0.01, 8) END AS yaw_rate FROM track""")
+def sta9_adapter_normalisation(spark, sf):
+    """A device that lies crosswise: its second axis points back, its first one to the left."""
+    device = edge.Recorder("g", "deg/s", "us", 5, ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), acceleration_bias=(0.0, 0.1, 0.0), rate_bias=(0.0, 0.0, 0.01))
+    v = F.col("value")
+    samples = track(spark, sf).select("event_id", F.col("event_id").alias("source_id"), F.col("us").cast("double").alias("time"), F.array(v / 90, v / 50, F.lit(1.0)).alias("acceleration"), F.array(F.lit(0.0), F.lit(1.0), v).alias("angular_rate"), F.when(F.col("event_id") % 11 != 0, F.array(F.lit(0.1), v / 100, F.lit(9.8))).alias("gravity"))
+    return edge.normalised(samples, device).select("event_id", "error", "timestamp_ns", _r("accel", 8).alias("accel"), _r("yaw_rate", 8).alias("yaw_rate"))
+
+
+@query(f"""WITH {TRACK}, g AS (SELECT drive, us, sensor, us - lag(us) OVER w AS dt, row_number() OVER (PARTITION BY drive ORDER BY us DESC) AS back FROM track WINDOW w AS (PARTITION BY drive ORDER BY us)),
+o AS (SELECT drive, count(*) AS outputs, (count(*) - 1) * 1e9 / nullif(max(us) - min(us), 0) AS output_hz FROM track WHERE sensor = 'click' GROUP BY drive)
+SELECT g.drive, count(*) AS samples, count(*) FILTER (WHERE dt > 150000000000) AS gaps, round((count(*) - 1) * 1e9 / nullif(max(us) - min(us), 0), 9) AS input_hz, round(quantile_cont(dt / 1e6, 0.5), 4) AS median_step_ms,
+  round(stddev_pop(dt / 1e6), 4) AS jitter_ms, coalesce(any_value(outputs), 0) AS outputs, round(any_value(output_hz), 9) AS output_hz FROM g LEFT JOIN o USING (drive) GROUP BY g.drive""")
+def sta10_edge_diagnostics(spark, sf):
+    """A microsecond of the track counts as a nanosecond; recordings here are shorter than the last 256 samples."""
+    rows = track(spark, sf).select("drive", F.col("us").alias("timestamp_ns"), "sensor")
+    out = edge.diagnostics(rows, rows.where("sensor = 'click'"), 0.01, "drive", last=1 << 30)
+    return out.select("drive", "samples", "gaps", _r("input_hz", 9).alias("input_hz"), _r("median_step_ms", 4).alias("median_step_ms"), _r("jitter_ms", 4).alias("jitter_ms"), "outputs", _r("output_hz", 9).alias("output_hz"))

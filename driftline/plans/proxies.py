@@ -5,7 +5,7 @@ They exercise the mechanics of the operators; they say nothing about the accurac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A track for each user: time, position and a signal.
@@ -18,11 +18,14 @@ TRACK = """track AS (
 RECORDER = """recorder AS (
   SELECT label AS drive, vec_id, vec_id / 1e1 AS t, list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"""
 
-#: A road graph: parts are nodes, consecutive parts of an order are joined by a way.
+#: A road graph of even density: parts are nodes on a strip of sixteen columns, 40 m apart and a little off the lattice;
+#: each order is a way that runs down a column or along a row from the part of its first line.
 NODES = """nodes AS (
-  SELECT p_partkey AS node, CAST((p_partkey * 7919) % 1000 AS DOUBLE) AS e, CAST((p_partkey * 104729) % 1000 AS DOUBLE) AS n FROM part)"""
+  SELECT p_partkey AS node, CAST(p_partkey % 16 * 40 + p_partkey * 7919 % 17 AS DOUBLE) AS e, CAST(p_partkey // 16 * 40 + p_partkey * 104729 % 13 AS DOUBLE) AS n FROM part)"""
 WAYS = """ways AS (
-  SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM lineitem WHERE l_orderkey % 20 = 0)"""
+  SELECT way, CASE WHEN first > 96 THEN first - (pos - 1) * step ELSE first + (pos - 1) * step END AS node, pos FROM (
+    SELECT l_orderkey AS way, row_number() OVER w AS pos, first_value(l_partkey) OVER w AS first, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 16 END AS step
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)))"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +47,12 @@ def recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(key.alias("node"), ((key * 7919) % 1000).cast("double").alias("e"), ((key * 104729) % 1000).cast("double").alias("n"))
+    e, n = key % 16 * 40 + key * 7919 % 17, F.floor(key / 16) * 40 + key * 104729 % 13
+    return table(spark, sf_dir, "part").select(key.alias("node"), e.cast("double").alias("e"), n.cast("double").alias("n"))
 
 
-def ways(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Ways of the orders that the given SQL names (every twentieth), or of all."""
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    lines = table(spark, sf_dir, "lineitem")
-    lines = lines if whole else lines.where(F.col("l_orderkey") % 20 == 0)
-    return lines.select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("node"), at.alias("pos"))
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way"), F.row_number().over(w).alias("pos"), F.first("l_partkey").over(w).alias("first"))
+    along = (F.col("pos") - 1) * F.when(F.col("way") % 2 == 0, 1).otherwise(16)
+    return lines.select("way", F.when(F.col("first") > 96, F.col("first") - along).otherwise(F.col("first") + along).alias("node"), "pos")

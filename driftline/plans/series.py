@@ -184,10 +184,10 @@ def jon3_clamped_interpolation(spark, sf):
 
 
 @query(f"""WITH {TRACK}, {_CLICK}, {_VIEW}, a AS (SELECT drive, value, row_number() {_W} AS r FROM p), b AS (SELECT drive, value, row_number() {_W} AS r FROM v),
-l AS (SELECT unnest(range(-5, 6)) AS lag) SELECT a.drive, CAST(lag AS INTEGER) AS lag, count(*) AS n, round(corr(a.value, b.value), 5) AS correlation
+l AS (SELECT unnest(range(-100, 101)) AS lag) SELECT a.drive, CAST(lag AS INTEGER) AS lag, count(*) AS n, round(corr(a.value, b.value), 5) AS correlation
 FROM a, l, b WHERE b.drive = a.drive AND b.r = a.r + lag GROUP BY ALL HAVING count(*) > 2""")
-def jon4_lag_sweep(spark, sf, reach=5):
-    return T.lag_sweep(*_two(spark, sf), "value", D, ["t"], reach).where("n > 2").select("drive", "lag", "n", _r("correlation", 5).alias("correlation"))
+def jon4_lag_sweep(spark, sf):
+    return T.lag_sweep(*_two(spark, sf), "value", D, ["t"], 100).where("n > 2").select("drive", "lag", "n", _r("correlation", 5).alias("correlation"))
 
 
 @query(f"""WITH {TRACK} SELECT a.event_id, (SELECT min_by(b.value, b.t) FROM track b WHERE b.drive = a.drive AND b.t >= a.t + 43200 AND b.t <= a.t + 43200 + 20000) AS later FROM track a""")

@@ -34,9 +34,9 @@ def agg2_linear_quantile(spark, sf):
     return A.quantiles(track(spark, sf), "value", D, 0.95).select("drive", _r("median").alias("median"), _r("quantile").alias("quantile"))
 
 
-@query(f"WITH {TRACK}, l AS (SELECT drive, value, row_number() OVER (PARTITION BY drive ORDER BY t DESC) AS r FROM track) SELECT drive, quantile_disc(value, 0.95) AS quantile FROM l WHERE r <= 40 GROUP BY drive")
-def agg3_nearest_rank(spark, sf, last=40):
-    return A.nearest_rank(track(spark, sf), "value", D, "t", 0.95, last)
+@query(f"WITH {TRACK}, l AS (SELECT drive, value, row_number() OVER (PARTITION BY drive ORDER BY t DESC) AS r FROM track) SELECT drive, quantile_disc(value, 0.95) AS quantile FROM l WHERE r <= 512 GROUP BY drive")
+def agg3_nearest_rank(spark, sf):
+    return A.nearest_rank(track(spark, sf), "value", D, "t", 0.95)
 
 
 _PAIRS = f"""{TRACK}, {_CLICK}, {_VIEW}, a AS (SELECT drive, t, row_number() {_W} AS r FROM p), b AS (SELECT drive, t, row_number() {_W} AS r FROM v),
@@ -54,10 +54,10 @@ def agg4_clock_audit(spark, sf):
 
 
 @query(f"""WITH {TRACK}, g AS (SELECT drive, t - lag(t) {_W} AS dt, row_number() OVER (PARTITION BY drive ORDER BY t DESC) AS r FROM track),
-m AS (SELECT drive, quantile_cont(dt, 0.5) AS m FROM g WHERE r < 40 AND dt > 0 GROUP BY drive)
-SELECT drive, round(m, 4) AS median_step, round(sqrt(avg((dt - m) * (dt - m)) FILTER (WHERE r < 40)), 4) AS jitter, count(*) FILTER (WHERE dt > 1.5 * m) AS gaps FROM g JOIN m USING (drive) WHERE dt > 0 GROUP BY drive, m""")
-def agg5_cadence(spark, sf, last=40):
-    return A.cadence(track(spark, sf), "t", D, last).select("drive", _r("median_step", 4).alias("median_step"), _r("jitter", 4).alias("jitter"), "gaps")
+m AS (SELECT drive, quantile_cont(dt, 0.5) AS m FROM g WHERE r < 256 AND dt > 0 GROUP BY drive)
+SELECT drive, round(m, 4) AS median_step, round(sqrt(avg((dt - m) * (dt - m)) FILTER (WHERE r < 256)), 4) AS jitter, count(*) FILTER (WHERE dt > 1.5 * m) AS gaps FROM g JOIN m USING (drive) WHERE dt > 0 GROUP BY drive, m""")
+def agg5_cadence(spark, sf):
+    return A.cadence(track(spark, sf), "t", D).select("drive", _r("median_step", 4).alias("median_step"), _r("jitter", 4).alias("jitter"), "gaps")
 
 
 @query(f"WITH {TRACK}, g AS (SELECT drive, t - lag(t) {_W} AS dt FROM track) SELECT drive, round(min(dt) FILTER (WHERE dt > 0), 4) AS low, round(max(dt) FILTER (WHERE dt > 0), 4) AS high, round(sum(dt) FILTER (WHERE dt > 0) / (count(*) - 1), 4) AS mean FROM g GROUP BY drive")
@@ -180,11 +180,9 @@ def agg21_split_summary(spark, sf):
     return track(spark, sf).groupBy(F.col("sensor").alias("split")).agg(F.count("*").alias("n"), F.count_distinct("drive").alias("drives"), _r(F.sum("value"), 4).alias("total"))
 
 
-@query(f"WITH {TRACK} SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS pos FROM track WHERE drive < 10")
-def srt1_stable_sort(spark, sf, whole=False):
-    """The ten drives that the given SQL names, or all."""
-    rows = track(spark, sf) if whole else track(spark, sf).where("drive < 10")
-    return T.positions(rows.select("event_id", "t"), ["t", "event_id"]).select("event_id", "pos")
+@query(f"WITH {TRACK} SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS pos FROM track")
+def srt1_stable_sort(spark, sf):
+    return T.positions(track(spark, sf).select("event_id", "t"), ["t", "event_id"]).select("event_id", "pos")
 
 
 @query(f"WITH {TRACK} SELECT event_id, value FROM track ORDER BY value DESC, event_id LIMIT 10")

@@ -27,6 +27,92 @@ def scenario():
     return pd.DataFrame(rows)
 
 
+def imu(ns, **more):
+    return {"timestamp_ns": ns, "accel": 0.0, "yaw_rate": 0.0, "quality": 1.0, "driving": False, "stationary": False} | more
+
+
+def test_learned_speeds_are_admitted_once_a_second_from_good_samples():
+    n, used = Navigator(), []
+    n.forward_speed = lambda speed, variance: used.append((n.clock, speed, variance))
+    second = 1_000_000_000
+    for k, more in enumerate([{}, {"quality": 0.6}, {"learned_out_of_range": True}, {}, {}]):
+        n.step("imu", imu(second // 2 * (k + 1), learned_speed=5.0 + k, learned_variance=2.0, **more))
+    # the first; the second is of poor quality; the third uses up its turn; the fourth comes too early
+    assert used == [(second // 2, 5.0, 8.0), (second // 2 * 5, 9.0, 8.0)]
+
+
+def test_a_foretold_change_applies_at_its_horizon():
+    n, used = Navigator(), []
+    n.forward_speed = lambda speed, variance: used.append((n.clock, speed, variance))
+    for k in range(1, 25):
+        n.step("imu", imu(k * 100_000_000, speed_change=-3.0, change_variance=1.5, horizon_s=1.0))
+    # speeds don't fall below 0; the next is foretold when the horizon is over
+    assert used == [(1_100_000_000, 0.0, 1.5), (2_100_000_000, 0.0, 1.5)]
+
+
+def test_contract_of_events():
+    n = Navigator()
+    assert "quality" in n.step("imu", imu(1, quality=1.5))["error"]
+    n.step("imu", imu(10))
+    fix = {"timestamp_ns": 10, "latitude": 1.0, "longitude": 1.0, "sigma": 3.0, "east": None, "north": None, "course": None}
+    assert "negative" in n.step("gnss", fix | {"speed": -1.0})["error"]
+    assert n.step("gnss", fix | {"speed": 1.0}) == {"timestamp_ns": 10, "accepted": True}
+
+
+def test_the_handheld_filter():
+    n = HANDHELD.navigator()
+    out = n.step("imu", imu(1_000_000_000, accel=2.0))
+    assert out["mode"] == "WAITING_FOR_GNSS" and out["speed"] == 0
+    gnss = {"timestamp_ns": 1_000_000_000, "east": 0.0, "north": 0.0, "sigma": 8.0, "speed": None, "course": None}
+    n.step("gnss", gnss)
+    out = n.step("imu", imu(1_100_000_000, accel=2.0))
+    assert out["speed"] == 0 and out["mode"] == "GNSS_AIDED"  # no course yet, so accelerations have no direction
+    assert out["position_sigma"] >= 8.0 and n.p[0, 0] == pytest.approx(32.0)
+    n.step("gnss", gnss | {"timestamp_ns": 1_100_000_000, "speed": 5.0, "course": 90.0})
+    assert n.oriented and n.x[2] > 0 and abs(n.x[3]) < 1e-6
+    n.clock = 9_000_000_000
+    assert n.fix(3_000_000_000, 0.0, 0.0, 5.0) is False and n.degraded  # older than five seconds
+
+
+def test_outputs_can_wait_for_the_fixes_of_their_time(spark):
+    rows = [("a", "imu", k * 100_000_000, 0.0, 0.0, None, None, None) for k in range(1, 4)] + [("a", "gnss", 200_000_000, None, None, 7.0, 0.0, 2.0)]
+    events = spark.createDataFrame(rows, "source_id string, type string, timestamp_ns long, accel double, yaw_rate double, east double, north double, sigma double")
+    told = lambda **k: [round(r.east, 3) for r in navigation.replay(events, **k).orderBy("timestamp_ns").collect()]
+    assert told() == [0, 0, 7] and told(after_fixes=True) == [0, 7, 7]
+
+
+def test_folds_hold_one_state_however_rows_are_batched(spark):
+    from driftline.operators.signals import folded, rate_limit
+
+    rows = spark.range(30_000).selectExpr("id", "id % 3 as k", "cast(id as double) as t")
+    got = folded(rows, ["k"], ["t"], lambda: rate_limit(10.0), "id long, t double")
+    want = {k: len([1 for i in range(k, 30_000, 3)]) for k in range(3)}
+    found = {r.k: r.n for r in got.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert found == {k: math.ceil(n / 4) for k, n in want.items()}  # steps of three: every fourth is ten or more behind
+
+
+def test_edge_recorders(spark):
+    from driftline.operators import edge
+
+    with pytest.raises(ValueError, match="unknown"):
+        edge.Recorder("mph")
+    with pytest.raises(ValueError, match="gravity"):
+        edge.Recorder(without_gravity=True, gravity=(0.0, 0.0, 9.8))
+    rows = [("a", 0.1, [1.0, 2.0, 9.8]), ("a", 0.1, [1.0, 2.0, 9.8]), ("a", 0.2, [1.0, None, 9.8]), ("a", 0.3, [2.0, 2.0, 9.8])]
+    samples = spark.createDataFrame([(s, t, a, [0.0, 0.0, 0.5], None, k) for k, (s, t, a) in enumerate(rows)], "source_id string, time double, acceleration array<double>, angular_rate array<double>, gravity array<double>, position int")
+    out = edge.normalised(samples, edge.Recorder(gravity=(0.0, 0.0, 9.8))).orderBy("position").collect()
+    assert [(r.timestamp_ns, r.accel, r.error) for r in out] == [(100_000_000, 1.0, None), (None, None, "times must increase"), (None, None, "acceleration needs three finite values"), (300_000_000, 2.0, None)]
+
+
+def test_an_exact_quantile_of_a_whole_column(spark):
+    from driftline.operators.aggregates import spread_quantile
+
+    values = [float(k * k % 997) for k in range(5_000)] + [3.0] * 4_000
+    df = spark.createDataFrame([(v,) for v in values], "v double").unionByName(spark.createDataFrame([(None,)], "v double"))
+    for p in (0.0, 0.37, 0.5, 1.0):
+        assert spread_quantile(df, "v", p, small=50) == pytest.approx(np.quantile(values, p))
+
+
 def test_modes_over_an_outage(spark):
     events = scenario()
     form = "source_id string, type string, timestamp_ns long, accel double, yaw_rate double, quality double, driving boolean, stationary boolean, east double, north double, sigma double, speed double, course double"
@@ -174,15 +260,32 @@ def test_models(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
     w, mean = models.ridge(df, ["a", "b", "c"], "y", 10.0)
     assert w == pytest.approx(np.linalg.solve(x.T @ x + 10 * np.eye(3), x.T @ (y - y.mean()))) and mean == pytest.approx(y.mean())
-    model = models.train_network(df.toPandas(), ["a", "b", "c"], "y", epochs=60, batch=64, rate=0.01)
+    held = np.arange(400) % 5 == 4
+    model = models.train_network(x, y, held, epochs=60, batch=64, rate=0.01)
     out = models.network_score([F.col(c) for c in "abc"], model)
     z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
     want = np.clip((np.tanh(z @ np.array(model["w1"]) + model["b1"]) @ model["w2"] + model["b2"]) * model["target_scale"] + model["target_mean"], 0, 60)
     got = df.select(out["speed"].alias("s"), "y").toPandas()
     assert got["s"].to_numpy() == pytest.approx(want) and np.sqrt(((want - np.clip(y, 0, 60)) ** 2).mean()) < 0.5
-    line = spark.createDataFrame([("k", float(i), 2.0 * i + 1 + (1000 if i == 5 else 0)) for i in range(40)], "k string, x double, y double")
-    fit = models.robust_line(line, "x", "y", ["k"]).first()
-    assert (fit.slope, fit.offset, fit.n) == (pytest.approx(2), pytest.approx(1), 39)
+    rows = [("k", float(i), float(i * i % 7), 2.0 * i - 3.0 * (i * i % 7) + 1 + (1000 if i == 5 else 0)) for i in range(40)] + [("few", float(i), 0.0, 1.0) for i in range(20)]
+    line = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    fits = {r.k: r for r in models.robust_fit(line, ["a", "b"], "y", ["k"]).collect()}
+    assert fits["k"].coefficients == pytest.approx([2, -3, 1]) and fits["k"].n == 39 and fits["k"].r2 == pytest.approx(1)
+    assert fits["few"].error and fits["few"].coefficients is None
+
+
+def test_variance_head_is_calibrated_by_the_mean_ratio():
+    rng = np.random.default_rng(4)
+    z, held = rng.normal(size=(300, 2)), np.arange(300) % 3 == 0
+    error = rng.normal(size=300) * np.exp(z[:, 0] / 2)
+    noise, ratio = models.variance_head(z, error, held)
+    design = np.c_[z, np.ones(300)]
+    want = np.linalg.solve(design[~held].T @ design[~held] + 10 * np.eye(3), design[~held].T @ np.log(error[~held] ** 2 + 0.25))
+    guess = np.exp(np.clip(design[held] @ want, -4, 8))
+    assert noise == pytest.approx(want) and ratio == pytest.approx((error[held] ** 2 / np.maximum(guess, 0.25)).mean())
+
+
+def test_model_files(spark):
     with pytest.raises(ValueError, match="lacks"):
         logs.load_model("{}", {"mean": 3})
     with pytest.raises(ValueError, match="finite"):
