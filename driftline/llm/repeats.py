@@ -60,81 +60,73 @@ class Units:
         return [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
 
 
-def _kind(rolling: Rolling, first: np.ndarray, windows: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return mix(rolling.runs(first, first + windows + width - 1) + at.astype(np.uint64))
+#: Cells of the table that tells which anchors may be crowded; it is of fixed size.
+CELLS = 1 << 20
 
 
-STRETCH = "key long, twin long, {id}first int, windows int, at int, size int, anchor long, kind long"
+def stretches(texts: DataFrame, words: bool, width: int, size: int, crowded: list[np.ndarray] | None = None) -> DataFrame:
+    """(key, twin, id, first, windows, anchor, kind) of each stretch of ``texts`` (key, twin, id, text; the id may lack):
+    its first window, how many, and two hashes: of the anchor, and of the whole stretch with the anchor's place in it.
 
-
-def _form(texts: DataFrame) -> str:
-    return STRETCH.format(id=f"id {texts.schema['id'].dataType.simpleString()}, " if "id" in texts.columns else "")
-
-
-def stretches(texts: DataFrame, words: bool, width: int, size: int) -> DataFrame:
-    """(key, twin, id, first, windows, at, size, anchor, kind) of each stretch of ``texts`` (key, twin, id, text; the id
-    may lack): its first window, how many, place and size of its anchor, and two hashes.
-
-    ``anchor`` is the hash of the anchor; ``kind`` of the whole stretch and the anchor's place in it.
+    ``crowded`` gives, level by level, tables of the cells of anchors whose stretches are cut around longer anchors; then
+    only those of the last level are told, with the anchor ``before``, for some that weren't crowded too.
     """
-    form = _form(texts)
-    names = [x.split(" ")[0] for x in form.split(", ")]
+    own = [c for c in texts.columns if c != "text"]
+    names = [*own, "first", "windows", *(["before"] if crowded else []), "anchor", "kind"]
+    form = ", ".join(f"{c} {texts.schema[c].dataType.simpleString() if c in own else 'int' if c in ('first', 'windows') else 'long'}" for c in names)
+    levels = texts.sparkSession.sparkContext.broadcast(crowded or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(batch.num_columns - 1))
+            data, offsets = flat(batch.column("text"))
             for i, j in chunks(offsets):
                 units = Units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 rolling = Rolling(units.hashes)
                 grams = rolling.fixed(size)
-                anchor, first, last = anchored_windows(grams, units.doc, width, size)
+                place, first, last = anchored_windows(grams, units.doc, width, size)
+                found = place, first, last - first + 1, np.full(len(first), size), grams[place]
+                before = found[4]
+                for cells in levels.value:
+                    hot = np.flatnonzero(cells[(found[4] & np.uint64(CELLS - 1)).astype(np.int64)])
+                    found, before = _lengthened(rolling, width, *[x[hot] for x in found])
+                place, first, windows, _, anchor = found
                 if len(first):
                     doc = units.doc[first]
-                    own = batch.slice(i, j - i).select(list(range(batch.num_columns - 1))).take(pa.array(doc))
-                    kind = _kind(rolling, first, last - first + 1, anchor - first, width)
-                    found = [(first - units.origin[doc]), last - first + 1, anchor - first, np.full(len(first), size)]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x.astype(np.int32)) for x in found], pa.array(grams[anchor].view(np.int64)), pa.array(kind.view(np.int64))], names)
+                    kind = mix(rolling.runs(first, first + windows + width - 1) + (place - first).astype(np.uint64))
+                    of = batch.slice(i, j - i).select(own).take(pa.array(doc))
+                    hashes = [before, anchor, kind] if crowded else [anchor, kind]
+                    yield pa.RecordBatch.from_arrays([*of.columns, *[pa.array(x.astype(np.int32)) for x in (first - units.origin[doc], windows)], *[pa.array(x.view(np.int64)) for x in hashes]], names)
 
     return texts.mapInArrow(run, form)
 
 
-def lengthened(texts: DataFrame, rows: DataFrame, words: bool, width: int) -> DataFrame:
-    """The stretches ``rows`` cut into shorter ones around longer anchors, as ``stretches`` gives them.
+def _lengthened(rolling: Rolling, width: int, place: np.ndarray, first: np.ndarray, windows: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Stretches cut into shorter ones around longer anchors, and the anchor that each had before.
 
     A window holds its anchor behind x of its other units, and all windows with x in one range share the units between
     the furthest left and the nearest right ends: that run is their longer anchor. Like the anchor itself it depends on
     the window alone.
     """
-    form = _form(texts)
-    names = [x.split(" ")[0] for x in form.split(", ")]
-    held = rows.groupBy(*NAME).agg(F.collect_list(F.struct("first", "windows", "at", "size", "anchor")).alias("parts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                units = Units(*flat(batch.column("text").slice(row, 1)), words)
-                rolling = Rolling(units.hashes)
-                parts = batch.column("parts")[row].values
-                first, windows, at, size = (parts.field(c).to_numpy().astype(np.int64) for c in ("first", "windows", "at", "size"))
-                old = parts.field("anchor").to_numpy().view(np.uint64)
-                place, slack = first + at, width - size
-                step = -(-(slack + 1) // PARTS)
-                for part in range(PARTS):
-                    low = np.maximum(part * step, place - first - windows + 1)
-                    high = np.minimum(np.minimum(part * step + step - 1, slack), place - first)
-                    own = np.flatnonzero(low <= high)
-                    if not len(own):
-                        continue
-                    left, begin, count = part * step[own], place[own] - high[own], high[own] - low[own] + 1
-                    long = size[own] + left + np.maximum(0, slack[own] - left - step[own] + 1)
-                    start = place[own] - left
-                    anchor = mix(rolling.runs(start, start + long) + old[own] + np.uint64(part))
-                    kind = _kind(rolling, begin, count, start - begin, width)
-                    who = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(len(own), np.int32))) for c in names[: len(names) - 6]]
-                    found = [pa.array(x.astype(np.int32)) for x in (begin, count, start - begin, long)]
-                    yield pa.RecordBatch.from_arrays([*who, *found, pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64))], names)
-
-    return texts.join(held.hint("merge"), NAME).mapInArrow(run, form)
+    slack = width - size
+    step = -(-(slack + 1) // PARTS)
+    out = []
+    for part in range(PARTS):
+        low = np.maximum(part * step, place - first - windows + 1)
+        high = np.minimum(np.minimum(part * step + step - 1, slack), place - first)
+        own = np.flatnonzero(low <= high)
+        left = part * step[own]
+        start, long = place[own] - left, size[own] + left + np.maximum(0, slack[own] - left - step[own] + 1)
+        name = mix(rolling.runs(start, start + long) + anchor[own] + np.uint64(part))
+        out.append((start, place[own] - high[own], high[own] - low[own] + 1, long, name, anchor[own]))
+    *found, before = (np.concatenate(x) for x in zip(*out))
+    return tuple(found), before
+
+
+def _cells(anchors: DataFrame) -> np.ndarray:
+    """Which cells hold an anchor: at most CELLS numbers reach the driver."""
+    out = np.zeros(CELLS, bool)
+    out[anchors.select(F.col("anchor").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")).distinct().toArrow()["cell"].to_numpy()] = True
+    return out
 
 
 def compared(
@@ -150,7 +142,7 @@ def compared(
     """
     table = materialise(stretches(texts, words, width, size), "stretches")
     place = [*order, *[c for c in (*NAME, "first", "windows") if c not in order]]
-    rows, firsts, level = None, None, 0
+    rows, firsts, levels = None, None, []
     while True:
         met = materialise(table.groupBy("anchor").agg(shared.alias("shared")).where("shared").select("anchor"), "shared")
         own = materialise(table.join(met, "anchor"), "candidates")
@@ -158,12 +150,15 @@ def compared(
         kinds = own.groupBy("anchor", "kind").agg(F.min(F.struct(*place)).alias("one"), more.alias("more"))
         kinds = materialise(kinds.select("anchor", "kind", "more", "one.*"), "kinds")
         crowded = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "crowded")
-        if crowded.isEmpty():
-            rows, firsts = (own, kinds) if rows is None else (rows.unionByName(own), firsts.unionByName(kinds))
-            break
-        table = materialise(lengthened(texts, own.join(crowded, "anchor", "left_semi"), words, width), "stretches")
-        own, kinds = own.join(crowded, "anchor", "left_anti"), kinds.join(crowded, "anchor", "left_anti")
+        last = crowded.isEmpty()
+        if not last:
+            levels.append(_cells(crowded))
+            longer = stretches(texts, words, width, size, levels).join(crowded.withColumnRenamed("anchor", "before"), "before")
+            table = materialise(longer.drop("before"), "stretches")
+            own, kinds = (x.join(crowded, "anchor", "left_anti") for x in (own, kinds))
         rows, firsts = (own, kinds) if rows is None else (rows.unionByName(own), firsts.unionByName(kinds))
+        if last:
+            break
 
     names = ["anchor", "kind", "more", *place]
     held = firsts.groupBy(*NAME).agg(F.collect_list(F.struct(*[c for c in names if c not in NAME])).alias("parts"))
