@@ -50,12 +50,11 @@ def _finite(v: Column) -> Column:
     return good
 
 
-def normalised(samples: DataFrame, recorder: Recorder, source: str = "source_id") -> DataFrame:
+def converted(samples: DataFrame, recorder: Recorder) -> DataFrame:
     """``samples`` (time, acceleration, angular_rate, gravity or null) with ``timestamp_ns``, ``accel`` (forward) and
-    ``yaw_rate`` (about the vertical), or with an ``error`` in their place.
+    ``yaw_rate`` (about the vertical), or with an ``error`` in their place; in batch or stream.
 
-    In this order: units, biases, gravity, axes. Time must be finite, not negative behind the offset, and later than
-    that of the last good sample before it of its source.
+    In this order: units, biases, gravity, axes. Time must be finite, and not negative behind the offset.
     """
     a_unit, r_unit = UNITS[recorder.acceleration_unit], UNITS[recorder.rate_unit]
     force = [F.col("acceleration")[k] * a_unit - b for k, b in enumerate(recorder.acceleration_bias)]
@@ -70,13 +69,20 @@ def normalised(samples: DataFrame, recorder: Recorder, source: str = "source_id"
     error = error.when(~_finite(F.col("acceleration")), "acceleration needs three finite values").when(~_finite(F.col("angular_rate")), "angular rate needs three finite values")
     if not recorder.without_gravity:
         error = error.when(pull.isNull(), "gravity is unknown for a sample that includes it").when(~_finite(pull), "gravity needs three finite values")
-    out = samples.withColumn("error", error).withColumn("timestamp_ns", F.when(F.col("error").isNull(), ns))
+    good = F.col("error").isNull()
+    out = samples.withColumn("error", error).withColumn("timestamp_ns", F.when(good, ns))
+    return out.withColumn("accel", F.when(good, rotate(rows, force)[0])).withColumn("yaw_rate", F.when(good, rotate(rows, rate)[2]))
+
+
+def normalised(samples: DataFrame, recorder: Recorder, source: str = "source_id") -> DataFrame:
+    """``converted`` samples, where a time must also be later than those of all good samples before it of its source, in
+    the order of ``position`` if there is such a column, else of time."""
+    out = converted(samples, recorder)
     before = Window.partitionBy(source).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("_at", F.col("position") if "position" in samples.columns else F.col("time"))
     late = F.col("timestamp_ns") <= F.max("timestamp_ns").over(before)
     out = out.withColumn("error", F.coalesce("error", F.when(late, "times must increase"))).drop("_at")
-    good = F.col("error").isNull()
-    return out.withColumn("timestamp_ns", F.when(good, F.col("timestamp_ns"))).withColumn("accel", F.when(good, rotate(rows, force)[0])).withColumn("yaw_rate", F.when(good, rotate(rows, rate)[2]))
+    return out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("timestamp_ns", "accel", "yaw_rate")})
 
 
 def diagnostics(samples: DataFrame, outputs: DataFrame, hz: float, source: str = "source_id", time: str = "timestamp_ns", last: int = 256) -> DataFrame:

@@ -163,6 +163,22 @@ class MountCalibration:
         return None if self.rotation is None else (float(self.rotation[0] @ linear), float(self.rotation[2] @ rate))
 
 
+class CalibrationFold:
+    """``MountCalibration`` over rows ns, ax, ay (level acceleration of the device, gravity along its third axis) and,
+    where there is a fix, its speed: whether the rotation is known, how sure, and the forward acceleration."""
+
+    def __init__(self) -> None:
+        self.calibration = MountCalibration()
+
+    def __call__(self, row: dict) -> dict:
+        linear, gravity = np.array([row["ax"], row["ay"], 0.0]), np.array([0.0, 0.0, 9.81])
+        self.calibration.inertial(int(row["ns"]), linear, gravity)
+        if row["speed"] is not None:
+            self.calibration.gnss(int(row["ns"]), row["speed"], 90.0, 5.0)
+        told = self.calibration.project(linear, np.zeros(3))
+        return {"id": row["id"], "ready": told is not None, "confidence": self.calibration.confidence, "forward": told[0] if told else None}
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-9)
 

@@ -471,3 +471,11 @@ def sta10_edge_diagnostics(spark, sf):
     rows = track(spark, sf).select("drive", F.col("us").alias("timestamp_ns"), "sensor")
     out = edge.diagnostics(rows, rows.where("sensor = 'click'"), 0.01, "drive", last=1 << 30)
     return out.select("drive", "samples", "gaps", _r("input_hz", 9).alias("input_hz"), _r("median_step_ms", 4).alias("median_step_ms"), _r("jitter_ms", 4).alias("jitter_ms"), "outputs", _r("output_hz", 9).alias("output_hz"))
+
+
+@query(f"""WITH {TRACK} SELECT event_id, '{{"event_id":' || event_id || ',"x":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(event_id % 7 AS VARCHAR) || '.5' END || ',"sensor":' || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"' || sensor || '"' END || '}}' AS value FROM track""")
+def snk3_json_lines(spark, sf):
+    """Rows as lines of JSON: what isn't a finite number is null."""
+    k = F.col("event_id")
+    rows = track(spark, sf).select("event_id", F.when(k % 3 == 0, float("nan")).otherwise(k % 7 + 0.5).alias("x"), F.when(k % 4 != 0, F.col("sensor")).alias("sensor"))
+    return logs.lines(rows).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), "value")

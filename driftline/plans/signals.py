@@ -56,3 +56,17 @@ def sta19_rate_limit(spark, sf):
 def sim1_synthetic_recorder(spark, sf):
     rows = _rows(spark, sf).select("drive", "t", (F.col("n") * 3.6).alias("angle"), (F.col("value") / 10).alias("speed"))
     return G.synthesise(rows, "drive", 10.0)
+
+
+@query
+def sta14_mount_calibration(spark, sf):
+    """When a mount's rotation is known and how sure: a device turned by a right angle, fixes once a second."""
+    from ..operators.signals import CalibrationFold
+
+    k = F.row_number().over(Window.partitionBy("drive").orderBy("us", "event_id")) - 1
+    rows = track(spark, sf).select("drive", "event_id", "us", k.alias("k"))
+    rows = rows.select("drive", "k", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("part"))
+    rows = rows.select("drive", (F.col("k").cast("long") * 10 + F.col("part")).alias("tick")).withColumn("t", F.col("tick") / 10.0)
+    pull = F.when(F.floor("t") % 2 == 0, 1.0).otherwise(-1.0)
+    rows = rows.select("drive", F.col("tick").alias("id"), (F.col("tick") * 100_000_000).alias("ns"), F.lit(0.0).alias("ax"), pull.alias("ay"), F.when(F.col("tick") % 10 == 0, F.when(F.floor("t") % 2 == 0, 10.0).otherwise(11.0)).alias("speed"))
+    return G.folded(rows, ["drive"], ["ns"], CalibrationFold, "id long, ready boolean, confidence double, forward double")

@@ -11,10 +11,24 @@ from pyspark.sql import types as T
 from ..functions.scalars import number
 
 
-def read_log(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
-    """A CSV log as text columns, header names trimmed; ``file`` is where a row comes from."""
-    df = spark.read.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", True).csv(path)
-    return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns]).withColumn("file", F.col("_metadata.file_path"))
+#: The characters that code page 1252 has where ISO 8859-1 has controls.
+_CONTROLS = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def read_log(spark: SparkSession, path: str | list[str], encoding: str = "windows-1252") -> DataFrame:
+    """A CSV log as text columns, header names trimmed; ``file`` is where a row comes from.
+
+    Code page 1252 is read as ISO 8859-1, which Spark's reader knows, and then told apart from it.
+    """
+    western = encoding == "windows-1252"
+    df = spark.read.option("header", True).option("encoding", "ISO-8859-1" if western else encoding).option("ignoreLeadingWhiteSpace", True).csv(path)
+    names = [c.strip().lstrip("\ufeff").removeprefix("ï»¿") for c in df.columns]
+    if western:
+        controls, characters = "".join(_CONTROLS), "".join(_CONTROLS.values())
+        names = [c.translate(str.maketrans(_CONTROLS)) for c in names]
+        file = F.col("_metadata.file_path").alias("file")
+        return df.select(*[F.translate(F.col(f"`{c}`"), controls, characters).alias(n) for c, n in zip(df.columns, names)], file)
+    return df.toDF(*names).withColumn("file", F.col("_metadata.file_path"))
 
 
 def column(df: DataFrame, prefix: str) -> str:
@@ -95,6 +109,22 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def lines(df: DataFrame) -> DataFrame:
+    """Rows as JSON text in ``value``, nulls included; NaN and infinities, which JSON lacks, are null."""
+    finite = lambda f: F.when(F.abs(F.col(f.name)) < float("inf"), F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return df.select(F.to_json(F.struct(*[finite(f) for f in df.schema]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines."""
+    lines(df).write.mode("append").text(path)
+
+
+def stream_lines(df: DataFrame, path: str, checkpoint: str):
+    """A running query that adds a stream's rows to a folder of JSON lines, each batch once."""
+    return lines(df).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
 def write_table(df: DataFrame, path: str, by: list[str]) -> None:
     """Parquet in folders by key, a few files each."""
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)

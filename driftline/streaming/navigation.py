@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.edge import NANOSECONDS, Recorder, converted
 from ..operators.navigation import EDGE, OUTPUT, Profile, event_columns, fold, frame
 from ..sources.logs import parse_events
 
@@ -35,15 +36,21 @@ def navigate(events: DataFrame, source: str = "source_id", profile: Profile = ED
     return event_columns(events, source).groupBy(source).applyInPandasWithState(run, f"{source} {kind}, {OUTPUT}", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def filter_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events in the filter's columns, errors) of JSON lines."""
+def filter_events(lines: DataFrame, recorder: Recorder = Recorder(without_gravity=True)) -> tuple[DataFrame, DataFrame]:
+    """(events in the filter's columns, errors) of JSON lines from a device that measures as ``recorder`` says."""
     events, errors = parse_events(lines)
+    is_imu = F.col("type") == "imu"
+    told = converted(events.withColumn("time", F.coalesce("timestamp", F.col("timestamp_ns") / NANOSECONDS["s"] * NANOSECONDS[recorder.time_unit])).withColumn("_ns", F.col("timestamp_ns")), recorder)
+    told = told.withColumn("timestamp_ns", F.when(is_imu & F.col("timestamp").isNotNull(), F.col("timestamp_ns")).otherwise(F.col("_ns"))).withColumn("error", F.when(is_imu, F.col("error")))
     columns = {
-        "timestamp_ns": F.coalesce("timestamp_ns", (F.col("timestamp") * 1e9).cast("long")), "accel": F.col("acceleration")[0], "yaw_rate": F.col("angular_rate")[2], "quality": F.coalesce("quality", F.lit(1.0)),
+        "timestamp_ns": F.coalesce("timestamp_ns", (F.col("timestamp") * 1e9).cast("long")), "accel": F.col("accel"), "yaw_rate": F.col("yaw_rate"), "quality": F.coalesce("quality", F.lit(1.0)),
         "driving": F.coalesce("normal_driving", F.lit(False)), "stationary": F.coalesce("stationary", F.lit(False)), "latitude": F.col("latitude_deg"), "longitude": F.col("longitude_deg"),
         "sigma": F.col("horizontal_sigma_m"), "speed": F.col("speed_mps"), "course": F.col("heading_deg_north_clockwise"),
     }
-    return events.select("source_id", "type", *[c.alias(n) for n, c in columns.items()]), errors
+    good = told.where("error is null").select("source_id", "type", *[c.alias(n) for n, c in columns.items()])
+    own = [c for c in errors.columns if c not in ("line", "error")]
+    wrong = told.where("error is not null").select(*own, F.to_json(F.struct("type", "source_id", "timestamp", "timestamp_ns")).alias("line"), "error")
+    return good, errors.unionByName(wrong)
 
 
 def bins(samples: DataFrame, keys: list[str], values: list[str], time: str = "ts", width: str = "100 milliseconds", late: str = "2 seconds") -> DataFrame:
