@@ -9,6 +9,7 @@ counted (one token for each UTF-8 byte where a character is in no piece).
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,8 +24,8 @@ MARK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words whose counts a worker keeps, and the characters of the longest one that it keeps; the store is emptied when full.
 STORE, STORE_CHARS = 600_000, 100
-#: Symbols merged at once.
-BATCH = 200_000
+#: Symbols merged at once, and the length from which a sequence is merged by itself.
+BATCH, LONG = 200_000, 2_000
 
 
 class RankMerger:
@@ -47,6 +48,13 @@ class RankMerger:
     def merged(self, ids: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols and their sequences after all merges."""
         done_ids, done_seq = [], []
+        edges = np.concatenate([np.flatnonzero(np.diff(seq, prepend=-1)), [len(seq)]])
+        for a, b in zip(edges[:-1][np.diff(edges) > LONG].tolist(), edges[1:][np.diff(edges) > LONG].tolist()):
+            done_ids.append(self.merged_alone(ids[a:b]))
+            done_seq.append(np.full(len(done_ids[-1]), seq[a]))
+        if done_ids:
+            short = np.repeat(np.diff(edges) <= LONG, np.diff(edges))
+            ids, seq = ids[short], seq[short]
         rule = np.full(len(ids), -1, np.int64)
         rule[:-1] = np.where(seq[:-1] == seq[1:], self.pair(ids[:-1], ids[1:]), -1)
         while True:
@@ -78,6 +86,66 @@ class RankMerger:
                 rule[inner] = np.where(seq[inner] == seq[inner + 1], self.pair(ids[inner], ids[inner + 1]), -1)
         return np.concatenate([*done_ids, ids]), np.concatenate([*done_seq, seq])
 
+    def merged_alone(self, ids: np.ndarray) -> np.ndarray:
+        """Surviving symbols of one long sequence: again its lowest-rank pair everywhere at once, round by round, but
+        symbols stay in place with links over those that are gone, and places wait by rank, so that a round costs what
+        it changes."""
+        n, ids = len(ids), ids.astype(np.int64)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rule = np.full(n, -1, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def renew(at: np.ndarray) -> None:
+            inner = at[after[at] < n]
+            rule[at] = -1
+            rule[inner] = self.pair(ids[inner], ids[after[inner]])
+            some = inner[rule[inner] >= 0]
+            if not len(some):
+                return
+            rank = self.rank[rule[some]]
+            order = np.argsort(rank, kind="stable")
+            cuts = np.flatnonzero(np.diff(rank[order])) + 1
+            for part in np.split(some[order], cuts):
+                wait(int(self.rank[rule[part[0]]]), part)
+
+        def wait(rank: int, part: np.ndarray) -> None:
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(ranks, rank)
+            waiting[rank].append(part)
+
+        renew(np.arange(n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            hit = np.unique(np.concatenate(waiting.pop(rank)))
+            hit = hit[alive[hit] & (rule[hit] >= 0)]
+            hit = hit[self.rank[rule[hit]] == rank]
+            if not len(hit):
+                continue
+            number = np.arange(len(hit))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], after[hit[:-1]] != hit[1:]]), number, 0))
+            hit = hit[(number - start) % 2 == 0]  # overlapping hits: every other one
+            made = self.made[rule[hit]].astype(np.int64)
+            left = np.where(before[hit] >= 0, ids[before[hit]], -1)
+            over = after[after[hit]]
+            left[1:] = np.where(over[:-1] == hit[1:], made[:-1], left[1:])
+            right = np.where(over < n, ids[np.minimum(over, n - 1)], -1)
+            better = np.zeros(len(hit), bool)
+            for found in (self.pair(left, made), self.pair(made, right)):
+                better |= (found >= 0) & (self.rank[found] <= rank)
+            if better.any():  # what makes a pair as good or better lets the rest wait
+                last = int(better.argmax()) + 1
+                if last < len(hit):
+                    wait(rank, hit[last:])
+                hit, made, over = hit[:last], made[:last], over[:last]
+            alive[after[hit]] = False
+            ids[hit] = made
+            after[hit] = over
+            before[over[over < n]] = hit[over < n]
+            renew(np.unique(np.concatenate([hit, before[hit][before[hit] >= 0]])))
+        return ids[alive]
+
     def _applied(self, hit: np.ndarray, ids: np.ndarray, seq: np.ndarray, rule: np.ndarray) -> np.ndarray:
         """Of the equally ranked hits, those that one-by-one merging from the left would take before it meets a better pair."""
         if len(hit) == 1 or not (seq[hit[1:]] == seq[hit[:-1]]).any():
