@@ -37,6 +37,8 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE_TEXTS = 2_000
 #: Bits per character by which the random model must win.
 THRESHOLD = 1.0
+#: What joins words to identifiers, paths and hosts.
+JOINTS = "_-/."
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -126,6 +128,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
                     rest.append(text[at:a])
                     at = max(at, b)
                 words = re.findall(r"[A-Za-z][A-Za-z0-9_]{3,}", " ".join([*rest, text[at:]]))
+                # words as they stand, and as identifiers and paths are made of them
+                words += [JOINTS[k % len(JOINTS)].join(words[4 * k : 4 * k + 4]) for k in range(len(words) // 4)]
                 strings += [m[0] for m in hits] + words
                 secret += [True] * len(hits) + [False] * len(words)
             counts = [_counts([s for s, own in zip(strings, secret) if own is k]) for k in (True, False)]
