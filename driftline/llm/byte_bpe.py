@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .held import held
+from .text import in_small_batches
 from .token_count import RankMerger
 
 #: The pattern of the vocabulary's pre-tokenizer (fixed value).
@@ -293,7 +294,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             found = [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in encoder.encode(part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), pa.array([encoder.bpe.decode(ids) for ids in found])], ["id", "ids", "decoded"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<long>, decoded string").withColumnRenamed("id", id_col)
 
 
@@ -313,7 +314,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 b.append(hashlib.sha256(whole_characters(b"".join(raw))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return plain.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 

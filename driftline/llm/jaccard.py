@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components, joined_components
-from .text import Words, chunks, flat, lower_ascii, mix, noise
+from .text import Words, chunks, flat, in_small_batches, lower_ascii, mix, noise
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -129,7 +129,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     them, and all its rows are in one component. An empty table gives no rows. Other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = frequency_sketch(plain.select("text"))
     floor = float(np.median(sketch))
     shared = plain.sparkSession.sparkContext.broadcast(sketch)  # of fixed size

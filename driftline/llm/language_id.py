@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .text import chunks, flat
+from .text import chunks, flat, in_small_batches
 
 #: Bytes of context.
 ORDER = 3
@@ -37,7 +37,7 @@ def gram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and text below a cut; texts are fetched for these hashes only, so that no task gets more.
     """
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(7))
-    train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col)))
+    train = in_small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col)))
     train = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), h.alias("h"))
     sizes = materialise(train.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row for each language
     # a cut by hash leaves a few times as many hashes as asked for, whatever the table's size; of these the smallest stay
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: list[tuple[str, int, int]], id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(PpmTables(model) if model else None)  # bounded by the training sample
     own = [c for c in docs.columns if c not in names] if keep else [id_col]
     place = len(own) if text_col not in own else own.index(text_col)
-    plain = docs.select(*own, *([F.col(text_col)] if place == len(own) else []), is_held_out(F.col(id_col)).alias(names[0]))
+    plain = in_small_batches(docs).select(*own, *([F.col(text_col)] if place == len(own) else []), is_held_out(F.col(id_col)).alias(names[0]))
     sent = [k for k in range(len(plain.columns)) if k != place or place < len(own)]
     form = T.StructType([*[plain.schema.fields[k] for k in sent], T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .byte_bpe import crc32, library_encoder, text_batches
+from .text import in_small_batches
 
 #: A bin with at most this share of its places free is nearly full.
 NEARLY = 1 / 256
@@ -108,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         if rows:
             yield packed()
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     local = materialise(plain.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"), "packed")
     bins = local.where(F.col("fill") < enough).groupBy("bin").agg(F.max("fill").alias("fill"))
     moved = merge_bins(bins, capacity, enough)

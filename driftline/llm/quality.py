@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .text import Words, chunks, flat, mix, noise, per_row, segment_hash
+from .text import Words, chunks, flat, in_small_batches, mix, noise, per_row, segment_hash
 
 #: The bytes that count as symbols, and the base rules (fixed values of the contract).
 SYMBOL = np.zeros(256, bool)
@@ -104,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     An id whose labels contradict counts as good. An id on many rows counts once for each different text.
     """
+    docs = in_small_batches(docs)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(5))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), h.alias("h"))
@@ -198,7 +199,7 @@ def assess(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col
                 all_ = pd.concat(parts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(all_[c].to_numpy(np.int64)) for c in names], pa.array(all_["quality"].to_numpy(), from_pandas=True)], ["id", *names, "quality"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = plain.mapInArrow(run, f"id {kind}, {', '.join(f'{c} long' for c in names)}, quality double").withColumnRenamed("id", id_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, release
 from .anchors import Rolling, anchored_windows
-from .text import BYTE_NOISE, Words, chunks, flat, mix
+from .text import BYTE_NOISE, Words, chunks, flat, in_small_batches, mix
 
 #: What names a text: two independent hashes of its id and of itself.
 NAME = ["key", "twin"]
@@ -39,7 +39,7 @@ def named(id_col: str, text_col: str) -> tuple[Column, Column]:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, twin, id, text): rows of one id and text have one name; a null text is empty."""
     key, twin = named(id_col, text_col)
-    return docs.select(key.alias("key"), twin.alias("twin"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return in_small_batches(docs).select(key.alias("key"), twin.alias("twin"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 class Units:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .byte_bpe import text_batches
+from .text import in_small_batches
 
 #: The fixed patterns, with the group and the least length that count (fixed values of the contract).
 PATTERNS = (
@@ -111,7 +112,7 @@ def ordinary(seed: int = 18, each: int = 2_000) -> list[str]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio in bits of each symbol after the two before it; a table of fixed size."""
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(9))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), h.alias("h"))
+    texts = in_small_batches(docs).where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), h.alias("h"))
     # a cut by hash leaves a few times as many hashes as asked for, whatever the table's size; of these the smallest stay
     share = min(1.0, 4.0 * SAMPLE_TEXTS / max(1, texts.count()))
     few = texts.select("h").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).distinct().orderBy("h").limit(SAMPLE_TEXTS)
@@ -209,7 +210,7 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", tex
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in spans_of(t, ratio)] for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, form)], ["id", "spans"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
@@ -231,7 +232,7 @@ def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFr
                     texts[k] = "".join([*out, text[at:]])
             yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def secret_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: The bytes that separate words.
 SPACE = np.zeros(256, bool)
@@ -18,6 +19,22 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch that carries whole texts.
+ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python ROWS at a time or fewer.
+
+    Spark counts batches in rows, 10,000 of them; of long texts that is far more than a worker, and the executor that
+    fills the batch, should hold.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, str(ROWS))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = np.asarray(x, np.uint64).copy()

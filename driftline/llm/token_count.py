@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .held import held
+from .text import in_small_batches
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
@@ -295,6 +296,6 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     kind = docs.schema[id_col].dataType.simpleString()
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), size.alias("n_bytes"))
+    plain = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), size.alias("n_bytes"))
     found = plain.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
