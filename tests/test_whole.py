@@ -122,10 +122,11 @@ def test_connected_one_way_roads_are_followed(spark):
     from driftline.operators import roads
 
     form = "way long, pos int, direction int, start_node long, end_node long, start_e double, start_n double, end_e double, end_n double, length double, bearing double"
-    arcs = spark.createDataFrame([(1, 1, 1, 1, 2, 0.0, 0.0, 50.0, 0.0, 50.0, 90.0), (2, 1, 1, 2, 3, 50.0, 0.0, 50.0, 60.0, 60.0, 0.0)], form)
-    asks = spark.createDataFrame([(1, 5.0, 3.0, 53.0, 40.0), (2, 53.0, 40.0, 5.0, 3.0), (3, 5.0, 0.0, 8.0, 0.0)], "ask long, e double, n double, to_e double, to_n double")
+    arcs = spark.createDataFrame([(1, 1, 1, 1, 2, 0.0, 0.0, 300.0, 0.0, 300.0, 90.0), (2, 1, 1, 2, 3, 300.0, 0.0, 300.0, 300.0, 300.0, 0.0)], form)
+    asks = spark.createDataFrame([(1, 5.0, 3.0, 303.0, 200.0), (2, 303.0, 200.0, 5.0, 3.0), (3, 5.0, 0.0, 8.0, 0.0), (4, 5.0, 0.0, 105.0, 0.0)], "ask long, e double, n double, to_e double, to_n double")
     got = {(r.ask, r.leg): (r.kind, round(r.length, 6), r.say) for r in roads.plan_routes(asks, arcs, ["way", "pos"]).collect()}
-    assert got == {(1, 1): ("off road", 3.0, "Start"), (1, 2): ("road", 45.0, "Turn right"), (1, 3): ("road", 40.0, "Turn left"), (1, 4): ("off road", 3.0, "Turn right")}
+    # there is no way back, and 3 m are no route
+    assert got == {(1, 1): ("off road", 3.0, "Start"), (1, 2): ("road", 295.0, "Turn left"), (1, 3): ("road", 200.0, "Turn left"), (1, 4): ("off road", 3.0, "Turn right"), (4, 1): ("road", 100.0, "Start")}
 
 
 def test_positions_do_not_depend_on_the_ranges(spark):
