@@ -69,6 +69,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove the files of materialised tables that no later plan reads: whatever was made from them is written too."""
+    """Remove the files of materialised tables that no later plan reads: whatever was made from them is written too.
+
+    The plans that made these tables are done as well. Spark drops their shuffle files once the driver's garbage is
+    collected, which it otherwise does every half hour; so ask for that now.
+    """
     for table in tables:
         _remove(table.sparkSession, table._folder)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
