@@ -142,7 +142,7 @@ def compared(
     """
     table = materialise(stretches(texts, words, width, size), "stretches")
     place = [*order, *[c for c in (*NAME, "first", "windows") if c not in order]]
-    rows, firsts, levels = None, None, []
+    rows, firsts, levels, done = None, None, [], []
     while True:
         met = materialise(table.groupBy("anchor").agg(shared.alias("shared")).where("shared").select("anchor"), "shared")
         own = materialise(table.join(met, "anchor"), "candidates")
@@ -150,6 +150,7 @@ def compared(
         kinds = own.groupBy("anchor", "kind").agg(F.min(F.struct(*place)).alias("one"), more.alias("more"))
         kinds = materialise(kinds.select("anchor", "kind", "more", "one.*"), "kinds")
         crowded = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "crowded")
+        done.append(kinds)
         last = crowded.isEmpty()
         if not last:
             levels.append(_cells(crowded))
@@ -181,6 +182,7 @@ def compared(
     found = dealt.groupBy("bucket").applyInArrow(lambda t: compare(t.drop_columns(["bucket"])), "anchor long, kind long, later boolean, start int, units int")
     found = found.join(firsts.select("anchor", "kind", *[F.col(c).alias(f"one_{c}") for c in order]), ["anchor", "kind"])
     found = materialise(found, "found")
+    release(*done)
     is_first = F.lit(True)
     for c in order:
         is_first = is_first & (F.col(c) == F.col(f"one_{c}"))
