@@ -30,7 +30,8 @@ from .token_count import RankMerger
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longest unsplit text, in bytes, that is merged without halving.
 LEAF = 24
-#: Chunks that a worker keeps, and the characters of the longest one that it keeps; the store is emptied when full.
+#: Chunks that a worker keeps, and the characters of the longest one that it keeps; a full store gives way
+#: to a new one and is itself kept until the next is full.
 STORE, STORE_CHARS = 250_000, 100
 #: A space that isn't alone between two words.
 ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
@@ -191,7 +192,7 @@ class Encoder:
     """
 
     def __init__(self, bpe: ByteBpe, missing: Callable[[list[str]], list[list[int]]], form: Callable[[list[int]], Any]) -> None:
-        self.bpe, self.missing, self.form, self.store = bpe, missing, form, {}
+        self.bpe, self.missing, self.form, self.store, self.old = bpe, missing, form, {}, {}
 
     def chunks(self, text: str | None) -> list[str]:
         if not text:
@@ -205,10 +206,10 @@ class Encoder:
         """For each text the forms of its chunks."""
         parts = [self.chunks(text) for text in texts]
         lack = set().union(*parts)
+        if len(self.store) + len(lack) > STORE:  # what is still asked for comes back from the store before
+            self.store, self.old = {}, self.store
+        self.store.update((w, self.old[w]) for w in lack if w not in self.store and w in self.old)
         missing = [w for w in lack if w not in self.store]
-        if len(self.store) + len(missing) > STORE:
-            self.store.clear()
-            missing = list(lack)
         for start in range(0, len(missing), 20_000):
             part = missing[start : start + 20_000]
             self.store.update(zip(part, map(self.form, self.missing(part))))
