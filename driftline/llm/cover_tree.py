@@ -38,8 +38,8 @@ class CoverTree:
     that centres lie apart by more than that radius and cover all points below.
     """
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, most_equal: int) -> None:
-        self.points, self.ids = points, ids
+    def __init__(self, points: np.ndarray, ids: np.ndarray, most_equal: int, leaf: int = LEAF) -> None:
+        self.points, self.ids, self.leaf = points, ids, leaf
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
@@ -63,7 +63,7 @@ class CoverTree:
             self.rows.append(rows)
             if parent >= 0:
                 self.children[parent].append(node)
-            if radius == 0 or len(rows) <= LEAF:
+            if radius == 0 or len(rows) <= self.leaf:
                 continue
             limit, left, own = radius / SHRINK, rows, distance
             near = own <= limit

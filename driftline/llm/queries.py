@@ -84,10 +84,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_resample
+
+    return importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dual_lloyd import centroid_clusters
+
+    return centroid_clusters(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_token_counts, op2_quality_rules, op3_best_fit_packing, op4_suffix_array_dedup, op5_ngram_jaccard_join,
         op6_exact_top_k, op7_language_id, op8_bpe_encoding, op9_secret_scans, op10_substring_dedup,
+        op11_embedding_dedup, op12_importance_resampling, op13_centroid_clusters,
     )
     return {f.__name__: f for f in found}
 
@@ -95,4 +114,11 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op5_ngram_jaccard_join": oracles.JACCARD, "op6_exact_top_k": oracles.TOP_K, "op10_substring_dedup": oracles.SUBSTRING}
+    return {
+        "op5_ngram_jaccard_join": oracles.JACCARD,
+        "op6_exact_top_k": oracles.TOP_K,
+        "op10_substring_dedup": oracles.SUBSTRING,
+        "op11_embedding_dedup": oracles.NEAR_VECTORS,
+        "op12_importance_resampling": oracles.RESAMPLE,
+        "op13_centroid_clusters": oracles.clusters(),
+    }
