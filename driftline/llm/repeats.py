@@ -129,6 +129,20 @@ def _cells(anchors: DataFrame) -> np.ndarray:
     return out
 
 
+def _few_equal(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``texts`` with two of each row that stands there more often, and with one of each.
+
+    Two say as much as many: what is found in a text counts for all rows of its name. So the work grows with the different
+    rows, however often one of them stands there.
+    """
+    again = materialise(texts.groupBy(*NAME).agg(F.count("*").alias("n")).where("n > 1").select(*NAME), "again")
+    if again.isEmpty():
+        return texts, texts
+    once = texts.join(again, NAME, "left_anti")
+    one = materialise(texts.join(again, NAME, "left_semi").dropDuplicates(NAME), "equal_rows")
+    return once.unionByName(one).unionByName(one), once.unionByName(one)
+
+
 def compared(
     texts: DataFrame, words: bool, width: int, size: int, hot: int, shared: Column, order: list[str], more: Column,
     compare: Callable[[pa.Table], pa.Table],
@@ -140,6 +154,7 @@ def compared(
     first stretch of a kind, and in its later ones. ``shared`` (an aggregate over an anchor) tells whether an anchor
     counts, ``more`` (an aggregate over a kind) whether a kind has later stretches.
     """
+    texts, each = _few_equal(texts)
     table = materialise(stretches(texts, words, width, size), "stretches")
     place = [*order, *[c for c in (*NAME, "first", "windows") if c not in order]]
     rows, firsts, levels, done = None, None, [], []
@@ -177,7 +192,7 @@ def compared(
     form = ", ".join(f"{c} {firsts.schema[c].dataType.simpleString()}" for c in names)
     groups = max(1, math.ceil(firsts.count() / GROUP))
     # texts are shuffled and merged at any size: what they meet grows with them
-    texts_of = texts.select(*NAME, "text").join(held.hint("merge"), NAME).mapInArrow(cut, f"{form}, bytes binary")
+    texts_of = each.select(*NAME, "text").join(held.hint("merge"), NAME).mapInArrow(cut, f"{form}, bytes binary")
     dealt = texts_of.withColumn("bucket", F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(groups)))
     found = dealt.groupBy("bucket").applyInArrow(lambda t: compare(t.drop_columns(["bucket"])), "anchor long, kind long, later boolean, start int, units int")
     found = found.join(firsts.select("anchor", "kind", *[F.col(c).alias(f"one_{c}") for c in order]), ["anchor", "kind"])

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
-from driftline.llm import jaccard, suffix_dedup
+from driftline.llm import jaccard, relative_parse, repeats, suffix_dedup
 from driftline.llm.anchors import Rolling, anchored_windows
 from driftline.llm.components import connected_components, joined_components
 from driftline.llm.jaccard import similarity_components
@@ -16,6 +17,8 @@ from driftline.llm.relative_parse import factor_digests, greedy_parse, longest_m
 from driftline.llm.repeats import merged
 from driftline.llm.suffix_dedup import repeat_digests, repeated_windows, suffix_ranks
 
+from pyspark.sql import functions as F
+
 from .conftest import pairs
 
 
@@ -162,7 +165,6 @@ def test_greedy_parse_finds_all_duplicate_windows():
 
 def test_the_parse_is_what_finds_duplicates(odd, monkeypatch):
     import pyarrow as pa
-    from driftline.llm import relative_parse
 
     form = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()), ("later", pa.bool_()), ("start", pa.int32()), ("units", pa.int32())])
     monkeypatch.setattr(relative_parse, "_factors", lambda group, width: form.empty_table())
@@ -290,3 +292,20 @@ def test_components_of_random_graphs(spark):
 def test_empty_tables(empty):
     for out in (repeat_digests(empty), factor_digests(empty), remove_factors(empty), similarity_components(empty)):
         assert out.count() == 0
+
+
+def test_rows_that_stand_thousands_of_times(spark):
+    """The work grows with the different rows: of 3,000 equal ones it makes as many runs as of two."""
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(150))
+    other = "before " * 3 + base[:600] + " behind"
+    table = lambda n: spark.createDataFrame([(7, base)] * n + [(9, other), (3, "one two three")], "doc_id long, text string")
+    made = []
+    for n in (2, 3_000):
+        runs = repeats.compared(repeats.keyed(table(n), "doc_id", "text").drop("id"), False, 200, 50, 1_000, F.count("*") > 1, [*repeats.NAME, "first"], F.count("*") > 1, lambda t: suffix_dedup._repeats(t, 200, False))
+        made.append(runs.count())
+    assert made[0] == made[1] > 0
+    got = suffix_dedup.repeat_digests(table(3_000)).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    assert sorted((r.doc_id, r["count"], r.n_bytes - r.n_removed) for r in got) == [(3, 1, 13), (7, 3_000, 0), (9, 1, len(other) - 600)]
+    words = relative_parse.factor_digests(table(3_000)).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r["count"], r.n_removed > 0) for r in words} == {(3, 1, False), (7, 3_000, False), (9, 1, True)}
