@@ -21,11 +21,9 @@ from .navigation import clean, wrapped
 def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[[dict], dict | None]], columns: str) -> DataFrame:
     """What a fresh state machine for each key makes of its ordered rows: a row, or none, for each. ``columns`` names
     what it returns, after the keys."""
-    names = [c.split()[0] for c in columns.split(", ")]
 
-    def step(machine: Callable[[dict], dict | None], rows: pd.DataFrame, done: bool) -> pd.DataFrame:
-        out = [made for row in rows.to_dict("records") if (made := machine(clean(row))) is not None]
-        return pd.DataFrame(out, columns=names).astype(object)
+    def step(machine: Callable[[dict], dict | None], rows: list[dict], done: bool) -> list[dict]:
+        return [made for row in rows if (made := machine(clean(row))) is not None]
 
     return carried(df, keys, in_order(order), start, step, columns)
 

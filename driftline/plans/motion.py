@@ -361,7 +361,7 @@ def sta8_mode_machine(spark, sf):
     return rows.select("event_id", mode.alias("mode"))
 
 
-@query(f"""WITH {TRACK} SELECT event_id, CASE WHEN value > 60 THEN 'not a JSON object' WHEN event_id % 5 = 0 THEN 'event type must be imu or gnss' END AS error FROM track WHERE event_id % 7 <> 0""")
+@query(f"""WITH {TRACK} SELECT event_id, CASE WHEN value > 60 THEN 'not a JSON object' WHEN event_id % 5 = 0 THEN 'type=other is not in {{imu, gnss}}' END AS error FROM track WHERE event_id % 7 <> 0""")
 def src5_json_lines(spark, sf):
     k, v = F.col("event_id"), F.col("value")
     kind = F.when(k % 5 == 0, "other").otherwise("imu")

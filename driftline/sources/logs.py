@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +72,30 @@ EVENT = T.StructType([
 
 
 def parse_events(lines: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(events, errors) of JSON lines, in batch or stream. Blank lines are skipped; NaN and infinities are errors."""
+    """(events, errors) of JSON lines, in batch or stream. Blank lines are skipped; NaN and infinities are errors.
+
+    Other columns, such as ``line`` of ``numbered_lines``, stay in both; errors have the line's ``text`` and what is wrong.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "false"}
     parsed = lines.where(F.trim(text) != "").withColumn("_e", F.from_json(F.col(text), EVENT, options))
-    why = F.when(F.col("_e._corrupt").isNotNull() | F.col("_e").isNull(), "not a JSON object").when(~F.coalesce(F.col("_e.type").isin("imu", "gnss"), F.lit(False)), "event type must be imu or gnss")
+    why = F.when(F.col("_e._corrupt").isNotNull() | F.col("_e").isNull(), "not a JSON object").when(~F.coalesce(F.col("_e.type").isin("imu", "gnss"), F.lit(False)), F.concat(F.lit("type="), F.coalesce("_e.type", F.lit("None")), F.lit(" is not in {imu, gnss}")))
     own = [c for c in lines.columns if c != text]
     events = parsed.where(why.isNull()).select(*own, *[F.col(f"_e.{f.name}") for f in EVENT if f.name != "_corrupt"])
-    return events, parsed.where(why.isNotNull()).select(*own, F.col(text).alias("line"), why.alias("error"))
+    return events, parsed.where(why.isNotNull()).select(*own, F.col(text).alias("text"), why.alias("error"))
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1 in each file, blank ones too.
+
+    A split of a file numbers its own lines; what stands before it comes from the counts of the file's earlier splits, of
+    which there is a row each. Files are not sorted and no file is read by one task.
+    """
+    split = ["file", "_block"]
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    counts = rows.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*split, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(starts, split).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
 
 
 def read_summaries(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -1,39 +1,151 @@
-"""The navigation filter and the completed bins on streams."""
+"""The navigation service and the completed bins on streams, with typed state for each source.
+
+State lives in columns: single values for the filter's state, clocks and counts, lists for the latest times and bins.
+Spark keeps it in its key-value store, which has to be the one on RocksDB
+(``spark.sql.streaming.stateStore.providerClass``), and writes its changes to the query's checkpoint.
+"""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.edge import NANOSECONDS, Recorder, converted
-from ..operators.navigation import EDGE, OUTPUT, Profile, event_columns, fold, frame
+from ..operators.navigation import EDGE, SAVED, Profile
+from ..operators.service import RECORD, Diagnostics, served, with_line
 from ..sources.logs import parse_events
 
-
-def navigate(events: DataFrame, source: str = "source_id", profile: Profile = EDGE) -> DataFrame:
-    """A stream of filter outputs and errors: the same steps as the batch replay, with the state kept by source.
-
-    Events of a batch are put in order; an event that comes after its time is rejected with an error row, as the filter
-    never goes back. State is a few hundred bytes a source.
+#: What keeps typed state (a setting of the session).
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_RANK = {"start": 0, "imu": 1}
+
+
+def _names(form: str) -> list[str]:
+    return [c.split()[0] for c in form.split(", ")]
+
+
+class _Navigation(StatefulProcessor):
+    """The service of one source; a source that has been silent for ``silent_ms`` is told once and forgotten."""
+
+    def __init__(self, source: str, profile: Profile, hz: float, silent_ms: int | None) -> None:
+        self.source, self.profile, self.hz, self.silent_ms = source, profile, hz, silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.filter = handle.getValueState("filter", SAVED)
+        self.counts = handle.getValueState("counts", "samples long, gaps long, outputs long, accepted boolean, timer long")
+        self.times = handle.getListState("times", "ns long")
+        self.told = handle.getListState("told", "ns long")
+        self.delays = handle.getListState("delays", "ms double")
+
+    def _out(self, key: tuple, record: dict) -> Row:
+        return Row(**{self.source: key[0], **{name: record.get(name) for name in _names(RECORD)}})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        navigator, diagnostics = self.profile.navigator(), Diagnostics(self.hz)
+        timer = None
+        if self.filter.exists():
+            navigator.restored(tuple(self.filter.get()))
+            diagnostics.samples, diagnostics.gaps, diagnostics.outputs, diagnostics.accepted, timer = self.counts.get()
+            for ring, kept in ((diagnostics.times, self.times), (diagnostics.told, self.told), (diagnostics.delays, self.delays)):
+                ring.extend(x[0] for x in kept.get())
+        events = [row.asDict() for row in rows]
+        none = float("inf")
+        events.sort(key=lambda e: (none if e["timestamp_ns"] is None else e["timestamp_ns"], _RANK.get(e["type"], 2)))
+        for record in served(navigator, diagnostics, events):
+            yield self._out(key, record)
+        if self.silent_ms is not None:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.silent_ms
+            self.handle.registerTimer(timer)
+        self.filter.update(navigator.saved())
+        self.counts.update((diagnostics.samples, diagnostics.gaps, diagnostics.outputs, diagnostics.accepted, timer))
+        for ring, kept in ((diagnostics.times, self.times), (diagnostics.told, self.told), (diagnostics.delays, self.delays)):
+            if ring:
+                kept.put([(x,) for x in ring])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.filter.exists():
+            last = self.profile.navigator().restored(tuple(self.filter.get()))
+            for kept in (self.filter, self.counts, self.times, self.told, self.delays):
+                kept.clear()
+            yield self._out(key, {"timestamp_ns": last.clock, "mode": "SILENT"})
+
+
+def navigate(events: DataFrame, source: str = "source_id", profile: Profile = EDGE, hz: float = 200.0, silent: int | None = 3_600_000) -> DataFrame:
+    """A stream of the service's records (source, RECORD): the same as ``service.serve`` gives for all events at once.
+
+    Events of a batch are put in order; one that comes after its time is answered with an error, as the filter never goes
+    back. A source without events for ``silent`` milliseconds of processing time is told with the mode SILENT, and its
+    state goes; None keeps all sources. A source's state is the filter's numbers and at most 1,024 times and delays.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
     kind = events.schema[source].dataType.simpleString()
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        navigator = pickle.loads(state.get[0]) if state.exists else profile.navigator()
-        rows = pd.concat(list(batches))
-        rows = rows.assign(_rank=(rows["type"] != "imu").astype(int)).sort_values(["timestamp_ns", "_rank"], kind="stable")
-        out = frame(list(fold(navigator, rows)))
-        out.insert(0, source, pd.Series([key[0]] * len(out), dtype=object if isinstance(key[0], str) else None))
-        state.update((pickle.dumps(navigator),))
-        yield out
-
-    return event_columns(events, source).groupBy(source).applyInPandasWithState(run, f"{source} {kind}, {OUTPUT}", "state binary", "append", GroupStateTimeout.NoTimeout)
+    rows = with_line(events, source)
+    processor = _Navigation(source, profile, hz, silent)
+    return rows.groupBy(source).transformWithState(processor, f"{source} {kind}, {RECORD}", "Append", "None" if silent is None else "ProcessingTime")
+
+
+#: The features of a window of completed bins, for each value.
+STATISTICS = ("mean", "std", "min", "max", "last")
+
+
+class _Bins(StatefulProcessor):
+    """The open bin of one key, and its window of completed ones."""
+
+    def __init__(self, key: str, time: str, values: list[str], width: int, max_gap: int, size: int) -> None:
+        self.key, self.time, self.values, self.width, self.max_gap, self.size = key, time, values, width, max_gap, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "last long, bin long, count long, totals array<double>")
+        self.window = handle.getListState("window", "means array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, at, count, totals = tuple(self.open.get()) if self.open.exists() else (None, None, 0, [0.0] * len(self.values))
+        totals = np.array(totals, float)
+        window = [x[0] for x in self.window.get()]
+        names = [f"{v}_{s}" for s in STATISTICS for v in self.values]
+        for row in sorted(rows, key=lambda r: r[self.time]):
+            now = row[self.time]
+            if last is not None and now <= last:
+                yield Row(**{self.key: key[0], "start": None, **dict.fromkeys(names), "error": f"{self.time}={now} is not in ({last}, inf]"})
+                continue
+            if last is not None and now - last > self.max_gap:
+                window, at, count = [], None, 0
+            last, here = now, now // self.width
+            if here != at:
+                if at is not None and here == at + 1:
+                    window = [*window, (totals / count).tolist()][-self.size :]
+                    if len(window) == self.size:
+                        w = np.array(window)
+                        told = np.concatenate([w.mean(0), w.std(0), w.min(0), w.max(0), w[-1]])
+                        yield Row(**{self.key: key[0], "start": here * self.width, **dict(zip(names, told.tolist())), "error": None})
+                elif at is not None:
+                    window = []
+                at, count, totals = here, 0, np.zeros(len(self.values))
+            totals, count = totals + [row[v] for v in self.values], count + 1
+        self.open.update((last, at, count, totals.tolist()))
+        if window:
+            self.window.put([(x,) for x in window])
+        else:
+            self.window.clear()
+
+
+def stream_bins(samples: DataFrame, key: str, time: str, values: list[str], width: int = 100_000_000, max_gap: int = 250_000_000, size: int = 20) -> DataFrame:
+    """(key, ``start``, features, ``error``) as ``timeseries.completed_bins`` gives them, from a stream: a bin of ``width``
+    clock units is completed by a sample in the very next one, and told with the window of the last ``size``.
+
+    A gap over ``max_gap``, or a bin without a sample, starts the window anew. Samples of a batch are put in order; one
+    that isn't later than all before it is answered with an error. Features can go on to ``models.network_score``.
+    """
+    kind = samples.schema[key].dataType.simpleString()
+    form = f"{key} {kind}, start long, " + ", ".join(f"{v}_{s} double" for s in STATISTICS for v in values) + ", error string"
+    plain = samples.select(key, F.col(time).cast("long").alias(time), *[F.col(v).cast("double").alias(v) for v in values])
+    return plain.groupBy(key).transformWithState(_Bins(key, time, values, width, max_gap, size), form, "Append", "None")
 
 
 def filter_events(lines: DataFrame, recorder: Recorder = Recorder(without_gravity=True)) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +159,9 @@ def filter_events(lines: DataFrame, recorder: Recorder = Recorder(without_gravit
         "driving": F.coalesce("normal_driving", F.lit(False)), "stationary": F.coalesce("stationary", F.lit(False)), "latitude": F.col("latitude_deg"), "longitude": F.col("longitude_deg"),
         "sigma": F.col("horizontal_sigma_m"), "speed": F.col("speed_mps"), "course": F.col("heading_deg_north_clockwise"),
     }
-    good = told.where("error is null").select("source_id", "type", *[c.alias(n) for n, c in columns.items()])
-    own = [c for c in errors.columns if c not in ("line", "error")]
-    wrong = told.where("error is not null").select(*own, F.to_json(F.struct("type", "source_id", "timestamp", "timestamp_ns")).alias("line"), "error")
+    own = [c for c in errors.columns if c not in ("text", "error")]
+    good = told.where("error is null").select(*own, "source_id", "type", *[c.alias(n) for n, c in columns.items()])
+    wrong = told.where("error is not null").select(*own, F.to_json(F.struct("type", "source_id", "timestamp", "timestamp_ns")).alias("text"), "error")
     return good, errors.unionByName(wrong)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 
 import numpy as np
 import pandas as pd
@@ -55,7 +54,7 @@ def test_contract_of_events():
     assert "quality" in n.step("imu", imu(1, quality=1.5))["error"]
     n.step("imu", imu(10))
     fix = {"timestamp_ns": 10, "latitude": 1.0, "longitude": 1.0, "sigma": 3.0, "east": None, "north": None, "course": None}
-    assert "negative" in n.step("gnss", fix | {"speed": -1.0})["error"]
+    assert n.step("gnss", fix | {"speed": -1.0})["error"] == "speed=-1.0 is not in [0, inf]"
     assert n.step("gnss", fix | {"speed": 1.0}) == {"timestamp_ns": 10, "accepted": True}
 
 
@@ -131,8 +130,8 @@ def test_what_the_filter_rejects():
         with pytest.raises(Rejected):
             call()
     assert n.fix(10, 0.0, 0.0, 36.0) is False and n.degraded
-    assert n.step("other", {"timestamp_ns": 1})["error"]
-    assert "stale" in Navigator(clock=5_000_000_000).step("gnss", {"timestamp_ns": 1, "latitude": 1.0, "longitude": 1.0, "sigma": 3.0, "east": None, "north": None, "speed": None, "course": None})["error"]
+    assert n.step("other", {"timestamp_ns": 1})["error"] == "type=other is not in {imu, gnss}"
+    assert "age_ns=4999999999" in Navigator(clock=5_000_000_000).step("gnss", {"timestamp_ns": 1, "latitude": 1.0, "longitude": 1.0, "sigma": 3.0, "east": None, "north": None, "speed": None, "course": None})["error"]
 
 
 def latched(profile, sigmas, start=False):
@@ -164,42 +163,6 @@ def test_rotation_check():
     assert "finite" in filters.rotation_problem([[math.nan] * 3] * 3)
 
 
-def test_distances_are_the_shortest(spark):
-    rng = np.random.default_rng(1)
-    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(1, 30, 150))]
-    arcs = spark.createDataFrame(edges, "start_node long, end_node long, length double")
-    got = {(r.source, r.node): r.distance for r in roads.distances(arcs, spark.createDataFrame([(0,), (7,)], "node long"), 60.0).collect()}
-    want = {}
-    for s in (0, 7):
-        best = {s: 0.0}
-        for _ in range(40):
-            for a, b, w in edges:
-                if a in best and best[a] + w < best.get(b, math.inf):
-                    best[b] = best[a] + w
-        want |= {(s, n): d for n, d in best.items() if d <= 60}
-    assert got == want
-
-
-def test_routes_are_shortest_paths(spark):
-    arcs = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 2.0), (4, 1, 1.0)], "start_node long, end_node long, length double")
-    asks = spark.createDataFrame([(7, 1, 4), (8, 3, 2), (9, 2, 2), (10, 1, 99)], "ask long, source long, target long")
-    got = sorted((r.ask, r.step, r.start_node, r.end_node, r.so_far) for r in roads.routes(arcs, asks, 100.0).collect())
-    assert got == [(7, 1, 1, 2, 1.0), (7, 2, 2, 3, 2.0), (7, 3, 3, 4, 4.0), (8, 1, 3, 4, 2.0), (8, 2, 4, 1, 3.0), (8, 3, 1, 2, 4.0)]
-
-
-def test_two_way_roads_abstain_and_one_way_roads_match(spark):
-    def match(directions):
-        arcs = [(f"r:{d}", "a" if d == 1 else "b", "b" if d == 1 else "a", *((0.0, 0.0, 0.0, 200.0) if d == 1 else (0.0, 200.0, 0.0, 0.0)), 200.0, 0.0 if d == 1 else 180.0) for d in directions]
-        known = spark.createDataFrame(arcs, "arc string, start_node string, end_node string, start_e double, start_n double, end_e double, end_n double, length double, bearing double")
-        obs = spark.createDataFrame([(k, 1, float(k), 3.0, 20.0 * k, 5.0, None, None) for k in range(3)] + [(9, 1, 9.0, 24.0, 50.0, 1.0, None, None)], "obs long, drive long, t double, e double, n double, sigma double, speed double, course double")
-        links = spark.createDataFrame([("a", "a", 0.0), ("b", "b", 0.0)], "a string, b string, distance double")
-        return {r.obs: (r.accepted, r.reason) for r in roads.match_tracks(roads.candidates(obs, known, ["arc"]), links).collect()}
-
-    one, two = match([1]), match([1, -1])
-    assert one[0][0] and one[2][0] and one[9] == (False, "absolute gate")
-    assert not two[0][0]
-
-
 def test_road_xml(spark, tmp_path):
     (tmp_path / "roads.xml").write_text("""<osm><node id="1" lat="0" lon="0"/><node id="2" lat="0" lon="0.001"/><node id="3" lat="0.001" lon="0.001"/><node id="4" lat="x" lon="1"/>
 <way id="10"><nd ref="1"/><nd ref="2"/><tag k="highway" v="primary"/><tag k="oneway" v="-1"/><tag k="tunnel" v="yes"/></way>
@@ -292,27 +255,6 @@ def test_model_files(spark):
         logs.load_model('{"mean": [1, 2, Infinity]}', {"mean": 3})
 
 
-def test_a_stream_gives_what_the_batch_gives(spark, tmp_path):
-    lines = []
-    for k in range(300):
-        lines.append(json.dumps({"type": "imu", "source_id": "s", "timestamp_ns": 1 + k * 10_000_000, "acceleration": [0.1, 0, 0], "angular_rate": [0, 0, 0.01]}))
-        if k % 100 == 50:
-            lines.append(json.dumps({"type": "gnss", "source_id": "s", "timestamp_ns": 1 + k * 10_000_000, "latitude_deg": 51.5 + k * 1e-7, "longitude_deg": -0.1, "horizontal_sigma_m": 4.0}))
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.jsonl").write_text("\n".join([*lines[:200], "", "not json", '{"type":"imu","quality":NaN}']))
-    (tmp_path / "in/b.jsonl").write_text("\n".join(lines[200:]))
-    os.utime(tmp_path / "in/a.jsonl", (1_000_000_000, 1_000_000_000))  # files come oldest first
-    batch_events, batch_errors = stream.filter_events(spark.read.text(str(tmp_path / "in")))
-    assert batch_errors.count() == 2
-    want = navigation.replay(batch_events).toPandas().sort_values("timestamp_ns").reset_index(drop=True)
-    events, errors = stream.filter_events(spark.readStream.option("maxFilesPerTrigger", 1).option("latestFirst", False).text(str(tmp_path / "in")))
-    run = stream.navigate(events).writeStream.format("memory").queryName("states").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = spark.table("states").toPandas().sort_values("timestamp_ns").reset_index(drop=True)
-    assert run.exception() is None and len(got) and got["error"].isna().all()
-    pd.testing.assert_frame_equal(got, want)
-
-
 def test_bins_and_sessions(spark):
     rows = spark.createDataFrame([(1, t / 1000, float(t)) for t in (0, 40, 90, 150, 900, 950)], "k long, s double, v double").select("k", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "v")
     assert sorted((r.n, r.v) for r in stream.bins(rows, ["k"], ["v"]).collect()) == [(1, 150.0), (2, 925.0), (3, 130 / 3)]
