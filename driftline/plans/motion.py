@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import edge, navigation, replays, roads
+from ..operators import edge, modes, navigation, replays, roads, service
 from ..operators import models as M
 from ..operators import timeseries as T
 from ..operators.aggregates import spread_quantile
@@ -173,12 +173,28 @@ def mdl1_standardise(spark, sf):
     return M.standardise(rows, M.standards(rows, ["n0"])).select("vec_id", _r("n0").alias("z"))
 
 
-@query()
+def _det(m) -> str:
+    """The determinant of three rows of SQL terms."""
+    minor = lambda i, j: f"({m[1][i]} * {m[2][j]} - {m[1][j]} * {m[2][i]})"
+    return f"({m[0][0]} * {minor(1, 2)} - {m[0][1]} * {minor(0, 2)} + {m[0][2]} * {minor(0, 1)})"
+
+
+def _ridge_sql(alpha: float = 10.0) -> str:
+    """Three weights by determinants, and the mean of the target."""
+    z = ", ".join(f"(n{k} - avg(n{k}) OVER ()) / CASE WHEN stddev_pop(n{k}) OVER () < 1e-6 THEN 1 ELSE stddev_pop(n{k}) OVER () END AS z{k}" for k in range(3))
+    sums = ", ".join([f"sum(z{i} * z{j}) + {alpha if i == j else 0.0} AS x{i}{j}" for i in range(3) for j in range(3)] + [f"sum(z{i} * y) AS y{i}" for i in range(3)] + ["any_value(m) AS m"])
+    a = [[f"x{i}{j}" for j in range(3)] for i in range(3)]
+    solved = [f"{_det([[f'y{i}' if j == k else a[i][j] for j in range(3)] for i in range(3)])} / {_det(a)}" for k in range(3)]
+    rows = " UNION ALL ".join([f"SELECT {k} AS position, round({w}, 6) AS weight FROM s" for k, w in enumerate(solved)] + ["SELECT 3, round(m, 6) FROM s"])
+    return f"WITH {RECORDER}, {_NORMS}, z AS (SELECT {z}, n3 - avg(n3) OVER () AS y, avg(n3) OVER () AS m FROM norms), s AS (SELECT {sums} FROM z) {rows}"
+
+
+@query(_ridge_sql())
 def mdl2_ridge(spark, sf):
     rows = norms(spark, sf)
     names = ["n0", "n1", "n2"]
     w, mean = M.ridge(M.standardise(rows, M.standards(rows, names)), names, "n3")
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate([*w, mean])], "position int, weight double")
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate([*w, mean])], "position int, weight double")
 
 
 @query()
@@ -342,23 +358,33 @@ k AS (SELECT *, CASE WHEN c = 1 THEN 1 WHEN good >= 3 THEN 0 END AS sets FROM g)
 
 @query(f"WITH {TRACK}, {_LATCH} SELECT event_id, coalesce(last_value(sets IGNORE NULLS) OVER (PARTITION BY drive ORDER BY t ROWS UNBOUNDED PRECEDING), 0) = 1 AS degraded FROM k")
 def sta7_quality_latch(spark, sf):
-    poor, good = F.col("value") >= 20, F.col("value") <= 12
-    w = Window.partitionBy("drive").orderBy("t")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = track(spark, sf).withColumn("run", F.sum(F.when(good, 0).otherwise(1)).over(past))
-    streak = F.when(good, F.row_number().over(Window.partitionBy("drive", "run", good).orderBy("t"))).otherwise(0)
-    rows = rows.withColumn("sets", F.when(poor, 1).when(streak >= 3, 0))
-    return rows.select("event_id", (F.coalesce(F.last("sets", ignorenulls=True).over(past), F.lit(0)) == 1).alias("degraded"))
+    poor, good = F.col("value") >= navigation.HANDHELD.enter_degraded, F.col("value") <= navigation.HANDHELD.leave_degraded
+    out = modes.quality_latch(track(spark, sf), D, [F.col("t")], poor, good, ~good, navigation.HANDHELD.streak_to_leave_degraded, "degraded")
+    return out.select("event_id", "degraded")
 
 
-@query(f"""WITH {TRACK}, a AS (SELECT event_id, t - max(CASE WHEN sensor = 'click' THEN t END) OVER (PARTITION BY drive ORDER BY t ROWS UNBOUNDED PRECEDING) AS age, value FROM track)
-SELECT event_id, CASE WHEN age IS NULL THEN 'WAITING_FOR_GNSS' WHEN age > 200000 THEN 'DEAD_RECKONING' WHEN age > 100000 OR value >= 40 THEN 'GNSS_DEGRADED' ELSE 'GNSS_AIDED' END AS mode FROM a""")
+def judged_events(spark, sf):
+    """Events as a recording on the clock of ``filter_events``: a click is a fix as accurate as its value says, and counts
+    unless it is out of reach or one in five."""
+    ns = (F.col("us") - F.min("us").over(Window.partitionBy("drive"))) * 1000 / 36000
+    is_fix = F.col("sensor") == "click"
+    return track(spark, sf).select("event_id", "drive", F.when(is_fix, "gnss").otherwise("imu").alias("type"), ns.cast("long").alias("timestamp_ns"), F.when(is_fix, F.col("value")).alias("sigma"), (is_fix & (F.col("value") <= 35) & (F.col("event_id") % 5 != 0)).alias("accepted"))
+
+
+#: Each step of the modes once more: returns between outages, and the latch of a single good fix.
+_MODES = """e AS (SELECT event_id, drive, sensor = 'click' AS fix, CAST(trunc((us - min(us) OVER (PARTITION BY drive)) * 1000 / 36000) AS BIGINT) AS ns, CASE WHEN sensor = 'click' THEN value END AS sigma, sensor = 'click' AND value <= 35 AND event_id % 5 <> 0 AS counts FROM track),
+a AS (SELECT *, max(CASE WHEN counts THEN ns END) OVER (PARTITION BY drive ORDER BY ns, fix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+b AS (SELECT *, coalesce(fix AND sigma <= 35 AND ns - before > 3000000000, FALSE) AS reopen FROM a),
+c AS (SELECT *, sum(CASE WHEN reopen OR (fix AND NOT counts) THEN 1 ELSE 0 END) OVER (PARTITION BY drive ORDER BY ns, fix ROWS UNBOUNDED PRECEDING) AS run FROM b),
+d AS (SELECT *, sum(CAST(counts AS INTEGER)) OVER (PARTITION BY drive, run ORDER BY ns, fix ROWS UNBOUNDED PRECEDING) AS good FROM c),
+f AS (SELECT *, last_value(CASE WHEN counts AND good >= 3 THEN 0 WHEN reopen THEN 1 END IGNORE NULLS) OVER w AS returning_, max(CASE WHEN counts THEN ns END) OVER w AS fixed,
+  last_value(CASE WHEN counts AND before IS NULL THEN CAST(sigma > 12 AS INTEGER) WHEN fix AND (sigma > 35 OR counts AND sigma >= 20) THEN 1 WHEN counts AND sigma <= 12 THEN 0 END IGNORE NULLS) OVER w AS poor
+  FROM d WINDOW w AS (PARTITION BY drive ORDER BY ns, fix ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"""WITH {TRACK}, {_MODES} SELECT event_id, CASE WHEN fixed IS NULL THEN 'WAITING_FOR_GNSS' WHEN ns - fixed > 3000000000 THEN 'DEAD_RECKONING' WHEN returning_ = 1 THEN 'GNSS_REACQUIRING' WHEN ns - fixed > 1500000000 OR coalesce(poor, 0) = 1 THEN 'GNSS_DEGRADED' ELSE 'GNSS_AIDED' END AS mode FROM f WHERE NOT fix""")
 def sta8_mode_machine(spark, sf):
-    past = Window.partitionBy("drive").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    age = F.col("t") - F.max(F.when(F.col("sensor") == "click", F.col("t"))).over(past)
-    rows = track(spark, sf).withColumn("age", age)
-    mode = F.when(F.col("age").isNull(), "WAITING_FOR_GNSS").when(F.col("age") > 200000, "DEAD_RECKONING").when((F.col("age") > 100000) | (F.col("value") >= 40), "GNSS_DEGRADED").otherwise("GNSS_AIDED")
-    return rows.select("event_id", mode.alias("mode"))
+    return modes.modes(judged_events(spark, sf), D).select("event_id", "mode")
 
 
 @query(f"""WITH {TRACK} SELECT event_id, CASE WHEN value > 60 THEN 'not a JSON object' WHEN event_id % 5 = 0 THEN 'type=other is not in {{imu, gnss}}' END AS error FROM track WHERE event_id % 7 <> 0""")
@@ -462,17 +488,25 @@ def sta9_adapter_normalisation(spark, sf):
     return edge.normalised(samples, device).select("event_id", "error", "timestamp_ns", _r("accel", 8).alias("accel"), _r("yaw_rate", 8).alias("yaw_rate"))
 
 
-@query(f"""WITH {TRACK}, g AS (SELECT drive, us, sensor, us - lag(us) OVER w AS dt, row_number() OVER (PARTITION BY drive ORDER BY us DESC) AS back FROM track WINDOW w AS (PARTITION BY drive ORDER BY us)),
-o AS (SELECT drive, count(*) AS outputs, (count(*) - 1) * 1e9 / nullif(max(us) - min(us), 0) AS output_hz FROM track WHERE sensor = 'click' GROUP BY drive)
-SELECT g.drive, count(*) AS samples, count(*) FILTER (WHERE dt > 150000000000) AS gaps, round((count(*) - 1) * 1e9 / nullif(max(us) - min(us), 0), 9) AS input_hz, round(quantile_cont(dt / 1e6, 0.5), 4) AS median_step_ms,
-  round(stddev_pop(dt / 1e6), 4) AS jitter_ms, coalesce(any_value(outputs), 0) AS outputs, round(any_value(output_hz), 9) AS output_hz FROM g LEFT JOIN o USING (drive) GROUP BY g.drive""")
+@query(f"""WITH {TRACK}, g AS (SELECT drive, us, us - lag(us) OVER w AS dt, row_number() OVER (PARTITION BY drive ORDER BY us DESC) AS back FROM track WINDOW w AS (PARTITION BY drive ORDER BY us)),
+c AS (SELECT drive, us, row_number() OVER (PARTITION BY drive ORDER BY us DESC) AS back FROM track WHERE sensor = 'click'),
+o AS (SELECT drive, count(*) AS outputs, (count(*) FILTER (WHERE back <= 48) - 1) * 1e9 / nullif(max(us) FILTER (WHERE back <= 48) - min(us) FILTER (WHERE back <= 48), 0) AS output_hz FROM c GROUP BY drive)
+SELECT g.drive, count(*) AS samples, count(*) FILTER (WHERE dt > 150000000000) AS gaps, round((count(*) FILTER (WHERE back <= 48) - 1) * 1e9 / nullif(max(us) FILTER (WHERE back <= 48) - min(us) FILTER (WHERE back <= 48), 0), 9) AS input_hz, round(quantile_cont(dt / 1e6, 0.5) FILTER (WHERE back < 48), 4) AS median_step_ms,
+  round(stddev_pop(dt / 1e6) FILTER (WHERE back < 48), 4) AS jitter_ms, coalesce(any_value(outputs), 0) AS outputs, round(any_value(output_hz), 9) AS output_hz FROM g LEFT JOIN o USING (drive) GROUP BY g.drive""")
 def sta10_edge_diagnostics(spark, sf):
-    """A microsecond of the track counts as a nanosecond; recordings here are shorter than the last 256 samples."""
+    """A microsecond of the track counts as a nanosecond. Recordings here have up to 88 samples, so the window is of 48."""
     rows = track(spark, sf).select("drive", F.col("us").alias("timestamp_ns"), "sensor")
-    out = edge.diagnostics(rows, rows.where("sensor = 'click'"), 0.01, "drive", last=1 << 30)
+    out = edge.diagnostics(rows, rows.where("sensor = 'click'"), 0.01, "drive", last=48)
     return out.select("drive", "samples", "gaps", _r("input_hz", 9).alias("input_hz"), _r("median_step_ms", 4).alias("median_step_ms"), _r("jitter_ms", 4).alias("jitter_ms"), "outputs", _r("output_hz", 9).alias("output_hz"))
 
 
+@query()
+def sta10_service_records(spark, sf):
+    """The service's whole record: place in degrees, age of the fix, verdicts, rates; fixes around London."""
+    events = filter_events(spark, sf).withColumn("latitude", F.when(F.col("east").isNotNull(), 51.5 + F.col("north") / 1e5)).withColumn("longitude", F.when(F.col("east").isNotNull(), -0.1 + F.col("east") / 1e5))
+    return service.serve(events, hz=20.0).drop("delay_p95_ms")
+
+
 @query(f"""WITH {TRACK} SELECT event_id, '{{"event_id":' || event_id || ',"x":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(event_id % 7 AS VARCHAR) || '.5' END || ',"sensor":' || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"' || sensor || '"' END || '}}' AS value FROM track""")
 def snk3_json_lines(spark, sf):
     """Rows as lines of JSON: what isn't a finite number is null."""

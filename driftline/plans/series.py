@@ -106,6 +106,17 @@ def win9_time_grid(spark, sf):
     return T.time_grid(track(spark, sf), "t", D, 86400.0, 0.1).select("drive", "tick", _r("t", 4).alias("t"))
 
 
+@query(f"""WITH {TRACK}, g AS (SELECT drive, min(t) AS lo, unnest(range(0, CAST(ceil((max(t) + 86400 - min(t)) / 864000) AS BIGINT))) AS tick FROM track GROUP BY drive)
+SELECT drive, tick, round(lo + tick * 864000, 3) AS t FROM g""")
+def win9_time_grid_in_sql(spark, sf):
+    """The same grid, ten days a step, by the table function that ``functions.tables`` registers."""
+    from ..functions.tables import register
+
+    register(spark)
+    track(spark, sf).groupBy("drive").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).createOrReplaceTempView("spans_of_drives")
+    return spark.sql("SELECT s.drive, g.k AS tick, round(g.t, 3) AS t FROM spans_of_drives s, LATERAL time_grid(s.lo, s.hi, double(1 / 864000.0D)) g")
+
+
 _THROTTLE = "first AS (SELECT *, row_number() OVER (PARTITION BY drive, slot ORDER BY t) AS rn FROM (SELECT *, floor((t - min(t) OVER (PARTITION BY drive)) / 86400) AS slot FROM track))"
 
 

@@ -213,8 +213,14 @@ def set4_cell_union(spark, sf):
     return track(spark, sf).select("drive", F.floor(F.col("value") / 30).alias("cell")).distinct()
 
 
-@query("SELECT unnest(['timestamp_s', 'accel']) AS missing")
+@query(f"""WITH {TRACK}, j AS (SELECT sensor, CASE WHEN event_id % 3 = 0 THEN '{{"k":1,"accel":2}}' WHEN event_id % 7 = 0 THEN 'none' ELSE props END AS props FROM track),
+m AS (SELECT sensor, unnest(list_filter(['k', 'accel', 'timestamp_s'], lambda c: NOT list_contains(CASE WHEN json_valid(props) THEN json_keys(props) ELSE [] END, c))) AS missing FROM j)
+SELECT sensor, missing, count(*) AS n FROM m GROUP BY ALL""")
 def set5_missing_columns(spark, sf):
-    wanted = ["event_id", "timestamp_s", "value", "accel"]
-    have = set(track(spark, sf).columns)
-    return spark.createDataFrame([(c,) for c in wanted if c not in have], "missing string")
+    """Which of the wanted names the records of each sensor lack, and how many of them."""
+    from ..functions.tables import missing_keys
+
+    k = F.col("event_id")
+    props = F.when(k % 3 == 0, '{"k":1,"accel":2}').when(k % 7 == 0, "none").otherwise(F.col("props"))
+    rows = track(spark, sf).select("sensor", F.explode(missing_keys(props, ["k", "accel", "timestamp_s"])).alias("missing"))
+    return rows.groupBy("sensor", "missing").agg(F.count("*").alias("n"))

@@ -49,6 +49,17 @@ def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     return [c for c in wanted if c not in set(df.columns)]
 
 
+def missing_by_file(spark: SparkSession, path: str | list[str], wanted: list[str], separator: str = ",") -> DataFrame:
+    """(file, missing) of text files that lack wanted columns in their first line: names trimmed, in the order asked.
+
+    Of each file only the split with its begin is asked for a line, and one line of it goes on.
+    """
+    rows = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+    first = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), "value").groupBy("file").agg(F.min_by("value", "_at").alias("value"))
+    names = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), separator), lambda x: F.trim(x, F.lit(' "\r')))
+    return first.select("file", F.array_except(F.array(*map(F.lit, wanted)), names).alias("missing")).where(F.size("missing") > 0)
+
+
 def file_pairs(paths: DataFrame, path: str = "path") -> DataFrame:
     """Logs named S-<drive>.csv and V-<drive>.csv in one folder, as (folder, drive, phone, vehicle); others are left out."""
     parts = paths.select(F.col(path).alias("path"), F.regexp_extract(path, r"^(.*/)[SV]-[^/]*\.csv$", 1).alias("folder"), F.regexp_extract(path, r"/([SV])-[^/]*\.csv$", 1).alias("side"), F.regexp_extract(path, r"/[SV]-([^/]*)\.csv$", 1).alias("drive"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
@@ -38,23 +38,65 @@ def read_road_service(spark: SparkSession, path: str) -> DataFrame:
 ARC = "segment_id long, way_id string, start_node string, end_node string, start_e_m double, start_n_m double, end_e_m double, end_n_m double, length_m double, bearing_deg double, highway string, name string, tunnel string, bridge string, layer long"
 
 
-def read_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Arcs of prepared graph files of the given format name; what is out of range is an error."""
-    document = spark.read.option("multiLine", True).schema(f"schema_version int, format string, cell_size_m double, arcs array<struct<{ARC.replace(' ', ':').replace(',:', ',')}>>").json(path)
-    fits = (F.col("schema_version") == 1) & (F.col("format") == name) & F.col("cell_size_m").between(10, 1000)
-    checked = document.where(F.when(F.coalesce(fits, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("unsupported road graph")).cast("boolean")))
-    arcs = checked.select(F.inline("arcs"))
-    near = F.lit(True)
-    for c in ("start_e_m", "start_n_m", "end_e_m", "end_n_m"):
-        near = near & (F.abs(c) <= 200_000)
-    return arcs.where(near & F.col("length_m").between(0, 10_000))
+#: Limits of a prepared graph (fixed values): arcs, bytes of its file, metres from the origin and of an arc, cell sizes.
+MOST_ARCS, MOST_BYTES, FARTHEST, LONGEST, CELLS = 60_000, 25 << 20, 200_000.0, 10_000.0, (10.0, 1000.0)
+_GRAPH = "schema_version int, format string, origin_latitude_deg double, origin_longitude_deg double, cell_size_m double, attribution string"
 
 
-def write_graph(arcs: DataFrame, path: str, name: str, cell: float = 60.0) -> None:
-    """One JSON document of a prepared graph: a bounded extract, as the format is one document."""
+def _required(column: Column, holds: Column, said: str, value: Column) -> Column:
+    """``column`` where ``holds``; else an error that names the field's bound and the value found."""
+    what = F.concat(F.lit(f"{said}, found "), F.coalesce(value.cast("string"), F.lit("nothing")))
+    return F.when(F.coalesce(holds, F.lit(False)), column).otherwise(F.raise_error(what))
+
+
+def _graphs(spark: SparkSession, path: str, name: str, most: int) -> DataFrame:
+    form = f"{_GRAPH}, arcs array<struct<{ARC.replace(' ', ':').replace(',:', ',')}>>"
+    document = spark.read.option("multiLine", True).schema(form).json(path).withColumn("_bytes", F.col("_metadata.file_size"))
+    rules = [
+        ("schema_version", F.col("schema_version") == 1, "unsupported road graph: schema_version is 1", F.col("schema_version")),
+        ("format", F.col("format") == name, f"unsupported road graph: format is {name}", F.col("format")),
+        ("origin_latitude_deg", F.col("origin_latitude_deg").between(-90, 90), "origin_latitude_deg lies in [-90, 90]", F.col("origin_latitude_deg")),
+        ("origin_longitude_deg", F.col("origin_longitude_deg").between(-180, 180), "origin_longitude_deg lies in [-180, 180]", F.col("origin_longitude_deg")),
+        ("arcs", F.size("arcs").between(1, most), f"a graph has 1 to {most} arcs", F.size("arcs")),
+        ("_bytes", F.col("_bytes").between(1, MOST_BYTES), f"a graph file has 1 to {MOST_BYTES} bytes", F.col("_bytes")),
+    ]
+    document = document.withColumn("cell_size_m", F.coalesce("cell_size_m", F.lit(60.0)))
+    rules.append(("cell_size_m", F.col("cell_size_m").between(*CELLS), f"cell_size_m lies in {list(CELLS)}", F.col("cell_size_m")))
+    return document.select(*[_required(F.col(c), holds, said, value).alias(c) for c, holds, said, value in rules], "attribution")
+
+
+def read_graph(spark: SparkSession, path: str, name: str, most: int = MOST_ARCS) -> DataFrame:
+    """Arcs of prepared graph files of the given format name.
+
+    A file that is too large, lacks its origin or has no arc or over ``most``, and an arc out of range (coordinates
+    beyond 200 km, straight or given length over 10 km, a length that isn't positive), is an error that names the field.
+    """
+    graph = _graphs(spark, path, name, most)
+    # all rules of the document are looked at, also those whose columns nobody reads
+    whole = graph.where(F.col("schema_version").isNotNull() & F.col("format").isNotNull() & F.col("origin_latitude_deg").isNotNull() & F.col("origin_longitude_deg").isNotNull() & F.col("cell_size_m").isNotNull() & F.col("_bytes").isNotNull())
+    arcs = whole.select(F.inline("arcs"))
+    near = [_required(F.col(c), F.abs(c) <= FARTHEST, f"{c} lies within {FARTHEST} m", F.col(c)).alias(c) for c in ("start_e_m", "start_n_m", "end_e_m", "end_n_m")]
+    straight = F.hypot(F.col("end_e_m") - F.col("start_e_m"), F.col("end_n_m") - F.col("start_n_m"))
+    length = _required(F.col("length_m"), (F.col("length_m") > 0) & (F.col("length_m") < float("inf")) & (straight <= LONGEST), f"length_m is above 0, and an arc's ends within {LONGEST} m", F.col("length_m"))
+    told = {"start_e_m": near[0], "start_n_m": near[1], "end_e_m": near[2], "end_n_m": near[3], "length_m": length.alias("length_m")}
+    return arcs.select(*[told.get(c.split()[0], F.col(c.split()[0])) for c in ARC.split(", ")])
+
+
+def graph_origins(spark: SparkSession, path: str, name: str, most: int = MOST_ARCS) -> DataFrame:
+    """(file, origin_latitude_deg, origin_longitude_deg, cell_size_m, attribution): where each graph's plane lies."""
+    return _graphs(spark, path, name, most).select(F.input_file_name().alias("file"), "origin_latitude_deg", "origin_longitude_deg", "cell_size_m", "attribution")
+
+
+def write_graph(arcs: DataFrame, path: str, name: str, at: tuple[float, float], cell: float = 60.0, attribution: str | None = None) -> None:
+    """One JSON document of a prepared graph around the origin ``at``: a bounded extract, as the format is one document."""
     fields = [F.col(c.split()[0]) for c in ARC.split(", ")]
-    document = arcs.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("arcs")).select(F.lit(1).alias("schema_version"), F.lit(name).alias("format"), F.lit(cell).alias("cell_size_m"), "arcs")
-    document.coalesce(1).write.mode("overwrite").json(path)
+    document = arcs.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("arcs"))
+    head = {"schema_version": 1, "format": name, "origin_latitude_deg": float(at[0]), "origin_longitude_deg": float(at[1]), "cell_size_m": float(cell), "attribution": attribution}
+    document.select(*[F.lit(v).cast("string" if v is None else type_of(v)).alias(k) for k, v in head.items()], "arcs").coalesce(1).write.mode("overwrite").json(path)
+
+
+def type_of(value: object) -> str:
+    return {int: "int", float: "double", str: "string"}[type(value)]
 
 
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:

@@ -197,7 +197,7 @@ def test_trajectories_and_service_answers(spark, tmp_path):
 def test_graph_file_goes_round(spark, tmp_path):
     arc = (0, "w", "a", "b", 0.0, 0.0, 10.0, 0.0, 10.0, 90.0, "primary", "", "", "", 0)
     arcs = spark.createDataFrame([arc], maps.ARC)
-    maps.write_graph(arcs, str(tmp_path / "g"), "roads-v1")
+    maps.write_graph(arcs, str(tmp_path / "g"), "roads-v1", (51.5, -0.1))
     assert [tuple(r) for r in maps.read_graph(spark, str(tmp_path / "g"), "roads-v1").collect()] == [arc]
     with pytest.raises(Exception, match="unsupported"):
         maps.read_graph(spark, str(tmp_path / "g"), "other").collect()
