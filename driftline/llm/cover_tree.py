@@ -2,9 +2,10 @@
 
 Vectors lie in cells around a few pivots, and within a cell in blocks of bounded size. A bounded sample of vectors gives
 each query a first k-th best score. A query goes only to the cells whose ball (around the pivot, and around zero) allows
-a score as good; queries travel, vectors are sent to their block once. In each block its vectors and all queries that
-have come are held as cover trees and walked together: a pair of nodes is left out when the centres and covering radii
-show that no vector below one can reach the worst k-th score of the queries below the other.
+a score as good. Queries of a cell go in parts of bounded size, so that no task holds more than a block and a part,
+however many queries there are. In each block its vectors and a part of the queries are held as cover trees and walked
+together: a pair of nodes is left out when the centres and covering radii show that no vector below one can reach the
+worst k-th score of the queries below the other.
 """
 
 from __future__ import annotations
@@ -230,7 +231,10 @@ def exact_top_k(table: DataFrame, is_query: Column, k: int = 5, scale: float = 2
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell"))
     indexed = vectors.select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("block"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+    asking = {r["cell"]: math.ceil(r["count"] / BLOCK) for r in queries.groupBy("cell").count().collect()}  # a row a pivot
+    sides = F.element_at(F.create_map(*[F.lit(x) for pair in asking.items() for x in pair]), F.col("cell"))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), sides).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+    indexed = indexed.where(F.col("cell").isin(list(asking))).withColumn("part", F.explode(F.sequence(F.lit(0), sides - 1)))
 
     def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
         trees = [CoverTree(_matrix(t["vector"], width // 8), t["id"].to_numpy(), most) for t, most in ((asked, asked.num_rows), (block, k + 1))]
@@ -238,7 +242,7 @@ def exact_top_k(table: DataFrame, is_query: Column, k: int = 5, scale: float = 2
         name = pa.array([zlib.crc32(x) for x in asked["vector"].to_pylist()], pa.int64())
         return pa.table([asked["id"].take(pa.array(row)), name.take(pa.array(row)), pa.array(other, pa.int64()), pa.array(score, pa.float64())], ["id", "name", "other", "score"])
 
-    met = queries.groupBy("cell", "block").cogroup(indexed.groupBy("cell", "block")).applyInArrow(meet, "id long, name long, other long, score double")
+    met = queries.groupBy("cell", "block", "part").cogroup(indexed.groupBy("cell", "block", "part")).applyInArrow(meet, "id long, name long, other long, score double")
     order = F.row_number().over(Window.partitionBy("id", "name").orderBy(F.desc("score"), "other"))
     best = met.withColumn("rank", order).where(F.col("rank") <= k)
     return best.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), F.col("score").cast("long").alias("score"))

@@ -3,10 +3,10 @@
 The reference is all text of documents with smaller ids, held as indexed blocks: the distinct stretches around anchors,
 each with the smallest document that has it. Blocks that share an anchor are in one group of bounded size, and in a
 group every block is parsed greedily against all blocks of smaller documents: from its first word on, the longest match
-in any of them is a factor, and the next factor starts behind it (a word that matches nowhere is passed over). Longest
-matches come from the suffix order of the group's words. Factors of the least length become duplicate spans. What starts
-in a factor and ends behind it is checked at the factor's end: there each place with a match of the least length is a
-span too. A document's windows each lie in one of its blocks, so its spans are those of its blocks.
+in any of them is a factor, found by one binary search in the group's suffix order, and the parse jumps behind it (a word
+that matches nowhere is passed over). Factors of the least length become duplicate spans, and places within one are never
+looked at. What starts in a factor and ends behind it is looked up at the factor's end: there each place with a match of
+the least length is a span too. A document's windows each lie in one of its blocks, so its spans are those of its blocks.
 """
 
 from __future__ import annotations
@@ -35,13 +35,14 @@ def _dense(keys: np.ndarray) -> np.ndarray:
 
 
 class BlockIndex:
-    """Suffix order of the words of blocks, and lengths that any two suffixes share.
+    """Suffix order of the words of blocks, where each block has a ``source``, and searches in it.
 
     Behind each block stands an end mark that equals nothing else, so that no match leaves its block. Ranks by the first
-    1, 2, 4, ... words are kept, each from the one before.
+    1, 2, 4, ... words are kept, each from the one before. Over the suffix order the smallest source of each 1, 2, 4, ...
+    neighbours is kept, so that the nearest suffix of a smaller source is found by a binary search.
     """
 
-    def __init__(self, words: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, source: np.ndarray) -> None:
         self.start = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         n = int((sizes + 1).sum())
         marks = self.start + sizes
@@ -57,73 +58,81 @@ class BlockIndex:
             behind[: n - reach] = rank[reach:] + 1
             rank = _dense(rank * (n + 2) + behind)
             self.levels.append(rank)
+        self.end = np.repeat(marks, sizes + 1)
+        self.order = np.argsort(rank)
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.order] = np.arange(n)
+        owner = np.repeat(source, sizes + 1).astype(np.int64)
+        owner[marks] = np.iinfo(np.int64).max
+        self.least = [owner[self.order]]
+        while 1 << len(self.least) <= n:
+            half = 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many words the suffixes at ``a`` and ``b`` share."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        same = a == b  # all of them
+        out = np.where(same, self.end[a] - a, 0)
+        open_ = np.flatnonzero(~same)
+        a, b = a[open_].copy(), b[open_].copy()
         for level in range(len(self.levels) - 1, -1, -1):
-            same = np.flatnonzero(self.levels[level][a] == self.levels[level][b])
-            a[same], b[same], out[same] = a[same] + (1 << level), b[same] + (1 << level), out[same] + (1 << level)
+            on = np.flatnonzero(self.levels[level][a] == self.levels[level][b])
+            a[on], b[on], out[open_[on]] = a[on] + (1 << level), b[on] + (1 << level), out[open_[on]] + (1 << level)
         return out
 
+    def longest(self, at: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """The length of the longest match of the suffix at each place in any block of a smaller source: that of the
+        nearest such suffix before or behind it in suffix order."""
+        out, n = np.zeros(len(at), np.int64), len(self.order)
+        before, behind = self.rank[at] + 1, self.rank[at].copy()
+        for level in range(len(self.least) - 1, -1, -1):
+            least, reach = self.least[level], 1 << level
+            on = np.flatnonzero(before >= reach)
+            on = on[least[before[on] - reach] >= source[on]]
+            before[on] -= reach
+            on = np.flatnonzero(behind + reach <= n)
+            on = on[least[behind[on]] >= source[on]]
+            behind[on] += reach
+        for has, near in ((before > 0, before - 1), (behind < n, behind)):
+            on = np.flatnonzero(has)
+            out[on] = np.maximum(out[on], self.shared(at[on], self.order[near[on]]))
+        return out
 
-def nearest_smaller(rank: np.ndarray) -> np.ndarray:
-    """For each entry the nearest one before it with a smaller rank, or -1. What lies between has no smaller rank than
-    the entry, so a pointer may follow the pointer of the entry it points to."""
-    ahead = np.arange(len(rank)) - 1
-    live = np.flatnonzero(ahead >= 0)
-    while len(live := live[rank[ahead[live]] >= rank[live]]):
-        ahead[live] = ahead[ahead[live]]
-        live = live[ahead[live] >= 0]
-    return ahead
 
+def jump(at: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Where the next factor starts: behind this one, or behind a word that matches nowhere."""
+    return at + np.maximum(factor, 1)
 
-def longest_matches(words: np.ndarray, sizes: np.ndarray, source: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """For each place of each block the length of its longest match in a block of smaller ``source``.
 
-    ``again`` marks blocks that stand once more behind all others; the result goes on with their places.
-    """
-    index = BlockIndex(words, sizes)
-    block = np.repeat(np.arange(len(sizes)), sizes)
-    place = index.start[block] + np.arange(len(block)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    second = np.flatnonzero(again[block])
-    where, owner = np.concatenate([place, place[second]]), np.concatenate([source[block], np.full(len(second), np.iinfo(np.int64).max)])
-    order = np.argsort(index.levels[-1][where], kind="stable")
-    best, ends = np.zeros(len(where), np.int64), index.start + sizes
-    for way in (order, order[::-1]):
-        near = nearest_smaller(owner[way])
-        has = np.flatnonzero(near >= 0)
-        at = way[has]
-        one, two = where[at], where[way[near[has]]]
-        long = ends[np.searchsorted(index.start, one, side="right") - 1] - one  # two copies of one place share all to the end
-        other = np.flatnonzero(one != two)
-        long[other] = index.shared(one[other], two[other])
-        best[at] = np.maximum(best[at], long)
-    return best
-
-
-def greedy_parse(match: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, first, end) of the duplicate spans of blocks whose places have the longest matches ``match``.
-
-    All blocks are parsed side by side, a factor of each at a time. Factors of ``width`` or more are spans; so is, at
-    each factor's end, what starts before it, ends behind it and matches as long.
+def greedy_parse(index: BlockIndex, block: np.ndarray, sizes: np.ndarray, source: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end) of the duplicate spans of blocks, by a greedy parse of each against those of smaller sources.
+
+    From a block's first word on the longest match is a factor, found by one search at its start, and the parse jumps
+    behind it; a word that matches nowhere is passed over. Factors of ``width`` or more are spans, and what lies within
+    one needs no look. What starts in a factor and ends behind it is looked up at the factor's end: such a place with a
+    match of ``width`` or more is a span too. ``block`` may name a block twice, with another source. All blocks are
+    parsed side by side, a factor of each at a time.
     """
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    at, end = begin[:-1].copy(), begin[1:]
-    starts = []
-    live = np.flatnonzero(at < end)
+    at = np.zeros(len(block), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep(row: np.ndarray, place: np.ndarray, length: np.ndarray) -> None:
+        long = np.flatnonzero(length >= width)
+        found.append((row[long], place[long], place[long] + length[long]))
+
+    live = np.flatnonzero(sizes >= width)
     while len(live):
-        starts.append(at[live])
-        at[live] += np.maximum(match[at[live]], 1)
-        live = live[at[live] < end[live]]
-    factor = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-    until = factor + np.maximum(match[factor], 1)
-    long = np.flatnonzero(match >= width)
-    own = np.searchsorted(factor, long, side="right") - 1
-    keep = (factor[own] == long) | (long + width > until[own])  # a factor itself, or what crosses its end
-    first = long[keep]
-    block = np.searchsorted(begin, first, side="right") - 1
-    return block, first - begin[block], first + match[first] - begin[block]
+        factor = index.longest(index.start[block[live]] + at[live], source[live])
+        keep(live, at[live], factor)
+        behind = at[live] + np.maximum(factor, 1)
+        low, high = np.maximum(at[live] + 1, behind - width + 1), np.minimum(behind, sizes[live] - width + 1)
+        many = np.maximum(high - low, 0)
+        row = np.repeat(live, many)
+        place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        keep(row, place, index.longest(index.start[block[row]] + place, source[row]))
+        at[live] = jump(at[live], factor)
+        live = live[at[live] + width <= sizes[live]]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def _factors(group: pa.Table, width: int) -> pa.Table:
@@ -135,15 +144,17 @@ def _factors(group: pa.Table, width: int) -> pa.Table:
     sizes, more = np.diff(words.row), group["more"].to_numpy(zero_copy_only=False)
     ids = group["id"].to_pylist()
     source = np.cumsum([k > 0 and ids[k] != ids[k - 1] for k in range(len(ids))])
-    match = longest_matches(words.hashes, sizes, source, more)
-    second = np.flatnonzero(more)
-    block, first, end = greedy_parse(match, np.concatenate([sizes, sizes[second]]), width)
+    second = np.flatnonzero(more)  # these stand once more, in documents behind all others
+    each = np.concatenate([np.arange(len(sizes)), second])
+    last = np.full(len(second), np.iinfo(np.int64).max)
+    index = BlockIndex(words.hashes, sizes, source)
+    block, first, end = greedy_parse(index, each, sizes[each], np.concatenate([source, last]), width)
     gap = block * (int(sizes.max(initial=0)) + 2)
     first, end = merged(first + gap, end + gap)
     block = first // (int(sizes.max(initial=0)) + 2)
     gap = block * (int(sizes.max(initial=0)) + 2)
     later = block >= len(sizes)
-    row = np.concatenate([np.arange(len(sizes)), second])[block]
+    row = each[block]
     own = group.select(["anchor", "kind"]).take(pa.array(row))
     return pa.table([*own.columns, pa.array(later), pa.array((first - gap).astype(np.int32)), pa.array((end - first).astype(np.int32))], ["anchor", "kind", "later", "start", "units"])
 

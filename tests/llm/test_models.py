@@ -211,3 +211,30 @@ def test_whole_pipeline(spark, tmp_path, empty):
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_top_k_holds_no_more_queries_than_a_block(spark, monkeypatch):
+    """Every vector asks; the queries of a cell are dealt out in parts, and the result is that of all pairs."""
+    from driftline.llm import cover_tree
+
+    monkeypatch.setattr(cover_tree, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(700, 6))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    held = spark.sparkContext.accumulator(0)
+    build = cover_tree.DualSearch.__init__
+
+    def watched(self, queries, *more):
+        if len(queries.ids) > 2 * 64:
+            held.add(1)
+        build(self, queries, *more)
+
+    monkeypatch.setattr(cover_tree.DualSearch, "__init__", watched)
+    got = exact_top_k(table, F.lit(True), k=3).collect()
+    assert held.value == 0
+    whole = np.floor(256 * vectors)
+    score = whole @ whole.T
+    np.fill_diagonal(score, -np.inf)
+    for k in range(0, 700, 70):
+        best = sorted(range(700), key=lambda j: (-score[k, j], j))[:3]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == k), key=lambda r: r.rank)] == [(j, int(score[k, j])) for j in best]

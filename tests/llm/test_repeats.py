@@ -13,7 +13,7 @@ from driftline.llm import jaccard, relative_parse, repeats, suffix_dedup
 from driftline.llm.anchors import Rolling, anchored_windows
 from driftline.llm.components import connected_components, joined_components
 from driftline.llm.jaccard import similarity_components
-from driftline.llm.relative_parse import factor_digests, greedy_parse, longest_matches, remove_factors
+from driftline.llm.relative_parse import BlockIndex, factor_digests, greedy_parse, remove_factors
 from driftline.llm.repeats import merged
 from driftline.llm.suffix_dedup import repeat_digests, repeated_windows, suffix_ranks
 
@@ -135,40 +135,79 @@ def brute_match(blocks, source, k, p):
     return best
 
 
-def test_longest_matches_in_blocks_of_smaller_documents():
+def random_blocks():
+    """Blocks of few words, some made of pieces of others, in the order of their sources."""
     rng = np.random.default_rng(6)
-    blocks = [rng.integers(0, 3, rng.integers(1, 30)).tolist() for _ in range(25)]
-    blocks[7] = blocks[3][:]
-    source = np.sort(rng.integers(0, 9, 25))
-    again = rng.random(25) < 0.3
-    sizes = np.array([len(b) for b in blocks])
-    found = longest_matches(np.concatenate(blocks).astype(np.uint64), sizes, source, again)
-    want = [brute_match(blocks, source, k, p) for k in range(25) for p in range(sizes[k])]
+    blocks = [rng.integers(0, 3, rng.integers(1, 40)).tolist() for _ in range(40)]
+    for k in range(8, 40, 3):
+        a, b = blocks[k - 5], blocks[k - 8]
+        blocks[k] = [7] * (k % 3) + a[len(a) // 3 :] + b[: 2 * len(b) // 3] + [k + 10]
+    return blocks, np.sort(rng.integers(0, 15, 40)), np.array([len(b) for b in blocks])
+
+
+def test_searches_find_the_longest_match_in_smaller_documents():
+    blocks, source, sizes = random_blocks()
+    index = BlockIndex(np.concatenate(blocks).astype(np.uint64), sizes, source)
+    row = np.repeat(np.arange(40), sizes)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = index.longest(index.start[row] + inner, source[row])
+    assert found.tolist() == [brute_match(blocks, source, k, p) for k in range(40) for p in range(sizes[k])]
     # the second copy of a block stands behind all others and so matches the first one in full
-    assert found.tolist() == want + [int(sizes[k]) - p for k in range(25) if again[k] for p in range(sizes[k])]
-
-
-def test_greedy_parse_finds_all_duplicate_windows():
-    rng = np.random.default_rng(8)
-    sizes = rng.integers(1, 60, 40)
-    match = np.concatenate([np.minimum(rng.integers(0, 25, n), np.arange(n, 0, -1)) for n in sizes])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    for k in range(1, len(match)):  # a match goes on one word further
-        if k not in begin:
-            match[k] = max(match[k], match[k - 1] - 1)
-    gone = {(b, a) for b, first, end in zip(*greedy_parse(match, sizes, 10)) for a in range(first, end)}
-    assert gone == {(k, a) for k in range(40) for p in range(sizes[k]) if match[begin[k] + p] >= 10 for a in range(p, p + match[begin[k] + p])}
-    block, first, end = greedy_parse(np.array([12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1]), np.array([12]), 10)
-    assert list(zip(block, first, end)) == [(0, 0, 12)]  # one factor, nothing crosses its end
-    assert [x.tolist() for x in merged(np.array([5, 0, 20]), np.array([9, 6, 25]))] == [[0, 20], [9, 25]]
+    assert index.longest(index.start[row] + inner, np.full(len(row), 99)).tolist() == (sizes[row] - inner).tolist()
+
+
+def spans_of(width, parse):
+    blocks, source, sizes = random_blocks()
+    index = BlockIndex(np.concatenate(blocks).astype(np.uint64), sizes, source)
+    got = {(b, a) for b, first, end in zip(*parse(index, np.arange(40), sizes, source, width)) for a in range(first, end)}
+    match = {(k, p): brute_match(blocks, source, k, p) for k in range(40) for p in range(sizes[k])}
+    return got, {(k, a) for (k, p), n in match.items() if n >= width for a in range(p, p + n)}
 
 
-def test_the_parse_is_what_finds_duplicates(odd, monkeypatch):
-    import pyarrow as pa
+@pytest.mark.parametrize("width", [3, 5, 9])
+def test_greedy_parse_finds_all_duplicate_windows(width):
+    got, want = spans_of(width, greedy_parse)
+    assert got == want and len(want) > 20
+    assert [x.tolist() for x in merged(np.array([5, 0, 20]), np.array([9, 6, 25]))] == [[0, 20], [9, 25]]
+
 
-    form = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()), ("later", pa.bool_()), ("start", pa.int32()), ("units", pa.int32())])
-    monkeypatch.setattr(relative_parse, "_factors", lambda group, width: form.empty_table())
-    assert factor_digests(odd).where("n_removed > 0").count() == 0
+def test_the_parse_looks_only_at_factors_and_their_ends(monkeypatch):
+    """In a block that is one factor the search is asked once; a jump that goes a word too far loses spans."""
+    blocks = [list(range(100)), list(range(100, 200)), [*range(100), *range(100, 200)], list(range(20, 90))]
+    sizes, source = np.array([len(b) for b in blocks]), np.arange(4)
+    index = BlockIndex(np.concatenate(blocks).astype(np.uint64), sizes, source)
+    asked, search = [], index.longest
+    index.longest = lambda at, s: asked.append(len(at)) or search(at, s)
+    row, first, end = greedy_parse(index, np.array([3]), sizes[[3]], source[[3]], 50)
+    # no place within the factor but those whose windows would end behind it, and there is nothing behind it
+    assert (row.tolist(), first.tolist(), end.tolist()) == ([0], [0], [70]) and sum(asked) == 1
+    row, first, end = greedy_parse(index, np.array([2]), sizes[[2]], source[[2]], 50)
+    assert sorted(zip(first.tolist(), end.tolist())) == [(0, 100), (100, 200)]
+
+    monkeypatch.setattr(relative_parse, "jump", lambda at, factor: at + np.maximum(factor, 1) + 1)
+    row, first, end = greedy_parse(index, np.array([2]), sizes[[2]], source[[2]], 50)
+    assert sorted(zip(first.tolist(), end.tolist())) == [(0, 100), (101, 200)]
+
+
+def test_a_broken_parse_shows_in_the_result(spark, monkeypatch):
+    """A parse that never jumps on loses what begins behind words that match nowhere."""
+    words = [f"w{k}" for k in range(140)]
+    table = spark.createDataFrame([(1, " ".join(words)), (3, " ".join(["a", "b", "c", *words]))], "doc_id long, text string")
+    removed = lambda: factor_digests(table).where("doc_id = 3").first().n_removed
+    assert removed() == 140
+    real = relative_parse._factors
+
+    def broken(group, width):
+        from driftline.llm import relative_parse as own
+
+        kept, own.jump = own.jump, lambda at, factor: at + 1_000_000
+        try:
+            return real(group, width)
+        finally:
+            own.jump = kept
+
+    monkeypatch.setattr(relative_parse, "_factors", broken)
+    assert removed() < 140
 
 
 def brute_components(rows):
