@@ -221,17 +221,17 @@ def test_top_k_holds_no_more_queries_than_a_block(spark, monkeypatch):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(700, 6))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    held = spark.sparkContext.accumulator(0)
-    build = cover_tree.DualSearch.__init__
+    groups, large = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
 
-    def watched(self, queries, *more):
-        if len(queries.ids) > 2 * 64:
-            held.add(1)
-        build(self, queries, *more)
+    class Watched(DualSearch):
+        def __init__(self, queries, vectors, *more):
+            groups.add(1)
+            large.add(int(max(len(queries.ids), len(vectors.ids)) > 2 * 64))
+            super().__init__(queries, vectors, *more)
 
-    monkeypatch.setattr(cover_tree.DualSearch, "__init__", watched)
+    monkeypatch.setattr(cover_tree, "DualSearch", Watched)
     got = exact_top_k(table, F.lit(True), k=3).collect()
-    assert held.value == 0
+    assert groups.value > 20 and large.value == 0
     whole = np.floor(256 * vectors)
     score = whole @ whole.T
     np.fill_diagonal(score, -np.inf)
