@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .timeseries import steps
 
 
@@ -20,7 +21,7 @@ def moments(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def quantiles(df: DataFrame, value: str, keys: list[str], p: float) -> DataFrame:
     """Median and p-quantile, linear between neighbours."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(p)).alias("quantile"))
+    return keyed_quantiles(df, value, keys, {"median": 0.5, "quantile": p})
 
 
 def last_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
@@ -132,8 +133,9 @@ def vibration(df: DataFrame, value: str, keys: list[str], order: str, size: int
 
 def robust_scale(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """max(1.4826 * median absolute deviation, a quarter of the deviation, 0.001)."""
-    middle = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_middle"), F.stddev_pop(value).alias("_deviation"))
-    spread = df.join(middle, keys).groupBy(*keys, "_deviation").agg(F.percentile(F.abs(F.col(value) - F.col("_middle")), F.lit(0.5)).alias("_mad"))
+    middle = keyed_quantiles(df, value, keys, {"_middle": 0.5})
+    rest = df.join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("_middle")).alias("_rest"))
+    spread = keyed_quantiles(rest, "_rest", keys, {"_mad": 0.5}).join(df.groupBy(*keys).agg(F.stddev_pop(value).alias("_deviation")), keys)
     return spread.select(*keys, F.greatest(1.4826 * F.col("_mad"), 0.25 * F.col("_deviation"), F.lit(1e-3)).alias("scale"))
 
 
@@ -175,6 +177,55 @@ def _ranked(rows: DataFrame, n: int, place: int, small: int) -> float:
     return rows.orderBy("v").collect()[place]["v"]
 
 
+#: Rows of a key up to which its values are sorted together, and bins that a larger key's values are counted in.
+TOGETHER, BINS_EACH = 10_000, 64
+
+
+def keyed_quantiles(df: DataFrame, value: str, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of ``shares``): exact quantiles of each key, linear between neighbours.
+
+    A key with up to TOGETHER rows is sorted by itself. For all larger keys at once counts in bins close in on the rows in
+    question: a task sends at most a count for each key and bin, and no key's values are ever held together. Nulls don't
+    count; a key without values has null quantiles.
+    """
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy("_key").agg(F.count("_v").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    large = materialise(sizes.where(F.col("_n") > TOGETHER), "large_keys")
+    direct = [F.percentile("_v", F.lit(p)).alias(name) for name, p in shares.items()]
+    out = [F.col(f"_key.{k}").alias(k) for k in keys] + [F.col(name) for name in shares]
+    if large.isEmpty():
+        return rows.groupBy("_key").agg(*direct).select(*out)
+    few = rows.join(large.select("_key"), "_key", "left_anti").groupBy("_key").agg(*direct)
+    own = materialise(rows.where("_v is not null").join(large.select("_key"), "_key", "left_semi"), "large_rows")
+    many = None
+    for name, p in shares.items():
+        found = _closed_in(own, large, p).withColumnRenamed("_found", name)
+        many = found if many is None else many.join(found, "_key")
+    return few.unionByName(many).select(*out)
+
+
+def _closed_in(rows: DataFrame, sizes: DataFrame, p: float) -> DataFrame:
+    """(_key, _found): the p-quantile of each key of ``sizes`` (_key, _n, _low, _high)."""
+    at = p * (F.col("_n") - 1)
+    state = sizes.select("_key", "_low", "_high", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"), F.floor(at).alias("_k"), (at - F.floor(at)).alias("_share"))
+    wide = (F.col("_inside") > TOGETHER) & (F.col("_low") < F.col("_high"))
+    names = state.columns
+    while not state.where(wide).isEmpty():
+        near = rows.join(state.where(wide), "_key").where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        place = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        bins = near.groupBy("_key", "_below", "_k", "_share", F.least(F.floor(place * BINS_EACH), F.lit(BINS_EACH - 1)).alias("_bin")).agg(F.count("*").alias("_inside"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = F.coalesce(F.sum("_inside").over(Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bins = bins.withColumn("_below", F.col("_below") + before).where((F.col("_below") <= F.col("_k")) & (F.col("_k") < F.col("_below") + F.col("_inside")))
+        state = materialise(bins.select(*names).unionByName(state.where(~wide)), "closing_in")
+    told = rows.join(state, "_key")
+    inside = F.col("_v").between(F.col("_low"), F.col("_high")) & (F.col("_low") < F.col("_high"))
+    told = told.groupBy(*names).agg(F.sort_array(F.collect_list(F.when(inside, F.col("_v")))).alias("_some"), F.min(F.when(F.col("_v") > F.col("_high"), F.col("_v"))).alias("_next"))
+    place = (F.col("_k") - F.col("_below") + 1).cast("int")
+    here = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.try_element_at("_some", place))
+    after = F.when(F.col("_k") + 1 >= F.col("_below") + F.col("_inside"), F.coalesce("_next", here)).when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.try_element_at("_some", place + 1))
+    return told.select("_key", (here + (after - here) * F.col("_share")).alias("_found"))
+
+
 def spread_quantile(df: DataFrame, value: str, p: float, small: int = 10_000) -> float | None:
     """The exact p-quantile of a whole column, linear between neighbours, without bringing the column together.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .aggregates import gram
+from .aggregates import gram, keyed_quantiles
 
 
 def standards(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -105,9 +105,9 @@ def robust_fit(df: DataFrame, predictors: list[str], target: str, keys: list[str
         fits = sums.mapInPandas(solved, f"{form}, _fit array<double>")
         guess = F.aggregate(F.zip_with("_x", "_fit", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         rows = rows.drop("_fit", "_rest").join(fits, keys).withColumn("_rest", F.col("_y") - guess)
-        middle = rows.where(keep).groupBy(*keys).agg(F.percentile("_rest", F.lit(0.5)).alias("_middle"), F.stddev_pop("_rest").alias("_spread"))
-        rows = rows.join(middle, keys, "left")
-        mad = rows.where(keep).groupBy(*keys).agg(F.percentile(F.abs(F.col("_rest") - F.col("_middle")), F.lit(0.5)).alias("_mad"))
+        middle = keyed_quantiles(rows.where(keep), "_rest", keys, {"_middle": 0.5}).join(rows.where(keep).groupBy(*keys).agg(F.stddev_pop("_rest").alias("_spread")), keys)
+        rows = materialise(rows.join(middle, keys, "left"), "middles")
+        mad = keyed_quantiles(rows.where(keep).select(*keys, F.abs(F.col("_rest") - F.col("_middle")).alias("_off")), "_off", keys, {"_mad": 0.5})
         scale = F.greatest(1.4826 * F.col("_mad"), 0.25 * F.col("_spread"), F.lit(1e-3))
         inside = F.coalesce(F.abs(F.col("_rest") - F.col("_middle")) <= OUTLYING * scale, keep)
         rows = materialise(rows.join(mad, keys, "left").withColumn("_keep", inside).select(*keys, "_x", "_y", "_keep", "_fit", "_rest"), "fits")

@@ -91,3 +91,18 @@ def test_columns_that_files_lack(spark, tmp_path):
     (tmp_path / "c.csv").write_text("time,x,y,z\n")
     got = {r.file.rsplit("/", 1)[1]: r.missing for r in logs.missing_by_file(spark, str(tmp_path), ["time", "x", "z", "y"]).collect()}
     assert got == {"a.csv": ["z"], "b.csv": ["x", "z", "y"]}
+
+
+def test_exact_quantiles_of_keys_of_any_size(spark, monkeypatch):
+    """Large keys close in on the row: distinct values, many equal ones, far outliers, small and null keys."""
+    from driftline.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "TOGETHER", 100)
+    rng = np.random.default_rng(4)
+    values = {"distinct": rng.normal(size=5_000), "equal": np.repeat([1.0, 2.0, 2.5], [900, 1_400, 701]), "far": np.concatenate([rng.random(3_000), [1e300, -1e300]]), "one": np.full(2_000, 7.0), "few": rng.random(17), None: rng.random(3_001)}
+    rows = [(k, float(v)) for k, own in values.items() for v in own] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.k: [r[name] for name in shares] for r in aggregates.keyed_quantiles(df, "v", ["k"], shares).collect()}
+    want = {k: pytest.approx([float(np.quantile(own, p)) for p in shares.values()], rel=1e-12) for k, own in values.items()}
+    assert got == want | {"none": [None] * 5}
