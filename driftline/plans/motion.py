@@ -197,7 +197,23 @@ def mdl2_ridge(spark, sf):
     return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate([*w, mean])], "position int, weight double")
 
 
-@query()
+def _comparison_sql(alpha: float = 10.0) -> str:
+    """Two ridge fits by determinants, and all three methods scored on the drives kept back."""
+    a = [[f"x{i}{j}" for j in range(3)] for i in range(3)]
+    weights = ", ".join(f"{_det([[f'y{i}' if j == k else a[i][j] for j in range(3)] for i in range(3)])} / {_det(a)} AS w{k}" for k in range(3))
+    parts, scored = [], ["SELECT n3, 0e0 AS guess, 'zero' AS method FROM norms WHERE drive % 5 = 4"]
+    for name, rows in (("some", "drive % 5 <> 4 AND drive % 2 = 0"), ("all", "drive % 5 <> 4")):
+        scales = ", ".join(f"avg(n{k}) AS m{k}, CASE WHEN stddev_pop(n{k}) < 1e-6 THEN 1 ELSE stddev_pop(n{k}) END AS s{k}" for k in range(3))
+        z = [f"((n{k} - m{k}) / s{k})" for k in range(3)]
+        sums = ", ".join([f"sum({z[i]} * {z[j]}) + {alpha if i == j else 0.0} AS x{i}{j}" for i in range(3) for j in range(3)] + [f"sum({z[i]} * (n3 - my)) AS y{i}" for i in range(3)])
+        parts += [f"s_{name} AS (SELECT {scales}, avg(n3) AS my FROM norms WHERE {rows})", f"x_{name} AS (SELECT {sums} FROM norms, s_{name} WHERE {rows})", f"w_{name} AS (SELECT {weights} FROM x_{name})"]
+        scored.append(f"SELECT n3, my + {' + '.join(f'{z[k]} * w{k}' for k in range(3))}, '{name}' FROM norms, s_{name}, w_{name} WHERE drive % 5 = 4")
+    return f"""WITH {RECORDER}, {_NORMS}, {", ".join(parts)}, p AS ({" UNION ALL ".join(scored)}), e AS (SELECT *, guess - n3 AS e FROM p)
+SELECT method, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(quantile_cont(abs(e), 0.5), 6) AS median_error, round(avg(e), 6) AS bias, round(CASE WHEN var_pop(n3) > 0 THEN 1 - sum(e * e) / (var_pop(n3) * count(*)) END, 5) AS r2,
+  round(CASE WHEN stddev_pop(guess) > 0 THEN covar_pop(n3, guess) / (stddev_pop(n3) * stddev_pop(guess)) END, 6) AS correlation FROM e GROUP BY method"""
+
+
+@query(_comparison_sql())
 def mdl8_comparison(spark, sf):
     """A fit on one part of the drives, a fit on all of them, and no fit, each scored on the drives kept back."""
     from ..operators.aggregates import fit_metrics
@@ -210,7 +226,8 @@ def mdl8_comparison(spark, sf):
         w, mean = M.ridge(M.standardise(part, scales), names, "n3")
         score = M.linear_score([F.col(c) for c in names], *zip(*(scales[c] for c in names)), w.tolist(), mean, 1e9)
         scored = scored.unionByName(test.select("n3", score.alias("guess"), F.lit(method).alias("method")))
-    return fit_metrics(scored, "n3", "guess", ["method"])
+    out = fit_metrics(scored, "n3", "guess", ["method"])
+    return out.select("method", *[_r(c, 5 if c == "r2" else 6).alias(c) for c in ("mae", "rmse", "median_error", "bias", "r2", "correlation")])
 
 
 @query()
