@@ -11,7 +11,6 @@ sums for each centroid, so a round moves as many rows as tasks times centroids.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
