@@ -5,14 +5,17 @@ Sums run in Spark; only matrices as large as the number of features reach the dr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from .aggregates import gram, keyed_quantiles
 
 
@@ -120,61 +123,169 @@ def robust_fit(df: DataFrame, predictors: list[str], target: str, keys: list[str
     return found.select(*keys, "coefficients", *[F.when(~few, F.col(c)).alias(c) for c in ("r2", "rmse")], "n", F.when(few, F.lit("too few clean rows")).alias("error"))
 
 
-#: Rows that a network is trained on at most (those with the smallest hash of the named column): its documented bound.
-TRAINING_ROWS = 20_000
+#: Steps of an epoch at most: beyond STEPS * BATCH rows batches grow instead, so that jobs don't grow with the rows.
+STEPS, BATCH = 40, 512
 
+#: Rows of a batch that a task sums up.
+PART = 500_000
 
-def training_sample(df: DataFrame, name: str, rows: int = TRAINING_ROWS) -> pd.DataFrame:
-    """The rows with the smallest hashes of a column, in its order; first a cut by hash, so that no task gets more."""
-    h = F.xxhash64(F.col(name).cast("string"), F.lit(3))
-    cut = df.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, 4.0 * rows / max(1, df.count())) * (1 << 30))
-    return cut.orderBy(h, name).limit(rows).toPandas().sort_values(name).reset_index(drop=True)
 
+def descend(gradient: Callable[[list[np.ndarray], int], list[np.ndarray]], loss: Callable[[list[np.ndarray]], float], width: int, steps: int, hidden: int = 24, epochs: int = 20, rate: float = 1e-3, decay: float = 1e-4, seed: int = 26168) -> list[np.ndarray]:
+    """Weights of a network with one hidden layer of tanh, by Adam with weight decay.
 
-def train_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: int = 24, epochs: int = 20, batch: int = 512, rate: float = 1e-3, decay: float = 1e-4, seed: int = 26168) -> dict:
-    """A network with one hidden layer of tanh, fitted by Adam with weight decay on a bounded sample.
-
-    Rows with ``held`` choose the epoch (least mean square error) and calibrate the variance head: a ridge regression
-    (10, constant included) of log(error^2 + 0.25), whose guesses are scaled by the mean ratio of squared error and guess
-    (0.25 at least) on held rows.
+    ``gradient`` gives, for weights and a batch's number, the mean gradient over that batch (none if it is empty); ``loss``
+    the error on held rows, which chooses the epoch. An epoch takes the ``steps`` batches in a random order.
     """
     rng = np.random.default_rng(seed)
-    mean, scale = x[~held].mean(0), np.maximum(x[~held].std(0), 1e-4)
-    z = np.clip((x - mean) / scale, -8, 8)
-    tm, ts = float(y[~held].mean()), max(float(y[~held].std()), 1.0)
-    t = (y - tm) / ts
-    weights = [rng.normal(0, 0.12, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.1, hidden), np.zeros(1)]
+    weights = [rng.normal(0, 0.12, (width, hidden)), np.zeros(hidden), rng.normal(0, 0.1, hidden), np.zeros(1)]
     shrink = (decay, 0.0, decay, 0.0)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    forward = lambda w, q: np.tanh(q @ w[0] + w[1]) @ w[2] + w[3]
     step, best = 0, (np.inf, weights)
     for _ in range(epochs):
-        rows = rng.permutation(np.flatnonzero(~held))
-        for start in range(0, len(rows), batch):
-            own = rows[start : start + batch]
-            a = np.tanh(z[own] @ weights[0] + weights[1])
-            error = 2 * (a @ weights[2] + weights[3] - t[own]) / len(own)
-            back = np.outer(error, weights[2]) * (1 - a * a)
+        for k in rng.permutation(steps):
+            slopes = gradient(weights, int(k))
+            if not slopes:
+                continue
             step += 1
-            for k, g in enumerate((z[own].T @ back, back.sum(0), a.T @ error, error.sum(keepdims=True))):
-                g = g + shrink[k] * weights[k]
-                first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
-                weights[k] = weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        loss = float(((forward(weights, z[held]) * ts + tm - y[held]) ** 2).mean()) if held.any() else 0.0
-        if loss < best[0]:
-            best = loss, [w.copy() for w in weights]
-    w = best[1]
-    noise, calibration = variance_head(z, np.clip(forward(w, z) * ts + tm, 0, 60) - y, held)
-    return {
-        "mean": mean.tolist(), "scale": scale.tolist(), "w1": w[0].tolist(), "b1": w[1].tolist(), "w2": w[2].tolist(), "b2": float(w[3][0]), "target_mean": tm, "target_scale": ts,
-        "noise_coefficients": noise.tolist(), "variance_calibration": calibration,
-    }
+            moved = []
+            for i, g in enumerate(slopes):
+                g = g + shrink[i] * weights[i]
+                first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+                moved.append(weights[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8))
+            weights = moved
+        error = loss(weights)
+        if error < best[0]:
+            best = error, weights
+    return best[1]
+
+
+def _forward(w: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+    return np.tanh(z @ w[0] + w[1]) @ w[2] + w[3]
+
+
+def _slopes(w: list[np.ndarray], z: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """Sums over rows of the gradient of the square error."""
+    a = np.tanh(z @ w[0] + w[1])
+    error = 2 * (a @ w[2] + w[3] - t)
+    back = np.outer(error, w[2]) * (1 - a * a)
+    return [z.T @ back, back.sum(0), a.T @ error, error.sum(keepdims=True)]
+
+
+def _design(z: np.ndarray) -> np.ndarray:
+    return np.c_[z, np.ones(len(z))]
+
+
+def _noise_sums(z: np.ndarray, error: np.ndarray) -> list[np.ndarray]:
+    d = _design(z)
+    return [d.T @ d, d.T @ np.log(error**2 + 0.25)]
+
+
+def _noise_fit(xx: np.ndarray, xy: np.ndarray, alpha: float = 10.0) -> np.ndarray:
+    return np.linalg.solve(xx + alpha * np.eye(len(xy)), xy)
+
+
+def _noise_ratio(noise: np.ndarray, z: np.ndarray, error: np.ndarray) -> np.ndarray:
+    return error**2 / np.maximum(np.exp(np.clip(_design(z) @ noise, -4, 8)), 0.25)
 
 
 def variance_head(z: np.ndarray, error: np.ndarray, held: np.ndarray, alpha: float = 10.0) -> tuple[np.ndarray, float]:
     """Coefficients (the constant last) of log(error^2 + 0.25), and the factor that calibrates their guesses."""
-    design = np.c_[z, np.ones(len(z))]
-    fit = design[~held]
-    noise = np.linalg.solve(fit.T @ fit + alpha * np.eye(fit.shape[1]), fit.T @ np.log(error[~held] ** 2 + 0.25))
-    guess = np.exp(np.clip(design @ noise, -4, 8))
-    return noise, float((error[held] ** 2 / np.maximum(guess[held], 0.25)).mean()) if held.any() else 1.0
+    noise = _noise_fit(*_noise_sums(z[~held], error[~held]), alpha)
+    return noise, float(_noise_ratio(noise, z[held], error[held]).mean()) if held.any() else 1.0
+
+
+def _model(mean: np.ndarray, scale: np.ndarray, w: list[np.ndarray], middle: float, spread: float, noise: np.ndarray, ratio: float) -> dict:
+    return {
+        "mean": mean.tolist(), "scale": scale.tolist(), "w1": w[0].tolist(), "b1": w[1].tolist(), "w2": w[2].tolist(), "b2": float(w[3][0]), "target_mean": middle, "target_scale": spread,
+        "noise_coefficients": noise.tolist(), "variance_calibration": ratio,
+    }
+
+
+def train_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: int = 24, epochs: int = 20, batch: int = BATCH, rate: float = 1e-3, decay: float = 1e-4, seed: int = 26168, place: np.ndarray | None = None) -> dict:
+    """``train_in_tasks`` for a sample in memory; ``place`` gives the batch of each row, which else is drawn."""
+    mean, scale = x[~held].mean(0), np.maximum(x[~held].std(0), 1e-4)
+    z = np.clip((x - mean) / scale, -8, 8)
+    middle, spread = float(y[~held].mean()), max(float(y[~held].std()), 1.0)
+    if place is None:
+        place = np.random.default_rng(seed).permutation(len(x)) % math.ceil((~held).sum() / batch)
+
+    def gradient(w: list[np.ndarray], k: int) -> list[np.ndarray]:
+        own = ~held & (place == k)
+        return [a / own.sum() for a in _slopes(w, z[own], (y[own] - middle) / spread)] if own.any() else []
+
+    last = count()
+    loss = lambda w: float(((_forward(w, z[held]) * spread + middle - y[held]) ** 2).mean()) if held.any() else -next(last)
+    w = descend(gradient, loss, x.shape[1], int(place.max()) + 1, hidden, epochs, rate, decay, seed)
+    return _model(mean, scale, w, middle, spread, *variance_head(z, np.clip(_forward(w, z) * spread + middle, 0, 60) - y, held))
+
+
+def train_in_tasks(df: DataFrame, features: list[str], target: str, held: Column, name: str, hidden: int = 24, epochs: int = 20, batch: int = BATCH, steps: int = STEPS, rate: float = 1e-3, decay: float = 1e-4, seed: int = 26168) -> dict:
+    """A network with one hidden layer of tanh, fitted to all rows in tasks; its numbers as ``network_score`` takes them.
+
+    Inputs are standardised and held within 8 deviations. Rows are dealt once to batches of about ``batch`` rows by the
+    hash of ``name`` (of more rows beyond ``steps`` batches), and written by batch. A step is one job over one batch's
+    files: tasks sum the gradient of their rows, one row of (features + 2) * hidden + 2 numbers a task of up to PART rows
+    reaches the driver, which moves the weights and sends them with the next step's tasks.
+
+    Rows where ``held`` holds choose the epoch (least mean square error) and calibrate the variance head: a ridge regression
+    (10, constant included) of log(error^2 + 0.25), whose guesses are scaled by the mean ratio of squared error and guess
+    (0.25 at least) on held rows; without held rows the last epoch stays and the factor is 1. Rows with a null or
+    non-finite feature or target take no part, nor do those with ``held`` null; repeated rows count each time and fall into
+    one batch. Without any row to fit it is a ValueError. Columns beside the named ones are not looked at.
+    """
+    width = len(features)
+    good = held.isNotNull()
+    for c in (*features, target):
+        good = good & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    rows = df.where(good).select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(target).cast("double").alias("y"), held.alias("held"), F.xxhash64(F.col(name).cast("string"), F.lit(3)).alias("h"))
+    moments = lambda c, k: [F.avg(c).alias(f"m{k}"), F.stddev_pop(c).alias(f"s{k}")]
+    said = rows.where(~F.col("held")).agg(F.count("*").alias("n"), *[m for k in range(width) for m in moments(F.col("x")[k], k)], *moments(F.col("y"), width)).first()
+    if not said["n"]:
+        raise ValueError("no row to fit a network to")
+    mean, scale = (np.array([said[f"{c}{k}"] for k in range(width)]) for c in "ms")
+    scale, middle, spread = np.maximum(scale, 1e-4), said[f"m{width}"], max(said[f"s{width}"], 1.0)
+    steps = min(steps, math.ceil(said["n"] / batch))
+
+    place = F.when(F.col("held"), -1).otherwise(F.pmod("h", F.lit(steps)).cast("int"))
+    parts = math.ceil(said["n"] / steps / PART)
+    part = F.pmod(F.shiftright("h", 20), F.lit(parts))
+    table = materialise(rows.select("x", "y", place.alias("batch"), part.alias("part")).repartition(F.col("batch"), F.col("part")).drop("part"), "batches", by="batch")
+
+    def sums(of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], k: int | None) -> list[np.ndarray]:
+        """The sums of ``of`` over standardised inputs and targets of a batch (of all that are fitted: None), and their number."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: list[np.ndarray] = []
+            for b in batches:
+                if b.num_rows:
+                    x = b["x"].flatten().to_numpy().reshape(-1, width)
+                    found = [*of(np.clip((x - mean) / scale, -8, 8), b["y"].to_numpy()), np.array([float(len(x))])]
+                    total = [a + f for a, f in zip(total, found)] if total else found
+            if total:
+                yield pa.RecordBatch.from_pydict({"shape": [[list(a.shape) for a in total]], "sums": [np.concatenate([a.ravel() for a in total]).tolist()]})
+
+        own = table.where(F.col("batch") >= 0 if k is None else F.col("batch") == k).select("x", "y")
+        got = own.mapInArrow(run, "shape array<array<bigint>>, sums array<double>").collect()  # one row a task
+        if not got:
+            return []
+        flat, out, at = np.sum([g["sums"] for g in got], axis=0), [], 0
+        for shape in got[0]["shape"]:
+            out.append(flat[at : at + math.prod(shape)].reshape(shape))
+            at += math.prod(shape)
+        return out
+
+    def gradient(w: list[np.ndarray], k: int) -> list[np.ndarray]:
+        found = sums(lambda z, y: _slopes(w, z, (y - middle) / spread), k)
+        return [a / found[-1][0] for a in found[:-1]]
+
+    def loss(w: list[np.ndarray]) -> float:
+        found = sums(lambda z, y: [((_forward(w, z) * spread + middle - y) ** 2).sum(keepdims=True)], -1)
+        return float(found[0][0] / found[-1][0]) if found else -next(last)
+
+    last = count()
+    w = descend(gradient, loss, width, steps, hidden, epochs, rate, decay, seed)
+    error = lambda z, y: np.clip(_forward(w, z) * spread + middle, 0, 60) - y
+    noise = _noise_fit(*sums(lambda z, y: _noise_sums(z, error(z, y)), None)[:2])
+    ratio = sums(lambda z, y: [_noise_ratio(noise, z, error(z, y)).sum(keepdims=True)], -1)
+    release(table)
+    return _model(mean, scale, w, middle, spread, noise, float(ratio[0][0] / ratio[-1][0]) if ratio else 1.0)

@@ -54,15 +54,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in a folder for each value of ``by`` if given, and read it back.
 
     This cuts the lineage: a lost executor costs a read of these files, not a second run of all that came before. The
     files are removed when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._folder = path
