@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .aggregates import spread_quantile
+from .aggregates import keyed_quantiles, spread_quantile
 
 
 def valid_position(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -51,7 +51,8 @@ def sensor_rows(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
 def compatible_rates(df: DataFrame, time: str, keys: list[str], tolerance: float) -> DataFrame:
     """For each key its median ``hz`` and whether it lies within a share ``tolerance`` of the median of all keys."""
     step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    rates = df.withColumn("_dt", step).where("_dt > 0").groupBy(*keys).agg((1 / F.percentile("_dt", F.lit(0.5))).alias("hz"))
+    steps = keyed_quantiles(df.withColumn("_dt", step).where("_dt > 0"), "_dt", keys, {"_middle": 0.5})
+    rates = steps.select(*keys, (1 / F.col("_middle")).alias("hz"))
     rates = materialise(rates, "rates")
     middle = spread_quantile(rates, "hz", 0.5)
     return rates.withColumn("compatible", F.abs(F.col("hz") / F.lit(middle) - 1) <= tolerance)
