@@ -43,10 +43,12 @@ def win2_midnight_unwrap(spark, sf):
 d AS (SELECT *, a - lag(a) {_W} AS raw FROM a), x AS (SELECT *, coalesce(raw + pi() - 2 * pi() * floor((raw + pi()) / (2 * pi())) - pi() - raw, 0) AS fix FROM d)
 SELECT event_id, round(a + sum(fix) OVER (PARTITION BY drive ORDER BY t ROWS UNBOUNDED PRECEDING), 5) AS angle FROM x""")
 def win3_phase_unwrap(spark, sf):
-    from ..functions.scalars import wrap
+    """Angles are wrapped with the SQL's own arithmetic, as the last bit decides which way a half turn goes."""
+    from ..functions.scalars import PI
 
-    rows = track(spark, sf).withColumn("a", wrap(F.radians(F.col("value") * 7)))
-    return T.unwrap_phase(rows, "a", D, ["t"]).select("event_id", _r("unwrapped", 5).alias("angle"))
+    angle = F.radians(F.col("value") * 7)
+    rows = track(spark, sf).withColumn("a", angle - 2 * PI * F.floor((angle + PI) / (2 * PI)))
+    return T.unwrap_phase(rows, "a", D, ["t", "event_id"]).select("event_id", _r("unwrapped", 5).alias("angle"))
 
 
 _SEG = f"seg AS (SELECT event_id, drive, t, value, sum(b) OVER (PARTITION BY drive ORDER BY t ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT *, CASE WHEN t - lag(t) {_W} <= 0 OR t - lag(t) {_W} > 150000 THEN 1 ELSE 0 END AS b FROM track))"
