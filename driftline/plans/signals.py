@@ -71,7 +71,7 @@ SELECT drive, id, round(progress, 6) AS progress, round(greatest(0, 160 - progre
 
 @query(sql=_guidance_sql())
 def sta18_guidance(spark, sf):
-    out = G.folded(_rows(spark, sf).select("drive", "id", "t", "e", "n"), ["drive"], ["t"], lambda: G.Guidance(list(_LEGS)), "id long, progress double, remaining double, deviation double")
+    out = G.folded(_rows(spark, sf).select("drive", "id", "t", "e", "n"), ["drive"], ["t", "id"], lambda: G.Guidance(list(_LEGS)), "id long, progress double, remaining double, deviation double")
     return out.select("drive", "id", *[F.round(c, 6).alias(c) for c in ("progress", "remaining", "deviation")])
 
 
