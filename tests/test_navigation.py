@@ -259,3 +259,20 @@ def test_bins_and_sessions(spark):
     rows = spark.createDataFrame([(1, t / 1000, float(t)) for t in (0, 40, 90, 150, 900, 950)], "k long, s double, v double").select("k", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "v")
     assert sorted((r.n, r.v) for r in stream.bins(rows, ["k"], ["v"]).collect()) == [(1, 150.0), (2, 925.0), (3, 130 / 3)]
     assert sorted(r.n for r in stream.sessions(rows, ["k"], "250 milliseconds").collect()) == [2, 4]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 5, 27, 3000])
+def test_the_parts_of_a_long_step_are_taken_together(parts, monkeypatch):
+    """As one after another, and without a call for each."""
+    one, two = Navigator(), Navigator()
+    for navigator in (one, two):
+        navigator.x = np.array([10.0, -4.0, 6.0, 2.0, 3.0, 0.01, -0.2])
+        for k in range(3):
+            navigator._advance(0.05, 0.4, 0.3, 0.9)
+    for _ in range(parts):
+        one._advance(0.04, 0.7, -0.5, 0.25)
+    calls, plain = [], Navigator._advance
+    monkeypatch.setattr(Navigator, "_advance", lambda *args: calls.append(1) or plain(*args))
+    two._advance_by(0.04 * parts, parts, 0.7, -0.5, 0.25)
+    assert len(calls) < navigation.TOGETHER
+    assert np.allclose(one.x, two.x, rtol=1e-9, atol=1e-9) and np.allclose(one.p, two.p, rtol=1e-9, atol=1e-9)
