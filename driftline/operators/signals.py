@@ -112,8 +112,8 @@ class MountCalibration:
         self.confidence = 0.0
 
     def inertial(self, ns: int, linear: np.ndarray, gravity: np.ndarray) -> None:
-        size = float(np.linalg.norm(gravity))
-        if not (np.isfinite(linear).all() and 7 <= size <= 12) or self.samples and ns <= self.samples[-1][0]:
+        size = _size(gravity)
+        if not (all(map(math.isfinite, linear.tolist())) and 7 <= size <= 12) or self.samples and ns <= self.samples[-1][0]:
             return
         tilted = self.locked is not None and float(self.locked @ gravity) / size < math.cos(math.radians(15))
         self.off_axis = self.off_axis + 1 if tilted else 0
@@ -134,24 +134,24 @@ class MountCalibration:
             return
         dt = (ns - before[0]) / 1e9
         pull = (speed - before[1]) / dt
-        own = [s for s in self.samples if before[0] <= s[0] <= ns]
         straight = abs((course - before[2] + 540) % 360 - 180) <= 5 and 0.5 <= dt <= 2 and 0.3 <= abs(pull) <= 4
-        if not straight or len(own) < 4 or own[-1][0] - own[0][0] < 0.6 * dt * 1e9:
+        own = [s for s in self.samples if before[0] <= s[0] <= ns] if straight else []
+        if len(own) < 4 or own[-1][0] - own[0][0] < 0.6 * dt * 1e9:
             return
-        up = _unit(np.mean([s[2] for s in own], axis=0))
-        mean = np.mean([s[1] for s in own], axis=0)
+        up = _unit(_mean([s[2] for s in own]))
+        mean = _mean([s[1] for s in own])
         level = mean - (mean @ up) * up
-        if 0.2 <= np.linalg.norm(level) <= 5:
+        if 0.2 <= _size(level) <= 5:
             self.directions.append(_unit(level) * math.copysign(1, pull))
             self._solve(up)
 
     def _solve(self, up: np.ndarray) -> None:
-        mean = np.mean(self.directions, axis=0)
-        coherence = min(1.0, float(np.linalg.norm(mean)))
+        mean = _mean(list(self.directions))
+        coherence = min(1.0, _size(mean))
         self.confidence = coherence * min(1.0, len(self.directions) / 10)
         forward = _unit(mean - (mean @ up) * up)
-        left = _unit(np.cross(up, forward))
-        above = _unit(np.cross(forward, left))
+        left = _unit(_cross(up, forward))
+        above = _unit(_cross(forward, left))
         ready = self.confidence >= 0.75 and coherence >= 0.93
         self.rotation = np.stack([forward, left, above]) if ready else None
         self.locked = above if ready else self.locked
@@ -165,20 +165,36 @@ class CalibrationFold:
     """``MountCalibration`` over rows ns, ax, ay (level acceleration of the device, gravity along its third axis) and,
     where there is a fix, its speed: whether the rotation is known, how sure, and the forward acceleration."""
 
+    GRAVITY, STILL = np.array([0.0, 0.0, 9.81]), np.zeros(3)
+
     def __init__(self) -> None:
         self.calibration = MountCalibration()
 
     def __call__(self, row: dict) -> dict:
-        linear, gravity = np.array([row["ax"], row["ay"], 0.0]), np.array([0.0, 0.0, 9.81])
+        linear, gravity = np.array([row["ax"], row["ay"], 0.0]), self.GRAVITY
         self.calibration.inertial(int(row["ns"]), linear, gravity)
         if row["speed"] is not None:
             self.calibration.gnss(int(row["ns"]), row["speed"], 90.0, 5.0)
-        told = self.calibration.project(linear, np.zeros(3))
+        told = self.calibration.project(linear, self.STILL)
         return {"id": row["id"], "ready": told is not None, "confidence": self.calibration.confidence, "forward": told[0] if told else None}
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return v / max(float(np.linalg.norm(v)), 1e-9)
+    return v / max(_size(v), 1e-9)
+
+
+def _mean(vectors: list[np.ndarray]) -> np.ndarray:
+    return np.add.reduce(vectors) / len(vectors)
+
+
+def _size(v: np.ndarray) -> float:
+    return math.sqrt(float(v @ v))
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cross product of two vectors; numpy's own is made for tables of them."""
+    (a0, a1, a2), (b0, b1, b2) = a.tolist(), b.tolist()
+    return np.array([a1 * b2 - a2 * b1, a2 * b0 - a0 * b2, a0 * b1 - a1 * b0])
 
 
 class MotionClass:

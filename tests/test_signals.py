@@ -80,3 +80,14 @@ def test_guidance_never_goes_back():
 @pytest.mark.parametrize("name", list(signals.QUERIES))
 def test_queries_run(spark, name):
     assert signals.QUERIES[name](spark, SF).count() > 0
+
+
+def test_vectors_are_handled_without_table_functions(monkeypatch):
+    """The calibration's sums, sizes and products equal numpy's, which cost more than the sums themselves."""
+    a, b = np.array([0.3, -1.7, 2.9]), np.array([5.1, 0.2, -0.4])
+    assert (G._cross(a, b) == np.cross(a, b)).all() and (G._mean([a, b, a]) == np.mean([a, b, a], axis=0)).all()
+    assert G._size(a) == pytest.approx(np.linalg.norm(a), rel=1e-15)
+    monkeypatch.setattr(np, "cross", None)
+    fold = G.CalibrationFold()
+    told = [fold({"id": k, "ns": k * 100_000_000, "ax": 0.0, "ay": 1.0, "speed": 10.0 + k / 10 if k % 10 == 0 else None}) for k in range(200)]
+    assert told[-1]["ready"] and told[-1]["forward"] == pytest.approx(1.0)
