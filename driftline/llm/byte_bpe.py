@@ -30,11 +30,9 @@ from .token_count import RankMerger
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longest unsplit text, in bytes, that is merged without halving.
 LEAF = 24
-#: Chunks that a worker keeps, and the characters of the longest one that it keeps; a full store gives way
+#: Pieces that a worker keeps, and the characters of the longest one that it keeps; a full store gives way
 #: to a new one and is itself kept until the next is full.
 STORE, STORE_CHARS = 250_000, 100
-#: A space that isn't alone between two words.
-ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -126,7 +124,10 @@ class ByteBpe:
             parts, at = 1, edges[-1]
             while len(own) > LEAF * parts:
                 parts *= 2
-            edges += [at + len(own) * k // parts for k in range(1, parts + 1)]
+            if parts == 1:
+                edges.append(at + len(own))
+            else:
+                edges += [at + len(own) * k // parts for k in range(1, parts + 1)]
             parts_of.append(parts)
         encoded = self.merge_leaves(data, np.array(edges))
         leaves, at = [], 0
@@ -148,26 +149,17 @@ class ByteBpe:
         ids, at = ids[order].tolist(), np.searchsorted(seq[order], np.arange(len(edges))).tolist()
         return [ids[x:y] for x, y in zip(at, at[1:])]
 
-    def encode_missing(self, texts: list[str]) -> list[list[int]]:
-        """Encodings of chunks, special strings as their own ids."""
-        pieces: list[bytes] = []
-        plan: list[list[tuple[int, int]]] = []
-        for text in texts:
-            steps = []
-            for part in self.cut(text):
-                if part in self.special:
-                    steps.append((-1, self.special[part]))
-                else:
-                    for piece in self.split(part):
-                        steps.append((len(pieces), 0))
-                        pieces.append(piece.encode("utf-8"))
-            plan.append(steps)
-        found = self.unsplit(pieces)
-        return [[i for at, one in steps for i in (found[at] if at >= 0 else [one])] for steps in plan]
+    def encode_missing(self, pieces: list[str]) -> list[list[int]]:
+        """Encodings of pieces, special strings as their own ids."""
+        found = iter(self.unsplit([piece.encode("utf-8") for piece in pieces if piece not in self.special]))
+        return [[self.special[piece]] if piece in self.special else next(found) for piece in pieces]
 
     def pretokens(self, text: str) -> list[str]:
         """What the pattern cuts, special strings apart."""
-        return [piece for part in self.cut(text) for piece in ([part] if part in self.special else self.split(part))]
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return self.split(text)
+        return [piece for part in parts for piece in ([part] if part in self.special else self.split(part))]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that aren't UTF-8 become U+FFFD."""
@@ -184,31 +176,22 @@ def whole_characters(raw: bytes) -> bytes:
 
 
 class Encoder:
-    """Ids of whole texts. Chunks that no merge can cross are encoded once and kept.
-
-    The pattern never joins what a single space between two other characters parts, so a text with no other spaces is
-    looked up in chunks of that kind; any other text in the pattern's own pieces. What is kept of a chunk is what
-    ``form`` makes of its ids; texts are put together from the forms of their chunks.
+    """Ids of whole texts. No merge crosses what the pattern cuts, so a piece is encoded once and kept, whatever comes
+    before and behind it. What is kept of a piece is what ``form`` makes of its ids; texts are put together from the
+    forms of their pieces.
     """
 
     def __init__(self, bpe: ByteBpe, missing: Callable[[list[str]], list[list[int]]], form: Callable[[list[int]], Any]) -> None:
         self.bpe, self.missing, self.form, self.store, self.old = bpe, missing, form, {}, {}
 
-    def chunks(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if ODD_SPACE.search(text):
-            return self.bpe.pretokens(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
     def encode(self, texts: list[str | None]) -> Iterator[list]:
-        """For each text the forms of its chunks."""
-        parts = [self.chunks(text) for text in texts]
-        lack = set().union(*parts)
+        """For each text the forms of its pieces."""
+        parts = [self.bpe.pretokens(text) if text else [] for text in texts]
+        asked = set().union(*parts)
+        lack = asked.difference(self.store)
         if len(self.store) + len(lack) > STORE:  # what is still asked for comes back from the store before
-            self.store, self.old = {}, self.store
-        self.store.update((w, self.old[w]) for w in lack if w not in self.store and w in self.old)
+            self.store, self.old, lack = {}, self.store, asked
+        self.store.update((w, self.old[w]) for w in lack if w in self.old)
         missing = [w for w in lack if w not in self.store]
         for start in range(0, len(missing), 20_000):
             part = missing[start : start + 20_000]
@@ -225,17 +208,17 @@ LONG_RUN = re.compile(r"\s{200}")
 
 
 def tree_encoder(path: str, digests: bool = False) -> Encoder:
-    """An encoder by tree concatenation, one a worker. The form of a chunk is its ids as packed 32-bit numbers, or, for
-    ``digests``, their number, their decimals joined by commas, and the bytes that they decode to."""
+    """An encoder by tree concatenation, one a worker. The form of a piece is its ids as packed 32-bit numbers, or, for
+    ``digests``, their decimals joined by commas, and the bytes that they decode to."""
 
     def make() -> Encoder:
         bpe = ByteBpe(path)
         decimal = [str(i).encode() for i in range(len(bpe.bytes))]
 
-        def three(ids: list[int]) -> tuple[int, bytes, bytes]:
-            return len(ids), b",".join(map(decimal.__getitem__, ids)), b"".join(map(bpe.bytes.__getitem__, ids))
+        def both(ids: list[int]) -> tuple[bytes, bytes]:
+            return b",".join(map(decimal.__getitem__, ids)), b"".join(map(bpe.bytes.__getitem__, ids))
 
-        return Encoder(bpe, bpe.encode_missing, three if digests else lambda ids: np.array(ids, "<u4").tobytes())
+        return Encoder(bpe, bpe.encode_missing, both if digests else lambda ids: np.array(ids, "<u4").tobytes())
 
     return held(("tree", path, digests), make)
 
@@ -309,9 +292,10 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for part in text_batches(batches):
             n, a, b = [], [], []
             for parts in encoder.encode(part.column(1).to_pylist()):
-                counts, decimals, raw = zip(*parts) if parts else ((), (), ())
-                n.append(sum(counts))
-                a.append(hashlib.sha256(b",".join(decimals)).hexdigest())
+                decimals, raw = zip(*parts) if parts else ((), ())
+                ids = b",".join(decimals)
+                n.append(ids.count(b",") + 1 if parts else 0)
+                a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(whole_characters(b"".join(raw))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -67,6 +67,22 @@ def test_halves_joined_are_the_whole(library):
     assert bpe.unsplit([t.encode() for t in texts]) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_piece_is_encoded_once_whatever_stands_beside_it(library):
+    from driftline.llm.byte_bpe import tree_encoder
+
+    encoder, asked = tree_encoder(BYTES), []
+    plain = encoder.missing
+    encoder.missing = lambda pieces: asked.extend(pieces) or plain(pieces)
+    texts = ["so qyx, qyx. qyx;\n\nqyx", "so qyx! qyx<|endoftext|> qyx's\n  qyx", None, ""]
+    try:
+        found = [np.frombuffer(b"".join(parts), "<u4").tolist() for text in texts for parts in encoder.encode([text])]
+    finally:
+        encoder.missing = plain
+    assert found == [library.encode(text or "", add_special_tokens=False).ids for text in texts]
+    pieces = {piece for text in texts for piece in encoder.bpe.pretokens(text or "")}
+    assert len(asked) == len(set(asked)) and " qyx" in asked and set(asked) <= pieces
+
+
 def test_both_libraries_agree(odd, library):
     texts = [r[0] for r in odd.select("text").collect()] + [" " * 500 + "x", "a" * 20000, "don't  we'll\n\n\n 12,5"]
     assert [ids.tolist() for ids in library_encoder(BYTES).encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
