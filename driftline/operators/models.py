@@ -12,6 +12,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +127,8 @@ def robust_fit(df: DataFrame, predictors: list[str], target: str, keys: list[str
 #: Steps of an epoch at most: beyond STEPS * BATCH rows batches grow instead, so that jobs don't grow with the rows.
 STEPS, BATCH = 40, 512
 
-#: Rows of a batch that a task sums up.
-PART = 500_000
+#: Rows of a batch, or of the held ones, that a task sums up.
+PART = 50_000
 
 
 def descend(gradient: Callable[[list[np.ndarray], int], list[np.ndarray]], loss: Callable[[list[np.ndarray]], float], width: int, steps: int, hidden: int = 24, epochs: int = 20, rate: float = 1e-3, decay: float = 1e-4, seed: int = 26168) -> list[np.ndarray]:
@@ -223,9 +224,10 @@ def train_in_tasks(df: DataFrame, features: list[str], target: str, held: Column
     """A network with one hidden layer of tanh, fitted to all rows in tasks; its numbers as ``network_score`` takes them.
 
     Inputs are standardised and held within 8 deviations. Rows are dealt once to batches of about ``batch`` rows by the
-    hash of ``name`` (of more rows beyond ``steps`` batches), and written by batch. A step is one job over one batch's
-    files: tasks sum the gradient of their rows, one row of (features + 2) * hidden + 2 numbers a task of up to PART rows
-    reaches the driver, which moves the weights and sends them with the next step's tasks.
+    hash of ``name`` (of more rows beyond ``steps`` batches), and written by batch. One job reads these files and keeps the
+    standardised rows with the executors (in memory, else on their disks; what is lost is read again), so that a step is one
+    small job without a plan of its own: tasks sum the gradient of their rows, (features + 2) * hidden + 2 numbers a task
+    of about PART rows reach the driver, which moves the weights and sends them with the next step's tasks.
 
     Rows where ``held`` holds choose the epoch (least mean square error) and calibrate the variance head: a ridge regression
     (10, constant included) of log(error^2 + 0.25), whose guesses are scaled by the mean ratio of squared error and guess
@@ -247,45 +249,51 @@ def train_in_tasks(df: DataFrame, features: list[str], target: str, held: Column
     steps = min(steps, math.ceil(said["n"] / batch))
 
     place = F.when(F.col("held"), -1).otherwise(F.pmod("h", F.lit(steps)).cast("int"))
-    parts = math.ceil(said["n"] / steps / PART)
-    part = F.pmod(F.shiftright("h", 20), F.lit(parts))
+    parts = F.when(F.col("held"), math.ceil(said["n"] / PART)).otherwise(math.ceil(said["n"] / steps / PART))
+    part = F.pmod(F.shiftright("h", 20), parts)
     table = materialise(rows.select("x", "y", place.alias("batch"), part.alias("part")).repartition(F.col("batch"), F.col("part")).drop("part"), "batches", by="batch")
 
-    def sums(of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], k: int | None) -> list[np.ndarray]:
-        """The sums of ``of`` over standardised inputs and targets of a batch (of all that are fitted: None), and their number."""
+    def standardised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b["x"].flatten().to_numpy().reshape(-1, width)
+                yield pa.RecordBatch.from_pydict({"z": [np.clip((x - mean) / scale, -8, 8).tobytes()], "y": [b["y"].to_numpy().tobytes()]})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(k: int) -> RDD:
+        return table.where(F.col("batch") == k).select("x", "y").mapInArrow(standardised, "z binary, y binary").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+
+    union = df.sparkSession.sparkContext.union
+    fitted, chosen = [kept(k) for k in range(steps)], kept(-1)
+    union([*fitted, chosen]).count()  # read side by side, not in the steps, which follow each other
+
+    def sums(of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], own: RDD) -> list[np.ndarray]:
+        """The sums of ``of`` over standardised inputs and targets of kept rows, and their number; none without rows."""
+
+        def run(blocks: Iterator[tuple[bytes, bytes]]) -> Iterator[list[np.ndarray]]:
             total: list[np.ndarray] = []
-            for b in batches:
-                if b.num_rows:
-                    x = b["x"].flatten().to_numpy().reshape(-1, width)
-                    found = [*of(np.clip((x - mean) / scale, -8, 8), b["y"].to_numpy()), np.array([float(len(x))])]
-                    total = [a + f for a, f in zip(total, found)] if total else found
+            for z, y in blocks:
+                z = np.frombuffer(z).reshape(-1, width)
+                found = [*of(z, np.frombuffer(y)), np.array([float(len(z))])]
+                total = [a + f for a, f in zip(total, found)] if total else found
             if total:
-                yield pa.RecordBatch.from_pydict({"shape": [[list(a.shape) for a in total]], "sums": [np.concatenate([a.ravel() for a in total]).tolist()]})
-
-        own = table.where(F.col("batch") >= 0 if k is None else F.col("batch") == k).select("x", "y")
-        got = own.mapInArrow(run, "shape array<array<bigint>>, sums array<double>").collect()  # one row a task
-        if not got:
-            return []
-        flat, out, at = np.sum([g["sums"] for g in got], axis=0), [], 0
-        for shape in got[0]["shape"]:
-            out.append(flat[at : at + math.prod(shape)].reshape(shape))
-            at += math.prod(shape)
-        return out
+                yield total
+
+        return [np.sum(each, axis=0) for each in zip(*own.mapPartitions(run).collect())]  # one list a task
 
     def gradient(w: list[np.ndarray], k: int) -> list[np.ndarray]:
-        found = sums(lambda z, y: _slopes(w, z, (y - middle) / spread), k)
+        found = sums(lambda z, y: _slopes(w, z, (y - middle) / spread), fitted[k])
         return [a / found[-1][0] for a in found[:-1]]
 
     def loss(w: list[np.ndarray]) -> float:
-        found = sums(lambda z, y: [((_forward(w, z) * spread + middle - y) ** 2).sum(keepdims=True)], -1)
+        found = sums(lambda z, y: [((_forward(w, z) * spread + middle - y) ** 2).sum(keepdims=True)], chosen)
         return float(found[0][0] / found[-1][0]) if found else -next(last)
 
     last = count()
     w = descend(gradient, loss, width, steps, hidden, epochs, rate, decay, seed)
     error = lambda z, y: np.clip(_forward(w, z) * spread + middle, 0, 60) - y
-    noise = _noise_fit(*sums(lambda z, y: _noise_sums(z, error(z, y)), None)[:2])
-    ratio = sums(lambda z, y: [_noise_ratio(noise, z, error(z, y)).sum(keepdims=True)], -1)
+    noise = _noise_fit(*sums(lambda z, y: _noise_sums(z, error(z, y)), union(fitted))[:2])
+    ratio = sums(lambda z, y: [_noise_ratio(noise, z, error(z, y)).sum(keepdims=True)], chosen)
+    for own in (*fitted, chosen):
+        own.unpersist()
     release(table)
     return _model(mean, scale, w, middle, spread, noise, float(ratio[0][0] / ratio[-1][0]) if ratio else 1.0)

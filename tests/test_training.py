@@ -35,3 +35,48 @@ def test_training_keeps_jobs_bounded_and_needs_rows_to_fit(spark, monkeypatch):
         models.train_in_tasks(df, ["a"], "y", F.lit(True), "id")
     with pytest.raises(ValueError):
         models.train_in_tasks(df.limit(0), ["a"], "y", F.lit(False), "id")
+
+
+def test_steps_read_no_files_and_nothing_stays_kept(spark, monkeypatch):
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    start = [np.full((1, 24), 0.1), np.zeros(24), np.full(24, 0.1), np.zeros(1)]
+    written, write = [], models.materialise
+    monkeypatch.setattr(models, "materialise", lambda *args, **more: written.append(write(*args, **more)) or written[-1])
+
+    def descend(gradient, loss, width, steps, *more):
+        models.release(*written)
+        assert steps == 3 and all(len(gradient(start, k)) == 4 for k in range(steps)) and loss(start) > 0
+        return start
+
+    monkeypatch.setattr(models, "descend", descend)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    models.train_in_tasks(df, ["a"], "y", F.col("id") % 5 == 4, "id", batch=60)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_held_rows_are_dealt_to_tasks_too(spark, monkeypatch):
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    tasks, write = [], models.materialise
+
+    def counted(*args, **more):
+        table = write(*args, **more)
+        tasks.append(table.where("batch = -1").select(F.input_file_name()).distinct().count())
+        return table
+
+    monkeypatch.setattr(models, "materialise", counted)
+    monkeypatch.setattr(models, "PART", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small partitions become one
+    try:
+        models.train_in_tasks(df, ["a"], "y", F.col("id") % 2 == 0, "id", epochs=1, batch=20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks[0] > 1
+
+
+def test_the_features_of_the_network_are_made_once(spark):
+    from driftline.plans import registry
+
+    from .conftest import SF
+
+    out = registry.queries()["mdl5_network_training"](spark, SF)
+    assert "Window" not in out._jdf.queryExecution().toString() and out.count() == 310
